@@ -219,12 +219,8 @@ def _wide(models: DataFrame, group, xs) -> DataFrame:
 
 def ols(df: DataFrame, group, y: str, xs, interactions=()) -> DataFrame:
     """All predictors; one row per group and term.  Interactions are pairs of predictors."""
-    xs = list(xs)
-    for a, b in interactions:
-        df = df.withColumn(f"{a}:{b}", F.col(a) * F.col(b))
-    if interactions:
-        safe = {f"{a}:{b}": f"{a}_x_{b}" for a, b in interactions}
-        df, xs = df.withColumnsRenamed(safe), xs + list(safe.values())
+    df = df.withColumns({f"{a}_x_{b}": F.col(a) * F.col(b) for a, b in interactions})
+    xs = [*xs, *[f"{a}_x_{b}" for a, b in interactions]]
     return _long(_modelled(df, group, y, xs, lambda fit: fit(list(range(1, len(xs) + 1)))), group)
 
 
