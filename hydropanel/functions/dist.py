@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
@@ -62,11 +63,11 @@ def _nullable(values) -> pd.Series:
     return out.where(pd.notna(out), None)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return _nullable(t_tail(t.astype(float), df.astype(float)))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def f_pvalue(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return _nullable(f_tail(f.astype(float), df1.astype(float), df2.astype(float)))

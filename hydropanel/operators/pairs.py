@@ -61,6 +61,8 @@ def blocked_pairs(
     key = ["_tx", "_ty", "_i", "_ux", "_uy", "_j"]
     left = rows.join(tasks, ["_tx", "_ty", "_i"])
     right = rows.withColumnsRenamed({"_tx": "_ux", "_ty": "_uy", "_i": "_j"}).join(tasks, ["_ux", "_uy", "_j"])
+    # both sides come from the same table: new columns tell them apart
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
 
     def run(k, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         return fn(tuple(k[:3]) == tuple(k[3:]), lpdf, rpdf)

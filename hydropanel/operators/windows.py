@@ -53,9 +53,10 @@ def centered_mean(df: DataFrame, part, order, cols: dict[str, str], width: int =
     )
 
 
-def residual(df: DataFrame, part, col: str, name: str | None = None) -> DataFrame:
-    """Value minus the mean of its group (row-weighted)."""
-    out = add_group_agg(df, part, {"_mean": F.avg(col)})
+def residual(df: DataFrame, part, col: str, name: str | None = None, weight: str | None = None) -> DataFrame:
+    """Value minus the mean of its group; ``weight`` counts the rows behind a reduced row."""
+    mean = F.avg(col) if weight is None else F.try_divide(F.sum(F.col(col) * F.col(weight)), F.sum(weight))
+    out = add_group_agg(df, part, {"_mean": mean})
     return out.withColumn(name or f"{col}_residual", F.col(col) - F.col("_mean")).drop("_mean")
 
 
