@@ -113,7 +113,12 @@ def region_year(z: DataFrame, keys, cols) -> DataFrame:
 
 
 def stats_table(z: DataFrame, raw: DataFrame, keys, z_cols, raw_cols) -> DataFrame:
-    """Mean and deviation of scores and of raw values, side by side."""
+    """Mean and deviation of scores and of raw values, side by side.
+
+    One aggregate when both are columns of the same table, else two and a join.
+    """
+    if raw is z:
+        return group_mean_sd(z, keys, z_cols | raw_cols)
     return group_mean_sd(z, keys, z_cols).join(group_mean_sd(raw, keys, raw_cols), list(keys))
 
 

@@ -81,10 +81,14 @@ def season_wide(blocks: list[DataFrame], keys) -> DataFrame:
 
 
 def cold_days(daily: DataFrame, keys) -> DataFrame:
-    """Daily rows of months whose mean temperature is at or below freezing."""
+    """Daily rows of months whose mean temperature is at or below freezing.
+
+    One row per catchment and day, so a group is at most the days of a month.
+    """
     days = daily.withColumns({"month": F.month("date"), "water_year": calendar.water_year("date")})
-    out = add_group_agg(days, [*keys, "month", "water_year"], {"month_temp": strict(F.avg, "temp_c")})
-    return out.filter(F.col("month_temp") <= 0)
+    out = add_group_agg(days, [*keys, "month", "water_year"], {"_t": F.avg("temp_c"), "_n": F.count("temp_c"), "_all": F.count(F.lit(1))}, period="date")
+    mean = F.when(F.col("_n") == F.col("_all"), F.col("_t"))
+    return out.withColumn("month_temp", mean).drop("_t", "_n", "_all").filter(F.col("month_temp") <= 0)
 
 
 def cold_months(daily: DataFrame, keys, area, seconds: float = SECONDS_MONTH) -> DataFrame:

@@ -7,7 +7,7 @@ size, and otherwise the sort-merge join has its hot partitions split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydropanel.functions.calendar import as_col
@@ -38,17 +38,19 @@ def lookup_all(y: DataFrame, x: DataFrame, key: str) -> DataFrame:
 def with_prior(df: DataFrame, keys, time: str, cols: dict[str, str], k: int = 1, how: str = "inner") -> DataFrame:
     """Value of exactly ``k`` periods before; a gap does not match.
 
-    ``cols`` maps source columns to the names of their prior values.  The join key
-    includes the period, so one station with a third of all rows still spreads
-    over the partitions, where a window over the station would not.
+    ``cols`` maps source columns to the names of their prior values.  The table has
+    one row per key and period, so a window partition is bounded by the number of
+    periods, and a frame of exactly one period is a self-join without its second
+    read of the input.  ``how`` is ``inner`` (rows without a prior period are dropped)
+    or ``left``.
     """
-    keys = list(keys)
-    prior = df.select(
-        *keys,
-        (F.col(time) + k).cast(df.schema[time].dataType).alias(time),
-        *[F.col(c).alias(n) for c, n in cols.items()],
+    frame = Window.partitionBy(*keys).orderBy(time).rangeBetween(-k, -k)
+    out = df.withColumns(
+        {n: F.first(c).over(frame) for c, n in cols.items()} | {"_found": F.count(F.lit(1)).over(frame)}
     )
-    return df.join(prior, [*keys, time], how)
+    if how == "inner":
+        out = out.filter(F.col("_found") > 0)
+    return out.drop("_found")
 
 
 def keep_in(df: DataFrame, ids: DataFrame, key) -> DataFrame:

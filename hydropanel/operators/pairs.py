@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hydropanel.sources import checkpoint_table
+
 # Half of the eight neighbours, so that two tiles meet once.
 _FORWARD = ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))
 
@@ -33,7 +35,10 @@ def blocked_pairs(
 
     With ``tiles`` (two integer columns) only blocks of the same or of adjacent
     tiles meet.  ``row_id`` is hashed to spread the rows over the blocks of a tile.
+    The rows are read for their number and for both sides, so they are written to the
+    shared folder first and their own plan runs once.
     """
+    df = checkpoint_table(df)
     if tiles is None:
         df = df.withColumns({"_tx": F.lit(0).cast("long"), "_ty": F.lit(0).cast("long")})
     else:

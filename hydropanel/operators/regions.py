@@ -16,6 +16,7 @@ from hydropanel.operators.pairs import BLOCK_ROWS, blocked_pairs, distances
 from hydropanel.operators.reshape import MONTH_NAMES
 from hydropanel.operators.rows import complete, update_where
 from hydropanel.operators.windows import add_group_agg, share_of_peak
+from hydropanel.sources import checkpoint_table
 
 
 def regime(daily: DataFrame, site: str = "site_number", date: str = "date", value: str = "value") -> DataFrame:
@@ -51,7 +52,12 @@ def scale_features(df: DataFrame, cols) -> DataFrame:
 
 
 def kmeans(df: DataFrame, cols, k: int = 5, max_iter: int = 25, seed: int = 0, name: str = "cluster") -> DataFrame:
-    """k-means regions numbered from 1; only the k centres live on the driver."""
+    """k-means regions numbered from 1; only the k centres live on the driver.
+
+    The iterations read the rows many times, so these are written to the shared
+    folder first.
+    """
+    df = checkpoint_table(df)
     vectors = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(df)
     model = KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="_v", predictionCol="_p").fit(vectors)
     return model.transform(vectors).withColumn(name, (F.col("_p") + 1).cast("int")).drop("_v", "_p")
@@ -172,7 +178,7 @@ def dunn(df: DataFrame, row_id: str, vec: str, cluster: str, block_rows: int = B
 def validity_sweep(df: DataFrame, row_id: str, cols, ks, seed: int = 0) -> DataFrame:
     """Dunn index for several numbers of clusters."""
     cols = list(cols)
-    vectors = df.withColumn("_vec", F.array(*cols))
+    vectors = checkpoint_table(df.withColumn("_vec", F.array(*cols)))
     parts = [
         dunn(kmeans(vectors, cols, k, seed=seed), row_id, "_vec", "cluster").select(
             F.lit(k).alias("clusters"), "dunn"

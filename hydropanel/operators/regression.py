@@ -405,7 +405,7 @@ def contributions(
     models = {"_full": scored(xs), "_intercept": F.col("_b0")}
     models |= {f"_{f}": scored(m) for f, m in families.items()}
     rows = apply_params(z, params, group).withColumns(models)
-    rows = unzscore(rows, [site], {z_obs: "_observed"} | {c: c for c in models}, base_col)
+    rows = unzscore(rows, [site], {z_obs: "_observed"} | {c: c for c in models}, base_col, period=time)
     means = group_mean(rows, [group, time], ["_observed", *models], na_rm=False)
     named = {"_observed": "observed", "_full": "deviation"} | {f"_{f}": f for f in families}
     dev = means.select(group, time, *[(F.col(c) - F.col("_intercept")).alias(n) for c, n in named.items()])

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+PIVOT_FROM = 16
+
 # Month column names of a flow regime.
 MONTH_NAMES = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -26,7 +28,11 @@ def stack_results(dfs) -> DataFrame:
 def to_long(df: DataFrame, ids, cols=None, key: str = "variable", value: str = "value") -> DataFrame:
     """Columns to rows, nulls kept."""
     cols = list(cols) if cols is not None else [c for c in df.columns if c not in ids]
-    return df.unpivot(list(ids), cols, key, value)
+    if len(cols) < PIVOT_FROM:
+        return df.unpivot(list(ids), cols, key, value)
+    # the same as one generator: the expand behind unpivot leaves generated code when it is wide
+    pairs = [F.struct(F.lit(c).alias(key), F.col(c).alias(value)) for c in cols]
+    return df.select(*ids, F.inline(F.array(*pairs)))
 
 
 def to_long_year(df: DataFrame, ids, cols, value: str = "value") -> DataFrame:
@@ -58,6 +64,12 @@ def to_wide(df: DataFrame, ids, key: str, cols, values, names=None) -> DataFrame
     spec = {cols: ""} if single else dict(cols)
     values = list(values)
     names = list(names) if names is not None else [str(v) for v in values]
+    if len(values) * len(spec) > PIVOT_FROM:
+        # many columns: testing every row against every value would cost more than one more shuffle
+        wide = df.groupBy(*ids).pivot(key, values).agg(*[F.max(c).alias(f"c{i}") for i, c in enumerate(spec)])
+        found = wide.columns[len(ids) :]
+        target = [f"{prefix}{n}" for n in names for prefix in spec.values()]
+        return wide.select(*ids, *[F.col(f"`{a}`").alias(b) for a, b in zip(found, target, strict=True)])
     aggs = [
         F.max(F.when(F.col(key) == v, F.col(c))).alias(f"{prefix}{n}")
         for c, prefix in spec.items()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydropanel.functions import calendar, units
@@ -41,13 +41,15 @@ def season_panel(months: DataFrame, blend: bool = False) -> DataFrame:
     """Season panel from month rows.
 
     Input: ``site_number, cluster, year`` (water), ``cal_year, month, season, mean_q,
-    precip_m, temp_k, area``.  Output: one row per site, water year and season with
-    log means of efficiency, flow and temperature, log precipitation of all four
-    seasons, the own-season value and the values of the year before.
+    precip_m, temp_k, area``, one row per station and month.  Output: one row per
+    site, water year and season with log means of efficiency, flow and temperature,
+    log precipitation of all four seasons, the own-season value and the values of
+    the year before.
 
     Autumn precipitation is the total of a calendar autumn and counts for the next
     water year; ``blend`` averages the two autumns a water year touches instead.
-    Every shuffle is by site and year, so no station is a partition of its own.
+    The month rows are shuffled once, by station (bounded by the months of a record);
+    all windows below refine that partitioning and only sort.
     """
     m = months.filter((F.col("precip_m") > 0) & (F.col("mean_q") > 0)).withColumns(
         {
@@ -55,55 +57,37 @@ def season_panel(months: DataFrame, blend: bool = False) -> DataFrame:
             "_sy": calendar.season_year("season", "cal_year", "year"),
         }
     )
-    means = m.groupBy("site_number", "season", "_sy").agg(
-        units.log10_safe(F.avg("_runoff")).alias("season_runoff"),
-        units.log10_safe(F.avg("mean_q")).alias("season_q"),
-        units.log10_safe(F.avg("temp_k")).alias("season_temp"),
-        F.sum("precip_m").alias("_season_total"),
+    m = m.repartition("site_number")
+    season = Window.partitionBy("site_number", "season", "_sy")
+    m = m.withColumns(
+        {
+            "season_runoff": units.log10_safe(F.avg("_runoff").over(season)),
+            "season_q": units.log10_safe(F.avg("mean_q").over(season)),
+            "season_temp": units.log10_safe(F.avg("temp_k").over(season)),
+            "_total": F.sum("precip_m").over(season),
+        }
     )
-    precip = _season_precip(m, means, blend)
-    rows = m.join(means.drop("_season_total"), ["site_number", "season", "_sy"]).join(precip, ["site_number", "year"])
+    # a season's total is picked up at its anchor month, and only if that month exists
+    year = Window.partitionBy("site_number", "year")
+    picked = {
+        c: F.max(F.when(F.col("month") == ANCHOR_MONTH[s], F.col("_total"))).over(year) for s, c in SEASON_PRECIP.items()
+    }
+    if blend:
+        autumns = F.avg(F.when(F.col("season") == "SON", F.col("_total"))).over(year)
+        picked["fall_precip"] = F.when(picked["fall_precip"].isNotNull(), autumns)
+    cols = list(SEASON_PRECIP.values())
+    rows = m.withColumns(picked).na.drop(subset=cols).withColumns({c: units.log10_safe(c) for c in cols})
     own = F.lit(None).cast("double")
     for name, col in SEASON_PRECIP.items():
         own = F.when(F.col("season") == name, F.col(col)).otherwise(own)
     rows = rows.withColumn("season_precip", own)
-    prior = with_prior(
-        rows,
-        ["site_number", "cluster", "season", "month"],
-        "year",
-        {c: f"prior_{c}" for c in SEASON_PRECIP.values()},
-    ).filter(F.col("prior_summer_precip").isNotNull())
-    first = first_per(prior, ["site_number", "year", "season"], ["month"])
+    prior = with_prior(rows, ["site_number", "month"], "year", {c: f"prior_{c}" for c in cols})
+    first = first_per(prior.filter(F.col("prior_summer_precip").isNotNull()), ["site_number", "year", "season"], ["month"])
     return first.select(
         "site_number", "cluster", "year", "cal_year", "season", "month",
         "season_q", "season_runoff", "season_temp", "season_precip",
-        *SEASON_PRECIP.values(), *[f"prior_{c}" for c in SEASON_PRECIP.values()],
-    )
-
-
-def _season_precip(m: DataFrame, means: DataFrame, blend: bool) -> DataFrame:
-    """Log precipitation of the four seasons per site and water year, all four present."""
-    target = F.when(F.col("season") == "SON", F.col("cal_year") + 1).otherwise(F.col("year"))
-
-    def total(name: str):
-        return F.sum(F.when(F.col("season") == name, F.col("precip_m")))
-
-    def anchored(name: str):
-        return F.max(F.when(F.col("month") == ANCHOR_MONTH[name], F.lit(1)))
-
-    wide = m.groupBy("site_number", target.cast("int").alias("year")).agg(
-        *[F.when(anchored(s) == 1, total(s)).alias(c) for s, c in SEASON_PRECIP.items()]
+        *cols, *[f"prior_{c}" for c in cols],
     )
-    if blend:
-        autumn = (
-            m.filter(F.col("season") == "SON")
-            .join(means.select("site_number", "season", "_sy", "_season_total"), ["site_number", "season", "_sy"])
-            .groupBy("site_number", "year")
-            .agg(F.when(anchored("SON") == 1, F.avg("_season_total")).alias("fall_precip"))
-        )
-        wide = wide.drop("fall_precip").join(autumn, ["site_number", "year"])
-    cols = list(SEASON_PRECIP.values())
-    return wide.na.drop(subset=cols).select("site_number", "year", *[units.log10_safe(c).alias(c) for c in cols])
 
 
 def water_year_total(df: DataFrame, site: str, date: str, rate: str, scale: float = 1 / 1000) -> DataFrame:

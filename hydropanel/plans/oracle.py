@@ -118,7 +118,7 @@ CTES = {
       CAST(-142.0 AS DOUBLE) + (c_custkey * 7919 % 9200) / 100 AS lon,
       CAST(24.5 AS DOUBLE) + (c_custkey * 104729 % 4550) / 100 AS lat, c_acctbal AS value FROM customer)""",
     "cells": """SELECT point_id AS cell_id, lon, lat, time, v AS value FROM (
-      SELECT o_custkey AS point_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS time, avg(o_totalprice) / 1000 AS v
+      SELECT o_custkey AS point_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS time, avg(o_totalprice) * CAST(0.028316846592 AS DOUBLE) AS v
       FROM orders GROUP BY 1, 2) JOIN points USING (point_id)""",
     "edges": "SELECT site_number AS identifier, lon + ax AS x1, lat + ay AS y1, lon + bx AS x2, lat + b_y AS y2 FROM site, (VALUES "
     + ", ".join(

@@ -18,6 +18,7 @@ from hydropanel import session
 from hydropanel.functions import calendar, units
 from hydropanel.functions.geo import to_albers
 from hydropanel.operators import aggregates, joins, rows, seasonal, windows
+from hydropanel.sources import checkpoint_table
 
 # Vertices of a station's watershed ring around its coordinates, in degrees.
 RING_OFFSETS = ((-1.503, -1.207), (0.311, -1.803), (1.607, 0.103), (0.401, 0.507), (0.207, 1.701), (-1.307, 1.103))
@@ -41,6 +42,13 @@ class Panel:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = session.prepare(spark)
         self.dir = sf_dir.rstrip("/")
+        self.staged: dict[str, DataFrame] = {}
+
+    def stage(self, name: str) -> DataFrame:
+        """A domain table written once, for queries that read it more than once."""
+        if name not in self.staged:
+            self.staged[name] = checkpoint_table(getattr(self, name))
+        return self.staged[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -121,7 +129,7 @@ class Panel:
         base = rows.positive(panel, ["mean_q"]).select(
             "site_number", "cluster", time, "mean_q", "precip_m", "temp_k", "runoff_ratio"
         )
-        return joins.with_prior(base, ["site_number", "cluster"], time, {"precip_m": "off_precip", "temp_k": "off_temp"})
+        return joins.with_prior(base, ["site_number"], time, {"precip_m": "off_precip", "temp_k": "off_temp"})
 
     def scores(self, panel: DataFrame, time: str) -> DataFrame:
         """Standard scores of the logarithms per station."""
@@ -130,7 +138,7 @@ class Panel:
             "log_off_precip": "off_precip", "log_temp": "temp_k", "log_off_temp": "off_temp",
         }
         out = self.offset(panel, time).withColumns({n: units.log10_safe(c) for n, c in logs.items()})
-        return windows.zscore(out, ["site_number"], Z_COLS)
+        return windows.zscore(out, ["site_number"], Z_COLS, period=time)
 
     @cached_property
     def z_year(self) -> DataFrame:
@@ -155,7 +163,7 @@ class Panel:
     @cached_property
     def z_season(self) -> DataFrame:
         cols = {c: f"z_{c}" for c in ("season_q", "season_runoff", *seasonal.SEASON_PRECIP.values(), "prior_summer_precip")}
-        return windows.zscore(self.season_values, ["site_number", "season"], cols)
+        return windows.zscore(self.season_values, ["site_number", "season"], cols, period="year")
 
     @cached_property
     def region_season(self) -> DataFrame:
@@ -177,14 +185,18 @@ class Panel:
         return pts.withColumns({"x": x, "y": y})
 
     @cached_property
-    def cells(self) -> DataFrame:
-        """Grid cells (customers) x months with a value from their orders."""
+    def values(self) -> DataFrame:
+        """Values of grid cells (customers) per month, from their orders."""
         month = F.trunc("o_orderdate", "month")
-        values = self.table("orders").groupBy(F.col("o_custkey").alias("point_id"), month.alias("time")).agg(
-            (F.avg("o_totalprice") / 1000).alias("value")
+        return self.table("orders").groupBy(F.col("o_custkey").alias("cell_id"), month.alias("time")).agg(
+            units.convert(F.avg("o_totalprice"), "ft3/s", "m3/s").alias("value")
         )
-        at = self.points.select("point_id", "lon", "lat")
-        return values.join(at, "point_id").withColumnRenamed("point_id", "cell_id")
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """The same values with the coordinates of their cells."""
+        at = self.points.select(F.col("point_id").alias("cell_id"), "lon", "lat")
+        return self.values.join(at, "cell_id")
 
     @cached_property
     def watersheds(self) -> DataFrame:

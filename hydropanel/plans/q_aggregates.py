@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from hydropanel.functions import calendar
 from hydropanel.operators import aggregates, seasonal
 from hydropanel.operators.windows import share_of_peak
 from hydropanel.plans.registry import query
@@ -101,13 +100,13 @@ def agg_nested_mean(p):
       FROM (SELECT cluster, year, avg(z_log_runoff) AS mu_z_log_runoff, stddev_samp(z_log_runoff) AS sd_z_log_runoff,
         avg(z_precip) AS mu_z_precip, stddev_samp(z_precip) AS sd_z_precip FROM z_year GROUP BY 1, 2)
       JOIN (SELECT cluster, year, avg(runoff_ratio) AS mu_runoff, stddev_samp(runoff_ratio) AS sd_runoff,
-        avg(precip_m) AS mu_precip, stddev_samp(precip_m) AS sd_precip FROM panel_year GROUP BY 1, 2) USING (cluster, year)""",
+        avg(precip_m) AS mu_precip, stddev_samp(precip_m) AS sd_precip FROM z_year GROUP BY 1, 2) USING (cluster, year)""",
     "mu_z_log_runoff sd_z_log_runoff mu_z_precip sd_z_precip mu_runoff sd_runoff mu_precip sd_precip",
 )
 def agg_stats_table(p):
     return aggregates.stats_table(
         p.z_year,
-        p.panel_year,
+        p.z_year,
         ["cluster", "year"],
         {"z_log_runoff": ("mu_z_log_runoff", "sd_z_log_runoff"), "z_precip": ("mu_z_precip", "sd_z_precip")},
         {"runoff_ratio": ("mu_runoff", "sd_runoff"), "precip_m": ("mu_precip", "sd_precip")},
@@ -153,20 +152,17 @@ def agg_season_panel(p):
 
 @query(
     "agg_season_panel_blend",
-    """SELECT site_number, year, log10(avg(total)) AS fall_precip FROM season_months
-      JOIN (SELECT site_number, sy, sum(precip_m) AS total FROM season_months WHERE season = 'SON' GROUP BY 1, 2)
-      USING (site_number, sy) WHERE season = 'SON' GROUP BY site_number, year
-      HAVING count(*) FILTER (month = 10) > 0 AND (site_number, year) IN (SELECT (site_number, year) FROM season_months
-        WHERE season <> 'SON' GROUP BY site_number, year
-        HAVING count(*) FILTER (month = 1) > 0 AND count(*) FILTER (month = 4) > 0 AND count(*) FILTER (month = 7) > 0)""",
+    """SELECT a.site_number, a.year, a.season, a.fall_precip FROM (SELECT v.site_number, v.year, v.season, f.fall_precip FROM season_values v JOIN blended f USING (site_number, year)) a""",
     "fall_precip",
+    {
+        "autumns": "SELECT site_number, sy, sum(precip_m) AS total FROM season_months WHERE season = 'SON' GROUP BY 1, 2",
+        "blended": """SELECT m.site_number, m.year, log10(avg(total)) AS fall_precip FROM season_months m
+          JOIN autumns USING (site_number, sy) WHERE m.season = 'SON' GROUP BY 1, 2 HAVING count(*) FILTER (m.month = 10) > 0""",
+    },
 )
 def agg_season_panel_blend(p):
-    """Autumn precipitation when the two autumns of a water year are averaged."""
-    m = p.panel_month.withColumn("_sy", calendar.season_year("season", "cal_year", "year"))
-    m = m.filter((F.col("precip_m") > 0) & (F.col("mean_q") > 0))
-    means = m.groupBy("site_number", "season", "_sy").agg(F.sum("precip_m").alias("_season_total"))
-    return seasonal._season_precip(m, means, blend=True).select("site_number", "year", "fall_precip")
+    """Autumn precipitation as the mean of the two autumns a water year touches."""
+    return seasonal.season_panel(p.panel_month, blend=True).select("site_number", "year", "season", "fall_precip")
 
 
 @query(

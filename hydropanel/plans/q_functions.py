@@ -205,13 +205,13 @@ def fn_euclid(p):
 
 @query(
     "fn_format",
-    """SELECT c_custkey, CAST(printf('%.1e', c_acctbal / 7) AS DOUBLE) AS two_figures, printf('%.2e', c_acctbal / 7) AS scientific,
+    """SELECT c_custkey, CAST(printf('%.1e', c_acctbal * CAST(0.028316846592 AS DOUBLE)) AS DOUBLE) AS two_figures, printf('%.2e', c_acctbal * CAST(0.028316846592 AS DOUBLE)) AS scientific,
       CASE WHEN c_acctbal / 70000 < CAST(0.001 AS DOUBLE) THEN 'p<0.001' ELSE 'p=' || printf('%.3f', c_acctbal / 70000) END AS p_text
       FROM customer""",
     "two_figures",
 )
 def fn_format(p):
-    v = F.col("c_acctbal") / 7
+    v = F.col("c_acctbal") * 0.028316846592
     return p.table("customer").select(
         "c_custkey",
         text.sigfig(v, 2).alias("two_figures"),
@@ -220,9 +220,9 @@ def fn_format(p):
     )
 
 
-@query("udf_label", "SELECT s_suppkey, printf('%.3e', s_acctbal / 7) AS label FROM supplier")
+@query("udf_label", "SELECT s_suppkey, printf('%.3e', s_acctbal * CAST(0.028316846592 AS DOUBLE)) AS label FROM supplier")
 def udf_label(p):
-    return p.table("supplier").select("s_suppkey", text.sci(F.col("s_acctbal") / 7, 3).alias("label"))
+    return p.table("supplier").select("s_suppkey", text.sci(F.col("s_acctbal") * 0.028316846592, 3).alias("label"))
 
 
 @query(

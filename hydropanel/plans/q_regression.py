@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from hydropanel.operators import aggregates
 from hydropanel.operators import regression as reg
 from hydropanel.plans import fit_sql
 from hydropanel.plans.panels import FAMILIES, PREDICTORS
@@ -136,7 +137,9 @@ def reg_backward(p):
     _BACK | _PAIRED,
 )
 def reg_summary(p):
-    return reg.model_summary(reg_backward(p), reg_abs_corr(p), ["cluster"])
+    months = p.stage("region_month")
+    models = reg.backward(months, ["cluster"], Y, XS)
+    return reg.model_summary(models, reg.abs_corr(months, ["cluster"], Y, "z_precip"), ["cluster"])
 
 
 _STEP = _SUBSETS | fit_sql.aic_path("cluster")
@@ -175,12 +178,13 @@ _PARTS = _SUBSETS | {
 
 
 def _factors(p):
-    kept = reg.ols(p.region_month, ["cluster"], Y, XS).filter((F.col("term") != "intercept") & (F.col("p_value") <= 0.15))
-    return reg.partial_models(p.region_month, ["cluster"], Y, FAMILIES, kept.select("cluster", "term"))
+    months = p.stage("region_month")
+    kept = reg.ols(months, ["cluster"], Y, XS).filter((F.col("term") != "intercept") & (F.col("p_value") <= 0.15))
+    return reg.partial_models(months, ["cluster"], Y, FAMILIES, kept.select("cluster", "term"))
 
 
 def _modelled(p):
-    return reg.predict_parts(p.region_month, _factors(p), ["cluster"], FAMILIES, ["cluster", "t"])
+    return reg.predict_parts(p.stage("region_month"), _factors(p), ["cluster"], FAMILIES, ["cluster", "t"])
 
 
 @query("reg_partial_models", "SELECT * FROM factors", ["precip_intercept", "temp_intercept", *XS], _PARTS)
@@ -202,7 +206,7 @@ def reg_predict(p):
     _PARTS,
 )
 def reg_obs_vs_model(p):
-    return reg.compare(p.region_month, _modelled(p), ["cluster", "t"], ["cluster"], Y, "full_model")
+    return reg.compare(p.stage("region_month"), _modelled(p), ["cluster", "t"], ["cluster"], Y, "full_model")
 
 
 _SLOPES = """SELECT cluster{extra}, regr_slope(full_model, t) AS slope, coalesce(regr_slope(precip_model, t), 0) AS first_slope,
@@ -264,7 +268,10 @@ _DEV = ["observed", "deviation", "precip", "temp"]
     _CONTRIB,
 )
 def reg_contrib(p):
-    return reg.contributions(p.z_month, reg_backward(p), "site_number", "cluster", "t", Y, "log_runoff", FAMILIES)
+    z = p.stage("z_month")
+    months = aggregates.region_year(z, ["cluster", "t"], [Y, *XS])
+    coefs = reg.backward(months, ["cluster"], Y, XS)
+    return reg.contributions(z, coefs, "site_number", "cluster", "t", Y, "log_runoff", FAMILIES)
 
 
 # ---------------------------------------------------------------- season models
@@ -318,4 +325,6 @@ def reg_sig_filter(p):
     _GRID,
 )
 def reg_season_sig(p):
-    return reg.season_significance(p.season_values, _season_fits(p), "cluster", "season", "season_precip", "season_temp")
+    values = p.stage("season_values")
+    p.season_values = values
+    return reg.season_significance(values, _season_fits(p), "cluster", "season", "season_precip", "season_temp")

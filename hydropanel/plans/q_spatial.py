@@ -17,7 +17,8 @@ SIZE = 50_000.0
     "mean",
 )
 def sp_zonal_mean(p):
-    return spatial.zonal_mean(p.cells, p.watersheds)
+    centres = p.points.select(F.col("point_id").alias("cell_id"), "lon", "lat")
+    return spatial.zonal_mean(p.values, p.watersheds, centres=centres)
 
 
 @query(

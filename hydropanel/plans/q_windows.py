@@ -55,7 +55,7 @@ def win_roll_center(p):
 def win_residual(p):
     """Region mean flow of a year minus the row-weighted mean over the years."""
     years = p.panel_year.groupBy("cluster", "year").agg(F.avg("mean_q").alias("region_q"), F.count("mean_q").alias("n"))
-    return windows.residual(years, ["cluster"], "region_q", "residual", weight="n").drop("n")
+    return windows.residual(years, ["cluster"], "region_q", "residual", weight="n", period="year").drop("n")
 
 
 @query(
@@ -65,7 +65,7 @@ def win_residual(p):
 )
 def win_first(p):
     over = F.when(F.abs(F.col("temp_k") - 273.15) > 4.5, 1).otherwise(0)
-    out = windows.any_nonzero(p.panel_year.withColumn("over", over), ["site_number"], "over")
+    out = windows.any_nonzero(p.panel_year.withColumn("over", over), ["site_number"], "over", period="year")
     return out.select("site_number", "year", "any_nonzero")
 
 
@@ -95,7 +95,7 @@ def win_zscore_season(p):
 def win_unzscore(p):
     """Scores and their inverse give the values back."""
     z = p.z_year.select("site_number", "year", "log_runoff", "z_log_runoff")
-    out = windows.unzscore(z, ["site_number"], {"z_log_runoff": "back"}, "log_runoff")
+    out = windows.unzscore(z, ["site_number"], {"z_log_runoff": "back"}, "log_runoff", period="year")
     return out.filter(F.col("back").isNotNull()).select("site_number", "year", "back")
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +22,7 @@ _SETTINGS = {
 }
 
 _local_folder: str | None = None
+_shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -27,9 +30,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key, value in _SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    _ship(spark)
     return spark
 
 
+def _ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).parent
+    archive = shutil.make_archive(
+        f"{tempfile.mkdtemp(prefix='hydropanel-code-')}/hydropanel", "zip", package.parent, package.name
+    )
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
