@@ -72,7 +72,18 @@ def blocked_pairs(
     def run(k, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         return fn(tuple(k[:3]) == tuple(k[3:]), lpdf, rpdf)
 
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, schema)
+    return cogroup_spread(left, right, key, run, schema)
+
+
+def cogroup_spread(left: DataFrame, right: DataFrame, key: list[str], fn: Callable, schema: str) -> DataFrame:
+    """Cogrouped pandas function over all shuffle partitions.
+
+    Adaptive execution merges partitions by bytes; these tasks are small in bytes and
+    long in work, so both sides are given the session's partition number explicitly.
+    """
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(n, *key), right.repartition(n, *key)
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(fn, schema)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
