@@ -70,7 +70,9 @@ def blocked_pairs(
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
 
     def run(k, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        return fn(tuple(k[:3]) == tuple(k[3:]), lpdf, rpdf)
+        same = tuple(k[:3]) == tuple(k[3:])
+        # a block against itself: one frame for both, as row orders may differ
+        return fn(same, lpdf, lpdf if same else rpdf)
 
     return cogroup_spread(left, right, key, run, schema)
 

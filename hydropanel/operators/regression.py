@@ -177,6 +177,7 @@ def _step(fit, k: int):
 def _modelled(df: DataFrame, group, y: str, xs, choose) -> DataFrame:
     """One chosen model per group as arrays, from one pass over the data."""
     names = [y, *xs]
+    fields = [part.split()[0] for part in _MODEL.split(", ")]
 
     @pandas_udf(_MODEL)
     def solve(n: pd.Series, mean: pd.Series, cov: pd.Series) -> pd.DataFrame:
@@ -184,8 +185,9 @@ def _modelled(df: DataFrame, group, y: str, xs, choose) -> DataFrame:
         for count, m, c in zip(n, mean, cov, strict=True):
             m, c = np.asarray(m, float), np.asarray(c, float).reshape(len(names), len(names))
             ok = count > 1 and np.isfinite(c).all()
-            rows.append((choose(lambda s: _fit(int(count), m, c, 0, s, names)) if ok else None) or {})
-        return pd.DataFrame(rows, columns=[part.split()[0] for part in _MODEL.split(", ")], dtype=object)
+            model = (choose(lambda s: _fit(int(count), m, c, 0, s, names)) if ok else None) or {}
+            rows.append({f: model.get(f) for f in fields})  # a missing model is a row of NULLs
+        return pd.DataFrame(rows, columns=fields, dtype=object)
 
     stats = gram(df, group, names)
     return stats.select(*group, solve("n", "mean", "cov").alias("m")).select(*group, "m.*").filter(

@@ -134,7 +134,7 @@ _FIT = _VARIOGRAM | {
     "solved": """SELECT *, (S * PG - P * G) / nullif(S * PP - P * P, 0) AS b, (G - (S * PG - P * G) / nullif(S * PP - P * P, 0) * P) / S AS a FROM (
       SELECT kind, range, sum(w) AS S, sum(w * f) AS P, sum(w * f * f) AS PP, sum(w * g) AS G, sum(w * f * g) AS PG, sum(w * g * g) AS GG
       FROM lattice GROUP BY 1, 2)""",
-    "scored": """SELECT kind, range, nugget, psill, GG - 2 * nugget * G - 2 * psill * PG + nugget * nugget * S + 2 * nugget * psill * P + psill * psill * PP AS sse
+    "scored": """SELECT kind, range, nugget, psill, GG - 2 * nugget * G - 2 * psill * PG + nugget * nugget * S + 2 * nugget * psill * P + psill * psill * PP AS sse, GG
       FROM (SELECT *, CASE WHEN b < 0 THEN 0 WHEN a < 0 THEN PG / PP ELSE b END AS psill,
         CASE WHEN b < 0 THEN G / S WHEN a < 0 THEN 0 ELSE a END AS nugget FROM solved WHERE b IS NOT NULL)""",
 }
@@ -142,7 +142,7 @@ _FIT = _VARIOGRAM | {
 
 @query(
     "sp_variogram_fit",
-    "SELECT kind, range / 1000 AS range_km, nugget, psill FROM scored ORDER BY sse, kind, range LIMIT 1",
+    "SELECT kind, range / 1000 AS range_km, nugget, psill FROM scored ORDER BY round(sse / GG, 9), kind, range LIMIT 1",
     "range_km nugget psill",
     _FIT,
     digits=4,
