@@ -189,6 +189,7 @@ def _modelled(df: DataFrame, group, y: str, xs, choose) -> DataFrame:
             rows.append({f: model.get(f) for f in fields})  # a missing model is a row of NULLs
         return pd.DataFrame(rows, columns=fields, dtype=object)
 
+    solve = solve.asNondeterministic()  # so that it runs once, not once more inside the filter below
     stats = gram(df, group, names)
     return stats.select(*group, solve("n", "mean", "cov").alias("m")).select(*group, "m.*").filter(
         F.col("terms").isNotNull()
@@ -288,6 +289,7 @@ def partial_models(df: DataFrame, group, y: str, families: dict[str, list[str]],
             rows.append(row)
         return pd.DataFrame(rows, columns=fields, dtype=float)
 
+    solve = solve.asNondeterministic()  # runs once for all its columns
     # at most one entry per candidate predictor, so the list is bounded
     kept = retained.groupBy(*group).agg(F.collect_set("term").alias("_kept"))
     stats = gram(df, group, names).join(kept, group)
