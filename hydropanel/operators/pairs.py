@@ -39,27 +39,30 @@ def blocked_pairs(
     shared folder first and their own plan runs once.
     """
     df = checkpoint_table(df)
+    n_blocks = F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_nb")
     if tiles is None:
-        df = df.withColumns({"_tx": F.lit(0).cast("long"), "_ty": F.lit(0).cast("long")})
+        # one group: its size is a scalar, and every block meets every later one
+        tile = {c: F.lit(0).cast("long") for c in ("_tx", "_ty")}
+        rows = df.withColumns(tile).withColumn("_nb", df.select(n_blocks).scalar())
+        meetings = df.agg(n_blocks).withColumns(tile).select(
+            "_tx", "_ty", F.col("_nb").alias("_na"), F.lit(0).cast("long").alias("_ux"), F.lit(0).cast("long").alias("_uy"), "_nb"
+        )
     else:
         df = df.withColumns({"_tx": F.col(tiles[0]).cast("long"), "_ty": F.col(tiles[1]).cast("long")})
-    sizes = df.groupBy("_tx", "_ty").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_nb"))
-    # without tiles the sizes are one row; otherwise the planner decides by size
-    beside = F.broadcast(sizes) if tiles is None else sizes
-    rows = df.join(beside, ["_tx", "_ty"]).withColumn(
-        "_i", F.pmod(F.xxhash64(row_id), F.col("_nb")).cast("int")
-    ).drop("_nb")
-
-    steps = _FORWARD if tiles is not None else ((0, 0),)
-    offsets = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in steps])
-    a = sizes.select("_tx", "_ty", F.col("_nb").alias("_na"), F.inline(offsets)).select(
-        "_tx", "_ty", "_na", (F.col("_tx") + F.col("dx")).alias("_ux"), (F.col("_ty") + F.col("dy")).alias("_uy")
-    )
-    b = sizes.select(F.col("_tx").alias("_ux"), F.col("_ty").alias("_uy"), "_nb")
+        sizes = df.groupBy("_tx", "_ty").agg(n_blocks)
+        rows = df.join(sizes, ["_tx", "_ty"])
+        offsets = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in _FORWARD])
+        a = sizes.select("_tx", "_ty", F.col("_nb").alias("_na"), F.inline(offsets)).select(
+            "_tx", "_ty", "_na", (F.col("_tx") + F.col("dx")).alias("_ux"), (F.col("_ty") + F.col("dy")).alias("_uy")
+        )
+        b = sizes.select(F.col("_tx").alias("_ux"), F.col("_ty").alias("_uy"), "_nb")
+        meetings = a.join(b, ["_ux", "_uy"])
+    rows = rows.withColumn("_i", F.pmod(F.xxhash64(row_id), F.col("_nb")).cast("int")).drop("_nb")
+
     same_tile = (F.col("_tx") == F.col("_ux")) & (F.col("_ty") == F.col("_uy"))
     tasks = (
-        a.join(b, ["_ux", "_uy"])
-        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_na") - 1)))
+        meetings.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_na") - 1)))
+        .repartition("_tx", "_ty", "_i")  # a place with many blocks lists its tasks on many executors
         .withColumn("_j", F.explode(F.sequence(F.when(same_tile, F.col("_i")).otherwise(F.lit(0)), F.col("_nb") - 1)))
         .select("_tx", "_ty", "_i", "_ux", "_uy", "_j")
     )
