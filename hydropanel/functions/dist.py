@@ -45,7 +45,7 @@ def betainc(a, b, x):
 def t_tail(t, df):
     """Two-sided p-value; NaN where df < 1."""
     t, df = np.asarray(t, float), np.asarray(df, float)
-    ok = np.isfinite(t) & (df >= 1)
+    ok = ~np.isnan(t) & (df >= 1)
     safe_t, safe_df = np.where(ok, t, 0.0), np.where(ok, df, 1.0)
     return np.where(ok, betainc(safe_df / 2, 0.5, safe_df / (safe_df + safe_t**2)), np.nan)
 
@@ -53,7 +53,7 @@ def t_tail(t, df):
 def f_tail(f, df1, df2):
     """Upper-tail p-value; NaN where a degree of freedom is below one."""
     f, df1, df2 = (np.asarray(v, float) for v in (f, df1, df2))
-    ok = np.isfinite(f) & (df1 >= 1) & (df2 >= 1)
+    ok = ~np.isnan(f) & (df1 >= 1) & (df2 >= 1)
     f, df1, df2 = np.where(ok, f, 0.0), np.where(ok, df1, 1.0), np.where(ok, df2, 1.0)
     return np.where(ok, betainc(df2 / 2, df1 / 2, df2 / (df2 + df1 * f)), np.nan)
 

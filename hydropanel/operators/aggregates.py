@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydropanel.functions.calendar import as_col
+from hydropanel.operators.joins import with_group
 from hydropanel.operators.rows import complete
 
 
@@ -102,7 +103,7 @@ def two_level_mean(df: DataFrame, site: str, region: str, col: str) -> DataFrame
     """
     per_site = df.groupBy(site, region).agg(F.sum(col).alias("_s"), F.count(col).alias("_n"))
     per_region = per_site.groupBy(region).agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("region_mean"))
-    return per_site.join(per_region, region).select(
+    return with_group(per_site, per_region, [region]).select(
         site, region, F.try_divide("_s", "_n").alias("site_mean"), "region_mean"
     )
 

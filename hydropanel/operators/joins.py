@@ -7,6 +7,9 @@ size, and otherwise the sort-merge join has its hot partitions split.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +64,13 @@ def drop_in(df: DataFrame, ids: DataFrame, key) -> DataFrame:
     return df.join(ids, key, "left_anti")
 
 
+def with_group(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
+    """One-row-per-group statistics onto the rows; rows with a NULL key are a group too."""
+    names = {k: f"_key_{k}" for k in keys}
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return df.join(stats.withColumnsRenamed(names), same).drop(*names.values())
+
+
 def name_of(df: DataFrame, key: str, mapping: dict, name: str = "cluster_name") -> DataFrame:
     """Code to name through a literal map; the mapping is a written-down table."""
     pairs = [F.lit(x) for kv in mapping.items() for x in kv]

@@ -32,6 +32,12 @@ def _pairwise(y, x) -> tuple[Column, Column]:
     return F.when(both, y), F.when(both, x)
 
 
+def _line_p(r2: Column, n: Column) -> Column:
+    """p of a one-predictor fit; zero for points exactly on a line, NULL below three points."""
+    f = F.when(r2 < 1, F.try_divide(r2 * (n - 2), 1 - r2)).when(r2 >= 1, F.lit(float("inf")))
+    return dist.f_pvalue(f, F.lit(1.0), (n - 2).cast("double"))
+
+
 def simple_fit(df: DataFrame, group, y, x) -> DataFrame:
     """Slope, intercept, R2, adjusted R2, n and p of ``y ~ x``; NULL for a constant x."""
     y, x = _pairwise(y, x)
@@ -45,9 +51,7 @@ def simple_fit(df: DataFrame, group, y, x) -> DataFrame:
     return fit.withColumns(
         {
             "adj_r2": F.when(n > 2, 1 - (1 - r2) * (n - 1) / F.when(n > 2, n - 2)),
-            "p_value": dist.f_pvalue(
-                F.try_divide(r2 * (n - 2), 1 - r2), F.lit(1.0), (n - 2).cast("double")
-            ),
+            "p_value": _line_p(r2, n),
         }
     )
 
@@ -69,7 +73,7 @@ def corr_label(df: DataFrame, group, y, x, digits: int = 2) -> DataFrame:
     stats = stats.withColumns(
         {
             "r2": r * r,
-            "p_value": dist.f_pvalue(F.try_divide(r * r * (n - 2), 1 - r * r), F.lit(1.0), (n - 2).cast("double")),
+            "p_value": _line_p(r * r, n),
         }
     )
     return stats.withColumn(
@@ -448,7 +452,7 @@ def season_grid(df: DataFrame, group, runoff_season: str, y: str, precip_cols: d
     return fits.withColumns(
         {
             "adj_r2": F.when(n > 2, 1 - (1 - r2) * (n - 1) / F.when(n > 2, n - 2)),
-            "p_value": dist.f_pvalue(F.try_divide(r2 * (n - 2), 1 - r2), F.lit(1.0), (n - 2).cast("double")),
+            "p_value": _line_p(r2, n),
         }
     ).drop("_r2")
 

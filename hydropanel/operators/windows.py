@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydropanel.functions.calendar import as_col
+from hydropanel.operators.joins import with_group
 
 
 def add_group_agg(df: DataFrame, keys, aggs: dict[str, Column], period: str | None = None) -> DataFrame:
@@ -30,7 +31,7 @@ def add_group_agg(df: DataFrame, keys, aggs: dict[str, Column], period: str | No
         w = Window.partitionBy(*keys)
         return df.withColumns({n: a.over(w) for n, a in aggs.items()})
     stats = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    return df.join(stats, keys)
+    return with_group(df, stats, keys)
 
 
 def share_of_peak(df: DataFrame, site: str, year: str, month: str, col: str) -> DataFrame:

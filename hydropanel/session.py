@@ -35,7 +35,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def _ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per application."""
+    """Give the Python workers this package, once per application.
+
+    The archive is the driver's own file; Spark's file server hands it to the executors.
+    """
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

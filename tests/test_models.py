@@ -46,6 +46,9 @@ def test_simple_fit(spark):
     got = {r.g: r for r in reg.simple_fit(df, ["g"], "y", "x").collect()}
     assert got[1].slope == 1.5 and got[1].intercept == pytest.approx(1 / 3) and got[1].r2 == pytest.approx(0.964286, abs=1e-6)
     assert got[2].slope is None
+    exact = spark.createDataFrame([(1, float(i), 2.0 * i) for i in range(4)] + [(2, float(i), 3.0 * i) for i in range(2)], "g int, x double, y double")
+    p = {r.g: r.p_value for r in reg.simple_fit(exact, ["g"], "y", "x").collect()}
+    assert p[1] == 0.0 and p[2] is None
 
 
 def test_ols_matches_least_squares(frame, data):

@@ -57,6 +57,27 @@ def test_both_plans_of_group_statistics_agree(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+@pytest.mark.parametrize("period", [None, "t"])
+def test_rows_without_a_key_are_a_group(spark, period):
+    df = spark.createDataFrame([("a", 1, 1.0), (None, 1, 2.0), (None, 2, 4.0)], "s string, t int, v double")
+    got = windows.add_group_agg(df, ["s"], {"m": F.avg("v")}, period)
+    assert got.columns == ["s", "t", "v", "m"]
+    assert {(r.s, r.v, r.m) for r in got.collect()} == {("a", 1.0, 1.0), (None, 2.0, 3.0), (None, 4.0, 3.0)}
+
+
+def test_a_hot_key_is_combined_before_the_shuffle(spark):
+    """Nine rows in ten belong to one station: the shuffle sees one partial row per task and key."""
+    df = spark.range(0, 100_000, 1, 8).select(
+        F.when(F.col("id") % 10 < 9, F.lit("hot")).otherwise((F.col("id") % 7).cast("string")).alias("s"), F.rand(1).alias("v")
+    )
+    df = sources.checkpoint_table(df)
+    plan = windows.zscore(df, ["s"], {"v": "z"})._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_stddev_samp" in plan
+    z = windows.zscore(df, ["s"], {"v": "z"}).groupBy("s").agg(F.avg("z").alias("m"), F.count("z").alias("n"))
+    got = {r.s: r for r in z.collect()}
+    assert got["hot"].n == 90_000 and got["hot"].m == pytest.approx(0, abs=1e-9)
+
+
 def test_null_propagation(spark):
     df = spark.createDataFrame([("DJF", 1.0), ("DJF", None), ("JJA", 2.0)], "s string, p double")
     assert {(r.s, r.p) for r in aggregates.group_sum(df, ["s"], ["p"]).collect()} == {("DJF", None), ("JJA", 2.0)}
