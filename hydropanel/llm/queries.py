@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydropanel.llm import secret_ledger, simhash, url_filter
+from hydropanel.llm import decontaminate, piece_lattice, quality_crf, secret_ledger, simhash, token_planes, url_filter
 from hydropanel.llm.common import table
 
+# Folder of the public tokenizer files, the same on all machines.
+TOKENIZERS = "/opt/tokenizers"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -103,3 +106,34 @@ def op5_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = simhash.groups(docs.select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query
+def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents; the documents of one fold in three are never trained on."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = quality_crf.train(docs.where(fold != 1), labels.where(fold != 1))
+    scored = quality_crf.score(docs, model)
+    return scored.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op1_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in all documents."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sampled segmentation of every document, seeded by its id, and whether it decodes to the whole text."""
+    return piece_lattice.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model").select(
+        "doc_id", F.size("ids").alias("n_pieces"), "lossless", "ids"
+    )
+
+
+@query
+def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as bit planes of token ids and read back."""
+    folder = token_planes.write(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return token_planes.read(spark, folder).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
