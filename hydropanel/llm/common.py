@@ -87,6 +87,14 @@ def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [t or b"" for t in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]
 
 
+def fresh_name(name: str, df: DataFrame) -> str:
+    """``name``, or a longer one that no column of ``df`` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def tasks_for(df: DataFrame) -> int:
     """Partitions for a shuffle whose rows are then held by Python workers."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -102,3 +110,15 @@ def mix(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return x
+
+
+def pieces(sizes: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of a batch's rows with about ``most`` characters each, so that long texts are not all held at once."""
+    lo, total = 0, 0
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= most:
+            yield lo, i + 1
+            lo, total = i + 1, 0
+    if lo < len(sizes):
+        yield lo, len(sizes)

@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydropanel.llm import decontaminate, piece_lattice, quality_crf, secret_ledger, simhash, token_planes, url_filter
+from hydropanel.llm import (
+    decontaminate,
+    language_profiles,
+    order_minhash,
+    piece_lattice,
+    pii_surrogates,
+    quality_crf,
+    secret_ledger,
+    simhash,
+    token_planes,
+    url_filter,
+)
 from hydropanel.llm.common import table
 
 # Folder of the public tokenizer files, the same on all machines.
 TOKENIZERS = "/opt/tokenizers"
 
+# Key of the surrogates. In production it comes from the site's secret store.
+PII_KEY = "query-key"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -137,3 +151,25 @@ def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as bit planes of token ids and read back."""
     folder = token_planes.write(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
     return token_planes.read(spark, folder).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op8_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents; one fold in five is never learned from."""
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    profiles = language_profiles.learn(docs.where(fold != 0))
+    found = language_profiles.identify(docs, profiles)
+    return found.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return order_minhash.compare_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced."""
+    return pii_surrogates.replace(table(spark, sf_dir, "documents"), PII_KEY)

@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydropanel.llm.common import raw_texts, rowwise, staged, start, tasks_for
+from hydropanel.llm.common import fresh_name, raw_texts, rowwise, staged, start, tasks_for
 
 BITS = 64
 TILE = 2048
@@ -201,6 +201,24 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     return printed.join(comp, "fp").select(F.col(f"`{key}`"), "fp", "component")
 
 
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, tile: int = TILE) -> DataFrame:
+    """One document of each group, with all its columns: the one with the smallest key, then text; a null key comes last."""
+    start(docs.sparkSession)
+    fp, comp = fresh_name("fp", docs), fresh_name("component", docs)
+
+    def run(batch) -> dict:
+        return {fp: np.array([fingerprint(t, shingle) for t in raw_texts(batch, text)], dtype=np.uint64).view(np.int64)}
+
+    printed = staged(rowwise(docs, [text], run, f"`{fp}` long", keep=docs.columns), "simhash-docs")
+    nodes = staged(printed.select(F.col(f"`{fp}`").alias("fp")).distinct().withColumn("rep", F.col("fp")), "simhash-nodes")
+    found = components(nodes, edges(nodes.select("fp"), radius, tile)).withColumnsRenamed({"fp": fp, "component": comp})
+    # Fingerprints without a link are groups of their own. The window keeps one row of a group already before the shuffle.
+    joined = printed.join(found, fp, "left").withColumn(comp, F.coalesce(F.col(f"`{comp}`"), F.col(f"`{fp}`")))
+    nr = fresh_name("nr", docs)
+    first = Window.partitionBy(F.col(f"`{comp}`")).orderBy(F.col(f"`{key}`").asc_nulls_last(), F.col(f"`{text}`").asc_nulls_first())
+    return joined.withColumn(nr, F.row_number().over(first)).where(F.col(nr) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def brute_force(fps: list[int], radius: int) -> list[int]:
     """Component (smallest index) of each fingerprint, by comparing all pairs; for tests."""
     a = np.array(fps, dtype=np.uint64)
