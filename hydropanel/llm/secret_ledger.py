@@ -164,8 +164,8 @@ def joined(found: Column) -> Column:
 def without_secrets(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path: str = "path", content: str = "content") -> DataFrame:
     """The rows of ``docs`` whose content holds no secret, unchanged; the ledger is brought up to date."""
     scan(docs, ledger, rules, path, content)
-    bad = by_blob(docs.sparkSession, ledger, rules).select(F.col("blob").alias("bad"))
-    return docs.join(bad, F.sha2(F.coalesce(docs[f"`{content}`"], F.lit("")), 256) == F.col("bad"), "left_anti")
+    bad = by_blob(docs.sparkSession, ledger, rules).select("blob")
+    return docs.join(bad, F.sha2(F.coalesce(docs[f"`{content}`"], F.lit("")), 256) == bad["blob"], "left_anti")
 
 
 def of_kind(found: Column, *kinds: str) -> Column:
