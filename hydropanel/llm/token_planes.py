@@ -34,7 +34,7 @@ from hydropanel.llm.common import raw_texts, start, tasks_for
 BLOCK = 1 << 16
 CHUNK = 1 << 18
 LEVEL = 3
-_KEEP_PARTS = 900_000
+_KEEP_PARTS = 400_000
 
 # Below U+0250 all characters are in composed form and lower-casing works character by character.
 _LATIN = [chr(c) for c in range(33, 0x250) if not chr(c).isspace() and c != 127 and not 0x80 <= c < 0xA0]
@@ -42,13 +42,23 @@ _LETTERS = re.escape("".join(c for c in _LATIN if c.isalpha()))
 _NUMBERS = "".join(c for c in _LATIN if c.isnumeric())
 _VISIBLE = re.compile(f"[{re.escape(''.join(_LATIN))}]*")
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
-# A stop or comma between a letter and white space is a part of its own.
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?= )")
 # The merge model reads bytes as visible characters: itself where there is one, else the next from U+0100 on.
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _SELF} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SELF)}
 
 
+class _Numbers(dict):
+    """Numbers of parts in the order they were first asked for."""
+
+    def __init__(self, add) -> None:
+        self.add = add
+
+    def __missing__(self, part: bytes) -> int:
+        self.add(part)
+        number = self[part] = len(self)
+        return number
+
+
 class WordCodes:
     """Ids of the parts of texts under a word-level merge tokenizer, with a bounded memory of parts."""
 
@@ -60,12 +70,11 @@ class WordCodes:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = _Numbers(self._part)
         self.ids, self.stops = array("I"), array("q", [0])
         self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _part(self, part: bytes) -> None:
-        self.number[part] = len(self.stops) - 1
         if part.isalpha():  # plain letters
             self.ids.extend([t.id for t in self.model.tokenize(part.decode().lower())])
         elif _VISIBLE.fullmatch(text := part.decode()) and "<|" not in text:
@@ -81,9 +90,7 @@ class WordCodes:
         # Lower-casing plain letters first is what the tokenizer does anyway, except next to combining marks (which
         # compose before they are lowered) and inside the strings of special tokens.
         low = text.lower() if b"<|" not in text and not _MARKS.search(text) else text
-        parts = _STOP.sub(rb" \1", low.replace(b"\n", b" ")).split(b" ")
-        for p in set(parts).difference(self.number):
-            self._part(p)
+        parts = low.replace(b"\n", b" ").split(b" ")
         return np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
 
     def documents(self, texts: list[bytes], end: int) -> list[np.ndarray]:
