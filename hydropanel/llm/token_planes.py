@@ -17,7 +17,6 @@ come first. An empty table gives empty files.
 from __future__ import annotations
 
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,8 @@ from hydropanel.llm.common import raw_texts, start, tasks_for
 BLOCK = 1 << 16
 CHUNK = 1 << 18
 LEVEL = 3
-_KEEP_PARTS = 400_000
+_KEEP_PARTS = 300_000
+_SHORT = 6
 
 # Below U+0250 all characters are in composed form and lower-casing works character by character.
 _LATIN = [chr(c) for c in range(33, 0x250) if not chr(c).isspace() and c != 127 and not 0x80 <= c < 0xA0]
@@ -48,13 +48,13 @@ _BYTES = {b: b for b in _SELF} | {b: 256 + n for n, b in enumerate(b for b in ra
 
 
 class _Numbers(dict):
-    """Numbers of parts in the order they were first asked for."""
+    """Numbers of parts in the order they were first asked for; ``fresh`` lists those not coded yet."""
 
-    def __init__(self, add) -> None:
-        self.add = add
+    def __init__(self) -> None:
+        self.fresh: list[bytes] = []
 
     def __missing__(self, part: bytes) -> int:
-        self.add(part)
+        self.fresh.append(part)
         number = self[part] = len(self)
         return number
 
@@ -63,51 +63,87 @@ class WordCodes:
     """Ids of the parts of texts under a word-level merge tokenizer, with a bounded memory of parts."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.forget()
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        # The same merges for words that are cut and lowered already; a word's last id is one of ``ends``.
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.number, self.flat, self.bounds = _Numbers(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def forget(self) -> None:
-        self.number = _Numbers(self._part)
-        self.ids, self.stops = array("I"), array("q", [0])
-        self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _part(self, part: bytes) -> None:
-        if part.isalpha():  # plain letters
-            self.ids.extend([t.id for t in self.model.tokenize(part.decode().lower())])
-        elif _VISIBLE.fullmatch(text := part.decode()) and "<|" not in text:
-            for piece in _PIECES.findall(text.lower()):
-                piece = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
-                self.ids.extend([t.id for t in self.model.tokenize(piece)])
-        else:
-            self.ids.extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        self.stops.append(len(self.ids))
+        """Start over with the short parts, which come again most."""
+        kept = [(p, n) for p, n in self.number.items() if len(p) <= _SHORT][: _KEEP_PARTS // 2]
+        old = np.array([n for _, n in kept], np.int64)
+        size = self.bounds[old + 1] - self.bounds[old]
+        self.flat, self.bounds = self._gather(old), np.concatenate([[0], np.cumsum(size)])
+        self.number = _Numbers()
+        self.number.update((p, k) for k, (p, _) in enumerate(kept))
+
+    def _gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of these parts, one after the other."""
+        size = self.bounds[numbers + 1] - self.bounds[numbers]
+        stop = np.cumsum(size)
+        return self.flat[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(self.bounds[numbers] - (stop - size), size)]
+
+    def _learn(self) -> None:
+        """Code the fresh parts together."""
+        pieces: list[bytes] = []
+        counts: list[int] = []
+        other: dict[int, list[int]] = {}
+        for part in self.number.fresh:
+            if part.isalpha():  # plain letters
+                pieces.append(part)
+                counts.append(1)
+            elif part[:-1].isalpha() and part[-1:] in _STOPS:
+                pieces += (part[:-1], part[-1:])
+                counts.append(2)
+            elif _VISIBLE.fullmatch(text := part.decode()) and "<|" not in text:
+                found = _PIECES.findall(text.lower())
+                pieces += [p.encode() if p.isascii() else p.encode().decode("latin-1").translate(_BYTES).encode() for p in found]
+                counts.append(len(found))
+            else:
+                other[len(counts)] = self.whole.encode(text, add_special_tokens=False).ids
+                counts.append(0)
+        ids = np.array(self.merges.encode_batch_fast([b" ".join(pieces).lower().decode()], add_special_tokens=False)[0].ids, np.uint32)
+        piece_stop = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+        stop = piece_stop[np.cumsum(counts)]
+        if other:
+            at = np.array(list(other))
+            ids = np.insert(ids, np.repeat(stop[at], [len(x) for x in other.values()]), [i for x in other.values() for i in x]).astype(np.uint32)
+            more = np.zeros(len(counts), np.int64)
+            more[at] = [len(x) for x in other.values()]
+            stop = stop + np.cumsum(more)
+        self.bounds = np.concatenate([self.bounds, len(self.flat) + stop])
+        self.flat = np.concatenate([self.flat, ids])
+        self.number.fresh.clear()
 
     def encode(self, text: bytes) -> np.ndarray:
         """Numbers of a text's parts."""
         # Lower-casing plain letters first is what the tokenizer does anyway, except next to combining marks (which
         # compose before they are lowered) and inside the strings of special tokens.
         low = text.lower() if b"<|" not in text and not _MARKS.search(text) else text
-        parts = low.replace(b"\n", b" ").split(b" ")
+        low = low.replace(b"\n", b" ")
+        if not _ODD_STOP.search(low):  # stops and commas after letters are parts of their own
+            low = low.replace(b". ", b" . ").replace(b", ", b" , ")
+        parts = low.split(b" ")
         return np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
 
     def documents(self, texts: list[bytes], end: int) -> list[np.ndarray]:
         if len(self.number) > _KEEP_PARTS:
             self.forget()
         numbers = [self.encode(t) for t in texts]
-        if len(self.stops) > len(self.bounds):
-            self.flat, self.bounds = np.array(self.ids, np.uint32), np.array(self.stops, np.int64)
-        out = []
-        for n in numbers:
-            size = self.bounds[n + 1] - self.bounds[n]
-            stop = np.cumsum(size)
-            at = np.arange(int(stop[-1])) + np.repeat(self.bounds[n] - (stop - size), size)
-            out.append(np.append(self.flat[at], np.uint32(end)))
-        return out
+        if self.number.fresh:
+            self._learn()
+        return [np.append(self._gather(n), np.uint32(end)) for n in numbers]
 
 
+_STOPS = (b".", b",")
+_ODD_STOP = re.compile(rb"[^a-z][.,] ")
 # UTF-8 of characters from U+0300 on start with these bytes; combining marks are among them.
 _MARKS = re.compile(rb"[\xcc-\xf4]")
 
@@ -115,17 +151,17 @@ _MARKS = re.compile(rb"[\xcc-\xf4]")
 def shuffle_bits(ids: np.ndarray) -> list[bytes]:
     """Bit planes of a block, lowest first, up to the highest bit in use; each compressed."""
     top = max(1, int(ids.max()).bit_length()) if len(ids) else 0
+    octets = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
     squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
-    return [squeeze(np.packbits((ids >> np.uint32(k)).astype(np.uint8) & 1).tobytes()) for k in range(top)]
+    return [squeeze(np.packbits(octets[k >> 3] & np.uint8(1 << (k & 7)))) for k in range(top)]
 
 
 def unshuffle_bits(planes: list[bytes], count: int) -> np.ndarray:
-    out = np.zeros(count, np.uint32)
+    octets = np.zeros((4, count), np.uint8)
     open_ = zstandard.ZstdDecompressor().decompress
     for k, plane in enumerate(planes):
-        bits = np.unpackbits(np.frombuffer(open_(plane), np.uint8), count=count)
-        out |= bits.astype(np.uint32) << np.uint32(k)
-    return out
+        octets[k >> 3] |= np.unpackbits(np.frombuffer(open_(plane), np.uint8), count=count) << np.uint8(k & 7)
+    return np.ascontiguousarray(octets.T).view("<u4").ravel()
 
 
 _CHUNK_ROW = "shard int, chunk int, first_in_shard long, n_ids long, keys array<long>, sizes array<long>, blocks array<array<binary>>"
