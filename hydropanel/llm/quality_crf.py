@@ -185,10 +185,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Fit on a bounded sample of the labelled documents."""
     start(docs.sparkSession)
     marked = labels.where(F.col(f"`{key}`").isNotNull() & F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("key")).agg(F.min(F.col(f"`{label}`")).alias("y"))
-    known = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(marked, "key")
+    known = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     few = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)) < TRAIN_LINES
-    ids = known.where(few).select("key", "y").distinct().orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(limit)
-    sample = known.join(F.broadcast(ids.select("key")), "key")  # at most ``limit`` ids
+    # Ids are chosen without the texts; only the texts of the sample are then picked out of a second scan.
+    ids = known.where(few).select("key").join(marked, "key").distinct().orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(limit)
+    sample = known.where(few).join(F.broadcast(ids), "key")  # at most ``limit`` ids
 
     def run(batch) -> dict:
         raw = raw_texts(batch, "text")
