@@ -33,7 +33,7 @@ from hydropanel.llm.common import raw_texts, start, tasks_for
 BLOCK = 1 << 16
 CHUNK = 1 << 18
 LEVEL = 3
-_KEEP_PARTS = 300_000
+_KEEP_PARTS = 150_000
 _SHORT = 6
 
 # Below U+0250 all characters are in composed form and lower-casing works character by character.
@@ -65,16 +65,23 @@ class WordCodes:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
+        self.path, self._whole = path, None
         # The same merges for words that are cut and lowered already; a word's last id is one of ``ends``.
         self.merges = Tokenizer.from_file(path)
         self.merges.normalizer = normalizers.Sequence([])
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        vocabulary = self.whole.get_vocab()
+        vocabulary = self.merges.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.number, self.flat, self.bounds = _Numbers(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def whole(self):
+        """The tokenizer with all its steps, loaded when the first part needs it."""
+        from tokenizers import Tokenizer
+
+        self._whole = self._whole or Tokenizer.from_file(self.path)
+        return self._whole
+
     def forget(self) -> None:
         """Start over with the short parts, which come again most."""
         kept = [(p, n) for p, n in self.number.items() if len(p) <= _SHORT][: _KEEP_PARTS // 2]
@@ -107,7 +114,7 @@ class WordCodes:
                 pieces += [p.encode() if p.isascii() else p.encode().decode("latin-1").translate(_BYTES).encode() for p in found]
                 counts.append(len(found))
             else:
-                other[len(counts)] = self.whole.encode(text, add_special_tokens=False).ids
+                other[len(counts)] = self.whole().encode(text, add_special_tokens=False).ids
                 counts.append(0)
         ids = np.array(self.merges.encode_batch_fast([b" ".join(pieces).lower().decode()], add_special_tokens=False)[0].ids, np.uint32)
         piece_stop = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
