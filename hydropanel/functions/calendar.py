@@ -16,9 +16,6 @@ SEASON_MONTHS = {
 # Position of a season in the water year.
 SEASON_ORDER = {"SON": 1, "DJF": 2, "MAM": 3, "JJA": 4}
 
-# Days of each month, February always 28.
-MONTH_DAYS = {1: 31, 2: 28, 3: 31, 4: 30, 5: 31, 6: 30, 7: 31, 8: 31, 9: 30, 10: 31, 11: 30, 12: 31}
-
 
 def as_col(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)

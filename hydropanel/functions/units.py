@@ -21,7 +21,6 @@ UNIT = {
 # Seconds in the accounting periods.
 SECONDS_YEAR = 31_536_000.0
 SECONDS_MONTH = 2_628_002.88
-SECONDS_SEASON = 86_400.0 * 90
 
 
 def convert(value, unit_from: str, unit_to: str) -> Column:

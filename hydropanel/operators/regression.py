@@ -231,11 +231,6 @@ def ols(df: DataFrame, group, y: str, xs, interactions=()) -> DataFrame:
     return _long(_modelled(df, group, y, xs, lambda fit: fit(list(range(1, len(xs) + 1)))), group)
 
 
-def ols_wide(df: DataFrame, group, y: str, xs) -> DataFrame:
-    xs = list(xs)
-    return _wide(_modelled(df, group, y, xs, lambda fit: fit(list(range(1, len(xs) + 1)))), group, xs)
-
-
 def vif(df: DataFrame, group, y: str, xs) -> DataFrame:
     """Variance inflation factor per predictor, keyed by name."""
     return ols(df, group, y, xs).filter(F.col("vif").isNotNull()).select(*group, "term", "vif")

@@ -53,7 +53,7 @@ def sp_water_year_mean(p):
 
 _SEASON_TOTAL = f"""SELECT site_number, season, CASE WHEN season = 'SON' THEN cal_year ELSE year END AS season_year,
   sum(precip_m * ({oracle.DAYS}) * CAST(0.001 AS DOUBLE)) AS total FROM panel_month GROUP BY 1, 2, 3"""
-_YEARS = range(1996, 2001)
+_YEARS = range(1995, 2003)
 _SEASON_COLS = [f"{s}_{y}" for s in ("DJF", "MAM", "JJA", "SON") for y in _YEARS]
 
 
@@ -126,32 +126,75 @@ def sp_variogram(p):
     return vg.select("bin", "np", (F.col("dist") / 1000).alias("km"), "gamma")
 
 
-_FIT = _VARIOGRAM | {
-    "lattice": """SELECT kind, cutoff * k / 100 AS range, np / (dist * dist) AS w, gamma AS g,
-      CASE kind WHEN 'Exp' THEN 1 - exp(-dist / (cutoff * k / 100))
-        ELSE 1.5 * least(dist / (cutoff * k / 100), 1) - 0.5 * least(dist / (cutoff * k / 100), 1) ** 3 END AS f
-      FROM vario, (SELECT unnest(range(1, 101)) AS k), (SELECT unnest(['Exp', 'Sph']) AS kind)""",
-    "solved": """SELECT *, (S * PG - P * G) / nullif(S * PP - P * P, 0) AS b, (G - (S * PG - P * G) / nullif(S * PP - P * P, 0) * P) / S AS a FROM (
-      SELECT kind, range, sum(w) AS S, sum(w * f) AS P, sum(w * f * f) AS PP, sum(w * g) AS G, sum(w * f * g) AS PG, sum(w * g * g) AS GG
-      FROM lattice GROUP BY 1, 2)""",
-    "scored": """SELECT kind, range, nugget, psill, GG - 2 * nugget * G - 2 * psill * PG + nugget * nugget * S + 2 * nugget * psill * P + psill * psill * PP AS sse, GG
-      FROM (SELECT *, CASE WHEN b < 0 THEN 0 WHEN a < 0 THEN PG / PP ELSE b END AS psill,
-        CASE WHEN b < 0 THEN G / S WHEN a < 0 THEN 0 ELSE a END AS nugget FROM solved WHERE b IS NOT NULL)""",
-}
+# Values with a spatial pattern, so that the fit has a range to find.
+_PATTERN = "sin(x / 400000) + cos(y / 400000)"
+
+
+def _fit_round(name: str, ranges: str) -> dict[str, str]:
+    """One round of the fit in SQL: the error of every range tried, and the best of each model."""
+    return {
+        f"{name}_f": f"""SELECT kind, range, np / (dist * dist) AS w, gamma AS g, CASE kind WHEN 'Exp' THEN 1 - exp(-dist / range)
+          ELSE 1.5 * least(dist / range, 1) - 0.5 * least(dist / range, 1) ** 3 END AS f FROM svario, ({ranges})""",
+        f"{name}_s": f"""SELECT kind, range, sum(w) AS S, sum(w * f) AS P, sum(w * f * f) AS PP, sum(w * g) AS G, sum(w * f * g) AS PG, sum(w * g * g) AS GG
+          FROM {name}_f GROUP BY 1, 2""",
+        f"{name}_c": f"""SELECT *, (S * PG - P * G) / (S * PP - P * P) AS b, (G - (S * PG - P * G) / (S * PP - P * P) * P) / S AS a
+          FROM {name}_s WHERE S * PP - P * P > CAST(1e-12 AS DOUBLE) * S * PP""",
+        f"{name}_e": f"""SELECT kind, range, nugget, psill, round((GG - 2 * nugget * G - 2 * psill * PG + nugget * nugget * S + 2 * nugget * psill * P + psill * psill * PP) / GG, 9) AS e
+          FROM (SELECT *, CASE WHEN b < 0 THEN 0 WHEN a < 0 THEN PG / PP ELSE b END AS psill, CASE WHEN b < 0 THEN G / S WHEN a < 0 THEN 0 ELSE a END AS nugget FROM {name}_c)""",
+    }
+
+
+_BEST = "SELECT kind, max(cutoff) AS cutoff, min_by(range, (e, range)) AS best FROM {0}_e, (SELECT max(cutoff) AS cutoff FROM svario) GROUP BY kind"
+_FIT = (
+    {
+        "spoints": f"SELECT point_id, x, y, {_PATTERN} AS value FROM points",
+        "sreach": "SELECT sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2) / 3 AS cutoff, var_samp(value) AS v FROM spoints",
+        "sbinned": """SELECT CAST(ceil(d / (cutoff / 15)) AS INTEGER) AS bin, d, dz, cutoff, v FROM (
+          SELECT sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, a.value - b.value AS dz, cutoff, v
+          FROM spoints a JOIN spoints b ON a.point_id < b.point_id, sreach) WHERE d > 0 AND d <= cutoff""",
+        "svario": "SELECT bin, count(*) AS np, avg(d) AS dist, sum(dz * dz) / (2 * count(*)) / max(v) AS gamma, max(cutoff) AS cutoff FROM sbinned GROUP BY bin",
+    }
+    | _fit_round(
+        "r0",
+        """SELECT kind, (SELECT max(cutoff) FROM svario) * 10.0 ** (k / 20.0::DOUBLE) AS range
+          FROM (SELECT unnest(range(-60, 61)) AS k), (SELECT unnest(['Exp', 'Sph']) AS kind)""",
+    )
+    | {
+        k: v
+        for n in (1, 2, 3)
+        for k, v in _fit_round(
+            f"r{n}", f"SELECT kind, best * 10.0 ** (k / 20.0::DOUBLE / {10**n}) AS range FROM ({_BEST.format(f'r{n - 1}')}), (SELECT unnest(range(-10, 11)) AS k)"
+        ).items()
+    }
+)
 
 
 @query(
     "sp_variogram_fit",
-    "SELECT kind, range / 1000 AS range_km, nugget, psill FROM scored ORDER BY round(sse / GG, 9), kind, range LIMIT 1",
+    "SELECT kind, range / 1000 AS range_km, nugget, psill FROM r3_e ORDER BY e, kind, range LIMIT 1",
     "range_km nugget psill",
     _FIT,
     digits=4,
 )
 def sp_variogram_fit(p):
-    fit = spatial.fit_variogram(spatial.variogram(p.points, "x", "y", "value"))
+    points = p.points.withColumn("value", F.expr(_PATTERN))
+    fit = spatial.fit_variogram(spatial.variogram(points, "x", "y", "value"))
     return fit.select("kind", (F.col("range") / 1000).alias("range_km"), "nugget", "psill")
 
 
+@query(
+    "sp_krige_nugget",
+    """SELECT ix, iy, avg(value) AS prediction, 0.5::DOUBLE * (1 + 1 / nullif(count(value), 0)) AS variance
+      FROM grid_cells g LEFT JOIN points p ON (g.x - p.x) ** 2 + (g.y - p.y) ** 2 <= 300000.0 ** 2 GROUP BY ix, iy""",
+    "prediction variance",
+    _GRID,
+)
+def sp_krige_nugget(p):
+    """Kriging without spatial dependence has a closed form: the mean of the stations in reach."""
+    model = p.points.select(F.lit("Exp").alias("kind"), F.lit(1000.0).alias("range"), F.lit(0.5).alias("nugget"), F.lit(0.0).alias("psill")).limit(1)
+    return spatial.krige(p.points, spatial.square_grid(p.points, "x", "y", SIZE), model, "x", "y", "value")
+
+
 @query("sp_krige")
 def sp_krige(p):
     """A dense solve per grid cell: not for SQL, tested against brute force."""

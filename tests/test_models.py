@@ -216,12 +216,28 @@ def test_kriging_against_brute_force(spark, kind, nugget, task_cells):
     assert got.prediction[0] == pytest.approx(pts.z[0]) and got.variance[0] == pytest.approx(0, abs=1e-9)
 
 
-def test_kriging_refuses_what_it_cannot_hold(spark):
-    pts = spark.range(50).select((F.col("id") / 50).alias("x"), F.lit(0.0).alias("y"), F.rand(1).alias("z"))
-    cells = spark.createDataFrame([(0, 0, 0.5, 0.0)], "ix long, iy long, x double, y double")
-    model = spark.createDataFrame([("Exp", 1.0, 0.0, 1.0)], "kind string, range double, nugget double, psill double")
-    with pytest.raises(Exception, match="lower maxdist"):
-        spatial.krige(pts, cells, model, "x", "y", "z", maxdist=3.0, max_near=10).collect()
+def test_kriging_without_variance_is_the_mean(spark):
+    pts = spark.createDataFrame([(0.0, 0.0, 1.0), (1.0, 0.0, 2.0), (0.0, 1.0, 6.0)], "x double, y double, z double")
+    cells = spark.createDataFrame([(0, 0, 0.5, 0.5)], "ix long, iy long, x double, y double")
+    model = spark.createDataFrame([("Exp", 1.0, 0.0, 0.0)], "kind string, range double, nugget double, psill double")
+    got = spatial.krige(pts, cells, model, "x", "y", "z", maxdist=3.0).first()
+    assert got.prediction == pytest.approx(3.0) and got.variance == pytest.approx(0.0)
+
+
+@pytest.mark.parametrize("reach", [400.0, 40_000.0, 300_000.0])
+def test_fit_finds_ranges_below_and_above_the_cutoff(spark, reach):
+    rows = [(k, 1000 * k, 1000.0 * k - 500, 0.2 + 0.8 * (1 - np.exp(-(1000.0 * k - 500) / reach)), 15_000.0) for k in range(1, 16)]
+    vg = spark.createDataFrame([(a, b, c, float(d), e) for a, b, c, d, e in rows], "bin int, np long, dist double, gamma double, cutoff double")
+    got = spatial.fit_variogram(vg).first()
+    assert got.kind == "Exp" and got.range == pytest.approx(reach, rel=0.01) and got.psill == pytest.approx(0.8, rel=0.01)
+
+
+def test_zonal_mean_keeps_polygons_without_a_cell(spark):
+    ring = lambda x: [(x, 0.0), (x + 0.1, 0.0), (x + 0.1, 0.1), (x, 0.1)]
+    polys = spark.createDataFrame([("a", ring(0.0)), ("b", ring(5.0))], "identifier string, ring array<struct<lon:double,lat:double>>")
+    cells = spark.createDataFrame([(1, 0.05, 0.05, "t", 3.0)], "cell_id long, lon double, lat double, time string, value double")
+    got = {r.identifier: (r.time, r["mean"], r.n_cells) for r in spatial.zonal_mean(cells, polys).collect()}
+    assert got == {"a": ("t", 3.0, 1), "b": (None, None, 0)}
 
 
 def test_pairs_within(cloud):
