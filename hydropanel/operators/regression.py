@@ -96,8 +96,29 @@ _MODEL = (
 )
 
 
+def _independent(cov, xs: list[int]) -> list[int]:
+    """The predictors that are no linear combination of those before them."""
+    use, rest = [], np.array(cov, float)
+    for x in xs:
+        if rest[x, x] > 1e-12 * cov[x, x]:
+            use.append(x)
+            rest = rest - np.outer(rest[:, x], rest[x]) / rest[x, x]
+    return use
+
+
 def _fit(n: int, mean, cov, y: int, xs: list[int], names: list[str]) -> dict | None:
-    """Least squares from sufficient statistics; None when it has no unique solution."""
+    """Least squares from sufficient statistics. Predictors that depend on earlier ones are left
+    out of the fit and have NULLs; None when there are too few rows or nothing varies."""
+    use = _independent(cov, xs)
+    if len(use) < len(xs):
+        model = _fit(n, mean, cov, y, use, names)
+        if model is None:
+            return None
+        at = {t: i for i, t in enumerate(model["terms"])}
+        terms = ["intercept"] + [names[i] for i in xs]
+        for c in ("estimate", "std_error", "t_value", "p_value", "vif"):
+            model[c] = [model[c][at[t]] if t in at else None for t in terms]
+        return model | {"terms": terms}
     k = len(xs)
     df = n - k - 1
     sst = (n - 1) * cov[y, y]
@@ -152,6 +173,9 @@ def _eliminate(fit, k: int, alpha: float, max_drop: int):
     """Drop the weakest predictor while its p exceeds alpha; keeps the last model."""
     xs = list(range(1, k + 1))
     model = fit(xs)
+    if model is not None:  # a predictor without an estimate cannot stay
+        xs = [x for x, e in zip(xs, model["estimate"][1:], strict=True) if e is not None]
+        model = fit(xs)
     for _ in range(max_drop):
         if model is None or len(xs) < 2:
             break
@@ -189,15 +213,16 @@ def _modelled(df: DataFrame, group, y: str, xs, choose) -> DataFrame:
         for count, m, c in zip(n, mean, cov, strict=True):
             m, c = np.asarray(m, float), np.asarray(c, float).reshape(len(names), len(names))
             ok = count > 1 and np.isfinite(c).all()
-            model = (choose(lambda s: _fit(int(count), m, c, 0, s, names)) if ok else None) or {}
-            rows.append({f: model.get(f) for f in fields})  # a missing model is a row of NULLs
+            model = choose(lambda s: _fit(int(count), m, c, 0, s, names)) if ok else None
+            # a group that has no model keeps its number of rows and NULLs for all terms
+            empty = {"terms": ["intercept", *xs], "n": int(count)} | {f: [None] * len(names) for f in fields[1:6]}
+            model = empty if model is None else model
+            rows.append({f: model.get(f) for f in fields})
         return pd.DataFrame(rows, columns=fields, dtype=object)
 
-    solve = solve.asNondeterministic()  # so that it runs once, not once more inside the filter below
+    solve = solve.asNondeterministic()  # so that it runs once for all its columns
     stats = gram(df, group, names)
-    return stats.select(*group, solve("n", "mean", "cov").alias("m")).select(*group, "m.*").filter(
-        F.col("terms").isNotNull()
-    )
+    return stats.select(*group, solve("n", "mean", "cov").alias("m")).select(*group, "m.*")
 
 
 def _long(models: DataFrame, group) -> DataFrame:
@@ -291,7 +316,7 @@ def partial_models(df: DataFrame, group, y: str, families: dict[str, list[str]],
     solve = solve.asNondeterministic()  # runs once for all its columns
     # at most one entry per candidate predictor, so the list is bounded
     kept = retained.groupBy(*group).agg(F.collect_set("term").alias("_kept"))
-    stats = gram(df, group, names).join(kept, group)
+    stats = gram(df, group, names).join(kept, group, "left").withColumn("_kept", F.coalesce("_kept", F.array().cast("array<string>")))
     out = stats.select(*group, solve("n", "mean", "cov", "_kept").alias("m")).select(*group, "m.*")
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in fields})
 

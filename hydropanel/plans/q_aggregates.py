@@ -45,11 +45,11 @@ def agg_minmax(p):
     """SELECT site_number, max(gap) AS max_gap, min(t) AS first_year, max(t) AS last_year FROM (
       SELECT site_number, t, t - lag(t) OVER (PARTITION BY site_number ORDER BY t) AS gap
       FROM (SELECT DISTINCT site_number, t FROM panel_month)) GROUP BY site_number
-      HAVING max(gap) <= 2 AND min(t) <= 23941 AND max(t) >= 24020""",
+      HAVING max(gap) <= 2 AND min(t) <= 23941 AND max(t) >= 24023""",
 )
 def agg_record_span(p):
     """Months instead of years: the driver tables span seven years only."""
-    return aggregates.record_span(p.panel_month, year="t", max_gap=2, first_by=23941, last_from=24020)
+    return aggregates.record_span(p.panel_month, year="t", max_gap=2, first_by=23941, last_from=24023)
 
 
 @query(

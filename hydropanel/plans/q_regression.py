@@ -161,14 +161,13 @@ def reg_step_aic(p):
 
 # ------------------------------------------------------------------ attribution
 
-_MASK = " + ".join(f"CASE WHEN {x}_pvalue <= 0.15::DOUBLE THEN {1 << i} ELSE 0 END" for i, x in enumerate(XS))
-_PARTS = _SUBSETS | {
-    "retained": f"SELECT cluster, {_MASK} AS rmask FROM fits WHERE mask = 15",
+_PARTS = _BACK | {
+    "retained": "SELECT cluster, mask AS rmask FROM chosen",
     "factors": """SELECT r.cluster, CASE WHEN r.rmask & 3 > 0 THEN a.intercept END AS precip_intercept,
       CASE WHEN r.rmask & 12 > 0 THEN b.intercept END AS temp_intercept,
       a.z_precip_coeff AS z_precip, a.z_off_precip_coeff AS z_off_precip, b.z_temp_coeff AS z_temp, b.z_off_temp_coeff AS z_off_temp
       FROM retained r JOIN fits a ON a.cluster = r.cluster AND a.mask = r.rmask & 3
-      JOIN fits b ON b.cluster = r.cluster AND b.mask = r.rmask & 12 WHERE r.rmask > 0""",
+      JOIN fits b ON b.cluster = r.cluster AND b.mask = r.rmask & 12""",
     "predicted": """SELECT m.cluster, m.t,
       coalesce(precip_intercept, 0) + m.z_precip * coalesce(f.z_precip, 0) + m.z_off_precip * coalesce(f.z_off_precip, 0) AS precip_model,
       coalesce(temp_intercept, 0) + m.z_temp * coalesce(f.z_temp, 0) + m.z_off_temp * coalesce(f.z_off_temp, 0) AS temp_model
@@ -179,8 +178,10 @@ _PARTS = _SUBSETS | {
 
 def _factors(p):
     months = p.stage("region_month")
-    kept = reg.ols(months, ["cluster"], Y, XS).filter((F.col("term") != "intercept") & (F.col("p_value") <= 0.15))
-    return reg.partial_models(months, ["cluster"], Y, FAMILIES, kept.select("cluster", "term"))
+    left = reg.backward(months, ["cluster"], Y, XS)
+    terms = F.array(*[F.when(F.col(f"{x}_coeff").isNotNull(), F.lit(x)) for x in XS])
+    kept = left.select("cluster", F.explode(F.array_compact(terms)).alias("term"))
+    return reg.partial_models(months, ["cluster"], Y, FAMILIES, kept)
 
 
 def _modelled(p):

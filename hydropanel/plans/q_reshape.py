@@ -90,13 +90,13 @@ def rsh_long_month(p):
     return reshape.to_long_month(wide, ["site_number", "cal_year"], [f"Pcpt{n}" for n in names], r"Pcpt(\d+)")
 
 
-_HEADERS = [f"X{y}.{m:02d}.01" for y in range(1996, 1998) for m in _MONTHS]
+_HEADERS = [f"X{y}.{m:02d}.01" for y in range(1995, 2003) for m in _MONTHS]
 
 
 @query(
     "rsh_long_month_date",
     """SELECT g.site_number, g.cal_year, g.month, temp_k AS value FROM (SELECT site_number, CAST(a AS INTEGER) AS cal_year, CAST(b AS INTEGER) AS month
-      FROM site, range(1996, 1998) x(a), range(1, 13) y(b)) g
+      FROM site, range(1995, 2003) x(a), range(1, 13) y(b)) g
       LEFT JOIN panel_month p ON g.site_number = p.site_number AND g.cal_year = p.cal_year AND g.month = p.month""",
     "value",
 )

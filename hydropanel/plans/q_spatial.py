@@ -139,7 +139,7 @@ def _fit_round(name: str, ranges: str) -> dict[str, str]:
           FROM {name}_f GROUP BY 1, 2""",
         f"{name}_c": f"""SELECT *, (S * PG - P * G) / (S * PP - P * P) AS b, (G - (S * PG - P * G) / (S * PP - P * P) * P) / S AS a
           FROM {name}_s WHERE S * PP - P * P > CAST(1e-12 AS DOUBLE) * S * PP""",
-        f"{name}_e": f"""SELECT kind, range, nugget, psill, round((GG - 2 * nugget * G - 2 * psill * PG + nugget * nugget * S + 2 * nugget * psill * P + psill * psill * PP) / GG, 9) AS e
+        f"{name}_e": f"""SELECT kind, range, nugget, psill, round((GG - 2 * nugget * G - 2 * psill * PG + nugget * nugget * S + 2 * nugget * psill * P + psill * psill * PP) / GG, 12) AS e
           FROM (SELECT *, CASE WHEN b < 0 THEN 0 WHEN a < 0 THEN PG / PP ELSE b END AS psill, CASE WHEN b < 0 THEN G / S WHEN a < 0 THEN 0 ELSE a END AS nugget FROM {name}_c)""",
     }
 

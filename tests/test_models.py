@@ -99,10 +99,12 @@ def test_step_aic_is_a_local_minimum(frame, data):
         assert all(aic(sorted(kept ^ {x})) >= best - 1e-9 for x in XS)
 
 
-def test_degenerate_groups_give_no_model(spark):
+def test_degenerate_groups_keep_their_rows(spark):
     rows = [(1, 1.0, 1.0, 2.0), (1, 2.0, 2.0, 3.0), (1, 3.0, 3.0, 5.0), (1, 4.0, 4.0, 6.0), (1, 5.0, 5.0, 7.5), (2, 1.0, 2.0, 3.0)]
     df = spark.createDataFrame(rows, "g int, a double, b double, y double")
-    assert reg.ols(df, ["g"], "y", ["a", "b"]).count() == 0  # collinear, and too few rows
+    got = {(r.g, r.term): r for r in reg.ols(df, ["g"], "y", ["a", "b"]).collect()}
+    assert len(got) == 6 and got[1, "a"].estimate is not None and got[1, "b"].estimate is None  # collinear: the later one has no estimate
+    assert all(got[2, t].estimate is None and got[2, t].n == 1 for t in ("intercept", "a", "b"))  # too few rows
 
 
 def test_partial_models_use_retained_terms_only(spark, frame, data):
@@ -111,7 +113,7 @@ def test_partial_models_use_retained_terms_only(spark, frame, data):
     beta, *_ = brute(data[data.g == 1].dropna(), ["a"])
     assert (got[1].first_intercept, got[1].a) == (pytest.approx(beta[0]), pytest.approx(beta[1]))
     assert got[1].b is None and got[1].c is not None
-    assert got[2].c is None and got[2].second_intercept is None and 3 not in got
+    assert got[2].c is None and got[2].second_intercept is None and got[3].first_intercept is None and got[3].a is None
 
 
 @settings(max_examples=8, deadline=None)
@@ -177,8 +179,8 @@ def test_variogram_fit_recovers_a_model(spark):
     rows = [(i + 1, 100, float(x), float(0.2 + 0.8 * (1 - np.exp(-x / 3.0))), 10.0) for i, x in enumerate(h)]
     vg = spark.createDataFrame(rows, "bin int, np long, dist double, gamma double, cutoff double")
     fit = spatial.fit_variogram(vg).first()
-    assert fit.kind == "Exp" and fit.range == pytest.approx(3.0)
-    assert (fit.nugget, fit.psill) == (pytest.approx(0.2, abs=1e-6), pytest.approx(0.8, abs=1e-6))
+    assert fit.kind == "Exp" and fit.range == pytest.approx(3.0, rel=1e-3)
+    assert (fit.nugget, fit.psill) == (pytest.approx(0.2, abs=1e-4), pytest.approx(0.8, abs=1e-4))
 
 
 @pytest.mark.parametrize(("kind", "nugget", "task_cells"), [("Exp", 0.0, 100), ("Sph", 0.3, 2)])
@@ -269,3 +271,24 @@ def test_centroid_of_near_members(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0), (1, 2.0, 0.0), (1, 100.0, 0.0)], "c int, x double, y double")
     got = {r.x: r for r in regions.centroids(df, "c", "x", "y", 35).collect()}
     assert got[0.0].cen_x == 34.0 and got[0.0].cen_x2 == 1.0 and got[100.0].cen_x2 is None
+
+
+def test_regressions_keep_every_group(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for g, n in (("full", 40), ("collinear", 40), ("short", 2)):
+        a, b = rng.normal(size=n), rng.normal(size=n)
+        b = 2 * a + 1 if g == "collinear" else b
+        rows += [(g, float(y), float(x1), float(x2)) for y, x1, x2 in zip(a + rng.normal(size=n), a, b, strict=True)]
+    df = spark.createDataFrame(rows, "g string, y double, a double, b double")
+    fits = {(r.g, r.term): r for r in reg.ols(df, ["g"], "y", ["a", "b"]).collect()}
+    assert len(fits) == 9 and fits["collinear", "b"].estimate is None and fits["collinear", "a"].estimate is not None
+    assert fits["short", "a"].estimate is None and fits["short", "a"].n == 2
+    left = {r.g: r for r in reg.backward(df, ["g"], "y", ["a", "b"]).collect()}
+    assert set(left) == {"full", "collinear", "short"} and left["collinear"].b_coeff is None
+    retained = spark.createDataFrame([("full", "a")], "g string, term string")
+    families = {"one": ["a"], "two": ["b"]}
+    parts = reg.partial_models(df, ["g"], "y", families, retained)
+    assert {r.g: r.a is None for r in parts.collect()} == {"full": False, "collinear": True, "short": True}
+    modelled = reg.predict_parts(df, parts, ["g"], families, ["g", "y"])
+    assert modelled.count() == len(rows) and {r.full_model for r in modelled.filter("g = 'short'").collect()} == {0.0}
