@@ -55,6 +55,7 @@ class Lattice:
         last = max((-s for _, s, _ in pieces if s > -1e8), default=0)
         share = np.log(last + 2)  # so that the probabilities sum to about 1
         self.plain, self.is_byte = [p for p, _, _ in pieces], [b for _, _, b in pieces]
+        self.spelled = np.array([bytes([int(p[3:5], 16)]) if b else p.replace(SPACE, " ").encode() for p, _, b in pieces], dtype=object)
         self.bytes = [-1] * 256
         weight = []
         for i, (piece, score, is_byte) in enumerate(pieces):
@@ -267,14 +268,7 @@ class Lattice:
 
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation."""
-        out: list[bytes] = []
-        for i in ids:
-            piece = self.plain[i]
-            out.append(bytes([int(piece[3:5], 16)]) if self.is_byte[i] else piece.replace(SPACE, " ").encode())
-        return b"".join(out).decode()[1:]
-
-    def decoder(self) -> list[bytes]:
-        return [bytes([int(p[3:5], 16)]) if b else p.replace(SPACE, " ").encode() for p, b in zip(self.plain, self.is_byte, strict=True)]
+        return b"".join(self.spelled[ids].tolist()).decode()[1:] if len(ids) else ""
 
 
 _loaded: dict[tuple, Lattice] = {}
@@ -305,7 +299,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
         rows = texts(batch, text)
         flat, size = lattice.sample(rows, row_keys(batch, key, seed))
         offsets = np.concatenate([[0], np.cumsum(size)])
-        piece = _pieces.setdefault((model, alpha), np.array(lattice.decoder(), dtype=object))
+        piece = lattice.spelled
         spelled = piece[flat].tolist()
         same = [b"".join(spelled[a:b])[1:] == t.encode() for a, b, t in zip(offsets[:-1].tolist(), offsets[1:].tolist(), rows, strict=True)]
         ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
@@ -314,9 +308,6 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
     return rowwise(docs, [key, text], run, "ids array<int>, lossless boolean", keep=keep or [key])
 
 
-_pieces: dict[tuple, np.ndarray] = {}
-
-
 def decode(encoded: DataFrame, model: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """key and text of encoded rows; null ids are an empty text."""
     start(encoded.sparkSession)

@@ -16,6 +16,7 @@ come first. An empty table gives empty files.
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -33,7 +34,8 @@ from hydropanel.llm.common import raw_texts, start, tasks_for
 BLOCK = 1 << 16
 CHUNK = 1 << 18
 LEVEL = 3
-_KEEP_PARTS = 150_000
+_KEEP_PARTS = 200_000
+_TOGETHER = 4_000  # pieces coded in one call
 _SHORT = 6
 
 # Below U+0250 all characters are in composed form and lower-casing works character by character.
@@ -116,7 +118,11 @@ class WordCodes:
             else:
                 other[len(counts)] = self.whole().encode(text, add_special_tokens=False).ids
                 counts.append(0)
-        ids = np.array(self.merges.encode_batch_fast([b" ".join(pieces).lower().decode()], add_special_tokens=False)[0].ids, np.uint32)
+        coded = [np.zeros(0, np.uint32)]
+        for k in range(0, len(pieces), _TOGETHER):
+            some = b" ".join(pieces[k : k + _TOGETHER]).lower().decode()
+            coded.append(np.array(self.merges.encode_batch_fast([some], add_special_tokens=False)[0].ids, np.uint32))
+        ids = np.concatenate(coded)
         piece_stop = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
         stop = piece_stop[np.cumsum(counts)]
         if other:
@@ -175,6 +181,15 @@ _CHUNK_ROW = "shard int, chunk int, first_in_shard long, n_ids long, keys array<
 _coders: dict[str, WordCodes] = {}
 
 
+def coder(tokenizer: str) -> WordCodes:
+    """One for all tasks of a Python worker. (A module's function is sent by name, so it sees the
+    worker's own dictionary; a nested function would be sent with a copy.)"""
+    if tokenizer not in _coders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        _coders[tokenizer] = WordCodes(tokenizer)
+    return _coders[tokenizer]
+
+
 def write(docs: DataFrame, tokenizer: str, folder: str | None = None, key: str = "doc_id", text: str = "text", end: int = 1) -> str:
     """Write the ids of all documents; returns the folder, with the tables ``chunks`` and ``index``."""
     spark = start(docs.sparkSession)
@@ -186,8 +201,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, key: str =
 
     def run(batches):
         shard = TaskContext.get().partitionId()
-        if tokenizer not in _coders:
-            _coders[tokenizer] = WordCodes(tokenizer)
+        codes = coder(tokenizer)
         keys, held, chunk, first, waiting = [], [], 0, 0, 0
 
         def row() -> pa.RecordBatch:
@@ -197,7 +211,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, key: str =
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            for k, ids in zip(batch.column(0).to_pylist(), _coders[tokenizer].documents(raw_texts(batch, "text"), end), strict=True):
+            for k, ids in zip(batch.column(0).to_pylist(), codes.documents(raw_texts(batch, "text"), end), strict=True):
                 keys.append(k)
                 held.append(ids)
                 waiting += len(ids)
