@@ -248,12 +248,14 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
                 for planes in row["blocks"]:
                     flat.append(unshuffle_bits(planes, min(BLOCK, left)))
                     left -= BLOCK
-                raw = memoryview(np.concatenate(flat).astype("<u4").tobytes())
+                raw = np.concatenate(flat).astype("<u4")
                 stop = np.cumsum(row["sizes"])
                 begin = stop - row["sizes"]
-                ids = [raw[4 * a : 4 * b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
-                columns = [row["keys"], begin + row["first_id"], ids]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                # Views on one buffer: the ids of each document are not copied one by one.
+                bounds = np.concatenate([[0], stop * 4]).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(stop), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
+                columns = [pa.array(row["keys"], pa.int64()), pa.array(begin + row["first_id"], pa.int64()), ids]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     placed = chunks.join(index, ["shard", "chunk"]).select("first_id", "keys", "sizes", "blocks")
     return placed.mapInArrow(run, schema)
