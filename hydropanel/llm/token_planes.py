@@ -34,7 +34,7 @@ from hydropanel.llm.common import raw_texts, start, tasks_for
 BLOCK = 1 << 16
 CHUNK = 1 << 18
 LEVEL = 3
-_KEEP_PARTS = 200_000
+_KEEP_PARTS = 600_000
 _TOGETHER = 4_000  # pieces coded in one call
 _SHORT = 6
 
