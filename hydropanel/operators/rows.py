@@ -85,6 +85,23 @@ def in_year(df: DataFrame, date_col: str, year: int) -> DataFrame:
     return df.filter((F.col(date_col) >= start) & (F.col(date_col) < end))
 
 
+def _water_years(df: DataFrame, date_col: str, lo: int, hi: int, last_month: int):
+    start, end = (F.lit(f"{y:04d}-{last_month + 1:02d}-01").cast(df.schema[date_col].dataType) for y in (lo - 1, hi))
+    return start, end
+
+
+def in_water_years(df: DataFrame, date_col: str, lo: int, hi: int, last_month: int = 9) -> DataFrame:
+    """Dates of the water years ``lo`` to ``hi``, as a half-open window that reaches the scan."""
+    start, end = _water_years(df, date_col, lo, hi, last_month)
+    return df.filter((F.col(date_col) >= start) & (F.col(date_col) < end))
+
+
+def not_in_water_year(df: DataFrame, date_col: str, year: int, last_month: int = 9) -> DataFrame:
+    """Dates outside one water year."""
+    start, end = _water_years(df, date_col, year, year, last_month)
+    return df.filter((F.col(date_col) < start) | (F.col(date_col) >= end))
+
+
 def exclude(df: DataFrame, col: str, value) -> DataFrame:
     return df.filter(F.col(col) != value)
 

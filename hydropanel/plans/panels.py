@@ -9,6 +9,7 @@ needs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,11 +38,12 @@ FAMILIES = {"precip": ["z_precip", "z_off_precip"], "temp": ["z_temp", "z_off_te
 
 
 class Panel:
-    """Lazy tables over one data directory."""
+    """Lazy tables over one data directory; ``keep`` is a filter on the raw measurements."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame], DataFrame] | None = None):
         self.spark = session.prepare(spark)
         self.dir = sf_dir.rstrip("/")
+        self.keep = keep
         self.staged: dict[str, DataFrame] = {}
 
     def stage(self, name: str) -> DataFrame:
@@ -50,6 +52,10 @@ class Panel:
             self.staged[name] = checkpoint_table(getattr(self, name))
         return self.staged[name]
 
+    def only(self, keep: Callable[[DataFrame], DataFrame]) -> Panel:
+        """The same tables over a part of the raw measurements; plain comparisons of raw columns reach the scan."""
+        return Panel(self.spark, self.dir, keep)
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -69,7 +75,8 @@ class Panel:
     @cached_property
     def obs(self) -> DataFrame:
         """Single measurements."""
-        return self.table("lineitem").select(
+        facts = self.table("lineitem")
+        return (self.keep(facts) if self.keep else facts).select(
             F.col("l_suppkey").cast("string").alias("site_number"),
             F.to_date("l_shipdate").alias("date"),
             F.col("l_extendedprice").alias("q_cfs"),

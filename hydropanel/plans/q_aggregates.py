@@ -113,6 +113,21 @@ def agg_stats_table(p):
     )
 
 
+@query(
+    "agg_stats_table_raw",
+    """SELECT * FROM (SELECT cluster, year, avg(z_log_runoff) AS mu_z, stddev_samp(z_log_runoff) AS sd_z FROM z_year GROUP BY 1, 2)
+      JOIN (SELECT cluster, year, avg(runoff_ratio) AS mu_runoff, stddev_samp(runoff_ratio) AS sd_runoff FROM panel_year GROUP BY 1, 2)
+      USING (cluster, year)""",
+    "mu_z sd_z mu_runoff sd_runoff",
+)
+def agg_stats_table_raw(p):
+    """Scores and raw values from two tables: station years without a prior year count among the raw values only."""
+    year = p.stage("panel_year")
+    return aggregates.stats_table(
+        p.scores(year, "year"), year, ["cluster", "year"], {"z_log_runoff": ("mu_z", "sd_z")}, {"runoff_ratio": ("mu_runoff", "sd_runoff")}
+    )
+
+
 _MONTH_FLOW = """SELECT site_number, year, month, mean_q, log10(mean_q) AS log_q, cluster FROM (
   SELECT site_number, {wy} AS year, CAST(month(date) AS INTEGER) AS month, avg(mean_q) AS mean_q
   FROM daily WHERE length(site_number) < 2 AND mean_q > 0 GROUP BY 1, 2, 3

@@ -32,7 +32,7 @@ def _block(name: str) -> str:
 
 def _build(p, name: str):
     months, seconds = catchment.BLOCKS[name]
-    return catchment.season_block(p.daily, KEYS, F.lit(AREA), months, seconds, name)
+    return catchment.season_block(p.staged.get("daily", p.daily), KEYS, F.lit(AREA), months, seconds, name)
 
 
 @query("ct_season_block", _block("september"), "september_precip september_flow september_well september_re")
@@ -57,6 +57,17 @@ def ct_season_wide(p):
     return catchment.season_wide([wide], KEYS)
 
 
+@query(
+    "ct_season_wide_join",
+    f"SELECT *, summer_re / nullif(winter_re, 0) AS norm_re FROM ({_block('winter')}) JOIN ({_block('summer')}) USING (site_number, water_year)",
+    [*(c for c in _WIDE if c.startswith(("winter", "summer"))), "norm_re"],
+)
+def ct_season_wide_join(p):
+    """Two blocks built by themselves from written daily values, then joined."""
+    p.stage("daily")
+    return catchment.season_wide([_build(p, "winter"), _build(p, "summer")], KEYS)
+
+
 @query(
     "ct_cold_months",
     f"""SELECT *, month_flow * 2628000 / {AREA!r}::DOUBLE / nullif(precip_sum, 0) AS re FROM (

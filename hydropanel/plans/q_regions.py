@@ -76,15 +76,15 @@ def cl_assign(p):
 
 @query(
     "cl_lloyd_step",
-    """SELECT cluster, c1, c64, n FROM (SELECT nearest AS cluster, avg(v[1]) AS c1, avg(v[64]) AS c64, count(*) AS n
-      FROM nearest_rows GROUP BY 1)""",
-    "c1 c64",
+    """SELECT nearest AS cluster, CAST(i AS INTEGER) AS dim, avg(x) AS value, count(*) AS n
+      FROM (SELECT nearest, unnest(v) AS x, unnest(range(0, 64)) AS i FROM nearest_rows) GROUP BY 1, 2""",
+    "value",
     _CENTRES,
 )
 def cl_lloyd_step(p):
     centres = regions.mean_vectors(p.vectors, "cluster", "v", DIMS)
     moved = regions.lloyd_step(p.vectors, "v", centres, "cluster", DIMS)
-    return moved.select("cluster", F.col("centre")[0].alias("c1"), F.col("centre")[DIMS - 1].alias("c64"), "n")
+    return moved.select("cluster", F.posexplode("centre").alias("dim", "value"), "n")
 
 
 @query(

@@ -46,8 +46,9 @@ def set_union_pos(p):
 )
 def set_bind_list(p):
     """Result tables with different columns under one another."""
-    a = p.panel_year.groupBy("cluster").agg(F.lit("precip").alias("series"), F.avg("precip_m").alias("mean_value"))
-    b = p.panel_year.groupBy("cluster").agg(
+    year = p.stage("panel_year")
+    a = year.groupBy("cluster").agg(F.lit("precip").alias("series"), F.avg("precip_m").alias("mean_value"))
+    b = year.groupBy("cluster").agg(
         F.lit("temp").alias("series"), F.avg("temp_k").alias("mean_value"), F.stddev_samp("temp_k").alias("sd_value")
     )
     return reshape.stack_results([a, b])

@@ -78,7 +78,8 @@ def prj_const(p):
 
 @query("flt_range", "SELECT site_number, year, mean_q FROM panel_year WHERE year BETWEEN 1996 AND 2000", "mean_q")
 def flt_range(p):
-    return rows.between_years(p.panel_year.select("site_number", "year", "mean_q"), 1996, 2000)
+    part = p.only(lambda facts: rows.in_water_years(facts, "l_shipdate", 1996, 2000))
+    return rows.between_years(part.panel_year.select("site_number", "year", "mean_q"), 1996, 2000)
 
 
 @query("flt_positive", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0")
@@ -99,7 +100,8 @@ def flt_length(p):
 
 @query("flt_eq_item", "SELECT site_number, year, runoff_ratio FROM panel_year WHERE site_number = '7'", "runoff_ratio")
 def flt_eq_item(p):
-    return rows.one_site(p.panel_year.select("site_number", "year", "runoff_ratio"), "7")
+    part = p.only(lambda facts: rows.one_site(facts, 7, "l_suppkey"))
+    return rows.one_site(part.panel_year.select("site_number", "year", "runoff_ratio"), "7")
 
 
 @query(
@@ -112,7 +114,8 @@ def flt_date_window(p):
 
 @query("flt_ne", "SELECT site_number, year, precip_m FROM panel_year WHERE year <> 1997", "precip_m")
 def flt_ne(p):
-    return rows.exclude(p.panel_year.select("site_number", "year", "precip_m"), "year", 1997)
+    part = p.only(lambda facts: rows.not_in_water_year(facts, "l_shipdate", 1997))
+    return rows.exclude(part.panel_year.select("site_number", "year", "precip_m"), "year", 1997)
 
 
 @query(

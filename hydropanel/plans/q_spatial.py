@@ -81,8 +81,9 @@ def sp_season_total_long(p):
 def sp_agency_stack(p):
     """One agency delivers precipitation and temperature, the other only temperature."""
     short = F.length("site_number") < 2
-    a = p.panel_year.filter(short).select("site_number", "year", "precip_m", "temp_k")
-    b = p.panel_year.filter(~short).select("site_number", "year", "temp_k")
+    year = p.stage("panel_year")
+    a = year.filter(short).select("site_number", "year", "precip_m", "temp_k")
+    b = year.filter(~short).select("site_number", "year", "temp_k")
     return reshape.stack([a, b], fill=True)
 
 

@@ -89,12 +89,13 @@ def win_zscore_season(p):
 
 @query(
     "win_unzscore",
-    "SELECT site_number, year, log_runoff AS back FROM z_year WHERE z_log_runoff IS NOT NULL",
+    """SELECT site_number, year, back FROM (SELECT *, avg(log_runoff) OVER w + (z_log_runoff / 2 + 1) * stddev_samp(log_runoff) OVER w AS back
+      FROM z_year WINDOW w AS (PARTITION BY site_number)) WHERE back IS NOT NULL""",
     "back",
 )
 def win_unzscore(p):
-    """Scores and their inverse give the values back."""
-    z = p.z_year.select("site_number", "year", "log_runoff", "z_log_runoff")
+    """Changed scores (as a model gives them) in the unit of the values."""
+    z = p.z_year.select("site_number", "year", "log_runoff", (F.col("z_log_runoff") / 2 + 1).alias("z_log_runoff"))
     out = windows.unzscore(z, ["site_number"], {"z_log_runoff": "back"}, "log_runoff", period="year")
     return out.filter(F.col("back").isNotNull()).select("site_number", "year", "back")
 
