@@ -8,6 +8,7 @@ task: a place with many rows simply gets more blocks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -20,7 +21,10 @@ from hydropanel.sources import checkpoint_table
 # Half of the eight neighbours, so that two tiles meet once.
 _FORWARD = ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))
 
-BLOCK_ROWS = 2000
+# Rows of a block at most. A row is copied once per partner block, so blocks are large;
+# the tasks go through a pair of blocks in pieces of ``PIECE`` rows.
+BLOCK_ROWS = 50_000
+PIECE = 1000
 
 
 def blocked_pairs(
@@ -39,7 +43,11 @@ def blocked_pairs(
     shared folder first and their own plan runs once.
     """
     df = checkpoint_table(df)
-    n_blocks = F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_nb")
+    # Enough blocks for every core to have a pair of them, unless they would become smaller than a piece.
+    cores = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = math.ceil(math.sqrt(2 * cores)) if tiles is None else 1
+    n = F.count(F.lit(1))
+    n_blocks = F.greatest(F.ceil(n / block_rows), F.least(F.ceil(n / PIECE), F.lit(spread))).cast("int").alias("_nb")
     if tiles is None:
         # one group: its size is a scalar, and every block meets every later one
         tile = {c: F.lit(0).cast("long") for c in ("_tx", "_ty")}
@@ -68,13 +76,14 @@ def blocked_pairs(
     )
     key = ["_tx", "_ty", "_i", "_ux", "_uy", "_j"]
     left = rows.join(tasks, ["_tx", "_ty", "_i"])
-    right = rows.withColumnsRenamed({"_tx": "_ux", "_ty": "_uy", "_i": "_j"}).join(tasks, ["_ux", "_uy", "_j"])
+    # a block against itself is sent once
+    others = tasks.where(~(same_tile & (F.col("_i") == F.col("_j"))))
+    right = rows.withColumnsRenamed({"_tx": "_ux", "_ty": "_uy", "_i": "_j"}).join(others, ["_ux", "_uy", "_j"])
     # both sides come from the same table: new columns tell them apart
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
 
     def run(k, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         same = tuple(k[:3]) == tuple(k[3:])
-        # a block against itself: one frame for both, as row orders may differ
         return fn(same, lpdf, lpdf if same else rpdf)
 
     return cogroup_spread(left, right, key, run, schema)
@@ -91,6 +100,10 @@ def cogroup_spread(left: DataFrame, right: DataFrame, key: list[str], fn: Callab
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(fn, schema)
 
 
+def pieces(rows: int) -> list[slice]:
+    return [slice(lo, lo + PIECE) for lo in range(0, rows, PIECE)]
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances between the rows of two blocks."""
     if a.shape[1] <= 4:

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydropanel.functions import calendar, units
-from hydropanel.operators.pairs import BLOCK_ROWS, blocked_pairs, distances
+from hydropanel.operators.pairs import BLOCK_ROWS, blocked_pairs, distances, pieces
 from hydropanel.operators.reshape import MONTH_NAMES
 from hydropanel.operators.rows import complete, update_where
 from hydropanel.operators.windows import add_group_agg, share_of_peak
@@ -51,22 +49,57 @@ def scale_features(df: DataFrame, cols) -> DataFrame:
     ).drop("_s")
 
 
-def kmeans(df: DataFrame, cols, k: int = 5, max_iter: int = 25, seed: int = 0, name: str = "cluster") -> DataFrame:
-    """k-means regions numbered from 1; only the k centres live on the driver.
+def _centre_table(centres) -> Column:
+    """Centres numbered from 1 as one array value."""
+    return F.array(*[F.struct(F.lit(i).alias("id"), F.array(*[F.lit(float(x)) for x in c]).alias("centre")) for i, c in enumerate(centres, 1)])
+
+
+def _nearest(vec: str, table: Column) -> Column:
+    """Squared distance and number of the nearest centre (ties to the lower number)."""
+
+    def squared(c: Column) -> Column:
+        diffs = F.zip_with(F.col(vec), c["centre"], lambda a, b: (a - b) * (a - b))
+        return F.aggregate(diffs, F.lit(0.0), lambda s, d: s + d)
+
+    return F.array_min(F.transform(table, lambda c: F.struct(squared(c).alias("d2"), c["id"].alias("id"))))
+
+
+def _lloyd(rows: DataFrame, row_id: str, vec: str, ks: list[int], max_iter: int) -> dict[int, list[list[float]]]:
+    """Centres per number of clusters, after at most ``max_iter`` moves of all of them together.
 
-    The iterations read the rows many times, so these are written to the shared
-    folder first.
+    The first centres are the first rows by the MD5 of the id. A centre that loses all its rows stays. Only the
+    centres come to the driver, which are as many as the clusters.
     """
-    df = checkpoint_table(df)
-    vectors = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(df)
-    model = KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="_v", predictionCol="_p").fit(vectors)
-    return model.transform(vectors).withColumn(name, (F.col("_p") + 1).cast("int")).drop("_v", "_p")
+    firsts = rows.orderBy(F.md5(F.col(row_id).cast("string")), row_id).select(vec).limit(max(ks)).collect()
+    centres = {k: [list(r[0]) for r in firsts[:k]] for k in ks}
+    for _ in range(max_iter if firsts else 0):
+        labels = F.array(*[F.struct(F.lit(k).alias("k"), _nearest(vec, _centre_table(c))["id"].alias("id")) for k, c in centres.items()])
+        moved = {k: list(c) for k, c in centres.items()}
+        for r in mean_vectors(rows.select(vec, F.inline(labels)), ["k", "id"], vec).collect():
+            moved[r["k"]][r["id"] - 1] = r["centre"]
+        if moved == centres:
+            break
+        centres = moved
+    return centres
+
+
+def kmeans(df: DataFrame, row_id: str, cols, k: int = 5, max_iter: int = 25, name: str = "cluster") -> DataFrame:
+    """k-means regions numbered from 1, the same on every cluster: see ``_lloyd`` for the rule.
+
+    The iterations read the rows many times, so these are written to the shared folder first. Rows need
+    all their features (``features`` keeps such rows only).
+    """
+    rows = checkpoint_table(df.withColumn("_v", F.array(*cols)))
+    centres = _lloyd(rows, row_id, "_v", [k], max_iter)[k]
+    label = _nearest("_v", _centre_table(centres))["id"] if centres else F.lit(None).cast("int")
+    return rows.withColumn(name, label).drop("_v")
 
 
-def mean_vectors(df: DataFrame, cluster: str, vec: str, dims: int) -> DataFrame:
+def mean_vectors(df: DataFrame, cluster, vec: str) -> DataFrame:
     """Mean vector of every cluster, one partial row per map task and cluster."""
-    means = df.groupBy(cluster).agg(*[F.avg(F.col(vec)[i]).alias(f"_{i}") for i in range(dims)], F.count(F.lit(1)).alias("n"))
-    return means.select(cluster, F.array(*[f"_{i}" for i in range(dims)]).alias("centre"), "n")
+    keys = [cluster] if isinstance(cluster, str) else list(cluster)
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col(vec))))
+    return df.groupBy(*keys).agg(mean.alias("centre"), F.count(F.lit(1)).alias("n"))
 
 
 def assign(df: DataFrame, vec: str, centres: DataFrame, cluster: str, name: str = "nearest") -> DataFrame:
@@ -78,22 +111,14 @@ def assign(df: DataFrame, vec: str, centres: DataFrame, cluster: str, name: str
     table = centres.select(
         F.sort_array(F.collect_list(F.struct(F.col(cluster).alias("id"), F.col("centre")))).alias("c")
     ).scalar()
+    best = df.withColumn("_c", table).withColumn("_best", _nearest(vec, F.col("_c")))
+    return best.withColumns({name: F.col("_best.id"), "distance": F.sqrt(F.col("_best.d2"))}).drop("_c", "_best")
 
-    def squared(c: Column) -> Column:
-        diffs = F.zip_with(F.col(vec), c["centre"], lambda a, b: (a - b) * (a - b))
-        return F.aggregate(diffs, F.lit(0.0), lambda s, d: s + d)
-
-    out = df.withColumn("_c", table)
-    ranked = F.transform("_c", lambda c: F.struct(squared(c).alias("d2"), c["id"].alias("id")))
-    return out.withColumn("_best", F.array_min(ranked)).withColumns(
-        {name: F.col("_best.id"), "distance": F.sqrt(F.col("_best.d2"))}
-    ).drop("_c", "_best")
 
-
-def lloyd_step(df: DataFrame, vec: str, centres: DataFrame, cluster: str, dims: int) -> DataFrame:
+def lloyd_step(df: DataFrame, vec: str, centres: DataFrame, cluster: str) -> DataFrame:
     """Assign every row, then the new mean of every cluster."""
     moved = assign(df, vec, centres, cluster, "_nearest")
-    return mean_vectors(moved, "_nearest", vec, dims).withColumnRenamed("_nearest", cluster)
+    return mean_vectors(moved, "_nearest", vec).withColumnRenamed("_nearest", cluster)
 
 
 def split_cluster(df: DataFrame, rules, cluster: str = "cluster") -> DataFrame:
@@ -110,31 +135,30 @@ def _matrix(pdf: pd.DataFrame, vec: str) -> np.ndarray:
 def silhouette(df: DataFrame, row_id: str, vec: str, cluster: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact silhouette of every row with plain Euclidean distances.
 
-    Distances are summed per row and cluster inside the block tasks.  The work is
-    quadratic by definition; memory is bounded by the block.
+    Distances are summed per row and cluster inside the block tasks, which return one row
+    per row, cluster and partner block.  The work is quadratic by definition; memory is bounded by the block.
     """
     base = df.select(F.col(row_id).alias("id"), F.col(cluster).cast("long").alias("own"), F.col(vec).alias("v"))
 
     def sums(same: bool, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d = distances(_matrix(a, "v"), _matrix(b, "v"))
-        if same:
-            np.fill_diagonal(d, 0.0)
-        parts = []
-        for left, right, m in ((a, b, d), (b, a, d.T)):
-            labels, index = np.unique(right["own"].to_numpy(), return_inverse=True)
-            totals = m @ np.eye(len(labels))[index]
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "id": np.repeat(left["id"].to_numpy(), len(labels)),
-                        "own": np.repeat(left["own"].to_numpy(), len(labels)),
-                        "other": np.tile(labels, len(left)),
-                        "total": totals.ravel(),
-                    }
-                )
-            )
-            if same:
-                break
+        va, vb = _matrix(a, "v"), _matrix(b, "v")
+        (la, ia), (lb, ib) = (np.unique(x["own"].to_numpy(), return_inverse=True) for x in (a, b))
+        of_a, of_b = np.eye(len(la))[ia], np.eye(len(lb))[ib]
+        to_b, to_a = np.zeros((len(a), len(lb))), np.zeros((len(b), len(la)))
+        for i in pieces(len(a)):
+            for j in pieces(len(b)):
+                d = distances(va[i], vb[j])
+                if same and i == j:
+                    np.fill_diagonal(d, 0.0)
+                to_b[i] += d @ of_b[j]
+                if not same:
+                    to_a[j] += d.T @ of_a[i]
+
+        def rows(left: pd.DataFrame, labels: np.ndarray, totals: np.ndarray) -> pd.DataFrame:
+            ids, own = (np.repeat(left[c].to_numpy(), len(labels)) for c in ("id", "own"))
+            return pd.DataFrame({"id": ids, "own": own, "other": np.tile(labels, len(left)), "total": totals.ravel()})
+
+        parts = [rows(a, lb, to_b)] if same else [rows(a, lb, to_b), rows(b, la, to_a)]
         return pd.concat(parts)
 
     id_type = dict(df.dtypes)[row_id]
@@ -153,39 +177,46 @@ def silhouette(df: DataFrame, row_id: str, vec: str, cluster: str, block_rows: i
     return s.select(F.col("id").alias(row_id), F.col("own").alias(cluster), "a", "b", width.alias("silhouette"))
 
 
-def dunn(df: DataFrame, row_id: str, vec: str, cluster: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Smallest distance between clusters over the largest within one."""
-    base = df.select(F.col(row_id).alias("id"), F.col(cluster).cast("long").alias("own"), F.col(vec).alias("v"))
+def _extremes(df: DataFrame, row_id: str, vec: str, clusters: dict[int, str], block_rows: int) -> DataFrame:
+    """Per clustering the smallest distance between clusters and the largest within one, from one pass over the pairs."""
+    ks, columns = list(clusters), list(clusters.values())
+    own = [F.col(c).cast("long").alias(f"own{i}") for i, c in enumerate(columns)]
+    base = df.select(F.col(row_id).alias("id"), F.col(vec).alias("v"), *own)
 
     def extremes(same: bool, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d = distances(_matrix(a, "v"), _matrix(b, "v"))
-        if same:
-            np.fill_diagonal(d, 0.0)
-        inside = a["own"].to_numpy()[:, None] == b["own"].to_numpy()
-        return pd.DataFrame(
-            {
-                "between": [float(d[~inside].min()) if not inside.all() else None],
-                "within": [float(d[inside].max()) if inside.any() else None],
-            }
-        )
-
-    parts = blocked_pairs(base, F.col("id"), extremes, "between double, within double", None, block_rows)
-    return parts.agg(F.min("between").alias("separation"), F.max("within").alias("diameter")).withColumn(
+        va, vb = _matrix(a, "v"), _matrix(b, "v")
+        between, within = np.full(len(ks), np.inf), np.full(len(ks), -np.inf)
+        for i in pieces(len(a)):
+            for j in pieces(len(b)):
+                d = distances(va[i], vb[j])
+                if same and i == j:
+                    np.fill_diagonal(d, 0.0)
+                for n in range(len(ks)):
+                    inside = a[f"own{n}"].to_numpy()[i, None] == b[f"own{n}"].to_numpy()[j]
+                    between[n] = min(between[n], d[~inside].min(initial=np.inf))
+                    within[n] = max(within[n], d[inside].max(initial=-np.inf))
+        found = {"between": [x if np.isfinite(x) else None for x in between], "within": [x if np.isfinite(x) else None for x in within]}
+        return pd.DataFrame({"clusters": ks} | found)
+
+    parts = blocked_pairs(base, F.col("id"), extremes, "clusters int, between double, within double", None, block_rows)
+    return parts.groupBy("clusters").agg(F.min("between").alias("separation"), F.max("within").alias("diameter")).withColumn(
         "dunn", F.try_divide("separation", "diameter")
     )
 
 
-def validity_sweep(df: DataFrame, row_id: str, cols, ks, seed: int = 0) -> DataFrame:
-    """Dunn index for several numbers of clusters."""
-    cols = list(cols)
-    vectors = checkpoint_table(df.withColumn("_vec", F.array(*cols)))
-    parts = [
-        dunn(kmeans(vectors, cols, k, seed=seed), row_id, "_vec", "cluster").select(
-            F.lit(k).alias("clusters"), "dunn"
-        )
-        for k in ks
-    ]
-    return reduce(DataFrame.unionByName, parts)
+def dunn(df: DataFrame, row_id: str, vec: str, cluster: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Smallest distance between clusters over the largest within one; quadratic work by definition."""
+    return _extremes(df, row_id, vec, {0: cluster}, block_rows).drop("clusters")
+
+
+def validity_sweep(df: DataFrame, row_id: str, cols, ks, max_iter: int = 25, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Dunn index for several numbers of clusters: the rows are written once, every iteration moves the
+    centres of all ``ks``, and one pass over the pairs serves all of them."""
+    rows = checkpoint_table(df.select(row_id, F.array(*cols).alias("_vec")))
+    centres = _lloyd(rows, row_id, "_vec", list(ks), max_iter)
+    labels = {f"_k{k}": _nearest("_vec", _centre_table(c))["id"] for k, c in centres.items()}
+    found = _extremes(rows.withColumns(labels), row_id, "_vec", {k: f"_k{k}" for k in ks}, block_rows)
+    return found.select("clusters", "dunn")
 
 
 def centroids(df: DataFrame, cluster: str, x: str, y: str, max_dist: float = 25.0) -> DataFrame:

@@ -6,7 +6,6 @@ from hydropanel.operators import regions
 from hydropanel.operators.reshape import MONTH_NAMES
 from hydropanel.plans.registry import query
 
-DIMS = 64
 COLS = [*MONTH_NAMES, "lon", "lat", "elev"]
 
 _SHARE = """SELECT site_number, month, avg(share) AS share FROM (
@@ -54,10 +53,31 @@ def cl_scale(p):
     return regions.scale_features(_features(p), COLS)
 
 
-@query("cl_kmeans")
+def _kmeans_sql(k: int) -> dict[str, str]:
+    """25 moves of k centres; the first are the first stations by the MD5 of their number."""
+    return {
+        f"steps_{k}": f"""SELECT id, c FROM (WITH RECURSIVE s(it, id, c) AS (
+          SELECT 0, CAST(row_number() OVER (ORDER BY md5(site_number), site_number) AS INTEGER), v FROM scaled_vectors QUALIFY row_number() OVER (ORDER BY md5(site_number), site_number) <= {k}
+          UNION ALL SELECT it + 1, id, [{', '.join(f'avg(v[{i}])' for i in range(1, len(COLS) + 1))}] FROM (
+            SELECT f.site_number, f.v, s.it, arg_min(s.id, {{'d': list_distance(f.v, s.c), 'id': s.id}}) AS id
+            FROM scaled_vectors f, s WHERE s.it < 25 GROUP BY f.site_number, f.v, s.it) GROUP BY it, id)
+          SELECT * FROM s) WHERE it = 25""",
+        f"labels_{k}": f"""SELECT site_number, v, arg_min(id, {{'d': list_distance(v, c), 'id': id}}) AS cluster
+          FROM scaled_vectors, steps_{k} GROUP BY 1, 2""",
+    }
+
+
+_SCALED = _FEATURES | {
+    "scaled_vectors": "SELECT site_number, ["
+    + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()" for c in COLS)
+    + "] AS v FROM station_features"
+}
+_SWEEP = (2, 3, 4, 5)
+
+
+@query("cl_kmeans", "SELECT site_number, cluster FROM labels_5", (), _SCALED | _kmeans_sql(5))
 def cl_kmeans(p):
-    """Labels depend on the generator, so there is no SQL for them."""
-    return regions.kmeans(regions.scale_features(_features(p), COLS), COLS, k=5, max_iter=25, seed=0).select("site_number", "cluster")
+    return regions.kmeans(regions.scale_features(_features(p), COLS), "site_number", COLS, k=5).select("site_number", "cluster")
 
 
 _CENTRES = {
@@ -70,7 +90,7 @@ _CENTRES = {
 
 @query("cl_assign", "SELECT vec_id, nearest, distance FROM nearest_rows", "distance", _CENTRES)
 def cl_assign(p):
-    centres = regions.mean_vectors(p.vectors, "cluster", "v", DIMS)
+    centres = regions.mean_vectors(p.vectors, "cluster", "v")
     return regions.assign(p.vectors, "v", centres, "cluster").select("vec_id", "nearest", "distance")
 
 
@@ -82,8 +102,8 @@ def cl_assign(p):
     _CENTRES,
 )
 def cl_lloyd_step(p):
-    centres = regions.mean_vectors(p.vectors, "cluster", "v", DIMS)
-    moved = regions.lloyd_step(p.vectors, "v", centres, "cluster", DIMS)
+    centres = regions.mean_vectors(p.vectors, "cluster", "v")
+    moved = regions.lloyd_step(p.vectors, "v", centres, "cluster")
     return moved.select("cluster", F.posexplode("centre").alias("dim", "value"), "n")
 
 
@@ -138,9 +158,18 @@ def cl_dunn(p):
     return regions.dunn(p.vectors, "vec_id", "v", "cluster")
 
 
-@query("cl_sweep")
+@query(
+    "cl_sweep",
+    " UNION ALL ".join(
+        f"""SELECT {k} AS clusters, min(list_distance(a.v, b.v)) FILTER (a.cluster <> b.cluster)
+          / nullif(max(list_distance(a.v, b.v)) FILTER (a.cluster = b.cluster), 0) AS dunn FROM labels_{k} a, labels_{k} b"""
+        for k in _SWEEP
+    ),
+    "dunn",
+    _SCALED | {n: t for k in _SWEEP for n, t in _kmeans_sql(k).items()},
+)
 def cl_sweep(p):
-    return regions.validity_sweep(regions.scale_features(_features(p), COLS), "site_number", COLS, (2, 3, 4, 5))
+    return regions.validity_sweep(regions.scale_features(_features(p), COLS), "site_number", COLS, _SWEEP)
 
 
 @query(
