@@ -83,3 +83,9 @@ def in_ring(lon, lat, ring) -> Column:
         return spans & (lon < at)
 
     return F.size(F.filter(edges, crosses)) % 2 == 1
+
+
+def in_polygon(lon, lat, rings) -> Column:
+    """The same over all rings of a polygon: parts add, holes take away."""
+    lon, lat = as_col(lon), as_col(lat)
+    return F.size(F.filter(as_col(rings), lambda ring: in_ring(lon, lat, ring))) % 2 == 1

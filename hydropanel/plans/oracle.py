@@ -6,7 +6,7 @@ import math
 import re
 
 from hydropanel.functions import geo
-from hydropanel.plans.panels import RING_OFFSETS
+from hydropanel.plans.panels import BASIN_OFFSETS, RING_OFFSETS
 
 N, C, RHO0, QP = (repr(v) for v in geo.CONE)
 _E2, _E = repr(geo._E2), repr(math.sqrt(geo._E2))
@@ -59,6 +59,22 @@ def _total(season: str, anchor: int, name: str) -> str:
     )
 
 
+def _edges(rings) -> str:
+    values = ", ".join(
+        f"({a[0]!r}::DOUBLE, {a[1]!r}::DOUBLE, {b[0]!r}::DOUBLE, {b[1]!r}::DOUBLE)"
+        for ring in rings
+        for a, b in zip(ring, ring[1:] + ring[:1], strict=True)
+    )
+    return f"""SELECT site_number AS identifier, lon + ax AS x1, lat + ay AS y1, lon + bx AS x2, lat + b_y AS y2
+      FROM site, (VALUES {values}) v(ax, ay, bx, b_y)"""
+
+
+def _inside(edges: str) -> str:
+    return f"""SELECT point_id, identifier FROM points, {edges}
+      WHERE (y1 > lat) <> (y2 > lat) AND lon < x1 + (lat - y1) * (x2 - x1) / (y2 - y1)
+      GROUP BY point_id, identifier HAVING count(*) % 2 = 1"""
+
+
 CTES = {
     "site": """SELECT CAST(s_suppkey AS VARCHAR) AS site_number, n_regionkey AS cluster,
       (1000 + abs(s_acctbal)) * 1000000 AS area,
@@ -120,15 +136,10 @@ CTES = {
     "cells": """SELECT point_id AS cell_id, lon, lat, time, v AS value FROM (
       SELECT o_custkey AS point_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS time, avg(o_totalprice) * CAST(0.028316846592 AS DOUBLE) AS v
       FROM orders GROUP BY 1, 2) JOIN points USING (point_id)""",
-    "edges": "SELECT site_number AS identifier, lon + ax AS x1, lat + ay AS y1, lon + bx AS x2, lat + b_y AS y2 FROM site, (VALUES "
-    + ", ".join(
-        f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)"
-        for a, b in zip(RING_OFFSETS, RING_OFFSETS[1:] + RING_OFFSETS[:1], strict=True)
-    )
-    + ") v(ax, ay, bx, b_y)",
-    "inside": """SELECT point_id, identifier FROM points, edges
-      WHERE (y1 > lat) <> (y2 > lat) AND lon < x1 + (lat - y1) * (x2 - x1) / (y2 - y1)
-      GROUP BY point_id, identifier HAVING count(*) % 2 = 1""",
+    "edges": _edges([RING_OFFSETS]),
+    "basin_edges": _edges(BASIN_OFFSETS),
+    "inside": _inside("edges"),
+    "inside_basin": _inside("basin_edges"),
     "vectors": "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label AS cluster FROM embeddings",
 }
 

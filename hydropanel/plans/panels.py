@@ -23,6 +23,11 @@ from hydropanel.sources import checkpoint_table
 
 # Vertices of a station's watershed ring around its coordinates, in degrees.
 RING_OFFSETS = ((-1.503, -1.207), (0.311, -1.803), (1.607, 0.103), (0.401, 0.507), (0.207, 1.701), (-1.307, 1.103))
+BASIN_OFFSETS = (
+    RING_OFFSETS,
+    tuple((0.4 * dx, 0.4 * dy) for dx, dy in RING_OFFSETS),
+    tuple((3.7 + 0.5 * dx, 0.5 * dy) for dx, dy in RING_OFFSETS),
+)
 
 Z_COLS = {
     "log_q": "z_q",
@@ -213,6 +218,15 @@ class Panel:
         ]
         return self.site.select(F.col("site_number").alias("identifier"), F.array(*vertex).alias("ring"))
 
+    @cached_property
+    def basins(self) -> DataFrame:
+        """Polygons of three rings around every station: an outline, a hole in it and a part beside it."""
+        rings = [
+            F.array(*[F.struct((F.col("lon") + dx).alias("lon"), (F.col("lat") + dy).alias("lat")) for dx, dy in ring])
+            for ring in BASIN_OFFSETS
+        ]
+        return self.site.select(F.col("site_number").alias("identifier"), F.array(*rings).alias("ring"))
+
     @cached_property
     def vectors(self) -> DataFrame:
         return self.table("embeddings").select(

@@ -33,6 +33,29 @@ def sp_zonal_weighted(p):
     return spatial.zonal_mean(cells, p.watersheds, keys=(), weight="w")
 
 
+_COVER = {
+    "cover_points": """SELECT point_id, lon + dx AS lon, lat + dy AS lat FROM (SELECT point_id, lon, lat FROM points),
+      (VALUES (-0.125::DOUBLE, -0.125::DOUBLE), (-0.125, 0.125), (0.125, -0.125), (0.125, 0.125)) o(dx, dy)""",
+    "cover_inside": """SELECT point_id, lon, lat, identifier FROM cover_points, basin_edges
+      WHERE (y1 > lat) <> (y2 > lat) AND lon < x1 + (lat - y1) * (x2 - x1) / (y2 - y1) GROUP BY ALL HAVING count(*) % 2 = 1""",
+    "cover_share": "SELECT point_id AS cell_id, identifier, count(*) / 4 AS share FROM cover_inside GROUP BY 1, 2",
+}
+
+
+@query(
+    "sp_zonal_cover",
+    """SELECT identifier, time, sum(value * share) / sum(share) AS mean, count(value) AS n_cells
+      FROM (SELECT site_number AS identifier FROM site) LEFT JOIN (SELECT * FROM cells JOIN cover_share USING (cell_id)) USING (identifier)
+      GROUP BY identifier, time""",
+    "mean",
+    _COVER,
+)
+def sp_zonal_cover(p):
+    """Half-degree cells counted by their share in polygons with a hole and a second part."""
+    centres = p.points.select(F.col("point_id").alias("cell_id"), "lon", "lat")
+    return spatial.zonal_mean(p.values, p.basins, cover=spatial.coverage(centres, p.basins, size=0.5, sub=2))
+
+
 def _months(p):
     return p.panel_month.withColumn("date", F.make_date("cal_year", "month", F.lit(1)))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
+import warnings
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -22,6 +24,7 @@ _SETTINGS = {
 }
 
 _local_folder: str | None = None
+_stages: list[str] = []
 _shipped: set[str] = set()
 
 
@@ -43,9 +46,9 @@ def _ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     package = Path(__file__).parent
-    archive = shutil.make_archive(
-        f"{tempfile.mkdtemp(prefix='hydropanel-code-')}/hydropanel", "zip", package.parent, package.name
-    )
+    folder = tempfile.mkdtemp(prefix="hydropanel-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = shutil.make_archive(f"{folder}/hydropanel", "zip", package.parent, package.name)
     context.addPyFile(archive)
     _shipped.add(context.applicationId)
 
@@ -63,9 +66,19 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="hydropanel-")
+        warnings.warn(f"spark.checkpoint.dir is not set, stages are written to {_local_folder}", stacklevel=2)
     return _local_folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _stages.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _stages[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the stages this application has written. Frames that read them cannot be used afterwards."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _stages:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_stages.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 RING = "array<struct<lon:double,lat:double>>"
 
@@ -80,11 +80,16 @@ def grid_cells(spark: SparkSession, path: str, var: str | None = None) -> DataFr
 
 
 def polygons(spark: SparkSession, paths, renames: list[dict[str, str]] | None = None) -> DataFrame:
-    """Watershed rings of one or more agencies, each with its own column names."""
+    """Watershed rings of one or more agencies, each with its own column names.
+
+    ``ring`` is one ring or an array of rings (parts and holes), alike in all files.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     renames = renames or [{} for _ in paths]
-    parts = [
-        read_table(spark, p).withColumnsRenamed(r).select("identifier", "name", F.col("ring").cast(RING).alias("ring"))
-        for p, r in zip(paths, renames, strict=True)
-    ]
+    tables = [read_table(spark, p).withColumnsRenamed(r) for p, r in zip(paths, renames, strict=True)]
+
+    def shape(table: DataFrame) -> str:
+        return f"array<{RING}>" if isinstance(table.schema["ring"].dataType.elementType, ArrayType) else RING
+
+    parts = [t.select("identifier", "name", F.col("ring").cast(shape(t)).alias("ring")) for t in tables]
     return reduce(DataFrame.unionByName, parts)

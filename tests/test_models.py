@@ -1,6 +1,8 @@
 """Regressions, regions and spatial operators against brute force."""
 
+import hashlib
 import itertools
+import os
 
 import numpy as np
 import pandas as pd
@@ -9,9 +11,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from hydropanel import session
 from hydropanel.functions import dist
 from hydropanel.operators import aggregates, pairs, regions, spatial
 from hydropanel.operators import regression as reg
+from hydropanel.sources import checkpoint_table
 
 XS = ["a", "b", "c"]
 
@@ -252,18 +256,66 @@ def test_pairs_within(cloud):
     assert got == want
 
 
+def test_release_deletes_the_written_stages(spark, monkeypatch):
+    monkeypatch.setattr(session, "_stages", [])
+    checkpoint_table(spark.range(3)).count()
+    path = session._stages[0]
+    assert os.path.isdir(path)
+    session.release(spark)
+    assert not os.path.exists(path) and not session._stages
+
+
+def test_rows_sent_to_pair_tasks_grow_with_the_rows(spark):
+    def sent(n: int) -> int:
+        def count(same, a, b):
+            return pd.DataFrame({"n": [len(a) + (0 if same else len(b))]})
+
+        return pairs.blocked_pairs(spark.range(n), F.col("id"), count, "n long").agg(F.sum("n")).first()[0]
+
+    assert sent(20_000) <= 4.5 * sent(5_000)
+
+
+def test_polygons_with_parts_and_holes(spark):
+    def square(x, y, r):
+        return [(x - r, y - r), (x + r, y - r), (x + r, y + r), (x - r, y + r)]
+
+    polys = spark.createDataFrame(
+        [("p", [square(0.0, 0.0, 2.0), square(0.0, 0.0, 1.0), square(5.0, 0.0, 1.0)])],
+        "identifier string, ring array<array<struct<lon:double,lat:double>>>",
+    )
+    points = spark.createDataFrame([(1, 0.1, 0.1), (2, 1.5, 0.0), (3, 5.2, 0.3), (4, 3.0, 0.0)], "cell_id int, lon double, lat double")
+    assert {r.cell_id for r in spatial.points_in_polygons(points, polys).collect()} == {2, 3}
+    # a cell with its left half in the hole
+    cell = spark.createDataFrame([(9, 1.0, 0.0, 8.0), (2, 1.5, 0.0, 2.0)], "cell_id int, lon double, lat double, value double")
+    cover = spatial.coverage(cell, polys, size=0.4, sub=4)
+    assert {r.cell_id: r.share for r in cover.collect()} == {9: 0.5, 2: 1.0}
+    got = spatial.zonal_mean(cell, polys, keys=(), cover=cover).first()
+    assert got["mean"] == pytest.approx((8 * 0.5 + 2) / 1.5) and got.n_cells == 2
+    grid = spatial.square_grid(points, "lon", "lat", 1.0, bbox=(0, 0, 2.5, 1.5))
+    assert grid.count() == 6 and grid.agg(F.max("x"), F.max("y")).first() == (2.5, 1.5)
+
+
 def test_kmeans_and_lloyd(spark):
     rng = np.random.default_rng(0)
     centres = np.array([[0, 0], [10, 0], [0, 10]])
     pts = np.vstack([c + rng.normal(scale=0.3, size=(30, 2)) for c in centres])
     df = spark.createDataFrame([(i, float(a), float(b), int(i // 30)) for i, (a, b) in enumerate(pts)], "id int, a double, b double, truth int")
-    got = regions.kmeans(df, ["a", "b"], k=3).toPandas()
-    assert got.groupby("truth").cluster.nunique().max() == 1 and got.cluster.nunique() == 3 and got.cluster.min() == 1
+    got = regions.kmeans(df, "id", ["a", "b"], k=3).toPandas().set_index("id").cluster
+    first = sorted(range(90), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:3]
+    at = pts[first]
+    for _ in range(25):
+        label = np.argmin(((pts[:, None] - at) ** 2).sum(axis=2), axis=1)
+        at = np.array([pts[label == c].mean(axis=0) if (label == c).any() else at[c] for c in range(3)])
+    label = np.argmin(((pts[:, None] - at) ** 2).sum(axis=2), axis=1)
+    assert [got[i] - 1 for i in range(90)] == list(label)
+    again = regions.kmeans(df.repartition(5), "id", ["a", "b"], k=3).toPandas().set_index("id").cluster
+    assert got.sort_index().equals(again.sort_index())
+    assert regions.kmeans(df.limit(0), "id", ["a", "b"], k=3).count() == 0
     vec = df.withColumn("v", F.array("a", "b"))
-    means = regions.mean_vectors(vec, "truth", "v", 2)
+    means = regions.mean_vectors(vec, "truth", "v")
     near = regions.assign(vec, "v", means, "truth").toPandas()
     assert (near.nearest == near.truth).all()
-    step = {r.truth: r.centre for r in regions.lloyd_step(vec, "v", means, "truth", 2).collect()}
+    step = {r.truth: r.centre for r in regions.lloyd_step(vec, "v", means, "truth").collect()}
     assert all(step[r.truth] == pytest.approx(r.centre) for r in means.collect())
 
 

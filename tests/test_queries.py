@@ -18,7 +18,7 @@ SAMPLE = [
     "src_checkpoint", "snk_csv", "prj_cond_update", "flt_date_window", "nul_zero", "jn_offset", "jn_spatial",
     "agg_mean_sd", "agg_two_level", "agg_season_panel", "agg_season_panel_blend", "win_zscore", "rsh_wide_siteyear",
     "fn_norm_share", "reg_corr_label", "reg_ols", "reg_backward", "reg_step_aic", "reg_trend_starts", "reg_contrib", "sp_krige_nugget",
-    "reg_season_grid", "sp_zonal_mean", "sp_variogram_fit", "cl_regime", "cl_silhouette", "ct_season_wide",
+    "reg_season_grid", "sp_zonal_mean", "sp_variogram_fit", "cl_regime", "cl_silhouette", "cl_kmeans", "jn_spatial_parts", "jn_inner_n", "set_bind_list", "ct_season_wide",
 ]
 
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="driver tables are absent")
@@ -35,7 +35,18 @@ def duck():
 def test_every_query_is_callable_and_named_alike():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     own = {q for q in entry.queries() if q != "pipeline" and not q.startswith("op")}
-    assert own - set(entry.oracle_sql()) == {"cl_kmeans", "cl_sweep", "sp_krige"}
+    assert own - set(entry.oracle_sql()) == {"sp_krige"}
+
+
+@pytest.mark.parametrize(
+    "name, bound",
+    [("flt_range", "GreaterThanOrEqual(l_shipdate"), ("flt_ne", "LessThan(l_shipdate"), ("flt_eq_item", "EqualTo(l_suppkey")],
+)
+def test_filters_reach_the_scan(spark, name, bound):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "lineitem.parquet" in line]
+    assert len(scans) == 1 and bound in scans[0].split("PushedFilters")[1]
 
 
 def test_entry(spark):
