@@ -7,10 +7,12 @@ SHA-256 of key, kind, canonical form and attempt:
 * e-mail: letters and digits of the name and of the domain's first label are replaced by letters and digits, place by place; the rest stays;
 * card: digits of the same number, with a valid check digit if the original has one; phone: digits, the country code stays;
 * IP address: four numbers from 1 to 254;
-* name: a given name of the title's gender and the script of the original, and a family name built from syllables of that script.
+* name: a family name built from syllables of the original's script, the same for all
+  mentions of that family name, and for a full name a given name of the title's gender.
 
 Collision checks: two entities of a kind never share a surrogate, and no surrogate is an entity of the corpus. All but the first of those
-that collide draw again with the next attempt, until none collide. A mention keeps its own punctuation, digit grouping
+that collide draw again with the next attempt, until none collide. Surrogates of e-mails, phone numbers and names grow longer with the attempts,
+so there is always a free one; cards and IP addresses keep their form, in spaces of 10^12 and 254^4. A mention keeps its own punctuation, digit grouping
 and capitals.
 
 Everything is DataFrame expressions. Texts without an entity pass unchanged and are not shuffled. Others are cut into pieces at their
@@ -21,6 +23,8 @@ The two control characters that mark matches become a third one in texts with en
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,42 +109,78 @@ def _checksum(digits: Column) -> Column:
     return F.aggregate(chars, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
 
 
-def surrogate(kind: Column, entity: Column, digest: Column) -> Column:
-    """The surrogate's canonical form."""
+def _later_syllable(syllables: Column, digest: Column) -> Callable[[Column], Column]:
+    """The syllable that the k-th redraw adds; the first draw (0) adds none."""
+    return lambda k: F.when(k > 0, F.element_at(syllables, _number(digest, k * 2 - 1, 16) + 1)).otherwise("")
+
+
+def surrogate(kind: Column, entity: Column, digest: Column, attempt: Column) -> Column:
+    """The surrogate's canonical form. E-mails and phone numbers grow from the third redraw on, names from the first."""
+    more = F.sha2(F.concat(F.lit("more"), digest), 256)
+    grown = F.greatest(attempt - 2, F.lit(0))
     local = F.substring_index(entity, "@", 1)
     domain = F.substring_index(entity, "@", -1)
     first = F.substring_index(domain, ".", 1)
-    mail = F.concat(_letters_and_digits(local, digest), F.lit("@"), _letters_and_digits(first, F.reverse(digest)), F.substr(domain, F.length(first) + 1))
+    bare = ~F.concat(local, first).rlike("[a-z0-9]")
+    letters = F.substr(F.translate(more, "0123456789", "ghijklmnop"), F.lit(1), grown + bare.cast("int"))
+    mail = F.concat(_letters_and_digits(local, digest), letters, F.lit("@"), _letters_and_digits(first, F.reverse(digest)), F.substr(domain, F.length(first) + 1))
     body = _letters_and_digits(F.substr(entity, F.lit(1), F.length(entity) - 1), digest)
     check = F.pmod(F.lit(10) - F.pmod(_checksum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
     valid = F.pmod(_checksum(entity), F.lit(10)) == 0
     last = F.when(valid, check).otherwise(F.pmod(check + 1 + _number(digest, 20, 9), F.lit(10)))
     card = F.concat(body, last.cast("string"))
     country = F.when(entity.startswith("+"), F.substr(entity, F.lit(1), F.greatest(F.length(entity) - 10, F.lit(2)))).otherwise(F.lit(""))
-    phone = F.concat(country, _letters_and_digits(F.substr(entity, F.length(country) + 1), digest))
+    phone = F.concat(country, _letters_and_digits(F.substr(entity, F.length(country) + 1), digest), F.substr(F.translate(more, "abcdef", "012345"), F.lit(1), grown))
     ip = F.concat_ws(".", *[(_number(digest, i, 254) + 1).cast("string") for i in range(4)])
-    name = F.lit(None).cast("string")
-    for (script, gender), given in GIVEN.items():
-        parts = [F.element_at(F.array(*map(F.lit, SYLLABLES[script])), _number(digest, k, 16) + 1) for k in (1, 3, 5, 7)]
-        whole = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, given)), _number(digest, 0, len(given)) + 1), F.initcap(F.concat(*parts)))
-        name = F.when(entity.startswith(f"{gender}/{script}/"), F.concat(F.lit(f"{gender}/{script}/"), whole)).otherwise(name)
-    return F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).otherwise(name)
+    name = family = F.lit(None).cast("string")
+    for script, syllables in SYLLABLES.items():
+        of = F.array(*map(F.lit, syllables))
+        tail = F.array_join(F.transform(F.sequence(F.lit(0), attempt), _later_syllable(of, more)), "")
+        family = F.when(entity.startswith(f"{script}/"), F.concat(F.lit(f"{script}/"), F.initcap(F.concat(*[F.element_at(of, _number(digest, k, 16) + 1) for k in (1, 3, 5, 7)], tail)))).otherwise(family)
+        for gender in TITLES:
+            given = GIVEN[script, gender]
+            first = F.concat(F.element_at(F.array(*map(F.lit, given)), _number(digest, 0, len(given)) + 1), tail)
+            start = f"{gender}/{script}/"
+            name = F.when(entity.startswith(start), F.concat(F.lit(start), first, F.lit(" "), F.substring_index(entity, " ", -1))).otherwise(name)
+    return F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "family", family).otherwise(name)
 
 
 def _draw(entities: DataFrame, secret: str) -> DataFrame:
     digest = F.sha2(F.concat_ws("\u0001", F.lit(secret), "kind", "entity", F.col("attempt").cast("string")), 256)
-    return entities.withColumn("digest", digest).withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.col("digest"))).drop("digest")
+    return entities.withColumn("digest", digest).withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.col("digest"), F.col("attempt"))).drop("digest")
+
+
+def _family(entity: Column) -> Column:
+    """Script and family name, the last part, of a name."""
+    return F.concat_ws("/", F.split_part(entity, F.lit("/"), F.lit(2)), F.substring_index(F.split_part(entity, F.lit("/"), F.lit(3)), " ", -1))
 
 
 def assign(entities: DataFrame, secret: str) -> DataFrame:
-    """kind, entity, surrogate for distinct entities (kind, entity): keyed, distinct within a kind, none an entity itself."""
+    """kind, entity, surrogate for distinct entities (kind, entity): keyed, distinct within a kind, none an entity itself.
+
+    Family names are drawn as entities of their own. A full name draws a given name that no other one with its family name
+    has, and both kinds of mention take the family name's surrogate, so what is printed is distinct.
+    """
+    one = (F.col("kind") == "name") & ~F.contains("entity", F.lit(" "))
+    families = entities.where(F.col("kind") == "name").select(F.lit("family").alias("kind"), _family(F.col("entity")).alias("entity")).distinct()
+    drawn = _settled(entities.where(~one).unionByName(families), secret)
+    family = drawn.where(F.col("kind") == "family").select(F.col("entity").alias("family"), F.split_part("surrogate", F.lit("/"), F.lit(2)).alias("last"))
+    names = entities.where(one).withColumn("surrogate", F.col("entity")).unionByName(drawn.where(F.col("kind") == "name")).withColumn("family", _family(F.col("entity")))
+    first = F.when(F.contains("entity", F.lit(" ")), F.concat(F.substring_index("surrogate", " ", 1), F.lit(" "))).otherwise(F.regexp_extract("entity", r"\A(./\w+/)", 1))
+    named = names.join(family, "family").select("kind", "entity", F.concat(first, "last").alias("surrogate"))
+    return drawn.where(~F.col("kind").isin("family", "name")).unionByName(named)
+
+
+def _settled(entities: DataFrame, secret: str) -> DataFrame:
+    """Drawn again until none collide."""
     drawn = staged(_draw(entities.withColumn("attempt", F.lit(0)), secret), "pii-surrogates")
     while True:
         # The entity that keeps a surrogate is the one with the fewest attempts, then the first by name. A form
         # compared here is in lower case, as mentions are.
-        form = F.lower("surrogate")
+        # Genders do not count, as they are printed only in the title.
+        form = F.regexp_replace(F.lower("surrogate"), r"\A[fm]/", "")
         keeper = drawn.groupBy("kind", form.alias("form")).agg(F.min(F.struct("attempt", "entity")).alias("keeper"))
-        real = drawn.select("kind", F.lower("entity").alias("form"), F.lit(True).alias("real"))
+        real = drawn.select("kind", F.regexp_replace(F.lower("entity"), r"\A[fm]/", "").alias("form"), F.lit(True).alias("real")).distinct()
         judged = drawn.withColumn("form", form).join(keeper, ["kind", "form"]).join(real, ["kind", "form"], "left")
         again = F.coalesce("real", F.lit(False)) | (F.col("keeper.entity") != F.col("entity"))
         judged = staged(judged.select("kind", "entity", "attempt", "surrogate", again.alias("again")), "pii-judged")
@@ -157,12 +197,12 @@ def mention(kind: Column, match: Column, chosen: Column) -> Column:
     chars = F.split(match, "")
     # The how-manieth digit each character is: digits up to it.
     upto = lambda i: F.length(F.regexp_replace(F.substr(match, F.lit(1), i + 1), "[^0-9]", ""))
+    extra = F.array_join(F.slice(digits, F.length(F.regexp_replace(match, "[^0-9]", "")) + 1, F.size(digits)), "")
     laid = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.element_at(digits, F.greatest(upto(i), F.lit(1)))).otherwise(c)), "")
-    cased = F.array_join(F.zip_with(chars, F.split(chosen, ""), lambda a, b: F.when(a.rlike("[A-Z]"), F.upper(b)).otherwise(b)), "")
+    side = lambda n: F.array_join(F.zip_with(F.split(F.substring_index(match, "@", n), ""), F.split(F.substring_index(chosen, "@", n), ""), lambda a, b: F.when(a.rlike("[A-Z]"), F.upper(b)).otherwise(b)), "")
+    cased = F.concat(side(1), F.lit("@"), side(-1))
     named = F.concat(F.regexp_extract(match, r"\A(\p{L}+\.? )", 1), F.regexp_extract(chosen, r"\A./\w+/(.*)\z", 1))
-    single = ~F.regexp_replace(match, r"\A\p{L}+\.? ", "").contains(" ")
-    named = F.when(single, F.concat(F.regexp_extract(match, r"\A(\p{L}+\.? )", 1), F.substring_index(chosen, " ", -1))).otherwise(named)
-    return F.when(kind == "email", cased).when(kind == "ip", chosen).when(kind == "name", named).otherwise(laid)
+    return F.when(kind == "email", cased).when(kind == "ip", chosen).when(kind == "name", named).otherwise(F.concat(laid, extra))
 
 
 def replace(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:

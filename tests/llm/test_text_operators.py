@@ -341,6 +341,27 @@ def test_surrogates(spark, odd, none):
     assert pii_surrogates.replace(odd, "k").count() == len(ODD) and pii_surrogates.replace(none, "k").count() == 0
 
 
+def test_surrogates_never_run_out(spark):
+    mails = [f"{a}@{b}.com" for a in "abcdefghijklmnopqrstuvwxyz0123456789" for b in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    phones = [f"+1{i:03d}" for i in range(1000)]
+    rows = [("email", m) for m in [*mails, "_@-.com", "%@-.com"]] + [("phone", p) for p in phones]
+    given = pii_surrogates.assign(spark.createDataFrame(rows, "kind string, entity string"), "k").collect()
+    made = {(r["kind"], r["surrogate"]) for r in given}
+    assert len(given) == len(rows) == len(made) and not made & set(rows)
+    docs = spark.createDataFrame([(1, "to _@-.com now"), (2, "to A@B.com now")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii_surrogates.replace(docs, "k").collect()}
+    assert re.fullmatch(r"to _[a-z]+@-\.com now", got[1]) and re.fullmatch(r"to [A-Z]@[A-Z]\.com now", got[2])
+
+
+def test_printed_names_are_distinct_and_agree(spark):
+    tail = [a + b + c for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcdefghijklmn"]
+    texts = [f"Mr X{t} came." for t in tail] + [f"Mr Z{t} Smith came." for t in tail[:300]] + ["Mrs Smith came."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in sorted(pii_surrogates.replace(docs, "k").collect())]
+    assert len(set(got)) == len(texts)
+    assert len({t.split()[-2] for t in got[len(tail) :]}) == 1
+
+
 def test_order_minhash(spark, documents, odd, none):
     got = {r["doc_id"]: r for r in Q.QUERIES["op10_order_minhash"](spark, DATA).collect()}
     ids = sorted(documents, reverse=True)
