@@ -7,7 +7,7 @@ SHA-256 of key, kind, canonical form and attempt:
 * e-mail: letters and digits of the name and of the domain's first label are replaced by letters and digits, place by place; the rest stays;
 * card: digits of the same number, with a valid check digit if the original has one; phone: digits, the country code stays;
 * IP address: four numbers from 1 to 254;
-* name: a family name built from syllables of the original's script, the same for all
+* name: all parts, initials and particles after the title; a family name built from syllables of the original's script, the same for all
   mentions of that family name, and for a full name a given name of the title's gender.
 
 Collision checks: two entities of a kind never share a surrogate, and no surrogate is an entity of the corpus. All but the first of those
@@ -45,14 +45,18 @@ SYLLABLES = {
     "cyrillic": ("бар", "вол", "гор", "дан", "жук", "зим", "кар", "лан", "мор", "нов", "пав", "рад", "сар", "тор", "фед", "чер"),
 }
 
-_NAME = r"\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?"
+# A name: parts, initials and particles up to a last part; or an initial alone.
+PARTICLES = ("von", "van", "der", "den", "de", "del", "della", "di", "da", "do", "dos", "du", "la", "le", "zu", "zur", "zum", "ten", "ter", "bin", "al", "y", "фон", "де")
+_PARTICLE = "(?:" + "|".join(PARTICLES) + ")"
+_PART = r"\p{Lu}[\p{L}'’-]+"
+_NAME = rf"(?:(?:{_PART}|(?:\p{{Lu}}\.-?)+|\p{{Lu}}|{_PARTICLE}) |(?:\p{{Lu}}\.)+)*{_PART}|(?:\p{{Lu}}\.)+|\p{{Lu}}(?!\p{{L}})"
 _TITLE = r"\b(?:" + "|".join(t for g in TITLES.values() for t in g) + r")\.? "
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\(?(?<![0-9])[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "name": _TITLE + _NAME,
+    "name": f"{_TITLE}(?:{_NAME})",
 }
 KINDS = tuple(PATTERNS)
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -75,11 +79,12 @@ def canonical(kind: Column, match: Column) -> Column:
     title = F.regexp_extract(match, r"\A(\p{L}+)", 1)
     gender = F.when(title.isin(*TITLES["f"]), "f").otherwise("m")
     bare = F.regexp_replace(match, r"\A\p{L}+\.? ", "")
+    plain = F.regexp_replace(F.regexp_replace(F.lower(bare), r"\.", ""), rf"(?<![^ ]){_PARTICLE} ", "")
     script = F.when(bare.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     return (
         F.when(kind == "email", F.lower(match))
         .when(kind == "ip", match)
-        .when(kind == "name", F.concat_ws("/", gender, script, F.lower(bare)))
+        .when(kind == "name", F.concat_ws("/", gender, script, plain))
         .when((kind == "phone") & match.startswith("+"), F.concat(F.lit("+"), F.regexp_replace(match, "[^0-9]", "")))
         .otherwise(F.regexp_replace(match, "[^0-9]", ""))
     )

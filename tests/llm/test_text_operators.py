@@ -362,6 +362,19 @@ def test_printed_names_are_distinct_and_agree(spark):
     assert len({t.split()[-2] for t in got[len(tail) :]}) == 1
 
 
+def test_whole_names_are_replaced(spark):
+    names = {
+        "Mrs Anna Maria Keller": r"Mrs \w+ (\w+)", "Mrs Keller": r"Mrs (\w+)", "Mr J. Smith": r"Mr \w+ \w+", "Mr. J.R.R. Tolkien": r"Mr\. \w+ \w+", "Mr John F Kennedy": r"Mr \w+ \w+",
+        "Herr Ludwig von Beethoven": r"Herr \w+ \w+", "Frau de la Cruz": r"Frau \w+", "Mr K.": r"Mr \w+",
+    }
+    docs = spark.createDataFrame([(i, f"so {n} said") for i, n in enumerate(names)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii_surrogates.replace(docs, "k").collect()}
+    found = [re.fullmatch(f"so {pattern} said", got[i]) for i, pattern in enumerate(names.values())]
+    assert all(found), got
+    assert found[0][1] == found[1][1]
+    assert not {"Keller", "Smith", "Tolkien", "Kennedy", "Beethoven", "Cruz", "J", "R", "F", "K", "von", "la"} & {w for t in got.values() for w in re.findall(r"\w+", t)}
+
+
 def test_order_minhash(spark, documents, odd, none):
     got = {r["doc_id"]: r for r in Q.QUERIES["op10_order_minhash"](spark, DATA).collect()}
     ids = sorted(documents, reverse=True)
