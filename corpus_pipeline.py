@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydropanel.llm import decontaminate, near_copies, piece_lattice, quality_crf, secret_ledger
+from hydropanel.llm import decontaminate, piece_lattice, quality_crf, secret_ledger, simhash
 from hydropanel.llm.common import staged, table
-from hydropanel.llm.queries import TOKENIZERS
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with five-word shingles alike to 0.8."""
-    return near_copies.representatives(docs)
+    """One document of each group whose fingerprints of three-word shingles are linked by at most two differing bits."""
+    return simhash.representatives(docs, shingle=3, radius=2)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One sampled segmentation of each document."""
-    encoded = piece_lattice.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    encoded = piece_lattice.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return encoded.select("doc_id", F.size("ids").alias("n_pieces"), "lossless", "ids")
 
 
