@@ -4,26 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydropanel.llm import (
+    collocations,
     decontaminate,
     language_profiles,
     order_minhash,
+    periodic_runs,
     piece_lattice,
     pii_surrogates,
     quality_crf,
     secret_ledger,
     simhash,
+    token_counts,
     token_planes,
     url_filter,
 )
 from hydropanel.llm.common import table
 
-# Folder of the public tokenizer files, the same on all machines.
-TOKENIZERS = "/opt/tokenizers"
-
 # Key of the surrogates. In production it comes from the site's secret store.
 PII_KEY = "query-key"
 
@@ -141,7 +142,7 @@ def op1_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sampled segmentation of every document, seeded by its id, and whether it decodes to the whole text."""
-    return piece_lattice.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model").select(
+    return piece_lattice.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).select(
         "doc_id", F.size("ids").alias("n_pieces"), "lossless", "ids"
     )
 
@@ -149,7 +150,7 @@ def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as bit planes of token ids and read back."""
-    folder = token_planes.write(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    folder = token_planes.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return token_planes.read(spark, folder).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
@@ -173,3 +174,62 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with personal data replaced."""
     return pii_surrogates.replace(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+@query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+# The words of one document in ten repeat from word a on, with period p: word i is the original word a + (i - a) % p.
+_WORDS = "filter(split(coalesce(text, ''), '[ \\\\x09-\\\\x0D]+'), w -> w != '')"
+_REPEATED = "array_join(transform(sequence(0, size(words) - 1), i -> words[if(i < a, i, a + (i - a) % p)]), ' ')"
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in all documents, one in ten made periodic."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    docs = docs.withColumn("words", F.when(F.col("h") % 10 == 0, F.expr(_WORDS))).withColumn("g", F.expr("h div 10"))
+    docs = docs.withColumn("a", F.expr("if(size(words) > 0, g % size(words), null)")).withColumn("p", F.expr("1 + (size(words) - a) div (3 + g % 8)"))
+    docs = docs.select("doc_id", F.when(F.size("words") > 0, F.expr(_REPEATED)).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs.find(docs)
+    best = F.expr("aggregate(runs, runs[0], (b, x) -> if(x.length * b.period > b.length * x.period, x, b))")
+    found = found.withColumn("best", F.when(F.size("runs") > 0, best))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(F.lit("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two and three words of each language."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_collocations"] = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, unnest(flatten(list_transform(range(1, 4), lambda m: list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i : i + m - 1], ' '))))) AS phrase FROM w),
+f AS (SELECT lang, phrase, len(string_split(phrase, ' ')) AS m, count(*) AS a FROM g GROUP BY lang, phrase),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m >= 2 AND a >= 10),
+k AS (SELECT lang, phrase, a, ws, m, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, x.a AS l, y.a AS r, ((1000000::HUGEINT * k.a * k.a) // (x.a::HUGEINT * y.a))::BIGINT AS score FROM k
+  JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.ws[1 : k.k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.ws[k.k + 1 : k.m], ' ')),
+b AS (SELECT lang, phrase, a, min_by({'l': l, 'r': r, 'score': score}, (score, k)) AS v FROM s GROUP BY lang, phrase, a),
+u AS (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM c WHERE m = 3),
+o AS (SELECT lang, phrase, max(a) AS longer FROM u GROUP BY lang, phrase),
+z AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY v.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, v.l AS l, v.r AS r, v.score AS score
+  FROM b LEFT JOIN o ON b.lang = o.lang AND b.phrase = o.phrase WHERE longer IS NULL OR 100 * longer < 50 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN n USING (lang) WHERE rank <= 2000"""

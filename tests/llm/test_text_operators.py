@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 
@@ -14,7 +15,6 @@ import corpus_pipeline
 from hydropanel.llm import (
     decontaminate,
     language_profiles,
-    near_copies,
     order_minhash,
     piece_lattice,
     pii_surrogates,
@@ -28,8 +28,8 @@ from hydropanel.llm import queries as Q
 from hydropanel.llm.common import table
 
 DATA = "/root/testdata/sf0.001"
-WORDS = f"{Q.TOKENIZERS}/word_bpe_49k.json"
-PIECES = f"{Q.TOKENIZERS}/piece_bpe_32k.model"
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, ids int, score string, component string, nr int"
 LONG = "alpha beta gamma delta " * 20_000
 ODD = [
@@ -142,37 +142,6 @@ def test_one_of_each_group_stays(spark, odd, none):
     assert simhash.groups(odd).count() == len(ODD)
 
 
-def test_near_copies_are_all_pairs_at_four_fifths(spark, documents, odd, none):
-    rng = np.random.default_rng(5)
-    texts = dict(documents)
-    for k in range(40):  # chains of edits, and a passage that many texts share
-        words = [*(f"p{i}" for i in range(60)), *(f"w{x}" for x in rng.integers(0, 5000, 40 + k))]
-        for step in range(5):
-            texts[10_000 + 10 * k + step] = " ".join(words)
-            words[int(rng.integers(0, len(words)))] = f"e{k}.{step}"
-    sets = {}
-    for i, t in texts.items():
-        w = (t or "").lower().split()
-        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
-    root = {i: i for i in texts}
-    def find(i):  # noqa: E306
-        while root[i] != i:
-            i = root[i]
-        return i
-    ids = sorted(texts)
-    for n, i in enumerate(ids):
-        for j in ids[n + 1 :]:
-            both = len(sets[i] & sets[j])
-            if both * 9 >= 4 * (len(sets[i]) + len(sets[j])):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    got = [r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, DATA).collect()]
-    assert sorted(got) == [i for i in ids if find(i) == i]
-    assert collections.Counter(r["doc_id"] for r in near_copies.representatives(odd).collect()) == collections.Counter([1, 3, 4, 8, 9])
-    assert near_copies.representatives(none).count() == 0
-
-
 def test_benchmark_items(spark, documents, odd, none):
     items = {r["item_id"]: r["text"] for r in table(spark, DATA, "benchmark").collect()}
     runs = lambda t: (w := decontaminate.words(t)) and {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
