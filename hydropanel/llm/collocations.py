@@ -1,12 +1,13 @@
 """Phrases that stand together more often than their parts, counted by sorting suffix pointers.
 
 A suffix pointer is a place of a word in a piece (a stretch between punctuation marks and line breaks); its key is the word there and the following ones,
-``longest`` at most. A map task combines equal prefixes of 1 to ``longest`` words of a chunk of text and sends each, with its count, to the
-bucket of its own leading words: prefixes of d words are routed by all d of them. So all occurrences of a phrase meet in one task, while a frequent
-word, pair or passage is one entry per chunk there, and what follows it is spread over all tasks.
+``longest`` at most. A map task combines equal suffixes of a chunk of text and sends each, with its count, to the bucket of its two leading
+words, so that all occurrences of a phrase meet in one task; words by themselves are counted beside. A pair with more different suffixes in a chunk than
+a bucket's share is split: its suffixes go by all their words, and only its count goes to the pair's own bucket, which then hands on
+what it has of the pair as partial counts to be added. So no task gets much more than its share, however frequent a word, pair or passage is.
 
 A task sorts the pointers of its bucket by multikey three-way quicksort, all open partitions at a time: each partition is split around a
-pivot word into less, equal and greater; an equal partition goes on to the next word, and at the last word its size is the count of a phrase.
+pivot word into less, equal and greater; an equal partition goes on to the next word, and its size is the count of the phrase so far.
 Partitions with fewer than ``least`` occurrences are abandoned at once, as no phrase in them can reach it; a part of a phrase is as
 frequent as the phrase, so nothing that a score needs is lost. A bucket gets about ``BUCKET`` bytes of text, so memory stays
 the same for any corpus.
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ BUCKET = 16 << 20  # bytes of text for one sorting task
 _BREAK = b"\xff"  # no byte of UTF-8
 _MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _BREAK * 10)
 _SALTS = 32
+_FEW = 100  # suffixes that a pair may have in a chunk without being split
+_WORD, _SUFFIX, _SPLIT, _MARK = range(4)
 
 
 def stretches(text: bytes, longest: int, slab: int) -> Iterator[tuple[list[bytes], int]]:
@@ -62,29 +65,26 @@ def stretches(text: bytes, longest: int, slab: int) -> Iterator[tuple[list[bytes
         at, carried = cut, words[begin:]
 
 
-def _prefixes(words: np.ndarray, begins: np.ndarray, lang: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct runs of ``depth`` words without a break (0) between, with their language, and how often each occurs."""
-    n = len(words) - depth + 1
-    if n < 1:
-        return np.zeros((0, depth), np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
-    whole = begins[:n].copy()
-    for i in range(depth):
-        whole &= words[i : i + n] > 0
-    at = np.flatnonzero(whole)
-    width = max(1, int(words.max()).bit_length())
-    part = [lang[at].astype(np.int64), *[words[at + i].astype(np.int64) for i in range(depth)]]
-    if width * depth + int(lang.max(initial=0)).bit_length() <= 63:
-        key = part[0]
-        for p in part[1:]:
-            key = key << width | p
-        _, first, number = np.unique(key, return_index=True, return_counts=True)
-    else:
-        order = np.lexsort(part[::-1])
-        new = np.ones(len(order), bool)
-        if len(order):
-            new[1:] = np.any([p[order[1:]] != p[order[:-1]] for p in part], axis=0)
-        first, number = order[new], np.diff(np.append(np.flatnonzero(new), len(order)))
-    return np.stack([p[first] for p in part[1:]], axis=1).astype(np.int32), part[0][first].astype(np.int32), number
+def _equal(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of some columns of numbers, sorted, and how often each occurs."""
+    widths = [max(1, int(c.max(initial=0)).bit_length()) for c in columns]
+    if sum(widths) <= 63:
+        key = columns[0].astype(np.int64)
+        for c, w in zip(columns[1:], widths[1:], strict=True):
+            key <<= w
+            key |= c
+        key.sort()
+        at = np.flatnonzero(np.append(len(key) > 0, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        number = np.diff(np.append(at, len(key)))
+        key, out = key[at], []
+        for w in widths[:0:-1]:
+            out.append((key & ((1 << w) - 1)).astype(np.int32))
+            key >>= w
+        return [key.astype(np.int32), *out[::-1]], number
+    order = np.lexsort(columns[::-1])
+    columns = [c[order].astype(np.int32) for c in columns]
+    at = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0)))
+    return [c[at] for c in columns], np.diff(np.append(at, len(order)))
 
 
 class _Chunk:
@@ -109,45 +109,80 @@ class _Chunk:
         self.lang.append(np.full(len(words), self.langs[lang], np.int32))
         self.size += len(words)
 
+    def _entries(self) -> list[tuple[int, list[np.ndarray], np.ndarray]]:
+        """(kind, columns language and words, counts): what the chunk sends."""
+        words, lang = np.concatenate(self.words), np.concatenate(self.lang)
+        begins = np.concatenate(self.begins) & (words > 0)
+        single, number = _equal([lang[begins], words[begins]])
+        fill = [np.zeros(len(number), np.int32)] * (self.longest - 1)
+        out = [(_WORD, [*single, *fill], number)]
+        if self.longest > 1:
+            after = np.append(words[1:], 0)
+            at = np.flatnonzero(begins & (after > 0))
+            columns = [lang[at], words[at], after[at]]
+            for i in range(2, self.longest):
+                later = np.append(words, np.zeros(i, np.int32))[at + i]
+                columns.append(np.where(columns[-1] > 0, later, 0))
+            suffix, number = _equal(columns)
+            # Pairs with many different suffixes.
+            first = np.flatnonzero(np.append(len(number) > 0, np.any([c[1:] != c[:-1] for c in suffix[:3]], axis=0))) if len(number) else np.zeros(0, np.int64)
+            followers = np.diff(np.append(first, len(number)))
+            heavy = followers > max(_FEW, len(number) // self.buckets)
+            split = np.repeat(heavy, followers)
+            out.append((_SUFFIX, [c[~split] for c in suffix], number[~split]))
+            if heavy.any():
+                out.append((_SPLIT, [c[split] for c in suffix], number[split]))
+                marks = [c[first[heavy]] for c in suffix[:3]]
+                out.append((_MARK, [*marks, *[np.zeros(len(marks[0]), np.int32)] * (self.longest - 2)], np.add.reduceat(number, first)[heavy]))
+        return out
+
     def flush(self) -> Iterator[tuple[int, bytes]]:
-        """(bucket, packed prefixes) of all buckets that get some."""
-        words, begins, lang = np.concatenate(self.words), np.concatenate(self.begins), np.concatenate(self.lang)
+        """(bucket, packed entries) of all buckets that get some."""
         spelled, langs = list(self.numbers), list(self.langs)
         digest = np.array([xxhash.xxh64_intdigest(w) for w in spelled], np.uint64)
         lang_digest = np.array([xxhash.xxh64_intdigest(x.encode(), 1) for x in langs], np.uint64)
-        found = []
-        for depth in range(1, self.longest + 1):
-            prefix, of, number = _prefixes(words, begins, lang, depth)
-            route = lang_digest[of]
+        routes, kinds, rows, numbers = [], [], [], []
+        for kind, columns, number in self._entries():
+            route = lang_digest[columns[0]]
             with np.errstate(over="ignore"):
-                for i in range(depth):
-                    route = mix(route * np.uint64(3) + digest[prefix[:, i]])
-            wide = np.zeros((len(of), self.longest), np.int32)
-            wide[:, :depth] = prefix
-            found.append((route % np.uint64(self.buckets), of, wide, number))
-        route, of, prefix, number = (np.concatenate(x) for x in zip(*found, strict=True))
+                for c in columns[1 : {_WORD: 2, _SPLIT: None}.get(kind, 3)]:
+                    route = mix(route * np.uint64(3) + digest[c])
+            routes.append((route % np.uint64(self.buckets)).astype(np.uint16 if self.buckets < 1 << 16 else np.int64))
+            kinds.append(np.full(len(number), kind, np.int8))
+            rows.append(columns)
+            numbers.append(number)
+        route, kind, number = np.concatenate(routes), np.concatenate(kinds), np.concatenate(numbers)
+        columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
         order = np.argsort(route, kind="stable")
-        route, of, prefix, number = route[order], of[order], prefix[order], number[order]
-        edge = np.flatnonzero(np.append(True, route[1:] != route[:-1])) if len(route) else []
+        route, kind, number, columns = route[order], kind[order], number[order], [c[order] for c in columns]
+        edge = np.flatnonzero(np.append(len(route) > 0, route[1:] != route[:-1])) if len(route) else []
+        dictionary = pa.array(spelled, pa.binary())
         for lo, hi in zip(edge, np.append(edge[1:], len(route)) if len(route) else [], strict=True):
-            yield int(route[lo]), _pack(of[lo:hi], langs, prefix[lo:hi], spelled, number[lo:hi])
+            yield int(route[lo]), _pack(kind[lo:hi], langs, [c[lo:hi] for c in columns], dictionary, number[lo:hi])
         self.clear()
 
 
-def _pack(lang: np.ndarray, langs: list[str], prefix: np.ndarray, spelled: list[bytes], number: np.ndarray) -> bytes:
-    """Entries with the words they use, compressed. A prefix shorter than ``longest`` is filled with 0."""
-    used, code = np.unique(prefix, return_inverse=True)
-    some, lang_code = np.unique(lang, return_inverse=True)
-    if not len(used) or used[0]:  # number 0 stays the filling
-        used, code = np.append(0, used), code + 1
+def _small(x: np.ndarray) -> pa.Array:
+    """As short a type as holds the numbers."""
+    return pa.array(x.astype(np.min_scalar_type(int(x.max(initial=0)))))
+
+
+def _pack(kind: np.ndarray, langs: list[str], columns: list[np.ndarray], dictionary: pa.Array, number: np.ndarray) -> bytes:
+    """Entries with the words they use, compressed. The filling 0 of a short entry stays 0."""
+    used = np.zeros(len(dictionary), bool)
+    used[0] = True
+    for c in columns[1:]:
+        used[c] = True
+    code = np.cumsum(used) - 1
     arrays = [
-        pa.array([langs[i].encode() for i in some], pa.binary()), pa.array([spelled[i] for i in used], pa.binary()),
-        pa.array(lang_code.ravel(), pa.int32()), pa.array(np.ascontiguousarray(code.reshape(prefix.shape).T).ravel(), pa.int32()), pa.array(number, pa.int64()),
+        pa.array([x.encode() for x in langs], pa.binary()), dictionary.take(pa.array(np.flatnonzero(used))),
+        pa.array(kind), _small(columns[0]), *[_small(code[c]) for c in columns[1:]], _small(number),
     ]
-    columns = pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in arrays], names=["langs", "words", "lang", "prefix", "number"])
+    names = ["langs", "words", "kind", "lang", *[f"word{i}" for i in range(1, len(columns))], "number"]
+    batch = pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in arrays], names=names)
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, columns.schema) as out:
-        out.write_batch(columns)
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
     return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
 
 
@@ -156,40 +191,102 @@ def _unpack(raw: bytes) -> list[pa.Array]:
     return [c.flatten() for c in batch.columns]
 
 
-def multikey_counts(keys: np.ndarray, weight: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """A pointer into each group of equal rows of ``keys`` with a total weight of at least ``least``, and that weight.
+def multikey_counts(columns: list[np.ndarray], weight: np.ndarray, least: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of rows that agree in their leading columns, ``first`` of them or more, and have a total weight of at least ``least``: a
+    pointer into each, its weight, and in how many columns it agrees.
 
-    All open partitions are split together: a round reorders the pointers of each into those less than, equal to and greater than its pivot.
+    All open partitions are split together: a round parts the pointers of each into those less than, equal to and greater than its pivot.
     """
-    n, depth = keys.shape
-    word_at = np.ascontiguousarray(keys.T).ravel()
+    depth, n = len(columns), len(weight)
+    word_at = np.concatenate(columns)
     pointers = np.arange(n)
     size, level = np.array([n]), np.zeros(1, np.int64)
     if int(weight.sum()) < least:
         pointers, size, level = pointers[:0], size[:0], level[:0]
-    found, total = [pointers[:0]], [pointers[:0]]
+    found, total, agree = [pointers[:0]], [pointers[:0]], [pointers[:0]]
     while len(size):
         stop = np.cumsum(size)
-        part = np.repeat(np.arange(len(size)), size)
+        part = np.repeat(np.arange(len(size), dtype=np.int32), size)
         word = word_at[(level * n)[part] + pointers]
         pivot = word[stop - size + size // 2][part]  # the middle pointer's word
         number = weight[pointers]
         rest, sizes, levels = [], [], []
         for side, deeper in ((word < pivot, 0), (word == pivot, 1), (word > pivot, 0)):
-            heavy = np.bincount(part[side], weights=number[side], minlength=len(size))
+            where = np.flatnonzero(side)
+            of = part[where]
+            heavy = np.bincount(of, weights=number[where], minlength=len(size))
             open_ = heavy >= least
-            here = side & open_[part]
-            own, length, next_level = pointers[here], np.bincount(part[here], minlength=len(size))[open_], level[open_] + deeper
-            done = next_level == depth
-            if done.any():
-                found.append(own[(np.cumsum(length) - length)[done]])
-                total.append(heavy[open_][done].astype(np.int64))
-                own, length, next_level = own[np.repeat(~done, length)], length[~done], next_level[~done]
+            keep = open_[of]
+            own, length, next_level = pointers[where[keep]], np.bincount(of[keep], minlength=len(size))[open_], level[open_] + deeper
+            if deeper:
+                told = next_level >= first
+                found.append(own[(np.cumsum(length) - length)[told]])
+                total.append(heavy[open_][told].astype(np.int64))
+                agree.append(next_level[told])
+                more = next_level < depth
+                if not more.all():
+                    own, length, next_level = own[np.repeat(more, length)], length[more], next_level[more]
             rest.append(own)
             sizes.append(length)
             levels.append(next_level)
         pointers, size, level = np.concatenate(rest), np.concatenate(sizes), np.concatenate(levels)
-    return np.concatenate(found), np.concatenate(total)
+    return np.concatenate(found), np.concatenate(total), np.concatenate(agree)
+
+
+class _Bucket:
+    """Entries of one bucket, under numbers of their own."""
+
+    def __init__(self, longest: int) -> None:
+        self.longest = longest
+        self.numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.numbers[_BREAK]
+        self.langs: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.kind: list[np.ndarray] = []
+        self.columns: list[list[np.ndarray]] = [[] for _ in range(longest + 1)]
+        self.number: list[np.ndarray] = []
+
+    def add(self, raw: bytes) -> None:
+        langs, words, kind, lang, *columns, number = _unpack(raw)
+        own = np.fromiter(map(self.numbers.__getitem__, words.to_pylist()), np.int32, len(words))
+        own_lang = np.fromiter(map(self.langs.__getitem__, langs.to_pylist()), np.int32, len(langs))
+        self.kind.append(kind.to_numpy())
+        self.number.append(number.to_numpy().astype(np.int32))
+        self.columns[0].append(own_lang[lang.to_numpy()])
+        for to, c in zip(self.columns[1:], columns, strict=True):
+            to.append(own[c.to_numpy()])
+
+    def counts(self, least: int) -> Iterator[tuple[str, list[str], int, bool]]:
+        """(language, phrase, count, whether it is partial); for each language the number of words with an empty phrase."""
+        kind, number = np.concatenate(self.kind), np.concatenate(self.number)
+        columns = [np.concatenate(c) for c in self.columns]
+        self.kind, self.number, self.columns = [], [], []
+        spelled, langs = [w.decode(errors="ignore") for w in self.numbers], [x.decode() for x in self.langs]
+
+        def told(rows: np.ndarray, enough: int, first: int, partial: bool) -> Iterator[tuple[str, list[str], int, bool]]:
+            some = [c[rows] for c in columns[: 2 if first == 2 else None]]
+            at, total, agree = multikey_counts(some, number[rows], enough, first)
+            for i, a, d in zip(at.tolist(), total.tolist(), agree.tolist(), strict=True):
+                if some[d - 1][i]:  # else the suffix ends before
+                    yield langs[some[0][i]], [spelled[c[i]] for c in some[1:d]], a, partial
+
+        word = np.flatnonzero(kind == _WORD)
+        for name, n in zip(langs, np.bincount(columns[0][word], weights=number[word], minlength=len(langs)).tolist(), strict=True):
+            yield name, [], int(n), False
+        yield from told(word, least, 2, False)
+        if self.longest < 2:
+            return
+        suffix, mark = (kind == _SUFFIX) | (kind == _MARK), np.flatnonzero(kind == _MARK)
+        if len(mark):
+            # A pair that is split somewhere: its count is complete here, the counts of longer phrases are not.
+            pair = (columns[0].astype(np.int64) << 31 | columns[1]) * len(spelled) + columns[2]
+            parted = suffix & np.isin(pair, pair[mark])
+            yield from ((lang, phrase, a, False) for lang, phrase, a, _ in told(np.flatnonzero(parted), least, 3, False) if len(phrase) == 2)
+            suffix &= ~parted
+            rows = np.flatnonzero(parted & (kind == _SUFFIX))
+            yield from told(rows, 1, 4, True)
+        if self.longest > 2:
+            yield from told(np.flatnonzero(kind == _SPLIT), 1, 4, True)
+        yield from told(np.flatnonzero(suffix), least, 3, False)
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, buckets: int | None = None, chunk: int = CHUNK, slab: int = SLAB) -> DataFrame:
@@ -220,34 +317,18 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
             yield from packed()
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
-        numbers[_BREAK]
-        langs: defaultdict[bytes, int] = defaultdict(count().__next__)
-        keys, weights = [], []
+        own = _Bucket(longest)
         for batch in batches:
             for raw in batch.column(1):
-                of, words, lang_code, prefix, number = _unpack(raw.as_py())
-                own = np.fromiter(map(numbers.__getitem__, words.to_pylist()), np.int32, len(words))
-                own_lang = np.fromiter(map(langs.__getitem__, of.to_pylist()), np.int32, len(of))
-                wide = own[prefix.to_numpy().reshape(longest, -1).T]
-                keys.append(np.concatenate([own_lang[lang_code.to_numpy()][:, None], wide], axis=1))
-                weights.append(number.to_numpy())
-        if not keys:
-            return
-        key, weight = np.concatenate(keys), np.concatenate(weights)
-        keys.clear()
-        spelled, named = ["" if w == _BREAK else w.decode() for w in numbers], [x.decode() for x in langs]
-        single = (key[:, 2:] == 0).all(axis=1)
-        words_in = np.bincount(key[single, 0], weights=weight[single], minlength=len(named)).astype(np.int64)
-        at, total = multikey_counts(key, weight, least)
-        lang_out = [named[i] for i in key[at, 0]] + named
-        phrase = [[spelled[w] for w in row if w] for row in key[at, 1:].tolist()] + [[] for _ in named]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(lang_out, pa.string()), pa.array(phrase, pa.list_(pa.string())), pa.array(np.append(total, words_in), pa.int64())], names=["lang", "phrase", "a"]
-        )
+                own.add(raw.as_py())
+        rows = own.counts(least) if own.kind else iter(())
+        while some := list(islice(rows, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.string(), pa.list_(pa.string()), pa.int64(), pa.bool_()), strict=True)], names=["lang", "phrase", "a", "partial"])
 
     routed = narrow.mapInArrow(send, "bucket int, packed binary").repartitionById(buckets, "bucket")
-    return routed.mapInArrow(sort, "lang string, phrase array<string>, a long")
+    found = staged(routed.mapInArrow(sort, "lang string, phrase array<string>, a long, partial boolean"), "phrases")
+    added = found.where("partial").groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    return found.where("not partial").select("lang", "phrase", "a").unionByName(added)
 
 
 def _part(phrase: Column, lo, size) -> Column:
@@ -262,7 +343,7 @@ def mine(
 
     A phrase inside a longer one that has at least ``inside`` percent of its occurrences is left out.
     """
-    return rank(staged(phrase_counts(docs, text, lang, least, longest, buckets, chunk, slab), "phrases"), top, inside)
+    return rank(phrase_counts(docs, text, lang, least, longest, buckets, chunk, slab), top, inside)
 
 
 def rank(counted: DataFrame, top: int = TOP, inside: int = 50) -> DataFrame:

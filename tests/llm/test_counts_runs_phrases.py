@@ -185,14 +185,16 @@ def test_multikey_sort_counts():
         want = collections.Counter()
         for key, w in zip(map(tuple, keys.tolist()), weight.tolist(), strict=True):
             want[key] += w
-        at, total = collocations.multikey_counts(keys, weight, 5)
-        got = list(zip(map(tuple, keys[at].tolist()), total.tolist(), strict=True))
+            want[key[:2]] += w
+        at, total, agree = collocations.multikey_counts(list(keys.T), weight, 5, 2)
+        got = [(tuple(keys[i, :d].tolist()), t) for i, t, d in zip(at, total.tolist(), agree, strict=True)]
         assert len(got) == len(dict(got)) and dict(got) == {key: w for key, w in want.items() if w >= 5}
 
 
 @pytest.mark.parametrize(("chunk", "slab", "longest"), [(1_000_000, 1 << 20, 3), (50, 64, 3), (7, 16, 4), (200, 30, 2)])
-def test_phrases_at_any_cut(spark, chunk, slab, longest):
+def test_phrases_at_any_cut(spark, monkeypatch, chunk, slab, longest):
     """Small chunks and slabs, a hot passage in a third of the rows, a hot pair followed by many words."""
+    monkeypatch.setattr(collocations, "_FEW", 2)  # pairs are split in many chunks and not in others
     rng = random.Random(longest)
     words = ["Aa", "b", "É", "日本", "d'x", "e f", "g\x1fh"]
     texts = [" ".join(rng.choice(words) + rng.choice(["", "", "", ",", ".\n", "\t", "!?", "\r", "\x0b"]) for _ in range(rng.randrange(80))) for _ in range(60)]
@@ -201,6 +203,37 @@ def test_phrases_at_any_cut(spark, chunk, slab, longest):
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
     got = {tuple(r) for r in collocations.mine(docs, least=4, longest=longest, buckets=3, chunk=chunk, slab=slab).collect()}
     assert got == plain_phrases(rows, 4, longest) and got
+    # The tasks of Spark have a module of their own, so the splitting is also tried here.
+    sent = collocations._Chunk(longest, 3)
+    own = [collocations._Bucket(longest) for _ in range(3)]
+    kinds = set()
+    for text, lang in rows:
+        for words, begin in collocations.stretches((text or "").encode(), longest, slab):
+            sent.add(words, begin, lang or "und")
+            if sent.size >= chunk:
+                kinds |= {k for k, *_ in sent._entries()}
+                for bucket, raw in sent.flush():
+                    own[bucket].add(raw)
+    if sent.size:
+        kinds |= {k for k, *_ in sent._entries()}
+        for bucket, raw in sent.flush():
+            own[bucket].add(raw)
+    whole, partial = collections.Counter(), collections.Counter()
+    for bucket in own:
+        for of, phrase, a, part in bucket.counts(4):
+            assert part or not phrase or (of, *phrase) not in whole
+            (partial if part else whole)[(of, *phrase)] += a
+    whole.update({k: a for k, a in partial.items() if a >= 4})
+    assert partial or longest < 3 or chunk > 1000
+    want = collections.Counter()
+    for text, lang in rows:
+        for words, _ in collocations.stretches((text or "").encode(), longest, 1 << 20):
+            for i, w in enumerate(words):
+                want[lang or "und",] += w != b"\xff"
+                for m in range(1, longest + 1):
+                    phrase = words[i : i + m]
+                    want[(lang or "und", *[x.decode(errors="replace") for x in phrase])] += len(phrase) == m and b"\xff" not in phrase
+    assert whole == {k: a for k, a in want.items() if a >= 4 or len(k) == 1}
 
 
 def test_counts_beyond_64_bits(spark):
