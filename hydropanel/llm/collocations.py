@@ -156,39 +156,49 @@ class _Chunk:
         order = np.argsort(route, kind="stable")
         route, kind, number, columns = route[order], kind[order], number[order], [c[order] for c in columns]
         edge = np.flatnonzero(np.append(len(route) > 0, route[1:] != route[:-1])) if len(route) else []
-        dictionary = pa.array(spelled, pa.binary())
+        dictionary = np.array(spelled, object)
         for lo, hi in zip(edge, np.append(edge[1:], len(route)) if len(route) else [], strict=True):
             yield int(route[lo]), _pack(kind[lo:hi], langs, [c[lo:hi] for c in columns], dictionary, number[lo:hi])
         self.clear()
 
 
-def _small(x: np.ndarray) -> pa.Array:
-    """As short a type as holds the numbers."""
-    return pa.array(x.astype(np.min_scalar_type(int(x.max(initial=0)))))
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as byte planes, lowest first, as many as the largest number needs."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _pack(kind: np.ndarray, langs: list[str], columns: list[np.ndarray], dictionary: pa.Array, number: np.ndarray) -> bytes:
+def _from_planes(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(-1, n)
+    wide = np.zeros((n, 4 if len(planes) <= 4 else 8), np.uint8)
+    wide[:, : len(planes)] = planes.T
+    return wide.view("<u4" if wide.shape[1] == 4 else "<u8").ravel()
+
+
+def _pack(kind: np.ndarray, langs: list[str], columns: list[np.ndarray], spelled: np.ndarray, number: np.ndarray) -> bytes:
     """Entries with the words they use, compressed. The filling 0 of a short entry stays 0."""
-    used = np.zeros(len(dictionary), bool)
+    used = np.zeros(len(spelled), bool)
     used[0] = True
     for c in columns[1:]:
         used[c] = True
     code = np.cumsum(used) - 1
-    arrays = [
-        pa.array([x.encode() for x in langs], pa.binary()), dictionary.take(pa.array(np.flatnonzero(used))),
-        pa.array(kind), _small(columns[0]), *[_small(code[c]) for c in columns[1:]], _small(number),
-    ]
-    names = ["langs", "words", "kind", "lang", *[f"word{i}" for i in range(1, len(columns))], "number"]
-    batch = pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in arrays], names=names)
+    first = np.diff(code[columns[1]], prepend=0) + len(code)  # sorted, so the steps are small
+    parts = [b" ".join(spelled[used].tolist()), _planes(kind), _planes(columns[0]), _planes(first), *[_planes(code[c]) for c in columns[2:]], _planes(number)]
+    batch = pa.record_batch([pa.array([[x.encode() for x in langs]], pa.list_(pa.binary())), pa.array([parts], pa.list_(pa.binary())), pa.array([[len(code), len(number)]])], names=["langs", "parts", "sizes"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
 
 
-def _unpack(raw: bytes) -> list[pa.Array]:
-    batch = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(raw)).read_next_batch()
-    return [c.flatten() for c in batch.columns]
+def _unpack(raw: bytes) -> tuple[list[bytes], list[bytes], list[np.ndarray]]:
+    """Languages, words, and as arrays: kinds, languages, words by column, counts."""
+    row = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(raw)).read_next_batch().to_pylist()[0]
+    offset, n = row["sizes"]
+    words, *parts = row["parts"]
+    arrays = [_from_planes(p, n) for p in parts]
+    arrays[2] = np.cumsum(arrays[2].astype(np.int64) - offset)
+    return row["langs"], words.split(b" "), arrays
 
 
 def multikey_counts(columns: list[np.ndarray], weight: np.ndarray, least: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,28 +256,28 @@ class _Bucket:
         self.number: list[np.ndarray] = []
 
     def add(self, raw: bytes) -> None:
-        langs, words, kind, lang, *columns, number = _unpack(raw)
-        own = np.fromiter(map(self.numbers.__getitem__, words.to_pylist()), np.int32, len(words))
-        own_lang = np.fromiter(map(self.langs.__getitem__, langs.to_pylist()), np.int32, len(langs))
-        self.kind.append(kind.to_numpy())
-        self.number.append(number.to_numpy().astype(np.int32))
-        self.columns[0].append(own_lang[lang.to_numpy()])
+        langs, words, (kind, lang, *columns, number) = _unpack(raw)
+        own = np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
+        own_lang = np.fromiter(map(self.langs.__getitem__, langs), np.int32, len(langs))
+        self.kind.append(kind.astype(np.int8))
+        self.number.append(number.astype(np.int32))
+        self.columns[0].append(own_lang[lang])
         for to, c in zip(self.columns[1:], columns, strict=True):
-            to.append(own[c.to_numpy()])
+            to.append(own[c])
 
     def counts(self, least: int) -> Iterator[tuple[str, list[str], int, bool]]:
         """(language, phrase, count, whether it is partial); for each language the number of words with an empty phrase."""
         kind, number = np.concatenate(self.kind), np.concatenate(self.number)
         columns = [np.concatenate(c) for c in self.columns]
         self.kind, self.number, self.columns = [], [], []
-        spelled, langs = [w.decode(errors="ignore") for w in self.numbers], [x.decode() for x in self.langs]
+        spelled, langs = list(self.numbers), [x.decode() for x in self.langs]
 
         def told(rows: np.ndarray, enough: int, first: int, partial: bool) -> Iterator[tuple[str, list[str], int, bool]]:
             some = [c[rows] for c in columns[: 2 if first == 2 else None]]
             at, total, agree = multikey_counts(some, number[rows], enough, first)
             for i, a, d in zip(at.tolist(), total.tolist(), agree.tolist(), strict=True):
                 if some[d - 1][i]:  # else the suffix ends before
-                    yield langs[some[0][i]], [spelled[c[i]] for c in some[1:d]], a, partial
+                    yield langs[some[0][i]], [spelled[c[i]].decode() for c in some[1:d]], a, partial
 
         word = np.flatnonzero(kind == _WORD)
         for name, n in zip(langs, np.bincount(columns[0][word], weights=number[word], minlength=len(langs)).tolist(), strict=True):

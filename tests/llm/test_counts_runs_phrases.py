@@ -191,21 +191,22 @@ def test_multikey_sort_counts():
         assert len(got) == len(dict(got)) and dict(got) == {key: w for key, w in want.items() if w >= 5}
 
 
-@pytest.mark.parametrize(("chunk", "slab", "longest"), [(1_000_000, 1 << 20, 3), (50, 64, 3), (7, 16, 4), (200, 30, 2)])
+@pytest.mark.parametrize(("chunk", "slab", "longest"), [(1_000_000, 1 << 20, 3), (50, 1 << 20, 3), (30, 16, 4), (200, 30, 2)])
 def test_phrases_at_any_cut(spark, monkeypatch, chunk, slab, longest):
     """Small chunks and slabs, a hot passage in a third of the rows, a hot pair followed by many words."""
     monkeypatch.setattr(collocations, "_FEW", 2)  # pairs are split in many chunks and not in others
-    rng = random.Random(longest)
+    rng, buckets = random.Random(longest), 20
     words = ["Aa", "b", "É", "日本", "d'x", "e f", "g\x1fh"]
     texts = [" ".join(rng.choice(words) + rng.choice(["", "", "", ",", ".\n", "\t", "!?", "\r", "\x0b"]) for _ in range(rng.randrange(80))) for _ in range(60)]
-    texts += ["the hot passage of all rows"] * 30 + ["", None, " ", "."] + [f"hot pair w{i}" for i in range(40)]
+    hot = [f"hot pair {v} end" for v in "abcdefgh"]  # often enough to be counted, in chunks where the pair is split and in others
+    texts += ["the hot passage of all rows"] * 30 + ["", None, " ", "."] + hot * 2 + ["; ".join(hot)] * 2 + [f"hot pair w{i}" for i in range(40)]
     rows = [(t, rng.choice(["en", "de", None])) for t in texts]
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
-    got = {tuple(r) for r in collocations.mine(docs, least=4, longest=longest, buckets=3, chunk=chunk, slab=slab).collect()}
+    got = {tuple(r) for r in collocations.mine(docs, least=4, longest=longest, buckets=buckets, chunk=chunk, slab=slab).collect()}
     assert got == plain_phrases(rows, 4, longest) and got
     # The tasks of Spark have a module of their own, so the splitting is also tried here.
-    sent = collocations._Chunk(longest, 3)
-    own = [collocations._Bucket(longest) for _ in range(3)]
+    sent = collocations._Chunk(longest, buckets)
+    own = [collocations._Bucket(longest) for _ in range(buckets)]
     kinds = set()
     for text, lang in rows:
         for words, begin in collocations.stretches((text or "").encode(), longest, slab):
@@ -224,7 +225,7 @@ def test_phrases_at_any_cut(spark, monkeypatch, chunk, slab, longest):
             assert part or not phrase or (of, *phrase) not in whole
             (partial if part else whole)[(of, *phrase)] += a
     whole.update({k: a for k, a in partial.items() if a >= 4})
-    assert partial or longest < 3 or chunk > 1000
+    assert (collocations._SPLIT in kinds) == bool(partial) and (partial or longest < 3 or chunk != 50)
     want = collections.Counter()
     for text, lang in rows:
         for words, _ in collocations.stretches((text or "").encode(), longest, 1 << 20):
