@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import os
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from hydropanel import session
-from hydropanel.functions import dist
-from hydropanel.operators import aggregates, pairs, regions, spatial
+from hydropanel.functions import dist, geo
+from hydropanel.operators import aggregates, cover, kriging, pairs, regions, spatial
 from hydropanel.operators import regression as reg
 from hydropanel.sources import checkpoint_table
 
@@ -222,6 +223,41 @@ def test_kriging_against_brute_force(spark, kind, nugget, task_cells):
     assert got.prediction[0] == pytest.approx(pts.z[0]) and got.variance[0] == pytest.approx(0, abs=1e-9)
 
 
+def _places(n, seed=1):
+    rng = np.random.default_rng(seed)
+    xy = rng.uniform(0, 4, (n, 2))
+    return xy, rng.normal(size=n), rng.integers(1, 4, n), np.r_[rng.uniform(0.5, 3.5, (6, 2)), xy[:1]]
+
+
+@pytest.mark.parametrize(("kind", "reach", "nugget", "sub"), [("Exp", 1.0, 0.1, 1), ("Exp", 3.0, 0.0, 1), ("Sph", 1.0, 0.05, 2), ("Sph", 2.0, 0.0, 1), ("Exp", 1.0, 0.3, 2)])
+def test_kriging_by_conjugate_gradients_is_the_dense_solve(kind, reach, nugget, sub):
+    xy, z, times, cells = _places(700)
+    offsets = np.zeros((1, 2)) if sub == 1 else np.array([[a, b] for a in (-0.05, 0.05) for b in (-0.05, 0.05)])
+    with_all = [kriging.predict(xy, z, nugget / times, cells, (kind, reach, 1.0), 2.5, offsets, nugget, dense) for dense in (5, 10_000)]
+    for got, want in zip(*with_all, strict=True):
+        assert np.abs(got - want).max() < 1e-8
+
+
+def test_kriging_memory_does_not_follow_the_square_of_the_stations():
+    peak = {}
+    for n in (300, 3000):
+        xy, z, *_ = _places(n)
+        tracemalloc.start()
+        kriging.predict(xy, z, np.full(n, 0.1), np.array([[2.0, 2.0]]), ("Exp", 1.0, 1.0), 9.0, np.zeros((1, 2)), 0.1, 100)
+        peak[n] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert peak[3000] < 8 * 3000 * 3000  # one dense matrix
+    assert peak[3000] < 64e6
+
+
+def test_kriging_of_many_stations_without_sill():
+    xy, z, times, cells = _places(700)
+    p, _ = kriging.predict(xy, z, np.zeros(700), cells[:1], ("Exp", 1.0, 0.0), 9.0, np.zeros((1, 2)), 0.0, 5)
+    assert p[0] == pytest.approx(z.mean())
+    p, _ = kriging.predict(xy, z, 0.5 / times, cells[:1], ("Exp", 1.0, 0.0), 9.0, np.zeros((1, 2)), 0.5, 5)
+    assert p[0] == pytest.approx((z * times).sum() / times.sum())
+
+
 def test_kriging_without_variance_is_the_mean(spark):
     pts = spark.createDataFrame([(0.0, 0.0, 1.0), (1.0, 0.0, 2.0), (0.0, 1.0, 6.0)], "x double, y double, z double")
     cells = spark.createDataFrame([(0, 0, 0.5, 0.5)], "ix long, iy long, x double, y double")
@@ -238,6 +274,44 @@ def test_fit_finds_ranges_below_and_above_the_cutoff(spark, reach):
     assert got.kind == "Exp" and got.range == pytest.approx(reach, rel=0.01) and got.psill == pytest.approx(0.8, rel=0.01)
 
 
+def _star(x, y, r, n, seed):
+    """A ragged ring whose corners often lie on cell borders and on the points' latitudes."""
+    rng = np.random.default_rng(seed)
+    turn = np.sort(rng.uniform(0, 2 * np.pi, n))
+    far = r * rng.uniform(0.3, 1.0, n)
+    return [(round(float(a) * 8) / 8, round(float(b) * 8) / 8) for a, b in zip(x + far * np.cos(turn), y + far * np.sin(turn), strict=True)]
+
+
+def test_points_meet_one_large_among_many_small_polygons(spark):
+    """The cover gives what the test of the whole ring gives, also for points on corners, edges and cell borders."""
+    rows = [("large", [_star(0, 0, 60, 400, 1), _star(3, 2, 9, 30, 2)]), ("empty", []), ("none", None), ("flat", [[(1.0, 1.0), (5.0, 1.0)]])]
+    rows += [(f"s{i}", [_star(-20 + 4.5 * i, 7 - i, 1.5, 12, 10 + i)]) for i in range(10)]
+    polys = spark.createDataFrame(rows, "identifier string, ring array<array<struct<lon:double,lat:double>>>")
+    rng = np.random.default_rng(3)
+    xy = np.r_[rng.uniform(-65, 65, (3000, 2)), np.round(rng.uniform(-65, 65, (3000, 2)) * 8) / 8, np.round(rng.uniform(-30, 30, (3000, 2)))]
+    corners = [v for _, rings in rows for r in rings or [] for v in r]
+    places = [(i, float(a), float(b)) for i, (a, b) in enumerate([*map(tuple, xy), *corners])] + [(-1, None, 1.0)]
+    points = spark.createDataFrame(places, "cell_id long, lon double, lat double")
+    plain = points.crossJoin(polys).where(geo.in_polygon(F.col("lon"), F.col("lat"), F.col("ring")))
+    want = {(r.cell_id, r.identifier) for r in plain.select("cell_id", "identifier").collect()}
+    for tile in (1.0, 3.0, 0.25):
+        got = [(r.cell_id, r.identifier) for r in spatial.points_in_polygons(points, polys, tile=tile).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_cover_follows_the_border():
+    """No more cells than edges, whatever the area; no cell on the border has many edges."""
+    def cells(r):
+        ring = np.array([(r * np.cos(t), r * np.sin(t)) for t in np.linspace(0, 2 * np.pi, int(40 * r), endpoint=False)])
+        return list(cover.cells_of([ring], 0.125))
+
+    large = cells(16)
+    assert all(len(cells(r)) <= 40 * r for r in (4, 8, 16, 64))
+    assert max(len(c[-1]) for c in large) <= cover.EDGES and any(c[3] for c in large)
+    area = sum((0.125 * cover.SPLIT ** c[0]) ** 2 for c in large if c[3])
+    assert 0.8 * np.pi * 256 < area < np.pi * 256
+
+
 def test_zonal_mean_keeps_polygons_without_a_cell(spark):
     ring = lambda x: [(x, 0.0), (x + 0.1, 0.0), (x + 0.1, 0.1), (x, 0.1)]
     polys = spark.createDataFrame([("a", ring(0.0)), ("b", ring(5.0))], "identifier string, ring array<struct<lon:double,lat:double>>")
