@@ -132,30 +132,120 @@ def cells_of(rings: list[np.ndarray], unit: float, most: int = EDGES, deepest: i
                     waiting.append((level - 1, nx, ny, some.inside((nx + 1) * small, ny * small, right, base, bottom), own))
 
 
-def cover(polys: DataFrame, ring: str = "ring", unit: float = 1.0, most: int = EDGES) -> DataFrame:
-    """One row per cell of each polygon: its columns without ``ring``, then level, cx, cy, inner, base, edges."""
+def _area(ring: np.ndarray) -> float:
+    x, y = (ring - ring[0]).T
+    return float((np.roll(x, 1) * y - x * np.roll(y, 1)).sum() / 2)
+
+
+def _clip(ring: np.ndarray, axis: int, bound: float, below: bool) -> np.ndarray:
+    """The part of a ring on one side of a line."""
+    if not len(ring):
+        return ring
+    before = np.roll(ring, 1, axis=0)
+    is_ = ring[:, axis] <= bound if below else ring[:, axis] >= bound
+    was = np.roll(is_, 1)
+    if is_.all():
+        return ring
+    out = np.empty((len(ring), 2, 2))
+    out[:, 1] = ring
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cut = before[:, 1 - axis] + (bound - before[:, axis]) * (ring[:, 1 - axis] - before[:, 1 - axis]) / (ring[:, axis] - before[:, axis])
+    out[:, 0, axis], out[:, 0, 1 - axis] = bound, cut
+    return out.reshape(-1, 2)[np.stack([was != is_, is_], axis=1).ravel()]
+
+
+def _turned(rings: list[np.ndarray]) -> list[np.ndarray]:
+    """Parts counterclockwise and holes clockwise: a ring within an odd number of others is a hole."""
+    boxes = np.array([[*r.min(axis=0), *r.max(axis=0)] for r in rings])
+    out = []
+    for k, ring in enumerate(rings):
+        around = (boxes[:, 0] <= boxes[k, 0]) & (boxes[:, 1] <= boxes[k, 1]) & (boxes[:, 2] >= boxes[k, 2]) & (boxes[:, 3] >= boxes[k, 3])
+        depth = 0
+        for j in np.flatnonzero(around):
+            if j != k:
+                a, b = np.roll(rings[j], 1, axis=0), rings[j]
+                depth += _Edges(a[:, 0], a[:, 1], b[:, 0], b[:, 1]).even_odd(*ring[0])
+        out.append(ring if (_area(ring) > 0) == (depth % 2 == 0) else ring[::-1])
+    return out
+
+
+def pieces_of(rings: list[np.ndarray], unit: float, most: int = EDGES) -> Iterator[tuple[int, int, int, list[np.ndarray]]]:
+    """(level, cx, cy, rings) of one polygon: its rings clipped to cells of at least ``unit``, no smaller than needed for few edges."""
+    rings = [r for r in rings if len(r) > 2]
+    if not rings:
+        return
+    every = np.concatenate(rings)
+    low, high = every.min(axis=0), every.max(axis=0)
+    level = 0
+    while (high - low).max() > SPLIT * size_of(level, unit):
+        level += 1
+
+    def within(some: list[np.ndarray], n: int, x: range, y: range) -> Iterator[tuple[int, int, int, list[np.ndarray]]]:
+        size = size_of(n, unit)
+        for cy in y:
+            row = [_clip(_clip(r, 1, cy * size, False), 1, (cy + 1) * size, True) for r in some]
+            for cx in x:
+                own = [_clip(_clip(r, 0, cx * size, False), 0, (cx + 1) * size, True) for r in row]
+                own = [r for r in own if len(r) > 2 and _area(r)]
+                if own:
+                    yield n, cx, cy, own
+
+    size = size_of(level, unit)
+    a, b = np.floor(low / size).astype(int), np.floor(high / size).astype(int)
+    waiting = list(within(_turned(rings), level, range(a[0], b[0] + 1), range(a[1], b[1] + 1)))
+    while waiting:
+        n, cx, cy, own = waiting.pop()
+        if n == 0 or sum(map(len, own)) <= most:
+            yield n, cx, cy, own
+        else:
+            waiting += within(own, n - 1, range(cx * SPLIT, (cx + 1) * SPLIT), range(cy * SPLIT, (cy + 1) * SPLIT))
+
+
+_PIECES = "level int, cx long, cy long, pieces array<array<struct<lon:double,lat:double>>>"
+
+
+def _per_polygon(polys: DataFrame, ring: str, schema: str, rows_of) -> DataFrame:
+    """The polygons' columns without ``ring`` beside each row that ``rows_of`` makes of their rings."""
     kind = polys.schema[ring].dataType
     many = isinstance(kind.elementType, ArrayType)
-    point = (kind.elementType.elementType if many else kind.elementType).fieldNames()
-    lon, lat = point.index("lon"), point.index("lat")
     keep = [c for c in polys.columns if c != ring]
     # Rings travel as plain arrays of numbers.
     parts = F.col(ring) if many else F.array(F.col(ring))
-    flat = F.transform(F.filter(parts, lambda r: r.isNotNull()), lambda r: F.flatten(F.transform(r, lambda v: F.array(v[point[lon]], v[point[lat]]))))
+    flat = F.transform(F.filter(parts, lambda r: r.isNotNull()), lambda r: F.flatten(F.transform(r, lambda v: F.array(v["lon"], v["lat"]))))
     narrow = polys.where(F.col(ring).isNotNull()).select(F.struct(*keep, F.lit(0).alias("_none")).alias("_row"), flat.alias("_rings"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in polys.schema if f.name != ring)
+    names = [*keep, *[f.split(" ", 1)[0] for f in schema.split(", ")]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [*keep, "level", "cx", "cy", "inner", "base", "edges"]
         for frame in frames:
             rows = []
             for row, rings in zip(frame["_row"], frame["_rings"], strict=True):
                 own = tuple(row[c] for c in keep)
-                for *cell, edges in cells_of([np.asarray(r, float).reshape(-1, 2) for r in rings], unit, most):
-                    rows.append((*own, *cell, [dict(zip(("ax", "ay", "bx", "by", "start"), e, strict=True)) for e in edges]))
+                for made in rows_of([np.asarray(r, float).reshape(-1, 2) for r in rings]):
+                    rows.append((*own, *made))
                     if len(rows) == 5000:
                         yield pd.DataFrame(rows, columns=names)
                         rows = []
             yield pd.DataFrame(rows, columns=names)
 
-    return narrow.mapInPandas(run, fields + _CELL)
+    return narrow.mapInPandas(run, fields + schema)
+
+
+def cover(polys: DataFrame, ring: str = "ring", unit: float = 1.0, most: int = EDGES) -> DataFrame:
+    """One row per cell of each polygon: its columns without ``ring``, then level, cx, cy, inner, base, edges."""
+
+    def rows_of(rings: list[np.ndarray]) -> Iterator[tuple]:
+        for *cell, edges in cells_of(rings, unit, most):
+            yield *cell, [dict(zip(("ax", "ay", "bx", "by", "start"), e, strict=True)) for e in edges]
+
+    return _per_polygon(polys, ring, _CELL, rows_of)
+
+
+def clipped(polys: DataFrame, ring: str = "ring", unit: float = 1.0, most: int = EDGES) -> DataFrame:
+    """One row per cell that a polygon fills at least partly: its columns without ``ring``, then level, cx, cy, pieces (rings, holes clockwise)."""
+
+    def rows_of(rings: list[np.ndarray]) -> Iterator[tuple]:
+        for *cell, own in pieces_of(rings, unit, most):
+            yield *cell, [[{"lon": x, "lat": y} for x, y in r.tolist()] for r in own]
+
+    return _per_polygon(polys, ring, _PIECES, rows_of)

@@ -69,6 +69,17 @@ def _edges(rings) -> str:
       FROM site, (VALUES {values}) v(ax, ay, bx, b_y)"""
 
 
+def _ring_edges(rings) -> str:
+    """The same with the ring's number and the site's own place."""
+    values = ", ".join(
+        f"({r}, {a[0]!r}::DOUBLE, {a[1]!r}::DOUBLE, {b[0]!r}::DOUBLE, {b[1]!r}::DOUBLE)"
+        for r, ring in enumerate(rings)
+        for a, b in zip(ring, ring[1:] + ring[:1], strict=True)
+    )
+    return f"""SELECT site_number AS identifier, r, lon AS mx, lat AS my, lon + ax AS x1, lat + ay AS y1, lon + bx AS x2, lat + b_y AS y2
+      FROM site, (VALUES {values}) v(r, ax, ay, bx, b_y)"""
+
+
 def _inside(edges: str) -> str:
     return f"""SELECT point_id, identifier FROM points, {edges}
       WHERE (y1 > lat) <> (y2 > lat) AND lon < x1 + (lat - y1) * (x2 - x1) / (y2 - y1)
@@ -138,6 +149,7 @@ CTES = {
       FROM orders GROUP BY 1, 2) JOIN points USING (point_id)""",
     "edges": _edges([RING_OFFSETS]),
     "basin_edges": _edges(BASIN_OFFSETS),
+    "ring_edges": _ring_edges(BASIN_OFFSETS),
     "inside": _inside("edges"),
     "inside_basin": _inside("basin_edges"),
     "vectors": "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label AS cluster FROM embeddings",

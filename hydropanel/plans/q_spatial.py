@@ -56,6 +56,42 @@ def sp_zonal_cover(p):
     return spatial.zonal_mean(p.values, p.basins, cover=spatial.coverage(centres, p.basins, size=0.5, sub=2))
 
 
+# The area of a ring in a square, as the sum over its edges of the integral along latitude of the distance to the square's left side.
+_AREA = {
+    "cut_pairs": """SELECT point_id AS cell_id, identifier, r, x1, y1, x2, y2, lon - 0.25::DOUBLE AS a, lon + 0.25::DOUBLE AS b,
+      greatest(least(y1, y2), lat - 0.25::DOUBLE) AS lo, least(greatest(y1, y2), lat + 0.25::DOUBLE) AS hi FROM points, ring_edges WHERE lon BETWEEN mx - 6 AND mx + 6 AND lat BETWEEN my - 6 AND my + 6""",
+    "cut_spans": """SELECT *, least(u, v) AS p, greatest(u, v) AS q FROM (SELECT *, x1 + (lo - y1) * (x2 - x1) / (y2 - y1) AS u, x1 + (hi - y1) * (x2 - x1) / (y2 - y1) AS v FROM cut_pairs WHERE hi > lo)""",
+    "cut_edges": """SELECT cell_id, identifier, r, sign(y2 - y1) * (hi - lo) * CASE WHEN q - p < CAST(1e-12 AS DOUBLE) THEN least(greatest(p, a), b) - a ELSE
+      ((greatest(least(q, b), a) - a) ** 2 - (greatest(least(p, b), a) - a) ** 2 + 2 * (b - a) * (greatest(q, b) - greatest(p, b))) / (2 * (q - p)) END AS part FROM cut_spans""",
+    "cut_share": """SELECT cell_id, identifier, sum(CASE WHEN r = 1 THEN -1 ELSE 1 END * abs(area)) / (0.5::DOUBLE * 0.5) AS share
+      FROM (SELECT cell_id, identifier, r, sum(part) AS area FROM cut_edges GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING share > CAST(1e-9 AS DOUBLE)""",
+}
+
+
+@query("sp_clip_share", "SELECT cell_id, identifier, share, share AS piece_share FROM cut_share", "share piece_share", _AREA)
+def sp_clip_share(p):
+    """Half-degree cells cut by polygons with a hole and a second part: the share of each cell, and the same from the pieces."""
+    cells = p.points.select(F.col("point_id").alias("cell_id"), "lon", "lat")
+    cut = spatial.clip(cells, p.basins, size=0.5, keep=["identifier"])
+    pieces = F.aggregate("pieces", F.lit(0.0), lambda total, piece: total + geo.ring_area(piece)) / 0.25
+    return cut.select("cell_id", "identifier", (F.col("area") / 0.25).alias("share"), pieces.alias("piece_share")).where("share > 1e-9")
+
+
+@query(
+    "sp_zonal_area",
+    """SELECT identifier, time, sum(value * share) / sum(share) AS mean, count(value) AS n_cells
+      FROM (SELECT site_number AS identifier FROM site) LEFT JOIN (SELECT * FROM cells JOIN cut_share USING (cell_id)) USING (identifier)
+      GROUP BY identifier, time""",
+    "mean",
+    _AREA,
+)
+def sp_zonal_area(p):
+    """Half-degree cells counted by the area of their cut with the polygons."""
+    centres = p.points.select(F.col("point_id").alias("cell_id"), "lon", "lat")
+    cover = spatial.coverage(centres, p.basins, size=0.5).where("share > 1e-9")
+    return spatial.zonal_mean(p.values, p.basins, cover=cover)
+
+
 def _months(p):
     return p.panel_month.withColumn("date", F.make_date("cal_year", "month", F.lit(1)))
 

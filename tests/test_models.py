@@ -312,6 +312,46 @@ def test_cover_follows_the_border():
     assert 0.8 * np.pi * 256 < area < np.pi * 256
 
 
+def _area_in_square(ring, a, b, c, d):
+    """Area of a ring in [a, b] x [c, d], edge by edge: the distance to the left side integrated over latitude."""
+    total = 0.0
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+        lo, hi = max(min(y1, y2), c), min(max(y1, y2), d)
+        if hi <= lo:
+            continue
+        ys = [lo, hi, *[y for x in (a, b) if x1 != x2 for y in [y1 + (x - x1) * (y2 - y1) / (x2 - x1)] if lo < y < hi]]
+        ys.sort()
+        wide = [min(max(x1 + (y - y1) * (x2 - x1) / (y2 - y1), a), b) - a for y in ys]
+        total += (1 if y2 > y1 else -1) * sum((u + v) / 2 * (q - p) for p, q, u, v in zip(ys, ys[1:], wide, wide[1:], strict=False))
+    return abs(total)
+
+
+@pytest.mark.parametrize("size", [0.5, 0.7, 3.0])
+def test_cells_are_cut_by_polygons(spark, size):
+    """Areas of cells cut by a ragged outline with a hole, an island in it and a part beside it, either way round."""
+    rng = np.random.default_rng(4)
+
+    def ragged(x, y, r, n):
+        turn = np.sort(rng.uniform(0, 2 * np.pi, n))
+        far = r * rng.uniform(0.7, 1.0, n)
+        return [(float(a), float(b)) for a, b in zip(x + far * np.cos(turn), y + far * np.sin(turn), strict=True)]
+
+    rings = [ragged(0, 0, 8, 300), ragged(1, 0, 3, 60)[::-1], ragged(1, 0, 1, 12), ragged(14, 1, 3, 20)[::-1]]
+    polys = spark.createDataFrame([("p", rings), ("empty", []), ("none", None), ("line", [[(0.0, 0.0), (1.0, 1.0)]])], "identifier string, ring array<array<struct<lon:double,lat:double>>>")
+    cells = [(i, float(x), float(y), 7) for i, (x, y) in enumerate(np.r_[rng.uniform(-9, 17, (250, 2)), [(0.0, 0.0), (0.5, 0.5), (14.0, 1.0)]])]
+    table = spark.createDataFrame([*cells, (-1, None, 0.0, 7)], "cell_id long, lon double, lat double, area int").drop("area")
+    cut = spatial.intersection(table, polys, size).collect()
+    got = {r.cell_id: r.area for r in cut}
+    assert len(got) == len(cut) and {r.identifier for r in cut} == {"p"}
+    h = size / 2
+    want = {i: sum(s * _area_in_square(r, x - h, x + h, y - h, y + h) for s, r in zip((1, -1, 1, 1), rings, strict=True)) for i, x, y, _ in cells}
+    for i, area in want.items():
+        assert got.get(i, 0.0) == pytest.approx(area, abs=1e-9)
+    share = {r.cell_id: r.share for r in spatial.coverage(table, polys, size).collect()}
+    assert share == pytest.approx({i: a / size**2 for i, a in got.items()})
+    assert spatial.intersection(table, polys.where("identifier = 'empty'"), size).count() == 0
+
+
 def test_zonal_mean_keeps_polygons_without_a_cell(spark):
     ring = lambda x: [(x, 0.0), (x + 0.1, 0.0), (x + 0.1, 0.1), (x, 0.1)]
     polys = spark.createDataFrame([("a", ring(0.0)), ("b", ring(5.0))], "identifier string, ring array<struct<lon:double,lat:double>>")
