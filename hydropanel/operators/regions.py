@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydropanel.functions import calendar, units
+from hydropanel.operators.extremes import extremes
 from hydropanel.operators.pairs import BLOCK_ROWS, blocked_pairs, distances, pieces
 from hydropanel.operators.reshape import MONTH_NAMES
 from hydropanel.operators.rows import complete, update_where
@@ -183,7 +186,7 @@ def _extremes(df: DataFrame, row_id: str, vec: str, clusters: dict[int, str], bl
     own = [F.col(c).cast("long").alias(f"own{i}") for i, c in enumerate(columns)]
     base = df.select(F.col(row_id).alias("id"), F.col(vec).alias("v"), *own)
 
-    def extremes(same: bool, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def of_blocks(same: bool, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         va, vb = _matrix(a, "v"), _matrix(b, "v")
         between, within = np.full(len(ks), np.inf), np.full(len(ks), -np.inf)
         for i in pieces(len(a)):
@@ -198,25 +201,38 @@ def _extremes(df: DataFrame, row_id: str, vec: str, clusters: dict[int, str], bl
         found = {"between": [x if np.isfinite(x) else None for x in between], "within": [x if np.isfinite(x) else None for x in within]}
         return pd.DataFrame({"clusters": ks} | found)
 
-    parts = blocked_pairs(base, F.col("id"), extremes, "clusters int, between double, within double", None, block_rows)
+    parts = blocked_pairs(base, F.col("id"), of_blocks, "clusters int, between double, within double", None, block_rows)
     return parts.groupBy("clusters").agg(F.min("between").alias("separation"), F.max("within").alias("diameter")).withColumn(
         "dunn", F.try_divide("separation", "diameter")
     )
 
 
-def dunn(df: DataFrame, row_id: str, vec: str, cluster: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Smallest distance between clusters over the largest within one; quadratic work by definition."""
-    return _extremes(df, row_id, vec, {0: cluster}, block_rows).drop("clusters")
+def _index(found: DataFrame) -> DataFrame:
+    return found.select(
+        F.col("between").alias("separation"), F.col("within").alias("diameter"), F.try_divide("between", "within").alias("dunn")
+    )
+
+
+def dunn(df: DataFrame, row_id: str, vec: str, cluster: str, block_rows: int = BLOCK_ROWS, compared: bool = False) -> DataFrame:
+    """Smallest distance between clusters over the largest within one. Blocks of rows whose bounds cannot win are not compared (see
+    ``extremes``); ``compared`` adds the share of pairs of rows that were. With very many clusters all blocks are compared."""
+    pruned = extremes(df, row_id, vec, cluster)
+    if pruned is None:
+        out, share = _extremes(df, row_id, vec, {0: cluster}, block_rows).drop("clusters"), 1.0
+    else:
+        out, share = _index(pruned[0]), pruned[1]
+    return out.withColumn("compared", F.lit(float(share))) if compared else out
 
 
-def validity_sweep(df: DataFrame, row_id: str, cols, ks, max_iter: int = 25, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def validity_sweep(df: DataFrame, row_id: str, cols, ks, max_iter: int = 25) -> DataFrame:
     """Dunn index for several numbers of clusters: the rows are written once, every iteration moves the
-    centres of all ``ks``, and one pass over the pairs serves all of them."""
+    centres of all ``ks``."""
     rows = checkpoint_table(df.select(row_id, F.array(*cols).alias("_vec")))
     centres = _lloyd(rows, row_id, "_vec", list(ks), max_iter)
     labels = {f"_k{k}": _nearest("_vec", _centre_table(c))["id"] for k, c in centres.items()}
-    found = _extremes(rows.withColumns(labels), row_id, "_vec", {k: f"_k{k}" for k in ks}, block_rows)
-    return found.select("clusters", "dunn")
+    rows = checkpoint_table(rows.withColumns(labels))
+    found = [dunn(rows, row_id, "_vec", f"_k{k}").select(F.lit(k).alias("clusters"), "dunn") for k in ks]
+    return reduce(DataFrame.unionByName, found)
 
 
 def centroids(df: DataFrame, cluster: str, x: str, y: str, max_dist: float = 25.0) -> DataFrame:

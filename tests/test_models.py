@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hydropanel import session
 from hydropanel.functions import dist, geo
-from hydropanel.operators import aggregates, cover, kriging, pairs, regions, spatial
+from hydropanel.operators import aggregates, cover, extremes, kriging, pairs, regions, spatial
 from hydropanel.operators import regression as reg
 from hydropanel.sources import checkpoint_table
 
@@ -360,6 +360,28 @@ def test_zonal_mean_keeps_polygons_without_a_cell(spark):
     assert got == {"a": ("t", 3.0, 1), "b": (None, None, 0)}
 
 
+@pytest.mark.parametrize(("dims", "part"), [(2, 7), (6, 1000)])
+def test_dunn_without_comparing_all_rows(spark, dims, part):
+    """Clustered rows with ties, copies, a cluster of one row and rows without a cluster."""
+    rng = np.random.default_rng(dims)
+    middle = rng.uniform(-20, 20, (5, dims))
+    label = rng.integers(0, 5, 1500)
+    vec = np.round(middle[label] + rng.normal(scale=0.5, size=(1500, dims)), 2)
+    rows = [(i, [float(x) for x in v], int(k)) for i, (v, k) in enumerate(zip(vec, label, strict=True))]
+    rows += [(2000, [99.0] * dims, 9), (2001, [0.0] * dims, None), (2002, None, 1)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, k int")
+    found, compared = extremes.extremes(df, "id", "v", "k", part)
+    got = found.first()
+    assert found.count() == 1 and compared < 0.2
+    d = np.sqrt(((vec[:, None] - vec) ** 2).sum(-1))
+    same = label[:, None] == label
+    lone = np.sqrt(((vec - 99.0) ** 2).sum(1)).min()
+    assert got.between == pytest.approx(min(d[~same].min(), lone), rel=1e-7) and got.within == pytest.approx(d[same].max(), rel=1e-7)
+    one = df.where("k = 9")
+    assert regions.dunn(one, "id", "v", "k").first() == (None, 0.0, None) and regions.dunn(df.limit(0), "id", "v", "k").first() == (None, None, None)
+    assert regions.dunn(df, "id", "v", "k", compared=True).first().compared == pytest.approx(compared)
+
+
 def test_pairs_within(cloud):
     pdf, df = cloud
     some = df.filter("id < 60")
