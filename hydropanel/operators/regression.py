@@ -1,9 +1,9 @@
 """Grouped regressions.
 
 One-predictor fits are the built-in ``regr_*`` aggregates.  For several
-predictors one pass reduces the rows to sufficient statistics (``gram``), and a
-small solve runs once per group on that single row: the data never leave the
-built-in aggregates, however many models are taken from them.
+predictors one pass reduces the rows of a group to one small triangle (``factors``),
+and a small solve runs once per group on that single row, however many models are
+taken from it. The triangle keeps nearly collinear predictors apart.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql.functions import pandas_udf
 from hydropanel.functions import dist, units
 from hydropanel.functions.calendar import as_col
 from hydropanel.functions.text import p_label
-from hydropanel.operators.aggregates import gram, group_mean
+from hydropanel.operators.aggregates import group_mean
+from hydropanel.operators.factors import factors, triangle
 from hydropanel.operators.joins import apply_params, bind_by_key
 from hydropanel.operators.rows import causal_pairs
 from hydropanel.operators.windows import centered_mean, unzscore
@@ -96,69 +97,48 @@ _MODEL = (
 )
 
 
-def _independent(cov, xs: list[int]) -> list[int]:
-    """The predictors that are no linear combination of those before them."""
-    use, rest = [], np.array(cov, float)
-    for x in xs:
-        if rest[x, x] > 1e-12 * cov[x, x]:
-            use.append(x)
-            rest = rest - np.outer(rest[:, x], rest[x]) / rest[x, x]
-    return use
+# A predictor whose part that earlier ones do not explain is smaller than this share of it depends on them.
+_DEPENDS = 1e-10
 
 
-def _fit(n: int, mean, cov, y: int, xs: list[int], names: list[str]) -> dict | None:
-    """Least squares from sufficient statistics. Predictors that depend on earlier ones are left
+def _fit(n: int, r, xs: list[int], names: list[str]) -> dict | None:
+    """Least squares of the first column on others, from the triangle ``r`` of [1, names]. Predictors that depend on earlier ones are left
     out of the fit and have NULLs; None when there are too few rows or nothing varies."""
-    use = _independent(cov, xs)
-    if len(use) < len(xs):
-        model = _fit(n, mean, cov, y, use, names)
+    k = len(xs)
+    t = triangle(r[:, [0, *[x + 1 for x in xs], 1]])
+    spread = np.sqrt((t[1:] ** 2).sum(axis=0))  # root of each column's sum of squares around its mean
+    own = np.abs(np.diag(t))[1 : k + 1]
+    fixed = spread[1 : k + 1] <= 1e-13 * np.abs(t[0, 1 : k + 1])
+    use = [x for x, o, s, f in zip(xs, own, spread[1 : k + 1], fixed, strict=True) if o > _DEPENDS * s and not f]
+    if len(use) < k:
+        model = _fit(n, r, use, names)
         if model is None:
             return None
-        at = {t: i for i, t in enumerate(model["terms"])}
+        at = {x: i for i, x in enumerate(model["terms"])}
         terms = ["intercept"] + [names[i] for i in xs]
         for c in ("estimate", "std_error", "t_value", "p_value", "vif"):
-            model[c] = [model[c][at[t]] if t in at else None for t in terms]
+            model[c] = [model[c][at[x]] if x in at else None for x in terms]
         return model | {"terms": terms}
-    k = len(xs)
     df = n - k - 1
-    sst = (n - 1) * cov[y, y]
-    if df < 1 or not sst > 0:
+    sst, rss = spread[-1] ** 2, t[-1, -1] ** 2
+    if df < 1 or not spread[-1] > 1e-13 * abs(t[0, -1]):
         return None
-    if k:
-        sxx = cov[np.ix_(xs, xs)]
-        scale = np.sqrt(np.diag(sxx))
-        if not (scale > 0).all():
-            return None
-        corr = sxx / np.outer(scale, scale)
-        try:
-            low = np.linalg.cholesky(corr)
-        except np.linalg.LinAlgError:
-            return None
-        if np.diag(low).min() < 1e-7:
-            return None
-        half = np.linalg.inv(low)
-        inv = half.T @ half
-        beta = inv @ (cov[xs, y] / scale) / scale
-        rss = max(sst - (n - 1) * float(beta @ cov[xs, y]), 0.0)
-        vif = np.diag(inv)
-        slope_var = vif / (scale**2 * (n - 1))
-        m = mean[xs] / scale
-        centre = float(m @ inv @ m) / (n - 1)
-    else:
-        beta, vif, slope_var, rss, centre = np.zeros(0), np.zeros(0), np.zeros(0), sst, 0.0
+    inverse = np.linalg.inv(t[: k + 1, : k + 1])
+    est = inverse @ t[: k + 1, -1]
+    scale = (inverse**2).sum(axis=1)
+    vif = scale[1:] * spread[1 : k + 1] ** 2
     sigma2 = rss / df
-    est = np.append(mean[y] - beta @ mean[xs], beta)
-    se = np.sqrt(sigma2 * np.append(1 / n + centre, slope_var))
+    se = np.sqrt(sigma2 * scale)
     with np.errstate(divide="ignore", invalid="ignore"):
-        t = est / se
+        t_value = est / se
         f = ((sst - rss) / k) / sigma2 if k else np.nan
         aic = n * np.log(rss / n) + 2 * (k + 1)
     return {
         "terms": ["intercept"] + [names[i] for i in xs],
         "estimate": est.tolist(),
         "std_error": se.tolist(),
-        "t_value": t.tolist(),
-        "p_value": dist.t_tail(t, np.full(k + 1, df)).tolist(),
+        "t_value": t_value.tolist(),
+        "p_value": dist.t_tail(t_value, np.full(k + 1, df)).tolist(),
         "vif": [None, *vif.tolist()],
         "n": n,
         "r2": 1 - rss / sst,
@@ -208,12 +188,12 @@ def _modelled(df: DataFrame, group, y: str, xs, choose) -> DataFrame:
     fields = [part.split()[0] for part in _MODEL.split(", ")]
 
     @pandas_udf(_MODEL)
-    def solve(n: pd.Series, mean: pd.Series, cov: pd.Series) -> pd.DataFrame:
+    def solve(n: pd.Series, r: pd.Series) -> pd.DataFrame:
         rows = []
-        for count, m, c in zip(n, mean, cov, strict=True):
-            m, c = np.asarray(m, float), np.asarray(c, float).reshape(len(names), len(names))
-            ok = count > 1 and np.isfinite(c).all()
-            model = choose(lambda s: _fit(int(count), m, c, 0, s, names)) if ok else None
+        for count, flat in zip(n, r, strict=True):
+            full = np.asarray(flat, float).reshape(len(names) + 1, -1)
+            ok = count > 1 and np.isfinite(full).all()
+            model = choose(lambda s: _fit(int(count), full, s, names)) if ok else None  # noqa: B023
             # a group that has no model keeps its number of rows and NULLs for all terms
             empty = {"terms": ["intercept", *xs], "n": int(count)} | {f: [None] * len(names) for f in fields[1:6]}
             model = empty if model is None else model
@@ -221,8 +201,7 @@ def _modelled(df: DataFrame, group, y: str, xs, choose) -> DataFrame:
         return pd.DataFrame(rows, columns=fields, dtype=object)
 
     solve = solve.asNondeterministic()  # so that it runs once for all its columns
-    stats = gram(df, group, names)
-    return stats.select(*group, solve("n", "mean", "cov").alias("m")).select(*group, "m.*")
+    return factors(df, group, names).select(*group, solve("n", "r").alias("m")).select(*group, "m.*")
 
 
 def _long(models: DataFrame, group) -> DataFrame:
@@ -299,14 +278,14 @@ def partial_models(df: DataFrame, group, y: str, families: dict[str, list[str]],
     fields = [f"{f}_intercept" for f in families] + xs
 
     @pandas_udf(", ".join(f"`{c}` double" for c in fields))
-    def solve(n: pd.Series, mean: pd.Series, cov: pd.Series, kept: pd.Series) -> pd.DataFrame:
+    def solve(n: pd.Series, r: pd.Series, kept: pd.Series) -> pd.DataFrame:
         rows = []
-        for count, m, c, terms in zip(n, mean, cov, kept, strict=True):
-            m, c = np.asarray(m, float), np.asarray(c, float).reshape(len(names), len(names))
+        for count, flat, terms in zip(n, r, kept, strict=True):
+            full = np.asarray(flat, float).reshape(len(names) + 1, -1)
             row = {}
             for family, members in families.items():
                 use = [names.index(x) for x in members if x in set(terms)]
-                model = _fit(int(count), m, c, 0, use, names) if use else None
+                model = _fit(int(count), full, use, names) if use and np.isfinite(full).all() else None
                 if model:
                     row[f"{family}_intercept"] = model["estimate"][0]
                     row |= dict(zip(model["terms"][1:], model["estimate"][1:], strict=True))
@@ -316,8 +295,8 @@ def partial_models(df: DataFrame, group, y: str, families: dict[str, list[str]],
     solve = solve.asNondeterministic()  # runs once for all its columns
     # at most one entry per candidate predictor, so the list is bounded
     kept = retained.groupBy(*group).agg(F.collect_set("term").alias("_kept"))
-    stats = gram(df, group, names).join(kept, group, "left").withColumn("_kept", F.coalesce("_kept", F.array().cast("array<string>")))
-    out = stats.select(*group, solve("n", "mean", "cov", "_kept").alias("m")).select(*group, "m.*")
+    stats = factors(df, group, names).join(kept, group, "left").withColumn("_kept", F.coalesce("_kept", F.array().cast("array<string>")))
+    out = stats.select(*group, solve("n", "r", "_kept").alias("m")).select(*group, "m.*")
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in fields})
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hydropanel import session
 from hydropanel.functions import dist, geo
-from hydropanel.operators import aggregates, cover, extremes, kriging, pairs, regions, spatial
+from hydropanel.operators import aggregates, cover, extremes, factors, kriging, pairs, regions, spatial
 from hydropanel.operators import regression as reg
 from hydropanel.sources import checkpoint_table
 
@@ -360,6 +360,47 @@ def test_zonal_mean_keeps_polygons_without_a_cell(spark):
     assert got == {"a": ("t", 3.0, 1), "b": (None, None, 0)}
 
 
+def test_nearly_collinear_predictors_keep_their_coefficients(spark):
+    """Condition 1e7 of the predictors, far from zero: as a QR of the whole table, in any partitioning."""
+    rng = np.random.default_rng(8)
+    n = 600
+    a = rng.normal(size=n)
+    b = a + 1e-7 * rng.normal(size=n)
+    frame = pd.DataFrame({"g": np.where(np.arange(n) % 3, "x", None), "a": a + 5, "b": b + 5, "c": rng.normal(size=n) + 100})
+    frame["y"] = 3 + 2 * frame["a"] - frame["c"] + 1e6 * (frame["b"] - frame["a"]) + 0.1 * rng.normal(size=n)
+    df = spark.createDataFrame(frame).repartition(7)
+    got = {(r.g, r.term): r for r in reg.ols(df, ["g"], "y", ["a", "b", "c"]).collect()}
+    assert len(got) == 8
+    for g, part in frame.groupby(frame["g"].fillna("")):
+        x = np.column_stack([np.ones(len(part)), part[["a", "b", "c"]]])
+        q, r = np.linalg.qr(x)
+        want = np.linalg.solve(r, q.T @ part["y"].to_numpy())
+        for term, w in zip(["intercept", "a", "b", "c"], want, strict=True):
+            assert got[g or None, term].estimate == pytest.approx(w, rel=1e-6)
+        fitted = x @ [got[g or None, t].estimate for t in ["intercept", "a", "b", "c"]]
+        assert np.abs(fitted - x @ want).max() < 1e-8 * np.abs(part["y"]).max()
+        vifs = [1 / (1 - np.corrcoef(x[:, k], x[:, [0] + [j for j in (1, 2, 3) if j != k]] @ np.linalg.lstsq(x[:, [0] + [j for j in (1, 2, 3) if j != k]], x[:, k], rcond=None)[0])[0, 1] ** 2) for k in (3,)]
+        assert got[g or None, "c"].vif == pytest.approx(vifs[0], rel=1e-6) and got[g or None, "b"].vif > 1e12
+
+
+def test_triangles_of_any_parts_agree(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    frame = pd.DataFrame({"g": rng.integers(0, 40, 500), "h": rng.choice(["p", "q"], 500), "a": rng.normal(size=500), "b": rng.normal(size=500) + 9})
+    frame.loc[::17, "b"] = np.nan
+    df = spark.createDataFrame(frame).replace(float("nan"), None)
+    rows = {(r.g, r.h): (r.n, np.reshape(r.r, (3, 3))) for r in factors.factors(df.repartition(5), ["g", "h"], ["a", "b"]).collect()}
+    whole = frame.dropna()
+    for key, part in whole.groupby(["g", "h"]):
+        x = np.column_stack([np.ones(len(part)), part[["a", "b"]]])
+        n, r = rows.pop(key)
+        assert n == len(part) and np.allclose(r.T @ r, x.T @ x, atol=1e-9)
+    assert not rows
+    one = factors.factors(df, [], ["a", "b"]).first()
+    x = np.column_stack([np.ones(len(whole)), whole[["a", "b"]]])
+    assert one.n == len(whole) and np.allclose(np.reshape(one.r, (3, 3)), factors.triangle(x))
+    assert factors.factors(df.limit(0), ["g"], ["a"]).count() == 0
+
+
 @pytest.mark.parametrize(("dims", "part"), [(2, 7), (6, 1000)])
 def test_dunn_without_comparing_all_rows(spark, dims, part):
     """Clustered rows with ties, copies, a cluster of one row and rows without a cluster."""
