@@ -205,43 +205,53 @@ def _fit_round(name: str, ranges: str) -> dict[str, str]:
 
 
 _BEST = "SELECT kind, max(cutoff) AS cutoff, min_by(range, (e, range)) AS best FROM {0}_e, (SELECT max(cutoff) AS cutoff FROM svario) GROUP BY kind"
-_FIT = (
-    {
-        "spoints": f"SELECT point_id, x, y, {_PATTERN} AS value FROM points",
-        "sreach": "SELECT sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2) / 3 AS cutoff, var_samp(value) AS v FROM spoints",
-        "sbinned": """SELECT CAST(ceil(d / (cutoff / 15)) AS INTEGER) AS bin, d, dz, cutoff, v FROM (
-          SELECT sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, a.value - b.value AS dz, cutoff, v
-          FROM spoints a JOIN spoints b ON a.point_id < b.point_id, sreach) WHERE d > 0 AND d <= cutoff""",
-        "svario": "SELECT bin, count(*) AS np, avg(d) AS dist, sum(dz * dz) / (2 * count(*)) / max(v) AS gamma, max(cutoff) AS cutoff FROM sbinned GROUP BY bin",
-    }
-    | _fit_round(
-        "r0",
-        """SELECT kind, (SELECT max(cutoff) FROM svario) * 10.0 ** (k / 20.0::DOUBLE) AS range
-          FROM (SELECT unnest(range(-60, 61)) AS k), (SELECT unnest(['Exp', 'Sph']) AS kind)""",
+
+
+def _fit_sql(value: str) -> dict[str, str]:
+    """The variogram of a value and all rounds of its fit."""
+    return (
+        {
+            "spoints": f"SELECT point_id, x, y, {value} AS value FROM points",
+            "sreach": "SELECT sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2) / 3 AS cutoff, var_samp(value) AS v FROM spoints",
+            "sbinned": """SELECT CAST(ceil(d / (cutoff / 15)) AS INTEGER) AS bin, d, dz, cutoff, v FROM (
+              SELECT sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, a.value - b.value AS dz, cutoff, v
+              FROM spoints a JOIN spoints b ON a.point_id < b.point_id, sreach) WHERE d > 0 AND d <= cutoff""",
+            "svario": "SELECT bin, count(*) AS np, avg(d) AS dist, sum(dz * dz) / (2 * count(*)) / max(v) AS gamma, max(cutoff) AS cutoff FROM sbinned GROUP BY bin",
+        }
+        | _fit_round(
+            "r0",
+            """SELECT kind, (SELECT max(cutoff) FROM svario) * 10.0 ** (k / 20.0::DOUBLE) AS range
+              FROM (SELECT unnest(range(-60, 61)) AS k), (SELECT unnest(['Exp', 'Sph']) AS kind)""",
+        )
+        | {
+            k: v
+            for n in (1, 2, 3)
+            for k, v in _fit_round(
+                f"r{n}", f"SELECT kind, best * 10.0 ** (k / 20.0::DOUBLE / {10**n}) AS range FROM ({_BEST.format(f'r{n - 1}')}), (SELECT unnest(range(-10, 11)) AS k)"
+            ).items()
+        }
     )
-    | {
-        k: v
-        for n in (1, 2, 3)
-        for k, v in _fit_round(
-            f"r{n}", f"SELECT kind, best * 10.0 ** (k / 20.0::DOUBLE / {10**n}) AS range FROM ({_BEST.format(f'r{n - 1}')}), (SELECT unnest(range(-10, 11)) AS k)"
-        ).items()
-    }
-)
 
 
-@query(
-    "sp_variogram_fit",
-    "SELECT kind, range / 1000 AS range_km, nugget, psill FROM r3_e ORDER BY e, kind, range LIMIT 1",
-    "range_km nugget psill",
-    _FIT,
-    digits=4,
-)
-def sp_variogram_fit(p):
-    points = p.points.withColumn("value", F.expr(_PATTERN))
+_FITTED = "SELECT kind, range / 1000 AS range_km, nugget, psill FROM r3_e ORDER BY e, kind, range LIMIT 1"
+
+
+def _fitted(points):
     fit = spatial.fit_variogram(spatial.variogram(points, "x", "y", "value"))
     return fit.select("kind", (F.col("range") / 1000).alias("range_km"), "nugget", "psill")
 
 
+@query("sp_variogram_fit", _FITTED, "range_km nugget psill", _fit_sql("value"), digits=4)
+def sp_variogram_fit(p):
+    return _fitted(p.points)
+
+
+@query("sp_variogram_fit_pattern", _FITTED, "range_km nugget psill", _fit_sql(_PATTERN), digits=4)
+def sp_variogram_fit_pattern(p):
+    """The same for values with a spatial pattern at the points."""
+    return _fitted(p.points.withColumn("value", F.expr(_PATTERN)))
+
+
 @query(
     "sp_krige_nugget",
     """SELECT ix, iy, avg(value) AS prediction, 0.5::DOUBLE * (1 + 1 / nullif(count(value), 0)) AS variance
