@@ -213,6 +213,8 @@ def _per_polygon(polys: DataFrame, ring: str, schema: str, rows_of) -> DataFrame
     parts = F.col(ring) if many else F.array(F.col(ring))
     flat = F.transform(F.filter(parts, lambda r: r.isNotNull()), lambda r: F.flatten(F.transform(r, lambda v: F.array(v["lon"], v["lat"]))))
     narrow = polys.where(F.col(ring).isNotNull()).select(F.struct(*keep, F.lit(0).alias("_none")).alias("_row"), flat.alias("_rings"))
+    # A polygon is little in bytes and much in work.
+    narrow = narrow.repartition(int(polys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in polys.schema if f.name != ring)
     names = [*keep, *[f.split(" ", 1)[0] for f in schema.split(", ")]]
 
