@@ -10,12 +10,14 @@ text has a fingerprint of its own, and its likeness to itself is 1. Null texts a
 
 :func:`with_next` sets every document beside the next one, in descending order of keys, through one shuffle of the texts: ranges of keys are
 sorted inside tasks, and the first document of each range is also sent to the range before it (that of the first range to the last one).
-Rows with equal keys stand in the order of their texts, null keys last.
+Each range has a task of its own. Rows with equal keys stand in the order of their texts, null keys last; a key that fills several
+ranges (as null may) is split among them, and its rows stand in the order of the texts' hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,7 @@ K = 6
 SIGNATURES = 32
 ORDER = 2
 _STRIP = 16_384
+_LEAST = -(2**63)  # where null keys stand
 _FACTORS = mix(np.arange(1, 1025, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -103,21 +106,31 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     start(docs.sparkSession)
     tasks = tasks_for(docs)
     narrow = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    narrow = narrow.withColumn("rank", F.coalesce("key", F.lit(_LEAST)))
     # One bound per task at most; only ids are read for them.
-    bounds = sorted(set(narrow.approxQuantile("key", [i / tasks for i in range(1, tasks)], 0.25 / tasks))) if tasks > 1 else []
-    above = F.lit(0)
+    bounds = sorted(int(b) for b in narrow.approxQuantile("rank", [i / tasks for i in range(1, tasks)], 0.25 / tasks) or []) if tasks > 1 else []
+    part, hashed = F.lit(0), F.lit(0).cast("long")
     if bounds:
-        # Keys above the last bound are range 0, those up to the first one the last range; nulls come after all.
-        array = F.array(*[F.lit(int(b)) for b in bounds])
-        above = F.when(F.col("key").isNull(), F.lit(len(bounds))).otherwise(F.size(F.filter(array, lambda b: b >= F.col("key"))))
-    placed = narrow.withColumn("part", above)
-    heads = placed.groupBy("part").agg(F.max("key").alias("head"))  # a row per range
-    first = placed.join(F.broadcast(heads), "part").where(F.col("key").eqNullSafe(F.col("head"))).groupBy("part").agg(F.min("text").alias("text"), F.first("head").alias("key"))
+        # Keys above the last bound are range 0, those up to the first one the last range. A key that is a bound several
+        # times has as many ranges, by hashes of the texts.
+        at_least = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b >= F.col("rank")))
+        hot = {b: n for b, n in Counter(bounds).items() if n > 1}
+        part = at_least
+        if hot:
+            shares = F.create_map(*[F.lit(x) for b, n in hot.items() for x in (b, n)])[F.col("rank")]
+            hashed = F.when(shares.isNotNull(), F.shiftrightunsigned(F.xxhash64("text"), 33)).otherwise(0)
+            part = F.coalesce(at_least - shares + 1 + F.shiftright(hashed * shares, 31), at_least)
+    placed = narrow.withColumn("hashed", hashed).withColumn("part", part.cast("int"))
+    # The first row of each range, found without the texts.
+    heads = placed.groupBy("part").agg(F.min(F.struct(F.bitwise_not("rank").alias("below"), "hashed")).alias("head"))
+    ahead = F.struct(F.bitwise_not("rank").alias("below"), "hashed")
+    first = placed.join(F.broadcast(heads), "part").where(ahead == F.col("head")).groupBy("part").agg(F.min("text").alias("text"), F.first("key").alias("key"))
     by_part = Window.orderBy("part")
     ring = heads.select("part", F.coalesce(F.lag("part").over(by_part), F.max("part").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
-    closing = first.join(ring, "part").select("key", "text", F.col("before").alias("part"), F.lit(True).alias("last"))
+    closing = first.join(ring, "part").select("key", "text", F.lit(None).cast("long").alias("rank"), F.lit(None).cast("long").alias("hashed"), F.col("before").alias("part"), F.lit(True).alias("last"))
     rows = placed.withColumn("last", F.lit(False)).unionByName(closing)
-    return rows.repartition(tasks, "part").sortWithinPartitions("part", "last", F.col("key").desc_nulls_last(), "text")
+    placed_rows = rows.repartitionById(tasks, "part").sortWithinPartitions("part", "last", F.col("rank").desc(), "hashed", "text")
+    return placed_rows.select("key", "text", "part", "last")
 
 
 def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
