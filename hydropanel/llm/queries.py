@@ -91,12 +91,21 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The base kinds as they are defined, apart from the operator's rules: rank, pattern of the matches, those that are kept.
+_BASE_SQL = {
+    "assign": (0, r"""(?i:password|passwd|secret|token|api_?key)["\x27]?\x20*[:=]\x20*["\x27]?[A-Za-z0-9+/_.=-]+""", r"""regexp_matches(m, '[:=]\x20*["\x27]?[A-Za-z0-9+/_.=-]{6,}$')"""),
+    "access": (1, "AKIA[A-Z0-9]+", "length(m) >= 20"),
+    "hex": (2, "[0-9a-f]+", "length(m) >= 24"),
+}
+
+
 def _secrets_sql() -> str:
     parts = []
-    for r in secret_ledger.RULES:
-        marked = f"regexp_replace(t, '({r.pattern.replace(chr(39), chr(39) * 2)})', chr(1) || '\\1' || chr(2), 'g')"
-        keep = f" AND regexp_full_match(m, '{r.whole.replace(chr(39), chr(39) * 2)}')" if r.whole else ""
-        parts.append(f"""SELECT blob, '{r.kind}' AS kind, {r.rank} AS rank, s AS start, s + length(m) AS stop FROM (
+    kinds = _BASE_SQL | {r.kind: (r.rank, r.pattern, None) for r in secret_ledger.MORE}
+    for kind, (rank, pattern, kept) in kinds.items():
+        marked = f"regexp_replace(t, '({pattern})', chr(1) || '\\1' || chr(2), 'g')"
+        keep = f" AND {kept}" if kept else ""
+        parts.append(f"""SELECT blob, '{kind}' AS kind, {rank} AS rank, s AS start, s + length(m) AS stop FROM (
   SELECT blob, nr, split_part(piece, chr(2), 1) AS m,
     coalesce(sum(length(piece) - CASE WHEN nr > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY blob ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s
   FROM (SELECT blob, unnest(string_split({marked}, chr(1))) AS piece, generate_subscripts(string_split({marked}, chr(1)), 1) AS nr FROM b)

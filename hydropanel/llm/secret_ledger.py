@@ -91,6 +91,11 @@ def address(versions: DataFrame, path: str, content: str) -> DataFrame:
     return versions.select(F.col(f"`{path}`").alias("path"), F.sha2(text, 256).alias("blob"), text.alias("content"))
 
 
+def hinted(contents: DataFrame, rules: tuple[Rule, ...], content: str = "content") -> DataFrame:
+    """The rows whose content may hold a secret."""
+    return contents.where(F.col(content).rlike("|".join(r.hint for r in rules)))
+
+
 def spans(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """Spans (code points, end exclusive) of the rules in ``blobs`` (blob, content, todo: rule ids)."""
     text = F.translate("content", _OPEN + _CLOSE, _OTHER + _OTHER)
@@ -104,10 +109,8 @@ def spans(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
             F.when(wanted, marked).alias("pieces"),
         )
 
-    hint = "|".join(r.hint for r in rules)
     marked = (
-        blobs.select("blob", "todo", text.alias("text"))
-        .where(F.col("text").rlike(hint))
+        hinted(blobs.select("blob", "todo", text.alias("text")), rules, "text")
         .select("blob", F.explode(F.array(*[pieces(r) for r in rules])).alias("m"))
         .where(F.col("m.pieces").isNotNull())
     )
@@ -133,7 +136,8 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path
     contents = address(versions, path, content)
     addressed = staged(contents.select("path", "blob"), "secret-paths")
     seen = _scanned(spark, ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("seen"))
-    once = contents.groupBy("blob").agg(F.first("content").alias("content"))
+    # Only texts with a hint of a secret are shuffled; of the others the digest is noted.
+    once = hinted(contents, rules).groupBy("blob").agg(F.first("content").alias("content"))
     todo = F.array_except(F.array(*map(F.lit, ids)), F.coalesce("seen", F.array().cast("array<string>")))
     unseen = once.join(seen, "blob", "left").select("blob", "content", todo.alias("todo")).where(F.size("todo") > 0)
     # Findings go first: a scan that fails in between is repeated, and equal findings count once.
