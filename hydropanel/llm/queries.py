@@ -50,14 +50,15 @@ BLOCKED_LABEL = "spam-farm"
 
 @query
 def op2_url_digest_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's url under the rules and the array of blocked hosts, which are the hosts of the
-    table that have the blocked label."""
+    """Every page's url under the rules and the array of sites: an entry for each host of the table, block for hosts that have
+    the blocked label and allow for others."""
     pages = table(spark, sf_dir, "pages")
     host, _ = url_filter.host_and_path(F.col("url"))
-    hosts = pages.select(host.alias("host")).where(F.array_contains(F.split("host", r"\."), BLOCKED_LABEL)).distinct()
-    blocked = hosts.select(F.concat("host", F.lit("/")).alias("entry"), F.lit("block").alias("verdict"))
+    hosts = pages.select(host.alias("host")).where(F.col("host") != "").distinct()
+    bad = F.array_contains(F.split("host", r"\."), BLOCKED_LABEL)
+    sites = hosts.select(F.concat("host", F.lit("/")).alias("entry"), F.when(bad, "block").otherwise("allow").alias("verdict"))
     rules = spark.createDataFrame(URL_RULES, "entry string, verdict string")
-    return url_filter.judge(pages.select("page_id", "url"), url_filter.build(rules), url_filter.build(blocked))
+    return url_filter.judge(pages.select("page_id", "url"), url_filter.build(rules), url_filter.build(sites))
 
 
 _REST = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"

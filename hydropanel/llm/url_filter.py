@@ -8,16 +8,20 @@ search for a whole batch of urls at once; a key that is found counts only if the
 string equals the candidate, so a collision of digests changes nothing.
 
 Shard files lie in the shared folder, one per range of keys, written by the tasks that hold the
-entries. No list passes through the driver; a task maps only the pages it touches.
+entries. There are as many shards as keep about ``SHARD_ENTRIES`` entries in each, so the task that sorts a shard holds no more of a
+longer list. No list passes through the driver; a task that probes maps only the pages it touches.
 
 Null urls and urls without ``://`` have an empty host and path and fit no entry. Repeated entries
-count once; if one entry is listed with both verdicts, ``allow`` holds. An empty list fits nothing.
+count once; if one entry is listed with both verdicts, ``allow`` holds. Of fitting entries of one length the
+last in string order counts. An empty list fits nothing; an empty table gives an empty result, repeated rows repeated ones.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
+from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -28,9 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydropanel import session
-from hydropanel.llm.common import rowwise, start, tasks_for
+from hydropanel.llm.common import rowwise, staged, start
 
-SHARDS = 64
+SHARD_ENTRIES = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,18 +67,33 @@ def _write(uri: str, name: str, data: bytes) -> None:
     fs.move(part, f"{folder}/{name}")
 
 
-def build(entries: DataFrame, folder: str | None = None) -> tuple[str, list[int]]:
-    """Write the array of ``entries`` (entry string, verdict string); returns its folder and the
-    lengths of the paths in it (the distinct lengths only, at most as many as a path has characters)."""
+@dataclass(frozen=True)
+class Built:
+    """Where an array lies, the distinct lengths of the paths in it (at most as many as a path has characters) and the leading bits of
+    a key that number its shard."""
+
+    folder: str
+    lengths: list[int]
+    bits: int
+
+
+def digest(entry: bytes) -> int:
+    return xxhash.xxh64_intdigest(entry, 42)
+
+
+def build(entries: DataFrame, folder: str | None = None, shard_entries: int = SHARD_ENTRIES) -> Built:
+    """Write the array of ``entries`` (entry string, verdict string)."""
     spark = start(entries.sparkSession)
     folder = folder or session.fresh_path(spark, "url-array")
-    clean = entries.where(F.length("entry") > 0).groupBy("entry").agg(F.min("verdict").alias("verdict"))
-    keyed = clean.withColumn("key", F.xxhash64("entry")).withColumn("shard", F.shiftrightunsigned("key", 58).cast("int"))
+    clean = staged(entries.where(F.length("entry") > 0).groupBy("entry").agg(F.min("verdict").alias("verdict")), "url-entries")
+    bits = max(0, math.ceil(math.log2(max(1, clean.count()) / shard_entries)))
+    number = F.shiftrightunsigned(F.xxhash64("entry"), 64 - bits) if bits else F.lit(0).cast("long")
+    keyed = clean.withColumn("shard", number)
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         number = int(pdf["shard"].iloc[0])
         stored = [e.encode() for e in pdf["entry"]]
-        key = np.array([xxhash.xxh64_intdigest(e, 42) for e in stored], dtype=np.uint64)
+        key = np.array([digest(e) for e in stored], dtype=np.uint64)
         order = sorted(range(len(stored)), key=lambda i: (key[i], stored[i]))
         offsets = np.zeros(len(stored) + 1, np.uint64)
         np.cumsum([len(stored[i]) for i in order], out=offsets[1:])
@@ -85,8 +104,8 @@ def build(entries: DataFrame, folder: str | None = None) -> tuple[str, list[int]
         cut = sorted({len(e) - e.find("/") if "/" in e else 0 for e in pdf["entry"]})
         return pd.DataFrame({"path_length": cut})
 
-    lengths = keyed.repartition(min(SHARDS, tasks_for(entries)), "shard").groupBy("shard").applyInPandas(shard, "path_length int").distinct()
-    return folder, sorted(r[0] for r in lengths.collect())
+    lengths = keyed.groupBy("shard").applyInPandas(shard, "path_length int").distinct()
+    return Built(folder, sorted(r[0] for r in lengths.collect()), bits)
 
 
 def _map(folder: str, name: str, kind) -> np.ndarray:
@@ -102,10 +121,10 @@ def _map(folder: str, name: str, kind) -> np.ndarray:
 
 
 class DigestArray:
-    """The shards of one folder as they are probed inside a task."""
+    """The shards of one array as they are probed inside a task."""
 
-    def __init__(self, folder: str) -> None:
-        self.folder, self.shards = folder, {}
+    def __init__(self, built: Built) -> None:
+        self.folder, self.bits, self.shards = built.folder, built.bits, {}
 
     def _shard(self, number: int):
         if number not in self.shards:
@@ -115,8 +134,8 @@ class DigestArray:
     def probe(self, candidates: list[bytes]) -> np.ndarray:
         """Per candidate -1 (not listed), 0 (block) or 1 (allow)."""
         found = np.full(len(candidates), -1, np.int8)
-        key = np.array([xxhash.xxh64_intdigest(c, 42) for c in candidates], dtype=np.uint64)
-        shard = (key >> np.uint64(58)).astype(np.int64)
+        key = np.array([digest(c) for c in candidates], dtype=np.uint64)
+        shard = (key >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(key), np.int64)
         for number in np.unique(shard):
             keys, offsets, text, allow = self._shard(int(number))
             if not len(keys):
@@ -146,15 +165,14 @@ def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
 
 def judge(
     pages: DataFrame,
-    rules: tuple[str, list[int]],
-    blocked: tuple[str, list[int]],
+    rules: Built,
+    sites: Built,
     key: str = "page_id",
     url: str = "url",
 ) -> DataFrame:
     """key, host, path, rule (the longest entry of ``rules`` that fits, or null), verdict.
 
-    The verdict is the rule's; without a rule it is ``block`` if an entry of ``blocked`` fits, else
-    ``allow``. Both arrays come from :func:`build`. The output has the named columns only.
+    The verdict is the rule's; without a rule it is that of the longest entry of ``sites`` that fits, and ``allow`` if none does. Both arrays come from :func:`build`. The output has the named columns only.
     """
     start(pages.sparkSession)
     host, path = host_and_path(F.col(f"`{url}`"))
@@ -164,14 +182,14 @@ def judge(
     def run(batch) -> dict:
         hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         found = []
-        for number, (folder, lengths) in enumerate((rules, blocked)):
-            array = state.setdefault(number, DigestArray(folder))
-            fits = [candidates(h, p, lengths) for h, p in zip(hosts, paths, strict=True)]
+        for number, built in enumerate((rules, sites)):
+            array = state.setdefault(number, DigestArray(built))
+            fits = [candidates(h, p, built.lengths) for h, p in zip(hosts, paths, strict=True)]
             flat = sorted({c for f in fits for c in f})
             listed = dict(zip(flat, array.probe([c.encode() for c in flat]), strict=True))
             found.append([max(((len(c), c, listed[c]) for c in f if listed[c] >= 0), default=None) for f in fits])
         rule = [r and r[1] for r in found[0]]
-        verdict = [("allow" if r[2] else "block") if r else ("block" if b else "allow") for r, b in zip(*found, strict=True)]
+        verdict = ["block" if (r or s) and not (r or s)[2] else "allow" for r, s in zip(*found, strict=True)]
         return {"rule": rule, "verdict": verdict}
 
     out = rowwise(narrow, ["key", "host", "path"], run, "rule string, verdict string")

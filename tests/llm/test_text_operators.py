@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -10,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hydropanel.llm import (
@@ -82,6 +84,44 @@ def test_urls(spark):
     assert got[6] == ("bad.org", "", None, "allow")
     assert got[7][2:] == ("net/es/", "block") and got[8][0] == "b:"
     assert {r["verdict"] for r in url_filter.judge(pages, empty, empty).collect()} == {"allow"}
+    assert url_filter.judge(pages.where("page_id < 0"), rules, blocked).count() == 0
+    twice = url_filter.judge(pages.union(pages), rules, blocked)
+    assert collections.Counter(map(tuple, twice.collect())) == collections.Counter({(k, *v): 2 for k, v in got.items()})
+
+
+@pytest.mark.parametrize("shard_entries", [100_000, 16])
+def test_sites_by_brute_force(spark, shard_entries):
+    """Longest fitting entry over many entries, one or many shards; a very long url is judged like others."""
+    rng = random.Random(1)
+    label = lambda: rng.choice("abcde") + rng.choice("xyz")
+    entries = {".".join(label() for _ in range(rng.randint(1, 3))) + "/" + "".join(f"{label()}/" for _ in range(rng.randint(0, 2))): rng.choice(["allow", "block"]) for _ in range(600)}
+    sites = url_filter.build(spark.createDataFrame([*entries.items()], "entry string, verdict string"), shard_entries=shard_entries)
+    assert sites.bits == (0 if shard_entries > 600 else 6)
+    urls = ["http://" + ".".join(label() for _ in range(rng.randint(1, 4))) + "/" + "".join(f"{label()}/" for _ in range(rng.randint(0, 3))) for _ in range(2000)]
+    urls.append("http://ax.by/" + "x" * 100_000)
+    pages = spark.createDataFrame([*enumerate(urls)], "page_id long, url string")
+    empty = url_filter.build(spark.createDataFrame([], "entry string, verdict string"))
+
+    def best(url):
+        host, path = url.removeprefix("http://").split("/", 1)
+        fits = [e for e in entries if (host == e.split("/", 1)[0] or host.endswith("." + e.split("/", 1)[0])) and path.startswith(e.split("/", 1)[1])]
+        return max(fits, key=lambda e: (len(e), e), default=None)
+
+    want = [entries.get(best(u), "allow") for u in urls]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, empty, sites).collect()}
+    assert [got[i] for i in range(len(urls))] == want and 100 < want.count("block") < 1900
+    assert [r["rule"] for r in url_filter.judge(pages, sites, empty).orderBy("page_id").collect()] == [best(u) for u in urls]
+
+
+def test_equal_digests_are_told_apart(tmp_path, monkeypatch):
+    """Entries that share one digest: only the stored string decides."""
+    monkeypatch.setattr(url_filter, "digest", lambda e: len(e))
+    stored = sorted([b"a.org/", b"b.org/", b"c.org/", b"long.example/"], key=lambda e: (len(e), e))
+    for name, data in (("text", b"".join(stored)), ("offsets", np.cumsum([0, *map(len, stored)]).astype(np.uint64).tobytes()),
+                       ("allow", bytes([0, 1, 0, 1])), ("keys", np.array([*map(len, stored)], np.uint64).tobytes())):
+        (tmp_path / f"0.{name}").write_bytes(data)
+    array = url_filter.DigestArray(url_filter.Built(str(tmp_path), [1], 0))
+    assert array.probe([b"b.org/", b"x.org/", b"c.org/", b"a.org/", b"long.example/", b"tiny/"]).tolist() == [1, -1, 0, 0, 1, -1]
 
 
 def test_ledger_scans_only_what_it_lacks(spark):
@@ -373,6 +413,78 @@ def test_order_minhash_selects_by_definition():
     assert order_minhash.likeness(order_minhash.fingerprint(text), order_minhash.fingerprint(swapped)) < 0.5
 
 
+def plain_mix(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor % 2**64
+    return x ^ x >> 31
+
+
+def plain_order_minhash(text, k=6, signatures=32, order=2):
+    """By the definition, with Python integers: number the k-mers, take the least of each hash function, hash them in text order."""
+    mers = [text[i : i + k] for i in range(max(1, len(text) - k + 1))] if text else []
+    seen, hashes = collections.Counter(), []
+    for mer in mers:
+        h = 0
+        for c in mer:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+        h, n = plain_mix(h), seen[mer]
+        hashes.append(plain_mix(h ^ plain_mix(n)) if n else h)
+        seen[mer] += 1
+    out = []
+    for s in range(1, signatures + 1):
+        least = sorted(range(len(hashes)), key=lambda i: (hashes[i] * (plain_mix(s) | 1) % 2**64, i))[:order]
+        value = 1
+        for i in sorted(least):
+            value = plain_mix(value * 0x100000001B3 % 2**64 ^ hashes[i])
+        out.append(value >> 32 if hashes else 0)
+    return "".join(f"{v:08x}" for v in out)
+
+
+def test_order_minhash_by_brute_force(documents):
+    rng = random.Random(3)
+    texts = ["", "a", "abcde", "abcdef", "aaaaaaaaaa", "ab" * 40, "é😀" * 9, *("".join(rng.choices("ab c", k=n)) for n in (7, 50, 400)), *[documents[i][:3000] for i in sorted(documents)[:40]]]
+    for t in texts:
+        assert order_minhash.hexadecimal(order_minhash.fingerprint(t)) == plain_order_minhash(t), t[:50]
+
+
+def test_hot_keys_are_split_and_the_ring_closes(spark):
+    """A key with most of the rows fills several ranges; each document still has exactly one next document, in the stated order."""
+    rows = [(None if i % 3 else i // 3, f"text {i} " + "ab " * (i % 7)) for i in range(900)] + [(5, "same")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    placed = order_minhash.with_next(docs).withColumn("task", F.spark_partition_id()).collect()
+    mine = [r for r in placed if not r["last"]]
+    assert collections.Counter((r["key"], r["text"]) for r in mine) == collections.Counter(rows)
+    tasks = collections.defaultdict(set)
+    for r in placed:
+        tasks[r["part"]].add(r["task"])
+    assert all(len(t) == 1 for t in tasks.values()) and len({min(t) for t in tasks.values()}) == len(tasks)
+    assert len({r["part"] for r in mine if r["key"] is None}) > 2
+    by_part = collections.defaultdict(list)
+    for r in placed:
+        by_part[r["part"]].append(r)
+    order = sorted(by_part)
+    assert [r["last"] for p in order for r in by_part[p]] == [x for p in order for x in [False] * (len(by_part[p]) - 1) + [True]]
+    for p, following in zip(order, [*order[1:], order[0]], strict=True):  # a range ends with the first row of the one after it
+        assert by_part[p][-1]["text"] == by_part[following][0]["text"]
+    keys = [r["key"] for p in order for r in by_part[p] if not r["last"]]
+    assert keys == sorted((k for k in keys if k is not None), reverse=True) + [None] * keys.count(None)
+    assert order_minhash.compare_edits(docs).count() == len(rows)
+
+
+def test_only_hinted_texts_are_shuffled(spark, tmp_path):
+    """Contents without a hint of a secret do not reach the shuffle, and are noted in the ledger all the same."""
+    docs = spark.createDataFrame([(f"p{i}", "plain text " * 200 + str(i)) for i in range(300)] + [("s", "token=abcdef0")], "path string, content string")
+    ledger = secret_ledger.fresh_ledger(spark)
+    found = secret_ledger.scan(docs, ledger)
+    assert {r["path"] for r in found.collect() if r["found"]} == {"s"} and spark.read.parquet(f"{ledger}/scanned").count() == 301
+    contents = secret_ledger.address(docs, "path", "content")
+    hinted = secret_ledger.hinted(contents, secret_ledger.RULES)
+    assert [r["path"] for r in hinted.collect()] == ["s"]
+    many = (secret_ledger.Rule("any", 1, 9, "plain text 7", "plain text 7"),)
+    again = {r["path"] for r in secret_ledger.scan(docs, ledger, many).collect() if r["found"]}
+    assert again == {f"p{i}" for i in range(300) if str(i).startswith("7")}
+
+
 def test_pipeline(spark, documents):
     stages = dict(corpus_pipeline.STAGES)
     docs = table(spark, DATA, "documents")
