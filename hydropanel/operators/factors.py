@@ -8,6 +8,7 @@ order of rows beyond rounding.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,10 @@ def triangle(rows: np.ndarray) -> np.ndarray:
     return np.triu(r) * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
 
 
+def _square(flat) -> np.ndarray:
+    return np.asarray(flat, float).reshape(math.isqrt(len(flat)), -1)
+
+
 def _codes(batch: pa.RecordBatch, group: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A number for each row's group, and a row of each group."""
     code = np.zeros(batch.num_rows, np.int64)
@@ -78,10 +83,16 @@ def factors(df: DataFrame, group, cols) -> DataFrame:
         if held:
             yield out()
 
+    return stacked(narrow.mapInArrow(fold, schema).withColumn("_share", F.spark_partition_id() % _SHARES), group)
+
+
+def stacked(parts: DataFrame, group) -> DataFrame:
+    """Per group the sum of ``n`` and one triangle of all its ``r``, first within the shares ``_share`` and then of these."""
+    group = list(group)
+
     @pandas_udf("array<double>")
     def merge(stacks: pd.Series) -> pd.Series:
-        return pd.Series([triangle(np.concatenate([np.asarray(r, float).reshape(width, width) for r in s])).ravel() for s in stacks])
+        return pd.Series([triangle(np.concatenate([_square(r) for r in s])).ravel() for s in stacks])
 
-    parts = narrow.mapInArrow(fold, schema).withColumn("_share", F.spark_partition_id() % _SHARES)
     some = parts.groupBy(*group, "_share").agg(F.sum("n").alias("n"), F.collect_list("r").alias("s")).select(*group, "n", merge("s").alias("r"))
     return some.groupBy(*group).agg(F.sum("n").alias("n"), F.collect_list("r").alias("s")).select(*group, "n", merge("s").alias("r"))

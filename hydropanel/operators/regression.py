@@ -184,6 +184,11 @@ def _step(fit, k: int):
 
 def _modelled(df: DataFrame, group, y: str, xs, choose) -> DataFrame:
     """One chosen model per group as arrays, from one pass over the data."""
+    return _solved(factors(df, group, [y, *xs]), group, y, xs, choose)
+
+
+def _solved(stats: DataFrame, group, y: str, xs, choose) -> DataFrame:
+    """The same from the triangles of [1, y, xs]."""
     names = [y, *xs]
     fields = [part.split()[0] for part in _MODEL.split(", ")]
 
@@ -201,7 +206,7 @@ def _modelled(df: DataFrame, group, y: str, xs, choose) -> DataFrame:
         return pd.DataFrame(rows, columns=fields, dtype=object)
 
     solve = solve.asNondeterministic()  # so that it runs once for all its columns
-    return factors(df, group, names).select(*group, solve("n", "r").alias("m")).select(*group, "m.*")
+    return stats.select(*group, solve("n", "r").alias("m")).select(*group, "m.*")
 
 
 def _long(models: DataFrame, group) -> DataFrame:
@@ -235,6 +240,18 @@ def ols(df: DataFrame, group, y: str, xs, interactions=()) -> DataFrame:
     return _long(_modelled(df, group, y, xs, lambda fit: fit(list(range(1, len(xs) + 1)))), group)
 
 
+def ols_of(stats: DataFrame, group, y: str, xs) -> DataFrame:
+    """``ols`` from triangles of [1, y, xs], as ``state.merged`` gives them."""
+    xs = list(xs)
+    return _long(_solved(stats, group, y, xs, lambda fit: fit(list(range(1, len(xs) + 1)))), group)
+
+
+def backward_of(stats: DataFrame, group, y: str, xs, alpha: float = 0.15, max_drop: int = 2) -> DataFrame:
+    """``backward`` from triangles of [1, y, xs]."""
+    xs = list(xs)
+    return _wide(_solved(stats, group, y, xs, lambda fit: _eliminate(fit, len(xs), alpha, max_drop)), group, xs)
+
+
 def vif(df: DataFrame, group, y: str, xs) -> DataFrame:
     """Variance inflation factor per predictor, keyed by name."""
     return ols(df, group, y, xs).filter(F.col("vif").isNotNull()).select(*group, "term", "vif")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from hydropanel import session
 from hydropanel.functions import calendar, units
 from hydropanel.functions.geo import to_albers
-from hydropanel.operators import aggregates, joins, rows, seasonal, windows
+from hydropanel.operators import aggregates, joins, rows, seasonal, state, windows
 from hydropanel.sources import checkpoint_table
 
 # Vertices of a station's watershed ring around its coordinates, in degrees.
@@ -168,6 +168,17 @@ class Panel:
     def region_month(self) -> DataFrame:
         return aggregates.region_year(self.z_month, ["cluster", "t"], list(Z_COLS.values()))
 
+    def corrected_state(self, group, cols) -> DataFrame:
+        """A stored state of the region panel by calendar year: first with wrong values in the last year, which is then replaced."""
+        months = self.stage("region_month").withColumn("cal_year", F.expr("cast((t - 1) div 12 as int)"))
+        last = months.agg(F.max("cal_year")).first()[0]
+        wrong = months.withColumns({c: F.when(F.col("cal_year") == last, 2 * F.col(c) + 1).otherwise(F.col(c)) for c in cols})
+        path = session.fresh_path(self.spark, "region-state")
+        state.update(path, wrong, group, "cal_year", cols)
+        state.update(path, months, group, "cal_year", cols, [last])
+        kinds = ", ".join(f"`{c}` {months.schema[c].dataType.simpleString()}" for c in group)
+        return state.read(self.spark, path, kinds, "cal_year", "int")
+
     @cached_property
     def season_values(self) -> DataFrame:
         return seasonal.season_panel(self.panel_month)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from hydropanel.operators import aggregates, seasonal
+from hydropanel.operators import aggregates, seasonal, state
 from hydropanel.operators.windows import share_of_peak
 from hydropanel.plans.registry import query
 
@@ -180,21 +180,30 @@ def agg_season_panel_blend(p):
     return seasonal.season_panel(p.panel_month, blend=True).select("site_number", "year", "season", "fall_precip")
 
 
-@query(
-    "agg_gram",
-    """SELECT cluster, count(*) AS n, avg(z_log_runoff) AS mean_y, covar_samp(z_log_runoff, z_precip) AS cov_yp,
+_GRAM_SQL = """SELECT cluster, count(*) AS n, avg(z_log_runoff) AS mean_y, covar_samp(z_log_runoff, z_precip) AS cov_yp,
       var_samp(z_precip) AS cov_pp, covar_samp(z_precip, z_temp) AS cov_pt FROM region_month
-      WHERE z_log_runoff IS NOT NULL AND z_precip IS NOT NULL AND z_temp IS NOT NULL GROUP BY cluster""",
-    "mean_y cov_yp cov_pp cov_pt",
-)
-def agg_gram(p):
-    g = aggregates.gram(p.region_month, ["cluster"], ["z_log_runoff", "z_precip", "z_temp"])
+      WHERE z_log_runoff IS NOT NULL AND z_precip IS NOT NULL AND z_temp IS NOT NULL GROUP BY cluster"""
+_GRAM = ["z_log_runoff", "z_precip", "z_temp"]
+
+
+def _some_moments(g):
     at = F.col("cov")
     return g.select(
         "cluster", "n", F.col("mean")[0].alias("mean_y"), at[1].alias("cov_yp"), at[4].alias("cov_pp"), at[5].alias("cov_pt")
     )
 
 
+@query("agg_gram", _GRAM_SQL, "mean_y cov_yp cov_pp cov_pt")
+def agg_gram(p):
+    return _some_moments(aggregates.gram(p.region_month, ["cluster"], _GRAM))
+
+
+@query("agg_gram_state", _GRAM_SQL, "mean_y cov_yp cov_pp cov_pt")
+def agg_gram_state(p):
+    """The same from a stored state: all years with one of them wrong, then that year corrected."""
+    return _some_moments(state.moments(state.merged(p.corrected_state(["cluster"], _GRAM), ["cluster"]), ["cluster"], len(_GRAM)))
+
+
 @query(
     "win_share_of_peak",
     """SELECT site_number, year, month, month_peak, max(month_peak) OVER (PARTITION BY site_number, year) AS year_peak,

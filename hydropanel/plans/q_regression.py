@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from hydropanel.operators import aggregates
+from hydropanel.operators import aggregates, state
 from hydropanel.operators import regression as reg
 from hydropanel.plans import fit_sql
 from hydropanel.plans.panels import FAMILIES, PREDICTORS
@@ -80,6 +80,13 @@ def reg_ols(p):
     return reg.ols(p.region_month, ["cluster"], Y, XS).drop("aic")
 
 
+@query("reg_ols_state", f"SELECT *, {fit_sql.f4_p('f_value', '(n - 5)')} AS f_p_value FROM full_terms", _OLS, _FULL)
+def reg_ols_state(p):
+    """The same from a stored state of which one year was corrected."""
+    stats = state.merged(p.corrected_state(["cluster"], [Y, *XS]), ["cluster"])
+    return reg.ols_of(stats, ["cluster"], Y, XS).drop("aic")
+
+
 _INTER_XS = ["z_precip", "z_off_precip", "z_temp", "z_precip_x_z_temp"]
 _INTER = {
     "crossed": "SELECT *, z_precip * z_temp AS z_precip_x_z_temp FROM region_month",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hydropanel import session
 from hydropanel.functions import dist, geo
-from hydropanel.operators import aggregates, cover, extremes, factors, kriging, pairs, regions, spatial
+from hydropanel.operators import aggregates, cover, extremes, factors, kriging, pairs, regions, spatial, state
 from hydropanel.operators import regression as reg
 from hydropanel.sources import checkpoint_table
 
@@ -401,6 +401,47 @@ def test_triangles_of_any_parts_agree(spark, monkeypatch):
     assert factors.factors(df.limit(0), ["g"], ["a"]).count() == 0
 
 
+def test_state_of_periods_is_one_pass_over_all_rows(spark, tmp_path):
+    """Added, corrected, emptied and null periods; an update reads its own periods only and may be repeated."""
+    rng = np.random.default_rng(4)
+    n = 900
+    frame = pd.DataFrame({"g": rng.choice(["p", "q", None], n), "year": rng.integers(2000, 2006, n), "a": rng.normal(size=n) + 50})
+    frame["b"] = frame["a"] + 1e-5 * rng.normal(size=n)
+    frame["y"] = 1 + 2 * frame["a"] - 3 * frame["b"] + rng.normal(size=n)
+    df = spark.createDataFrame(frame).withColumn("year", F.when(F.col("year") < 2005, F.col("year").cast("int")))
+    source, path, cols = str(tmp_path / "rows"), str(tmp_path / "state"), ["y", "a", "b"]
+    df.write.partitionBy("year").parquet(source)
+    rows = spark.read.parquet(source)
+    stored = lambda: state.read(spark, path, "g string", "year", "int")
+    assert stored().count() == 0
+
+    def agree(want):
+        got = {(r.g, r.term): r for r in reg.ols_of(state.merged(stored(), ["g"]), ["g"], "y", ["a", "b"]).collect()}
+        full = {(r.g, r.term): r for r in reg.ols(want, ["g"], "y", ["a", "b"]).collect()}
+        assert got.keys() == full.keys() and got
+        for k, r in full.items():
+            assert got[k].n == r.n and got[k].estimate == pytest.approx(r.estimate, rel=1e-6) and got[k].p_value == pytest.approx(r.p_value, rel=1e-5, abs=1e-12)
+
+    state.update(path, rows.where("year < 2003"), ["g"], "year", cols)
+    agree(rows.where("year < 2003"))
+    wrong = rows.withColumn("y", F.col("y") * 2 + F.col("a") ** 2)
+    state.update(path, wrong, ["g"], "year", cols, [2003, 2004, None])
+    agree(rows.where("year < 2003").unionByName(wrong.where("year >= 2003 or year is null")))
+    for _ in range(2):
+        state.update(path, rows, ["g"], "year", cols, [2003, 2004, None])
+        agree(rows)
+    state.update(path, rows.where("year <> 2001"), ["g"], "year", cols, [2001])
+    agree(rows.where("year <> 2001 or year is null"))
+    agree_part = {r.g: r for r in state.moments(state.merged(stored().where("year = 2002"), ["g"]), ["g"], 3).collect()}
+    for r in aggregates.gram(rows.where("year = 2002"), ["g"], cols).collect():
+        assert agree_part[r.g].n == r.n and agree_part[r.g].mean == pytest.approx(r.mean) and agree_part[r.g]["cov"] == pytest.approx(r["cov"], rel=1e-9)
+    assert reg.backward_of(state.merged(stored(), ["g"]), ["g"], "y", ["a", "b"]).count() == 3
+    scan = state.of_periods(rows, "year", [2003])
+    assert {p.rsplit("/", 2)[-2] for p in scan.inputFiles()} >= {"year=2003"}
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "year" in plan.split("PartitionFilters: [")[1].split("]")[0] and "2003" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 @pytest.mark.parametrize(("dims", "part"), [(2, 7), (6, 1000)])
 def test_dunn_without_comparing_all_rows(spark, dims, part):
     """Clustered rows with ties, copies, a cluster of one row and rows without a cluster."""
