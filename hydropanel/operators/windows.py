@@ -12,7 +12,8 @@ Two plans for a group statistic, chosen by what the caller knows of the table:
   without a second pass over the input.  Successive operators of one station share
   a single shuffle.
 
-The ordered windows (``gap``, ``shift``, ``centered_mean``) are for such panels only.
+The ordered windows (``gap``, ``shift``, ``centered_mean``) are for such panels; with ``range_rows`` they take series of any length, as keys
+with more rows are split into ranges of time (``ranges``).
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from hydropanel.functions.calendar import as_col
 from hydropanel.operators.joins import with_group
+from hydropanel.operators.ranges import over
 
 
 def add_group_agg(df: DataFrame, keys, aggs: dict[str, Column], period: str | None = None) -> DataFrame:
@@ -41,25 +43,33 @@ def share_of_peak(df: DataFrame, site: str, year: str, month: str, col: str) ->
     return out.withColumn("share", F.try_divide("month_peak", "year_peak"))
 
 
-def gap(df: DataFrame, site: str, time: str, name: str = "gap") -> DataFrame:
+def _ordered(df: DataFrame, part, order, values, before: int, after: int, range_rows: int | None) -> DataFrame:
+    """One window by key, or, with ``range_rows``, windows by ranges of long keys."""
+    if range_rows is None:
+        return df.withColumns(values(Window.partitionBy(*part).orderBy(*order)))
+    (one,) = order
+    return over(df, part, one, values, before, after, range_rows)
+
+
+def gap(df: DataFrame, site: str, time: str, name: str = "gap", range_rows: int | None = None) -> DataFrame:
     """Difference to the period before, NULL on the first."""
-    w = Window.partitionBy(site).orderBy(time)
-    return df.withColumn(name, F.col(time) - F.lag(time).over(w))
+    return _ordered(df, [site], [time], lambda w: {name: F.col(time) - F.lag(time).over(w)}, 1, 0, range_rows)
 
 
-def shift(df: DataFrame, part, order, col: str, k: int = 1, name: str | None = None) -> DataFrame:
+def shift(df: DataFrame, part, order, col: str, k: int = 1, name: str | None = None, range_rows: int | None = None) -> DataFrame:
     """Value ``k`` rows ahead (negative: behind)."""
-    w = Window.partitionBy(*part).orderBy(*order)
-    return df.withColumn(name or f"{col}_shift", F.lead(col, k).over(w))
+    return _ordered(df, part, order, lambda w: {name or f"{col}_shift": F.lead(col, k).over(w)}, max(0, -k), max(0, k), range_rows)
 
 
-def centered_mean(df: DataFrame, part, order, cols: dict[str, str], width: int = 5) -> DataFrame:
+def centered_mean(df: DataFrame, part, order, cols: dict[str, str], width: int = 5, range_rows: int | None = None) -> DataFrame:
     """Centred moving mean; NULL at the edges and where a value is missing."""
     half = width // 2
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(-half, half)
-    return df.withColumns(
-        {n: F.when(F.count(c).over(w) == width, F.avg(c).over(w)) for c, n in cols.items()}
-    )
+
+    def means(w) -> dict[str, Column]:
+        w = w.rowsBetween(-half, half)
+        return {n: F.when(F.count(c).over(w) == width, F.avg(c).over(w)) for c, n in cols.items()}
+
+    return _ordered(df, part, order, means, half, half, range_rows)
 
 
 def residual(

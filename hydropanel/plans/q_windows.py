@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from hydropanel.operators import windows
+from hydropanel.operators import ranges, windows
 from hydropanel.plans.registry import query
 
 
@@ -46,6 +46,30 @@ def win_roll_center(p):
     return windows.centered_mean(df, ["cluster"], ["t"], {"z_precip": "smooth"}, 5)
 
 
+@query(
+    "win_long_series",
+    """SELECT series, event_id, value, event_id - lag(event_id) OVER w AS gap, lead(value, 3) OVER w AS later,
+      CASE WHEN count(value) OVER f = 5 THEN avg(value) OVER f END AS smooth
+      FROM (SELECT *, CASE WHEN event_type IN ('click', 'error', 'view') THEN 'long' ELSE event_type END AS series FROM events)
+      WINDOW w AS (PARTITION BY series ORDER BY event_id), f AS (PARTITION BY series ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""",
+    "value later smooth",
+)
+def win_long_series(p):
+    """Lag, lead and centred mean where one series has most of the rows, by ranges of it."""
+    kind = F.col("event_type")
+    df = p.table("events").select(F.when(kind.isin("click", "error", "view"), "long").otherwise(kind).alias("series"), "event_id", "value")
+
+    def values(w):
+        around = w.rowsBetween(-2, 2)
+        return {
+            "gap": F.col("event_id") - F.lag("event_id").over(w),
+            "later": F.lead("value", 3).over(w),
+            "smooth": F.when(F.count("value").over(around) == 5, F.avg("value").over(around)),
+        }
+
+    return ranges.over(df, ["series"], "event_id", values, 2, 3, range_rows=2_000)
+
+
 @query(
     "win_residual",
     """SELECT cluster, year, region_q, region_q - sum(n * region_q) OVER (PARTITION BY cluster) / sum(n) OVER (PARTITION BY cluster) AS residual

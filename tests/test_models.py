@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hydropanel import session
 from hydropanel.functions import dist, geo
-from hydropanel.operators import aggregates, cover, extremes, factors, kriging, pairs, regions, spatial, state
+from hydropanel.operators import aggregates, cover, extremes, factors, kriging, pairs, ranges, regions, spatial, state, windows
 from hydropanel.operators import regression as reg
 from hydropanel.sources import checkpoint_table
 
@@ -401,6 +401,33 @@ def test_triangles_of_any_parts_agree(spark, monkeypatch):
     assert factors.factors(df.limit(0), ["g"], ["a"]).count() == 0
 
 
+@pytest.mark.parametrize("range_rows", [3, 40, 10_000])
+def test_long_series_by_ranges(spark, range_rows):
+    """Half of the rows on one station: the same values as with one window, whatever the ranges, and no range much longer than asked."""
+    rng = np.random.default_rng(6)
+    n = 1200
+    site = np.where(np.arange(n) % 2 == 0, "hot", rng.choice(["a", "b", "c", None, None, None], n))
+    frame = pd.DataFrame({"site": site, "t": rng.permutation(4 * n)[:n], "v": rng.normal(size=n)})
+    df = spark.createDataFrame(frame).withColumn("t", F.when(F.col("t") != frame[frame["site"] == "hot"]["t"].iloc[5], F.col("t"))).withColumn("v", F.when(F.col("v") < 2, F.col("v"))).repartition(4)
+    for call in (
+        lambda r: windows.gap(df, "site", "t", range_rows=r),
+        lambda r: windows.shift(df, ["site"], ["t"], "v", 4, range_rows=r),
+        lambda r: windows.shift(df, ["site"], ["t"], "v", -5, range_rows=r),
+        lambda r: windows.centered_mean(df, ["site"], ["t"], {"v": "m"}, 7, range_rows=r),
+    ):
+        want, got = ({(x.site, x.t): tuple(x) for x in call(r).collect()} for r in (None, range_rows))
+        assert got.keys() == want.keys() and len(got) == n
+        for k, x in want.items():
+            assert got[k] == pytest.approx(x, abs=1e-12), k
+    placed = ranges.split(df, ["site"], "t", range_rows)
+    assert (placed is None) == (range_rows > n)
+    if placed is not None:
+        sizes = [r["count"] for r in placed.groupBy("site", "_range").count().collect()]
+        assert max(sizes) <= 2 * range_rows and sum(sizes) == n
+        few = ranges.borders(checkpoint_table(placed), ["site"], "t", 2, 3)
+        assert few.count() <= 5 * len(sizes)
+
+
 def test_state_of_periods_is_one_pass_over_all_rows(spark, tmp_path):
     """Added, corrected, emptied and null periods; an update reads its own periods only and may be repeated."""
     rng = np.random.default_rng(4)

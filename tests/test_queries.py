@@ -16,7 +16,7 @@ DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 SAMPLE = [
     "src_checkpoint", "snk_csv", "prj_cond_update", "flt_date_window", "nul_zero", "jn_offset", "jn_spatial",
-    "agg_mean_sd", "agg_two_level", "agg_season_panel", "agg_season_panel_blend", "win_zscore", "rsh_wide_siteyear",
+    "agg_mean_sd", "agg_two_level", "agg_season_panel", "agg_season_panel_blend", "win_zscore", "win_long_series", "rsh_wide_siteyear",
     "fn_norm_share", "reg_corr_label", "reg_ols", "reg_ols_state", "agg_gram_state", "reg_backward", "reg_step_aic", "reg_trend_starts", "reg_contrib", "sp_krige_nugget",
     "reg_season_grid", "sp_zonal_mean", "sp_variogram_fit", "cl_regime", "cl_silhouette", "cl_kmeans", "jn_spatial_parts", "jn_inner_n", "set_bind_list", "ct_season_wide",
 ]
