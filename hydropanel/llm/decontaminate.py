@@ -10,13 +10,13 @@ lies inside one window. Windows are answered for a batch of documents at once:
 2. Block bound: the sum of the block maxima followed, plus what the others can add, must reach the threshold.
 3. Blocks that pass are scored exactly; all segments at or above the threshold are kept, however many.
 4. Verification: of the item's question (all but its last sentence) and of its answer (the last sentence), at least ``OVERLAP`` of the
-   words must lie in ``GRAM``-word runs that the document shares near the window.
+   words must lie in ``GRAM``-word runs that the document shares near the window. A part of fewer words must stand there as a whole.
 
-Items are taken in slices of about ``SLICE_WORDS`` words, each with an index of bounded size that is sent to the tasks; inverse
-frequencies are those of all items. Words are compared in lower case without punctuation.
+Equal items are indexed once and their ids joined back. Items are taken in slices of about ``SLICE_WORDS`` words, each with an index of
+bounded size that is sent to the tasks; inverse frequencies and the mean length of a segment are those of all different items. Words are compared in lower case without punctuation.
 
 Null and empty documents hold nothing; null and empty items are not looked for. Repeated documents each have their rows; repeated items
-each are found. Rows with a null key are searched like others.
+each are found. Rows with a null key are searched like others. Of equally good windows the first one of a document is returned.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -120,6 +120,11 @@ class Index:
             if run in there:
                 covered[k : k + n] = True
         q, a = self.parts[item]
+        for lo, length in ((0, q), (q, a)):  # a part shorter than a run counts by itself, whatever stands before it
+            if 0 < length < n:
+                part = tuple(self.coded[item][lo : lo + length].tolist())
+                if any(tuple(near[k : k + length]) == part for k in range(len(near) - length + 1)):
+                    covered[lo : lo + length] = True
         return (covered[:q].mean() if q else 1.0), (covered[q : q + a].mean() if a else 1.0)
 
     def search(self, docs: list[str]) -> list[tuple[int, int, int, float, float, float]]:
@@ -173,10 +178,16 @@ class Index:
         return [(d, item, -f[3], f[0], f[1], f[2]) for (d, item), f in sorted(best.items())]
 
 
-def indexes(items: DataFrame, key: str = "item_id", text: str = "text", threshold: float = THRESHOLD, slice_words: int = SLICE_WORDS) -> Iterator[Index]:
-    """The index in slices of bounded size."""
+def _texts(items: DataFrame, text: str, *keep: Column) -> DataFrame:
+    """The digest ``id`` of every item that has a text, with the text and the columns ``keep``."""
+    whole = F.col(f"`{text}`")
+    return items.where(F.trim(whole) != "").select(F.sha2(whole, 256).alias("id"), whole.alias("text"), *keep)
+
+
+def indexes(items: DataFrame, text: str = "text", threshold: float = THRESHOLD, slice_words: int = SLICE_WORDS) -> Iterator[Index]:
+    """The index in slices of bounded size; its ids are digests of the items' texts."""
     start(items.sparkSession)
-    rows = items.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.trim("text") != "")
+    rows = _texts(items, text).dropDuplicates(["id"])
     by_word = T._parse_datatype_string("word binary, n int")
     arrow = to_arrow_schema(by_word)
 
@@ -185,11 +196,16 @@ def indexes(items: DataFrame, key: str = "item_id", text: str = "text", threshol
             pairs = [(w, 1) for t in texts(batch, "text") for w in set(words(t))]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in pairs], pa.binary()), pa.array([n for _, n in pairs], pa.int32())], schema=arrow)
 
-    total, spaces = rows.agg(F.count("*"), F.sum(F.length("text") / 4)).first()
+    def measure(batches):
+        for batch in batches:
+            sizes = [len(words(t)) for t in texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array([max(1, -(-n // SEGMENT)) for n in sizes], pa.int64())], names=["n", "segments"])
+
+    total, n_words, segments = rows.select("text").mapInArrow(measure, "n long, segments long").agg(F.count("*"), F.sum("n"), F.sum("segments")).first()
     if not total:
         return
-    slices = max(1, math.ceil(spaces / slice_words))
-    mean_words = max(1.0, spaces / total)
+    slices = max(1, math.ceil(n_words / slice_words))
+    mean_words = max(1.0, n_words / segments)
     frequency = rows.select("text").mapInArrow(split, by_word).groupBy("word").agg(F.sum("n").alias("n"))
     placed = rows.withColumn("slice", F.pmod(F.xxhash64("text"), F.lit(slices)))
     for number in range(slices):
@@ -203,10 +219,10 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     """A row for each document and item that it contains: key, item, from_word, bm25, question and answer overlap."""
     spark = start(docs.sparkSession)
     narrow = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    schema = T.StructType([narrow.schema["key"], T.StructField("item", items.schema[item_key].dataType), *T._parse_datatype_string("from_word long, bm25 double, question double, answer double")])
+    schema = T.StructType([narrow.schema["key"], T.StructField("item", T.StringType()), *T._parse_datatype_string("from_word long, bm25 double, question double, answer double")])
     arrow = to_arrow_schema(schema)
     out = None
-    for index in indexes(items, item_key, item_text):
+    for index in indexes(items, item_text):
         sent = spark.sparkContext.broadcast(index)
 
         def run(batches, sent=sent):
@@ -219,13 +235,16 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
         one = narrow.mapInArrow(run, schema)
         out = one if out is None else out.unionByName(one)
     out = spark.createDataFrame([], schema) if out is None else out
+    # every item with the text that was found
+    ids = _texts(items, item_text, F.col(f"`{item_key}`").alias("_item")).drop("text")
+    out = out.join(ids, out["item"] == ids["id"]).select("key", F.col("_item").alias("item"), "from_word", "bm25", "question", "answer")
     return out.withColumnsRenamed({"key": key, "item": item_key} if key != item_key else {"key": key})
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
     """The documents that contain no item, unchanged."""
     spark = start(docs.sparkSession)
-    for index in indexes(items, item_key, item_text):
+    for index in indexes(items, item_text):
         sent = spark.sparkContext.broadcast(index)
 
         def free(batch, sent=sent) -> np.ndarray:
