@@ -1,14 +1,16 @@
 """Training documents that contain benchmark items: BM25 over an index of the items, block-max WAND, overlap check.
 
 The index holds test items, cut into segments of at most ``SEGMENT`` words. A segment's BM25 weights are divided by its own total,
-so a passage with all of its words scores 1. Segments stand in blocks; a term's posting has the largest weight in each block. Every
-window of ``2 * SEGMENT`` words of every document, a new one each ``SEGMENT`` words, is a query, so each segment that a document holds
-lies inside one window. Windows are answered for a batch of documents at once:
-
-1. Pivot: in each block the terms of least weight, up to ``SLACK`` of the threshold together, cannot lift a segment over it alone.
-   Only the other postings are followed.
-2. Block bound: the sum of the block maxima followed, plus what the others can add, must reach the threshold.
-3. Blocks that pass are scored exactly; all segments at or above the threshold are kept, however many.
+so a passage with all of its words scores 1. A term's posting list has the segments in order, with exact weights and, for each run of
+``BLOCK`` segments, the largest weight. Every window of ``2 * SEGMENT`` words of every document, a new one each ``SEGMENT`` words, is a
+query, so each segment that a document holds lies inside one window. All windows of a batch move through the lists together, each with
+a cursor for every term:
+
+1. Pivot: cursors are sorted by segment and the largest weights still ahead of them are summed; the first segment at which the sum
+   reaches the threshold is the pivot, as no earlier one can. A window without a pivot is done.
+2. Block bound: the block maxima of the terms at or before the pivot must reach the threshold too. Otherwise these cursors skip to the
+   end of the block, or to the next cursor if that comes first.
+3. Cursors move to a pivot that passes and its exact score is summed; all segments at or above the threshold are kept, however many.
 4. Verification: of the item's question (all but its last sentence) and of its answer (the last sentence), at least ``OVERLAP`` of the
    words must lie in ``GRAM``-word runs that the document shares near the window. A part of fewer words must stand there as a whole.
 
@@ -36,9 +38,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from hydropanel.llm.common import only_rows, start, texts
 
 SEGMENT = 64
-BLOCK = 2
+BLOCK = 4
+TOGETHER = 2048
 THRESHOLD = 0.5
-SLACK = 0.6
 GRAM = 3
 OVERLAP = 0.6
 SLICE_WORDS = 1_000_000
@@ -59,7 +61,7 @@ def parts(text: str) -> tuple[int, int]:
 
 
 class Index:
-    """A slice of the items: dictionary, block postings, exact weights, shared runs."""
+    """A slice of the items: dictionary, posting lists with block maxima, shared runs."""
 
     def __init__(self, items: list[tuple[object, str]], frequency: dict[bytes, int], total: int, mean_words: float, threshold: float = THRESHOLD) -> None:
         self.ids, self.threshold = [i for i, _ in items], threshold
@@ -79,31 +81,72 @@ class Index:
                 weights.append({t: v / whole for t, v in raw.items()} if whole else {})
                 self.owner.append(i)
         # segments of similar length share a block, so its maxima say more about each of them
-        order = sorted(range(len(weights)), key=lambda s: (len(weights[s]), s))
-        self.blocks = [order[k : k + BLOCK] for k in range(0, len(order), BLOCK)]
+        order = sorted(range(len(weights)), key=lambda k: (len(weights[k]), k))
+        self.owner = [self.owner[k] for k in order]
+        # every list ends with a segment behind all others, of weight 0
+        self.end = len(order)
         posting: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
-        self.rest, self.terms, self.exact = [], [], []
-        for b, segments in enumerate(self.blocks):
-            top: dict[int, float] = {}
-            for s in segments:
-                for t, v in weights[s].items():
-                    top[t] = max(top.get(t, 0.0), v)
-            left, passed = 0.0, False
-            for t, v in sorted(top.items(), key=lambda x: (x[1], x[0])):
-                if not passed and left + v <= SLACK * threshold:
-                    left += v
-                else:
-                    passed = True
-                    posting[t].append((b, v))
-            self.rest.append(left)
-            terms = np.array(sorted(top), np.int64)
-            self.terms.append(terms)
-            self.exact.append(np.array([[weights[s].get(int(t), 0.0) for s in segments] for t in terms]).reshape(len(terms), len(segments)))
-        self.rest = np.array(self.rest)
-        size = np.array([len(p) for p in posting], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(size)])
-        self.post_block = np.array([b for p in posting for b, _ in p], np.int64)
-        self.post_max = np.array([v for p in posting for _, v in p])
+        for k, at in enumerate(order):
+            for t, v in weights[at].items():
+                posting[t].append((k, v))
+        size = np.array([len(p) + 1 for p in posting], np.int64)
+        self.first = np.cumsum(size) - size
+        self.segment = np.array([k for p in posting for k, _ in [*p, (self.end, 0.0)]], np.int64)
+        self.weight = np.array([v for p in posting for _, v in [*p, (self.end, 0.0)]])
+        term = np.repeat(np.arange(len(vocabulary)), size)
+        self.place = term * (self.end + 1) + self.segment
+        self.ahead = self._largest_ahead(size)
+        self.n_blocks = self.end // BLOCK + 1
+        self.block, starts = np.unique(term * self.n_blocks + self.segment // BLOCK, return_index=True)
+        self.block_max = np.maximum.reduceat(self.weight, starts) if len(starts) else self.weight
+
+    def _largest_ahead(self, size: np.ndarray) -> np.ndarray:
+        """The largest weight of a list from each posting on."""
+        out = self.weight.copy()
+        for lo, n in zip(self.first.tolist(), size.tolist(), strict=True):
+            out[lo : lo + n] = np.maximum.accumulate(out[lo : lo + n][::-1])[::-1]
+        return out
+
+    def retrieve(self, term: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows, segments and scores at or above the threshold, for rows of different terms padded with -1."""
+        window = np.arange(len(term))
+        least, width = self.threshold - 1e-9, term.shape[1]
+        columns = np.arange(width)
+        padded = term < 0
+        term = np.where(padded, 0, term)
+        # padding stands on the end of a list
+        cursor = np.where(padded, np.append(self.first[1:], len(self.segment))[term] - 1, self.first[term])
+        while len(window):
+            # 1. pivot
+            at = self.segment[cursor]
+            ranked = np.sort(at * width + columns, axis=1)
+            reach = np.cumsum(np.take_along_axis(self.ahead[cursor], ranked % width, axis=1), axis=1) >= least
+            alive = reach[:, -1]
+            if not alive.all():
+                window, term, cursor, at, ranked, reach = window[alive], term[alive], cursor[alive], at[alive], ranked[alive], reach[alive]
+                if not len(window):
+                    return
+            rows = np.arange(len(window))
+            pivot = ranked[rows, reach.argmax(axis=1)] // width
+            # 2. block maxima of the terms that have come to the pivot
+            row, column = np.nonzero(at <= pivot[:, None])
+            t = term[row, column]
+            block = t * self.n_blocks + pivot[row] // BLOCK
+            k = np.searchsorted(self.block, block)
+            k[k == len(self.block)] = 0
+            bound = np.bincount(row, weights=np.where(self.block[k] == block, self.block_max[k], 0.0), minlength=len(window))
+            passed = bound >= least
+            after = np.where(at > pivot[:, None], at, self.end).min(axis=1)
+            ahead = np.where(passed, pivot + 1, np.minimum((pivot // BLOCK + 1) * BLOCK, after))
+            # 3. exact scores of the pivots that passed
+            exact = passed[row]
+            r, s = row[exact], pivot[row[exact]]
+            to = np.searchsorted(self.place, t[exact] * (self.end + 1) + s)
+            score = np.bincount(r, weights=np.where(self.segment[to] == s, self.weight[to], 0.0), minlength=len(window))
+            good = passed & (score >= least)
+            if good.any():
+                yield window[good], pivot[good], score[good]
+            cursor[row, column] = np.searchsorted(self.place, t * (self.end + 1) + np.minimum(ahead[row], self.end))
 
     def runs(self, item: int) -> list[tuple[int, ...]]:
         code = self.coded[item].tolist()
@@ -133,7 +176,7 @@ class Index:
         get = self.term.get
         coded = [np.array([get(w, -1) for w in words(t)], np.int64) for t in docs]
         size = np.array([len(c) for c in coded], np.int64)
-        if not size.sum() or not len(self.post_block):
+        if not size.sum() or not self.end:
             return []
         windows = np.maximum(1, -(-size // SEGMENT))
         base = np.cumsum(windows) - windows
@@ -144,37 +187,31 @@ class Index:
         cell, term = pos[known] // SEGMENT, flat[known]
         own = base[doc[known]] + cell
         early = np.flatnonzero(cell > 0)  # a word also belongs to the window that began one step earlier
-        n_terms = len(self.first) - 1
+        n_terms = len(self.first)
         pair = np.unique(np.concatenate([own, own[early] - 1]) * n_terms + np.concatenate([term, term[early]]))
         window, term = pair // n_terms, pair % n_terms
-        # 1. follow the postings past the pivot
-        count = self.first[term + 1] - self.first[term]
-        hit = np.repeat(np.arange(len(pair)), count)
-        at = np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[term], count)
-        n_blocks = len(self.blocks)
-        cell, where = np.unique(window[hit] * n_blocks + self.post_block[at], return_inverse=True)
-        # 2. bound of each block
-        bound = np.bincount(where, weights=self.post_max[at], minlength=len(cell)) + self.rest[cell % n_blocks]
         best: dict[tuple[int, int], tuple] = {}
-        begins = np.searchsorted(window, np.arange(int(windows.sum()) + 1))
-        for c in cell[bound >= self.threshold - 1e-9].tolist():
-            w, b = divmod(c, n_blocks)
-            mine = term[begins[w] : begins[w + 1]]
-            # 3. exact scores of the block's segments
-            k = np.searchsorted(self.terms[b], mine)
-            k[k == len(self.terms[b])] = 0
-            score = self.exact[b][k[self.terms[b][k] == mine]].sum(0)
-            for s in np.flatnonzero(score >= self.threshold - 1e-9).tolist():
-                d = int(np.searchsorted(base, w, side="right") - 1)
-                item, from_word = self.owner[self.blocks[b][s]], (w - int(base[d])) * SEGMENT
-                # 4. question and answer, around the window
-                reach = len(self.coded[item])
-                near = coded[d][max(0, from_word - reach) : from_word + 2 * SEGMENT + reach].tolist()
-                q, a = self.overlap(item, near)
-                if q >= OVERLAP and a >= OVERLAP:
-                    found = (float(score[s]), q, a, -from_word)
-                    if found > best.get((d, item), (-1.0,)):
-                        best[d, item] = found
+        asked, begins, count = np.unique(window, return_index=True, return_counts=True)
+        # windows with about as many terms go together, so little is padded
+        by_size = np.argsort(count, kind="stable")
+        for lo in range(0, len(asked), TOGETHER):
+            mine = by_size[lo : lo + TOGETHER]
+            rows = np.full((len(mine), int(count[mine].max())), -1, np.int64)
+            r = np.repeat(np.arange(len(mine)), count[mine])
+            c = np.arange(len(r)) - np.repeat(np.cumsum(count[mine]) - count[mine], count[mine])
+            rows[r, c] = term[np.repeat(begins[mine], count[mine]) + c]
+            for hit, segment, score in self.retrieve(rows):
+                for w, s, v in zip(asked[mine[hit]].tolist(), segment.tolist(), score.tolist(), strict=True):
+                    d = int(np.searchsorted(base, w, side="right") - 1)
+                    item, from_word = self.owner[s], (w - int(base[d])) * SEGMENT
+                    # 4. question and answer, around the window
+                    reach = len(self.coded[item])
+                    near = coded[d][max(0, from_word - reach) : from_word + 2 * SEGMENT + reach].tolist()
+                    q, a = self.overlap(item, near)
+                    if q >= OVERLAP and a >= OVERLAP:
+                        found = (v, q, a, -from_word)
+                        if found > best.get((d, item), (-1.0,)):
+                            best[d, item] = found
         return [(d, item, -f[3], f[0], f[1], f[2]) for (d, item), f in sorted(best.items())]
 
 

@@ -211,24 +211,55 @@ def test_short_answers_and_repeated_items(spark):
     assert len(list(decontaminate.indexes(items, slice_words=5))) > 1
 
 
-def test_wand_agrees_with_full_scores():
+@pytest.mark.parametrize("block", [1, 4, 64])
+def test_wand_agrees_with_a_full_scan(monkeypatch, block):
+    """Every window against every segment by the formula of BM25, apart from the index."""
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
     rng = np.random.default_rng(1)
     vocabulary = [f"w{i}" for i in range(300)]
-    items = [(i, " ".join(rng.choice(vocabulary, 20))) for i in range(40)]
-    docs = [" ".join([*rng.choice(vocabulary, 90), *(items[i % 40][1].split()[: 8 + i % 13]), *rng.choice(vocabulary, 70)]) for i in range(60)]
-    frequency = collections.Counter(w for _, t in items for w in set(decontaminate.words(t)))
-    index = decontaminate.Index(items, frequency, len(items), 20.0, 0.5)
+    items = [(i, " ".join(rng.choice(vocabulary, 20 + 3 * (i % 40)))) for i in range(60)] + [(60, "?!"), (61, "w1 w1 w1")]
+    docs = [" ".join([*rng.choice(vocabulary, 90), *(items[i % 40][1].split()[: 8 + i % 40]), *rng.choice(vocabulary, 70)]) for i in range(60)] + ["", "unknown words only", "w1"]
+    split = {i: t.translate({ord("?"): " ", ord("!"): " "}).split() for i, t in items}
+    frequency = collections.Counter(w for words in split.values() for w in set(words))
+    mean = 30.0
+    index = decontaminate.Index(items, {w.encode(): n for w, n in frequency.items()}, len(items), mean, 0.5)
     index.overlap = lambda item, near: (1.0, 1.0)
-    got = {(d, i) for d, i, *_ in index.search(docs)}
-    want = set()
-    for d, text in enumerate(docs):
-        w = decontaminate.words(text)
-        for at in range(0, len(w), decontaminate.SEGMENT):
-            near = {index.term[x] for x in w[at : at + 2 * decontaminate.SEGMENT] if x in index.term}
-            for b, segments in enumerate(index.blocks):
-                score = index.exact[b][np.isin(index.terms[b], list(near))].sum(0)
-                want |= {(d, index.owner[s]) for s, v in zip(segments, score, strict=True) if v >= 0.5 - 1e-9}
-    assert got == want and want
+    got = {(d, index.ids[i]): score for d, i, _, score, *_ in index.search(docs)}
+    want = {}
+    for i, words in split.items():
+        pieces = max(1, -(-len(words) // 64))
+        for piece in np.array_split(np.array(words, object), pieces):
+            count = collections.Counter(piece.tolist())
+            idf = {w: np.log(1 + (len(items) - frequency[w] + 0.5) / (frequency[w] + 0.5)) for w in count}
+            weight = {w: idf[w] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(piece) / mean)) for w, n in count.items()}
+            for d, text in enumerate(docs):
+                w = text.split()
+                for at in range(0, len(w), 64):
+                    score = sum(weight.get(x, 0) for x in set(w[at : at + 128])) / (sum(weight.values()) or 1)
+                    if score >= 0.5 - 1e-9:
+                        want[d, i] = max(score, want.get((d, i), 0))
+    assert got.keys() == want.keys() and len(want) > 60
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_wand_skips_blocks_and_postings():
+    """Windows that share only frequent words with the items touch a small part of the postings."""
+    rng = np.random.default_rng(2)
+    common = [f"c{i}" for i in range(5)]
+    items = [(i, " ".join([*common, *(f"r{i}x{k}" for k in range(20))])) for i in range(400)]
+    frequency = collections.Counter(w for _, t in items for w in set(decontaminate.words(t)))
+    index = decontaminate.Index(items, frequency, len(items), 25.0, 0.5)
+    seen, whole = [], index.segment
+
+    class Counted(np.ndarray):
+        def __getitem__(self, key):
+            seen.append(np.size(key))
+            return whole[key]
+
+    index.segment = whole.view(Counted)
+    docs = [" ".join([*common, *rng.choice([f"r{i}x{k}" for i in range(400) for k in range(20)], 10)]) for _ in range(50)] + [items[7][1]]
+    assert [(d, index.ids[i]) for d, i, *_ in index.search(docs)] == [(50, 7)]
+    assert sum(seen) < 0.1 * 50 * 5 * 400
 
 
 def test_pieces_are_lossless_and_seeded(spark, odd, none):
