@@ -1,21 +1,25 @@
 """Personal data replaced by keyed surrogates of the same type and form.
 
-Entities are e-mail addresses, card numbers, IP addresses, phone numbers and names after a title. An entity is known by its
+Entities are e-mail addresses, card numbers, IP addresses, phone numbers and names after titles or after words by which people name themselves. An entity is known by its
 canonical form (lower case; digits only), so all its mentions in all documents, however written, get one surrogate. The surrogate is drawn from
 SHA-256 of key, kind, canonical form and attempt:
 
-* e-mail: letters and digits of the name and of the domain's first label are replaced by letters and digits, place by place; the rest stays;
+* e-mail: letters and digits of the name and of the domain's first label are replaced by letters and digits, place by place; the rest stays.
+  All addresses of a domain get the same surrogate domain;
 * card: digits of the same number, with a valid check digit if the original has one; phone: digits, the country code stays;
 * IP address: four numbers from 1 to 254;
-* name: all parts, initials and particles after the title; a family name built from syllables of the original's script, the same for all
-  mentions of that family name, and for a full name a given name of the title's gender.
+* name: all parts, initials and particles after the title; a family name built from syllables of the original's script (Latin, Cyrillic, Greek, Arabic,
+  Hebrew, Han, kana, Hangul), the same for all mentions of that family name, and for a full name a given name of the title's gender; titles
+  such as Dr, and introductions, have no gender. In scripts without capitals a name is one word (Han, kana, Hangul: up to four characters) or two
+  (Arabic, Hebrew).
 
 Collision checks: two entities of a kind never share a surrogate, and no surrogate is an entity of the corpus. All but the first of those
 that collide draw again with the next attempt, until none collide. Surrogates of e-mails, phone numbers and names grow longer with the attempts,
 so there is always a free one; cards and IP addresses keep their form, in spaces of 10^12 and 254^4. A mention keeps its own punctuation, digit grouping
 and capitals.
 
-Everything is DataFrame expressions. Texts without an entity pass unchanged and are not shuffled. Others are cut into pieces at their
+Everything is DataFrame expressions. The texts are searched once: they are written with a digest if they have an entity. Those without one pass
+unchanged and are not shuffled. Others are cut into pieces at their
 entities, once for each distinct text; mentions are replaced by a join with the surrogates and the pieces put together again.
 
 The two control characters that mark matches become a third one in texts with entities. Null texts stay null and count no entities. Repeated rows are replaced alike. An empty table gives an empty result.
@@ -32,34 +36,71 @@ from hydropanel.llm.common import staged, start
 
 _OPEN, _CLOSE, _OTHER = "\u0001", "\u0002", "\u0003"
 
-# Titles by gender, given names by gender and script, syllables of family names by script.
-TITLES = {"f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа"), "m": ("Mr", "Herr", "Monsieur", "Señor", "Господин")}
+# Titles by gender (u: of either), words before one's own name, given names by gender and script, syllables of family names by script.
+TITLES = {
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Mademoiselle", "Señora", "Señorita", "Signora", "Госпожа", "Κυρία", "السيدة", "גברת"),
+    "m": ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Signor", "Господин", "Κύριος", "السيد", "מר"),
+    "u": ("Dr", "Doctor", "Prof", "Professor", "Доктор", "Профессор", "Δρ"),
+}
+CUES = ("[Mm]y name is", "[Mm]ein Name ist", "[Jj]e m['’]appelle", "[Mm]e llamo", "[Mm]i chiamo", "[Мм]еня зовут", "[Мμ]ε λένε")
 GIVEN = {
     ("latin", "f"): ("Anna", "Clara", "Elena", "Emma", "Julia", "Laura", "Maria", "Sofia"),
     ("latin", "m"): ("Adam", "Carlo", "David", "Erik", "Jonas", "Lucas", "Martin", "Oscar"),
+    ("latin", "u"): ("Alex", "Charlie", "Dominique", "Kim", "Noa", "Robin", "Sascha", "Toni"),
     ("cyrillic", "f"): ("Анна", "Вера", "Елена", "Ирина", "Мария", "Нина", "Ольга", "Софья"),
     ("cyrillic", "m"): ("Антон", "Борис", "Виктор", "Иван", "Максим", "Олег", "Павел", "Роман"),
+    ("greek", "f"): ("Άννα", "Ελένη", "Μαρία", "Σοφία", "Δήμητρα", "Κατερίνα", "Βασιλική", "Ειρήνη"),
+    ("greek", "m"): ("Γιώργος", "Νίκος", "Δημήτρης", "Κώστας", "Ανδρέας", "Πέτρος", "Μιχάλης", "Αλέξης"),
+    ("arabic", "f"): ("فاطمة", "مريم", "ليلى", "زينب", "سارة", "نور", "هدى", "سلمى"),
+    ("arabic", "m"): ("أحمد", "محمد", "علي", "حسن", "عمر", "يوسف", "خالد", "سعيد"),
+    ("hebrew", "f"): ("שרה", "רחל", "לאה", "מרים", "חנה", "רות", "נעמי", "דינה"),
+    ("hebrew", "m"): ("דוד", "משה", "יוסף", "אברהם", "יעקב", "שלמה", "דניאל", "אורי"),
+    ("han", "f"): ("美玲", "秀英", "丽华", "静", "敏", "芳", "雪梅", "玉兰"),
+    ("han", "m"): ("伟", "强", "建国", "志明", "军", "磊", "大明", "海涛"),
+    ("kana", "f"): ("サクラ", "ユミ", "アイ", "ナオミ", "ケイコ", "マリ", "リエ", "ミホ"),
+    ("kana", "m"): ("タロウ", "ケン", "ヒロシ", "ダイキ", "ショウ", "ユウタ", "マコト", "タケシ"),
+    ("hangul", "f"): ("서연", "민지", "수진", "은주", "지영", "혜진", "유진", "미경"),
+    ("hangul", "m"): ("민준", "지훈", "성호", "영수", "준호", "동현", "상우", "현우"),
 }
 SYLLABLES = {
     "latin": ("ba", "bel", "dor", "fen", "gar", "hol", "kem", "lan", "mar", "nor", "pel", "ros", "sten", "tal", "ver", "win"),
     "cyrillic": ("бар", "вол", "гор", "дан", "жук", "зим", "кар", "лан", "мор", "нов", "пав", "рад", "сар", "тор", "фед", "чер"),
+    "greek": ("βα", "γορ", "δημ", "δρα", "ζαν", "θεο", "καρ", "λαμ", "μαν", "νικ", "παπ", "ραλ", "στα", "τσι", "φιλ", "χρι"),
+    "arabic": ("با", "دو", "را", "زي", "سا", "شو", "طا", "عا", "فا", "قا", "كا", "لي", "ما", "نو", "ها", "يا"),
+    "hebrew": ("בר", "גל", "דן", "הר", "זיו", "חן", "טל", "כר", "לב", "מן", "נר", "סל", "עמ", "פז", "צור", "רז"),
+    "han": ("李", "王", "张", "刘", "陈", "杨", "赵", "黄", "周", "吴", "徐", "孙", "胡", "朱", "高", "林"),
+    "kana": ("ア", "カ", "キ", "サ", "シ", "タ", "ナ", "ニ", "ハ", "マ", "ミ", "ヤ", "ラ", "リ", "ワ", "モ"),
+    "hangul": ("강", "고", "김", "남", "노", "문", "박", "배", "서", "송", "안", "오", "유", "이", "정", "최"),
 }
+# Unicode scripts by name, and those whose family names are drawn with two syllables instead of four.
+SCRIPTS = {"cyrillic": "IsCyrillic", "greek": "IsGreek", "arabic": "IsArabic", "hebrew": "IsHebrew", "kana": "IsHiragana}\\p{IsKatakana", "hangul": "IsHangul", "han": "IsHan"}
+SHORT = ("han", "kana", "hangul", "arabic", "hebrew")
 
 # A name: parts, initials and particles up to a last part; or an initial alone.
 PARTICLES = ("von", "van", "der", "den", "de", "del", "della", "di", "da", "do", "dos", "du", "la", "le", "zu", "zur", "zum", "ten", "ter", "bin", "al", "y", "фон", "де")
 _PARTICLE = "(?:" + "|".join(PARTICLES) + ")"
-_PART = r"\p{Lu}[\p{L}'’-]+"
-_NAME = rf"(?:(?:{_PART}|(?:\p{{Lu}}\.-?)+|\p{{Lu}}|{_PARTICLE}) |(?:\p{{Lu}}\.)+)*{_PART}|(?:\p{{Lu}}\.)+|\p{{Lu}}(?!\p{{L}})"
-_TITLE = r"\b(?:" + "|".join(t for g in TITLES.values() for t in g) + r")\.? "
+_PART = r"\p{Lu}[\p{L}\p{M}'’-]+"
+_CASELESS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー\p{IsHangul}]{1,4}|[\p{IsArabic}\p{IsHebrew}&&[\p{L}\p{M}]]+(?: [\p{IsArabic}\p{IsHebrew}&&[\p{L}\p{M}]]+)?"
+_NAME = rf"(?:(?:{_PART}|(?:\p{{Lu}}\.-?)+|\p{{Lu}}|{_PARTICLE}) |(?:\p{{Lu}}\.)+)*{_PART}|(?:\p{{Lu}}\.)+|\p{{Lu}}(?!\p{{L}})|{_CASELESS}"
+_TITLES = "(?:" + "|".join(dict.fromkeys(form for g in TITLES.values() for t in g for form in (t, t.upper()))) + ")"
+_LEAD = rf"(?:(?:(?:{'|'.join(CUES)}) )?(?:{_TITLES}\.? )+|(?:{'|'.join(CUES)}) )"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\(?(?<![0-9])[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "name": f"{_TITLE}(?:{_NAME})",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){_LEAD}(?:{_NAME})",
 }
 KINDS = tuple(PATTERNS)
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_NUMBERS = "|".join(f"(?:{PATTERNS[k]})" for k in ("ip", "card", "phone"))
+
+
+def has_entity(text: Column) -> Column:
+    """Whether any pattern is found. What each needs at least is looked for first, as the patterns are slow."""
+    mail = F.contains(text, F.lit("@")) & text.rlike(PATTERNS["email"])
+    number = text.rlike("[0-9][0-9 .()-]{5}") & text.rlike(_NUMBERS)
+    return F.coalesce(mail | number | text.rlike(PATTERNS["name"]), F.lit(False))
 
 
 def _kind(match: Column) -> Column:
@@ -76,11 +117,16 @@ def _kind(match: Column) -> Column:
 
 def canonical(kind: Column, match: Column) -> Column:
     """Equal for all ways to write an entity. A name carries gender and script."""
-    title = F.regexp_extract(match, r"\A(\p{L}+)", 1)
-    gender = F.when(title.isin(*TITLES["f"]), "f").otherwise("m")
-    bare = F.regexp_replace(match, r"\A\p{L}+\.? ", "")
+    title = F.regexp_extract(match, rf"\A(?:(?:{'|'.join(CUES)}) )?({_TITLES})\.? ", 1)
+    titles = {g: [form for t in of for form in (t, t.upper())] for g, of in TITLES.items()}
+    second = F.regexp_extract(match, rf"\A(?:{_TITLES}\.? )({'|'.join(titles['f'] + titles['m'])})\.? ", 1)
+    gendered = F.when(second != "", second).otherwise(title)
+    gender = F.when(gendered.isin(titles["f"]), "f").when(gendered.isin(titles["m"]), "m").otherwise("u")
+    bare = F.regexp_replace(match, rf"\A{_LEAD}", "")
     plain = F.regexp_replace(F.regexp_replace(F.lower(bare), r"\.", ""), rf"(?<![^ ]){_PARTICLE} ", "")
-    script = F.when(bare.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    script = F.lit("latin")
+    for name, block in reversed(SCRIPTS.items()):
+        script = F.when(bare.rlike(rf"[\p{{{block}}}]"), name).otherwise(script)
     return (
         F.when(kind == "email", F.lower(match))
         .when(kind == "ip", match)
@@ -90,7 +136,7 @@ def canonical(kind: Column, match: Column) -> Column:
     )
 
 
-def _number(digest: Column, place: Column | int, base: int) -> Column:
+def _number(digest: Column, place: Column | int, base: Column | int) -> Column:
     """A number below ``base`` from the digest, another for each place; digests are 64 hex digits, read two at a time."""
     at = F.pmod(F.lit(place) if isinstance(place, int) else place, F.lit(31)) * 2 + 1
     pair = F.conv(F.substr(digest, at.cast("int"), F.lit(4)), 16, 10).cast("int")
@@ -119,16 +165,26 @@ def _later_syllable(syllables: Column, digest: Column) -> Callable[[Column], Col
     return lambda k: F.when(k > 0, F.element_at(syllables, _number(digest, k * 2 - 1, 16) + 1)).otherwise("")
 
 
+def _syllables() -> Column:
+    return _lookup(SYLLABLES)
+
+
+def _given() -> Column:
+    """Given names by gender and script; without a gender those of both, unless there are names of either."""
+    return _lookup({f"{g}/{s}": GIVEN.get((s, g)) or GIVEN[s, "f"] + GIVEN[s, "m"] for s in SYLLABLES for g in TITLES})
+
+
+def _lookup(lists: dict[str, tuple[str, ...]]) -> Column:
+    return F.create_map(*[c for k, of in lists.items() for c in (F.lit(k), F.array(*map(F.lit, of)))])
+
+
 def surrogate(kind: Column, entity: Column, digest: Column, attempt: Column) -> Column:
     """The surrogate's canonical form. E-mails and phone numbers grow from the third redraw on, names from the first."""
     more = F.sha2(F.concat(F.lit("more"), digest), 256)
     grown = F.greatest(attempt - 2, F.lit(0))
-    local = F.substring_index(entity, "@", 1)
-    domain = F.substring_index(entity, "@", -1)
-    first = F.substring_index(domain, ".", 1)
-    bare = ~F.concat(local, first).rlike("[a-z0-9]")
-    letters = F.substr(F.translate(more, "0123456789", "ghijklmnop"), F.lit(1), grown + bare.cast("int"))
-    mail = F.concat(_letters_and_digits(local, digest), letters, F.lit("@"), _letters_and_digits(first, F.reverse(digest)), F.substr(domain, F.length(first) + 1))
+    first = F.when(kind == "domain", F.substring_index(entity, ".", 1)).otherwise(F.substring_index(entity, "@", 1))
+    letters = F.substr(F.translate(more, "0123456789", "ghijklmnop"), F.lit(1), grown + (~first.rlike("[a-z0-9]")).cast("int"))
+    mail = F.concat(_letters_and_digits(first, digest), letters, F.substr(entity, F.length(first) + 1))
     body = _letters_and_digits(F.substr(entity, F.lit(1), F.length(entity) - 1), digest)
     check = F.pmod(F.lit(10) - F.pmod(_checksum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
     valid = F.pmod(_checksum(entity), F.lit(10)) == 0
@@ -137,17 +193,15 @@ def surrogate(kind: Column, entity: Column, digest: Column, attempt: Column) ->
     country = F.when(entity.startswith("+"), F.substr(entity, F.lit(1), F.greatest(F.length(entity) - 10, F.lit(2)))).otherwise(F.lit(""))
     phone = F.concat(country, _letters_and_digits(F.substr(entity, F.length(country) + 1), digest), F.substr(F.translate(more, "abcdef", "012345"), F.lit(1), grown))
     ip = F.concat_ws(".", *[(_number(digest, i, 254) + 1).cast("string") for i in range(4)])
-    name = family = F.lit(None).cast("string")
-    for script, syllables in SYLLABLES.items():
-        of = F.array(*map(F.lit, syllables))
-        tail = F.array_join(F.transform(F.sequence(F.lit(0), attempt), _later_syllable(of, more)), "")
-        family = F.when(entity.startswith(f"{script}/"), F.concat(F.lit(f"{script}/"), F.initcap(F.concat(*[F.element_at(of, _number(digest, k, 16) + 1) for k in (1, 3, 5, 7)], tail)))).otherwise(family)
-        for gender in TITLES:
-            given = GIVEN[script, gender]
-            first = F.concat(F.element_at(F.array(*map(F.lit, given)), _number(digest, 0, len(given)) + 1), tail)
-            start = f"{gender}/{script}/"
-            name = F.when(entity.startswith(start), F.concat(F.lit(start), first, F.lit(" "), F.substring_index(entity, " ", -1))).otherwise(name)
-    return F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "family", family).otherwise(name)
+    script = F.split_part(entity, F.lit("/"), F.when(kind == "family", 1).otherwise(2))
+    syllables = F.element_at(_syllables(), script)
+    tail = F.array_join(F.transform(F.sequence(F.lit(0), attempt), _later_syllable(syllables, more)), "")
+    stem = F.transform(F.sequence(F.lit(1), F.when(script.isin(*SHORT), 2).otherwise(4)), lambda k: F.element_at(syllables, _number(digest, k * 2 - 1, 16) + 1))
+    family = F.concat(script, F.lit("/"), F.initcap(F.concat(F.array_join(stem, ""), tail)))
+    sort = F.substring_index(entity, "/", 2)
+    given = F.element_at(_given(), sort)
+    name = F.concat(sort, F.lit("/"), F.element_at(given, _number(digest, 0, F.size(given)) + 1), tail, F.lit(" "), F.substring_index(entity, " ", -1))
+    return F.when(kind.isin("email", "domain"), mail).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "family", family).when(kind == "name", name)
 
 
 def _draw(entities: DataFrame, secret: str) -> DataFrame:
@@ -164,16 +218,22 @@ def assign(entities: DataFrame, secret: str) -> DataFrame:
     """kind, entity, surrogate for distinct entities (kind, entity): keyed, distinct within a kind, none an entity itself.
 
     Family names are drawn as entities of their own. A full name draws a given name that no other one with its family name
-    has, and both kinds of mention take the family name's surrogate, so what is printed is distinct.
+    has, and both kinds of mention take the family name's surrogate, so what is printed is distinct. Domains of addresses are drawn
+    in the same way; a domain whose first label has neither letter nor digit stays.
     """
     one = (F.col("kind") == "name") & ~F.contains("entity", F.lit(" "))
     families = entities.where(F.col("kind") == "name").select(F.lit("family").alias("kind"), _family(F.col("entity")).alias("entity")).distinct()
-    drawn = _settled(entities.where(~one).unionByName(families), secret)
+    domain = F.substring_index("entity", "@", -1)
+    domains = entities.where((F.col("kind") == "email") & domain.rlike(r"\A[^.]*[a-z0-9]")).select(F.lit("domain").alias("kind"), domain.alias("entity")).distinct()
+    drawn = _settled(entities.where(~one).unionByName(families).unionByName(domains), secret)
     family = drawn.where(F.col("kind") == "family").select(F.col("entity").alias("family"), F.split_part("surrogate", F.lit("/"), F.lit(2)).alias("last"))
     names = entities.where(one).withColumn("surrogate", F.col("entity")).unionByName(drawn.where(F.col("kind") == "name")).withColumn("family", _family(F.col("entity")))
     first = F.when(F.contains("entity", F.lit(" ")), F.concat(F.substring_index("surrogate", " ", 1), F.lit(" "))).otherwise(F.regexp_extract("entity", r"\A(./\w+/)", 1))
     named = names.join(family, "family").select("kind", "entity", F.concat(first, "last").alias("surrogate"))
-    return drawn.where(~F.col("kind").isin("family", "name")).unionByName(named)
+    there = drawn.where(F.col("kind") == "domain").select(F.col("entity").alias("domain"), F.col("surrogate").alias("other"))
+    mails = drawn.where(F.col("kind") == "email").withColumn("domain", domain).join(there, "domain", "left")
+    mailed = mails.select("kind", "entity", F.concat(F.substring_index("surrogate", "@", 1), F.lit("@"), F.coalesce("other", "domain")).alias("surrogate"))
+    return drawn.where(~F.col("kind").isin("family", "name", "domain", "email")).unionByName(named).unionByName(mailed)
 
 
 def _settled(entities: DataFrame, secret: str) -> DataFrame:
@@ -183,9 +243,9 @@ def _settled(entities: DataFrame, secret: str) -> DataFrame:
         # The entity that keeps a surrogate is the one with the fewest attempts, then the first by name. A form
         # compared here is in lower case, as mentions are.
         # Genders do not count, as they are printed only in the title.
-        form = F.regexp_replace(F.lower("surrogate"), r"\A[fm]/", "")
+        form = F.regexp_replace(F.lower("surrogate"), r"\A[fmu]/", "")
         keeper = drawn.groupBy("kind", form.alias("form")).agg(F.min(F.struct("attempt", "entity")).alias("keeper"))
-        real = drawn.select("kind", F.regexp_replace(F.lower("entity"), r"\A[fm]/", "").alias("form"), F.lit(True).alias("real")).distinct()
+        real = drawn.select("kind", F.regexp_replace(F.lower("entity"), r"\A[fmu]/", "").alias("form"), F.lit(True).alias("real")).distinct()
         judged = drawn.withColumn("form", form).join(keeper, ["kind", "form"]).join(real, ["kind", "form"], "left")
         again = F.coalesce("real", F.lit(False)) | (F.col("keeper.entity") != F.col("entity"))
         judged = staged(judged.select("kind", "entity", "attempt", "surrogate", again.alias("again")), "pii-judged")
@@ -206,7 +266,11 @@ def mention(kind: Column, match: Column, chosen: Column) -> Column:
     laid = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.element_at(digits, F.greatest(upto(i), F.lit(1)))).otherwise(c)), "")
     side = lambda n: F.array_join(F.zip_with(F.split(F.substring_index(match, "@", n), ""), F.split(F.substring_index(chosen, "@", n), ""), lambda a, b: F.when(a.rlike("[A-Z]"), F.upper(b)).otherwise(b)), "")
     cased = F.concat(side(1), F.lit("@"), side(-1))
-    named = F.concat(F.regexp_extract(match, r"\A(\p{L}+\.? )", 1), F.regexp_extract(chosen, r"\A./\w+/(.*)\z", 1))
+    lead = F.regexp_extract(match, rf"\A({_LEAD})", 1)
+    bare = F.substr(match, F.length(lead) + 1)
+    printed = F.regexp_extract(chosen, r"\A./\w+/(.*)\z", 1)
+    capitals = bare.rlike(r"\p{Lu}{2}") & ~bare.rlike(r"\p{Ll}")
+    named = F.concat(lead, F.when(capitals, F.upper(printed)).otherwise(printed))
     return F.when(kind == "email", cased).when(kind == "ip", chosen).when(kind == "name", named).otherwise(F.concat(laid, extra))
 
 
@@ -214,11 +278,10 @@ def replace(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text
     """key, text with all entities replaced, and the number of mentions of each kind (n_email ...)."""
     start(docs.sparkSession)
     narrow = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    # A match of digits only is bounded by them; the hint spares most texts the long pattern.
-    found = F.coalesce(F.col("text").rlike(_ANY), F.lit(False))
     counts = [f"n_{k}" for k in KINDS]
-    plain = narrow.where(~found).select("key", "text", *[F.lit(0).cast("long").alias(n) for n in counts])
-    hit = narrow.where(found).withColumn("digest", F.sha2("text", 256))
+    read = staged(narrow.withColumn("digest", F.when(has_entity(F.col("text")), F.sha2("text", 256))), "pii-texts")
+    plain = read.where("digest is null").select("key", "text", *[F.lit(0).cast("long").alias(n) for n in counts])
+    hit = read.where("digest is not null")
     once = hit.groupBy("digest").agg(F.first("text").alias("text"))
     clean = F.translate("text", _OPEN + _CLOSE, _OTHER + _OTHER)
     cut = once.select("digest", F.posexplode(F.split(F.regexp_replace(clean, f"({_ANY})", f"{_OPEN}$1{_CLOSE}"), _OPEN)).alias("nr", "piece"))

@@ -431,6 +431,40 @@ def test_whole_names_are_replaced(spark):
     assert not {"Keller", "Smith", "Tolkien", "Kennedy", "Beethoven", "Cruz", "J", "R", "F", "K", "von", "la"} & {w for t in got.values() for w in re.findall(r"\w+", t)}
 
 
+def test_names_by_title_introduction_script_and_capitals(spark):
+    texts = [
+        "saw Mr Smith and Dr Smith, then Prof. Dr. Smith and MR. SMITH", "Mr Παπαδόπουλος left", "Herr 田中 left", "hello, my name is Jane Roe", "so Mr محمد علي, left",
+        "מר כהן, left", "Dear Mr Tanaka", "a drive, not Drake Bell", "Frau Dr. Anna Keller", "Frau Anna Keller", "Mr 김, left", "Mr タナカ, left", "Доктор Петров left",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii_surrogates.replace(docs, "k").collect()}
+    first = re.fullmatch(r"saw Mr (\w+) and Dr (\w+), then Prof\. Dr\. (\w+) and MR\. (\w+)", got[0]).groups()
+    assert first[0] == first[1] == first[2] != "Smith" and first[3] == first[0].upper()
+    for i, pattern in {
+        1: r"Mr [\u0370-\u03ff\u1f00-\u1fff]+ left", 2: r"Herr [\u4e00-\u9fff]{2,} left", 3: r"hello, my name is [A-Z][a-z]+ [A-Z][a-z]+", 4: r"so Mr [\u0600-\u06ff]+ [\u0600-\u06ff]+, left",
+        5: r"מר [\u0590-\u05ff]+, left", 10: r"Mr [\uac00-\ud7af]+, left", 11: r"Mr [\u30a0-\u30ff]+, left", 12: r"Доктор [А-Я][а-я]+ left",
+    }.items():
+        assert re.fullmatch(pattern, got[i]) and got[i] != texts[i], got[i]
+    assert got[7] == texts[7] and "Tanaka" not in got[6]
+    assert got[8].replace("Dr. ", "") == got[9] and got[9].split()[1] in pii_surrogates.GIVEN["latin", "f"]
+
+
+def test_addresses_of_a_domain_stay_together(spark):
+    texts = ["a@acme-corp.com or B@Acme-Corp.com", "a@other.org"]
+    got = {r["doc_id"]: r["text"] for r in pii_surrogates.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    one, two = re.fullmatch(r"(\w+@\w+-\w+\.com) or (\w+@\w+-\w+\.com)", got[0]).groups()
+    assert one.split("@")[1] == two.split("@")[1].lower() != "acme-corp.com" and one.split("@")[0] != two.split("@")[0].lower()
+    assert two[0].isupper() and got[1].endswith(".org") and "other" not in got[1]
+
+
+def test_hints_miss_no_entity(spark):
+    parts = ["Mr Smith", "x@y.zz", "1.2.3.4", "4111 1111 1111 1111", "+1 (617) 555-7713", "(617) 555-7713", "+49 1 22 33", "617 555 7713", "@ home", "12 345 678", "my name is Jo Li", "Mr", "", "MRS. X"]
+    rows = [(i * 20 + j, f"{a} and {b}") for i, a in enumerate(parts) for j, b in enumerate(parts)]
+    docs = spark.createDataFrame([*rows, (9999, None)], "doc_id long, text string")
+    judged = docs.select("text", pii_surrogates.has_entity(F.col("text")).alias("hint"), F.coalesce(F.col("text").rlike(pii_surrogates._ANY), F.lit(False)).alias("any")).collect()
+    assert all(r["hint"] == r["any"] for r in judged) and any(r["hint"] for r in judged) and not all(r["hint"] for r in judged)
+
+
 def test_order_minhash(spark, documents, odd, none):
     got = {r["doc_id"]: r for r in Q.QUERIES["op10_order_minhash"](spark, DATA).collect()}
     ids = sorted(documents, reverse=True)
