@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from hydropanel.operators import regions
+from hydropanel.operators import regions, transfer
 from hydropanel.operators.reshape import MONTH_NAMES
 from hydropanel.plans.registry import query
 
@@ -80,6 +80,11 @@ def cl_kmeans(p):
     return regions.kmeans(regions.scale_features(_features(p), COLS), "site_number", COLS, k=5).select("site_number", "cluster")
 
 
+@query("cl_kmeans_exchange")
+def cl_kmeans_exchange(p):
+    return transfer.kmeans(regions.scale_features(_features(p), COLS), "site_number", COLS, k=5).select("site_number", "cluster")
+
+
 _CENTRES = {
     "centre_parts": "SELECT cluster, i, avg(x) AS c FROM (SELECT cluster, unnest(v) AS x, unnest(range(1, 65)) AS i FROM vectors) GROUP BY 1, 2",
     "centre_rows": "SELECT cluster, list(c ORDER BY i) AS centre FROM centre_parts GROUP BY cluster",

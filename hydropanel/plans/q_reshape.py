@@ -1,6 +1,8 @@
 """Stacking, long and wide forms, user functions."""
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from hydropanel.operators import apply, reshape
@@ -170,6 +172,30 @@ def udf_group_apply(p):
     return apply.group_apply(df, ["cluster"], fit, "cluster int, n long, slope double")
 
 
+@query(
+    "udf_group_stream",
+    """SELECT site_number, count(*) AS n, max(gap) AS longest_gap FROM (SELECT site_number,
+      date - lag(date) OVER (PARTITION BY site_number ORDER BY date) AS gap FROM obs) GROUP BY site_number""",
+)
+def udf_group_stream(p):
+    """Measurements of a station and the most days between two that follow each other, batch by batch."""
+
+    def gaps(key, batches):
+        n, last, longest = 0, None, None
+        for batch in batches:
+            days = batch.column("date").cast(pa.int32()).to_numpy()
+            n += len(days)
+            steps = np.diff(days if last is None else np.append(last, days))
+            if len(steps):
+                longest = max(int(steps.max()), -1 if longest is None else longest)
+            last = days[-1] if len(days) else last
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([key[0]], pa.string()), pa.array([n], pa.int64()), pa.array([longest], pa.int64())], names=["site_number", "n", "longest_gap"]
+        )
+
+    return apply.group_stream(p.obs.select("site_number", "date"), ["site_number"], gaps, "site_number string, n long, longest_gap long", order=["date"])
+
+
 @query(
     "udf_map_collection",
     """SELECT site_number, cal_year, CAST(count(m.month) AS BIGINT) AS n_months, coalesce(sum(m.precip_m), 0) AS total

@@ -7,6 +7,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hydropanel import session
 from hydropanel.functions import dist, geo
-from hydropanel.operators import aggregates, cover, extremes, factors, kriging, pairs, ranges, regions, spatial, state, windows
+from hydropanel.operators import aggregates, apply, cover, extremes, factors, kriging, pairs, ranges, regions, spatial, state, transfer, windows
 from hydropanel.operators import regression as reg
 from hydropanel.sources import checkpoint_table
 
@@ -589,3 +590,72 @@ def test_regressions_keep_every_group(spark):
     assert {r.g: r.a is None for r in parts.collect()} == {"full": False, "collinear": True, "short": True}
     modelled = reg.predict_parts(df, parts, ["g"], families, ["g", "y"])
     assert modelled.count() == len(rows) and {r.full_model for r in modelled.filter("g = 'short'").collect()} == {0.0}
+
+
+def _within(pts, label):
+    return sum(((pts[label == c] - pts[label == c].mean(axis=0)) ** 2).sum() for c in set(label))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_exchange_ends_where_no_row_gains(spark, seed):
+    rng = np.random.default_rng(seed)
+    pts = rng.normal(size=(150, 3)) * [1, 2, 0.5] + rng.integers(0, 3, size=(150, 1))
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "id int, a double, b double, c double")
+    labels = lambda out: np.array([r["cluster"] for r in out.orderBy("id").collect()])
+    before = labels(regions.kmeans(df, "id", ["a", "b", "c"], k=6, max_iter=3))
+    after = labels(transfer.kmeans(df, "id", ["a", "b", "c"], k=6, max_iter=3))
+    assert _within(pts, after) < _within(pts, before)
+    size, centre = np.bincount(after, minlength=7)[1:], np.array([pts[after == c].mean(axis=0) for c in range(1, 7)])
+    for p, a in zip(pts, after - 1, strict=True):
+        d = ((p - centre) ** 2).sum(axis=1)
+        if size[a] > 1:
+            into = np.delete(size / (size + 1) * d, a)
+            assert size[a] / (size[a] - 1) * d[a] <= into.min() + 1e-9
+    again = labels(transfer.kmeans(df.repartition(5), "id", ["a", "b", "c"], k=6, max_iter=3))
+    assert abs(_within(pts, again) - _within(pts, after)) < 1e-9
+
+
+def test_exchange_keeps_optimal_labels_and_compares_few_rows(spark):
+    rng = np.random.default_rng(0)
+    corners = np.array([[0, 0], [10, 0], [0, 10]])
+    pts = np.vstack([c + rng.normal(scale=0.8, size=(300, 2)) for c in corners])
+    df = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(pts)], "id int, v array<double>")
+    # two rows start on the wrong side of a centre that lies far out
+    trace = []
+    out = transfer.exchange(df, "id", "v", [[0.0, 0.0], [9.0, 1.0], [0.0, 25.0]], trace=trace)
+    label = np.array([r["label"] for r in out.orderBy("id").collect()])
+    assert all(len(set(label[k : k + 300])) == 1 for k in (0, 300, 600)) and len(set(label)) == 3
+    sums = [s for _, s in trace]
+    assert all(b < a for a, b in zip(sums, sums[1:], strict=False)) and abs(sums[-1] - _within(pts, label)) < 1e-6 * sums[-1]
+    # a few rows between two clusters change sides, the others are settled by their bounds after the first round
+    between = [(900 + i, [0.25 * i, 0.0]) for i in range(41)]
+    trace = []
+    transfer.exchange(df.union(spark.createDataFrame(between, df.schema)), "id", "v", [[2.5, 0.0], [10.0, 0.0], [0.0, 10.0]], trace=trace).count()
+    assert len(trace) > 1 and trace[0][0] == 941 and all(compared < 0.1 * 941 for compared, _ in trace[1:]), trace
+    wide = df.select("id", F.col("v")[0].alias("a"), F.col("v")[1].alias("b"))
+    lloyd = regions.kmeans(wide, "id", ["a", "b"], k=3)
+    assert not transfer.kmeans(wide, "id", ["a", "b"], k=3).exceptAll(lloyd).count()
+    assert transfer.kmeans(wide.limit(0), "id", ["a", "b"], k=3).count() == 0
+    assert {r["cluster"] for r in transfer.kmeans(wide.limit(5), "id", ["a", "b"], k=1).collect()} == {1}
+
+
+def test_streamed_groups_are_sorted_and_never_held(spark):
+    rows = 600_000
+    df = spark.range(rows).select(F.when(F.col("id") % 3 == 0, "small").otherwise("large").alias("g"), F.hash("id").alias("t"), F.lit("x" * 200).alias("pad"))
+
+    def walk(key, batches):
+        n, most, last, ordered = 0, 0, None, True
+        for batch in batches:
+            t = batch.column("t").to_numpy()
+            ordered &= bool((np.diff(t.astype(np.int64)) >= 0).all()) and (last is None or last <= t[0])
+            n, most, last = n + len(t), max(most, len(t)), t[-1]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([n]), pa.array([most]), pa.array([ordered])], names=["g", "n", "most", "ordered"])
+
+    out = apply.group_stream(df, ["g"], walk, "g string, n long, most long, ordered boolean", order=["t"])
+    got = {r["g"]: r for r in out.collect()}
+    limit = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    assert got["large"]["n"] == 2 * got["small"]["n"] == 400_000
+    assert all(r["ordered"] and r["most"] <= limit for r in got.values())
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1
+    assert apply.group_stream(df.limit(0), ["g"], walk, "g string, n long, most long, ordered boolean").count() == 0
