@@ -4,6 +4,9 @@ A bounded number of rows, dealt over the clusters, are pivots. Every row belongs
 radius. One pass over the rows gives the radii and, from the distances between rows and pivots, a first value of both extremes. A
 pair of blocks whose bounds cannot beat these values is never looked at, and of the other pairs only those rows are sent whose own distance to the
 other pivot leaves room for a better one. What is sent for a pair is cut into parts of bounded size, so one large pair is many tasks.
+
+Rows without clusters of their own prune little, and each would be sent to most of the pivots. What would be sent is counted first; if plain blocks
+of rows send less, the caller compares those.
 """
 
 from __future__ import annotations
@@ -16,12 +19,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydropanel.operators.pairs import cogroup_spread, distances, pieces
+from hydropanel.operators.pairs import block_count, cogroup_spread, distances, pieces
 from hydropanel.sources import checkpoint_table
 
 # Pivots at most, whatever the number of rows; they and a row of figures for each are all the driver sees.
 PIVOTS = 256
 PART = 20_000
+# So many rows are sent in any case.
+FEW = 1_000_000
+# Rows sent in one batch.
+_BATCH = 5_000
 # Distances of many dimensions are exact to about 1e-8 of the extent; bounds are widened by more than that.
 _SLACK = 1e-6
 
@@ -44,8 +51,12 @@ def pivots(rows: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     return np.array([r["own"] for r in chosen], np.int64), np.array([r["v"] for r in chosen], float).reshape(len(chosen), -1)
 
 
-def extremes(df: DataFrame, row_id: str, vec: str, cluster: str, part: int = PART) -> tuple[DataFrame, float] | None:
-    """One row (between, within), and the share of all pairs of rows that had to be compared. Rows without a cluster do not count."""
+def extremes(df: DataFrame, row_id: str, vec: str, cluster: str, part: int = PART, few: int | None = None) -> tuple[DataFrame, float] | None:
+    """One row (between, within), and the share of all pairs of rows that had to be compared. Rows without a cluster do not count.
+
+    None if there are too many clusters, or if more rows than ``few`` had to be sent and more than ``blocked_pairs`` sends.
+    """
+    few = FEW if few is None else few
     rows = checkpoint_table(df.select(F.col(row_id).alias("id"), F.col(cluster).cast("long").alias("own"), F.col(vec).alias("v")).where("own is not null and v is not null"))
     chosen = pivots(rows)
     if chosen is None:
@@ -85,18 +96,34 @@ def extremes(df: DataFrame, row_id: str, vec: str, cluster: str, part: int = PAR
     here = (size > 0)[:, None] & (size > 0) & np.triu(np.ones((blocks, blocks), bool))
     visit = here & np.where(same, apart + reach > far, apart - reach < near)
 
+    def chosen_pairs(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and the blocks they are sent to, and the blocks of all rows."""
+        d, mine, block = place(frame)
+        useful = np.where(mine, d + radius > far, d - radius < near)
+        a, b = np.minimum(block[:, None], np.arange(blocks)), np.maximum(block[:, None], np.arange(blocks))
+        return *np.nonzero(useful & visit[a, b]), block
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                yield pd.DataFrame({"n": [len(chosen_pairs(frame)[0])]})
+
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if not len(frame):
                 continue
-            d, mine, block = place(frame)
-            useful = np.where(mine, d + radius > far, d - radius < near)
-            a, b = np.minimum(block[:, None], np.arange(blocks)), np.maximum(block[:, None], np.arange(blocks))
-            i, j = np.nonzero(useful & visit[a, b])
-            if len(i):
-                left = block[i] <= j
-                yield pd.DataFrame({"a": a[i, j], "b": b[i, j], "left": left, "v": frame["v"].to_numpy()[i]})
+            i, j, block = chosen_pairs(frame)
+            v = frame["v"].to_numpy()
+            for lo in range(0, len(i), _BATCH):
+                row, other = i[lo : lo + _BATCH], j[lo : lo + _BATCH]
+                own = block[row]
+                yield pd.DataFrame({"a": np.minimum(own, other), "b": np.maximum(own, other), "left": own <= other, "v": v[row]})
 
+    n = int(size.sum())
+    plain = n * block_count(spark, n)
+    # Few rows need no count: there is no way to send more.
+    if n * blocks > max(few, plain) and (rows.mapInPandas(count, "n long").agg(F.sum("n")).first()[0] or 0) > max(few, plain):
+        return None
     sent = checkpoint_table(rows.mapInPandas(send, "a int, b int, left boolean, v array<double>").withColumn("slice", F.rand(0)))
     counts = sent.groupBy("a", "b").agg(F.count_if("left").alias("na"), F.count_if(~F.col("left")).alias("nb"))
     # A block against itself has one side only.
@@ -129,5 +156,4 @@ def extremes(df: DataFrame, row_id: str, vec: str, cluster: str, part: int = PAR
     found = cogroup_spread(one, two, ["a", "b", "sa", "sb"], compare, "between double, within double")
     # The pairs of rows and pivots are pairs of rows too.
     known = spark.createDataFrame([first], "between double, within double")
-    n = int(size.sum())
     return found.unionByName(known).agg(F.min("between").alias("between"), F.max("within").alias("within")), 2 * compared / max(1, n * (n - 1))

@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydropanel.sources import checkpoint_table
@@ -27,6 +27,16 @@ BLOCK_ROWS = 50_000
 PIECE = 1000
 
 
+def block_count(spark: SparkSession, rows: int, block_rows: int = BLOCK_ROWS) -> int:
+    """Blocks that ``blocked_pairs`` cuts so many rows into without tiles: about as many copies of a row are sent."""
+    return max(math.ceil(rows / block_rows), min(math.ceil(rows / PIECE), _spread(spark)))
+
+
+def _spread(spark: SparkSession) -> int:
+    """Enough blocks for every core to have a pair of them."""
+    return math.ceil(math.sqrt(2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def blocked_pairs(
     df: DataFrame,
     row_id,
@@ -44,8 +54,7 @@ def blocked_pairs(
     """
     df = checkpoint_table(df)
     # Enough blocks for every core to have a pair of them, unless they would become smaller than a piece.
-    cores = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = math.ceil(math.sqrt(2 * cores)) if tiles is None else 1
+    spread = _spread(df.sparkSession) if tiles is None else 1
     n = F.count(F.lit(1))
     n_blocks = F.greatest(F.ceil(n / block_rows), F.least(F.ceil(n / PIECE), F.lit(spread))).cast("int").alias("_nb")
     if tiles is None:
@@ -106,13 +115,21 @@ def pieces(rows: int) -> list[slice]:
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances between the rows of two blocks."""
+    square = squares(a, b)
+    return np.sqrt(square, out=square)
+
+
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances between the rows of two blocks."""
     if a.shape[1] <= 4:
-        return np.sqrt(sum((a[:, [i]] - b[:, i]) ** 2 for i in range(a.shape[1])))
+        return sum((a[:, [i]] - b[:, i]) ** 2 for i in range(a.shape[1]))
     # centred first, so that the expanded square loses little
     centre = b.mean(axis=0)
     a, b = a - centre, b - centre
-    square = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T)
-    return np.sqrt(np.maximum(square, 0.0))
+    square = -2 * (a @ b.T)
+    square += (a * a).sum(axis=1)[:, None]
+    square += (b * b).sum(axis=1)
+    return np.maximum(square, 0.0, out=square)
 
 
 def pairs_within(df: DataFrame, row_id: str, x: str, y: str, max_dist: float) -> DataFrame:

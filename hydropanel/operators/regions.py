@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hydropanel.functions import calendar, units
 from hydropanel.operators.extremes import extremes
-from hydropanel.operators.pairs import BLOCK_ROWS, blocked_pairs, distances, pieces
+from hydropanel.operators.pairs import BLOCK_ROWS, PIECE, blocked_pairs, distances, pieces, squares
 from hydropanel.operators.reshape import MONTH_NAMES
 from hydropanel.operators.rows import complete, update_where
 from hydropanel.operators.windows import add_group_agg, share_of_peak
@@ -180,31 +180,49 @@ def silhouette(df: DataFrame, row_id: str, vec: str, cluster: str, block_rows: i
     return s.select(F.col("id").alias(row_id), F.col("own").alias(cluster), "a", "b", width.alias("silhouette"))
 
 
-def _extremes(df: DataFrame, row_id: str, vec: str, clusters: dict[int, str], block_rows: int) -> DataFrame:
-    """Per clustering the smallest distance between clusters and the largest within one, from one pass over the pairs."""
+def _extremes(df: DataFrame, row_id: str, vec: str, clusters: dict[int, str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Per clustering the smallest distance between clusters and the largest within one, from one pass over the pairs.
+
+    Rows of a block are sorted by their clusters, so the extremes of a piece are taken once for each pair of runs, however many clusterings
+    there are. Rows without a cluster do not count in that clustering.
+    """
     ks, columns = list(clusters), list(clusters.values())
     own = [F.col(c).cast("long").alias(f"own{i}") for i, c in enumerate(columns)]
-    base = df.select(F.col(row_id).alias("id"), F.col(vec).alias("v"), *own)
+    names = [f"own{i}" for i in range(len(ks))]
+    base = df.select(F.col(row_id).alias("id"), F.col(vec).alias("v"), *own).where(F.col("v").isNotNull() & F.coalesce(*names).isNotNull())
 
     def of_blocks(same: bool, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        va, vb = _matrix(a, "v"), _matrix(b, "v")
+        def arranged(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+            """Rows sorted by clusters, their clusters, and where the runs of each piece begin."""
+            labels = frame[names].astype(float).to_numpy()
+            order = np.lexsort(labels.T)
+            labels = labels[order]
+            new = np.r_[True, ((labels[1:] != labels[:-1]) & ~(np.isnan(labels[1:]) & np.isnan(labels[:-1]))).any(axis=1)]
+            new[::PIECE] = True
+            return _matrix(frame, "v")[order], labels, [np.flatnonzero(new[i]) for i in pieces(len(order))]
+
+        va, la, ra = arranged(a)
+        vb, lb, rb = (va, la, ra) if same else arranged(b)
         between, within = np.full(len(ks), np.inf), np.full(len(ks), -np.inf)
-        for i in pieces(len(a)):
-            for j in pieces(len(b)):
-                d = distances(va[i], vb[j])
+        for i, of_a in zip(pieces(len(va)), ra, strict=True):
+            for j, of_b in zip(pieces(len(vb)), rb, strict=True):
+                if same and i.start > j.start:
+                    continue
+                d = squares(va[i], vb[j])
                 if same and i == j:
                     np.fill_diagonal(d, 0.0)
+                low = np.minimum.reduceat(np.minimum.reduceat(d, of_b, axis=1), of_a, axis=0)
+                high = np.maximum.reduceat(np.maximum.reduceat(d, of_b, axis=1), of_a, axis=0)
                 for n in range(len(ks)):
-                    inside = a[f"own{n}"].to_numpy()[i, None] == b[f"own{n}"].to_numpy()[j]
-                    between[n] = min(between[n], d[~inside].min(initial=np.inf))
-                    within[n] = max(within[n], d[inside].max(initial=-np.inf))
-        found = {"between": [x if np.isfinite(x) else None for x in between], "within": [x if np.isfinite(x) else None for x in within]}
+                    left, right = la[i][of_a, n, None], lb[j][of_b, n]
+                    between[n] = min(between[n], low[(left < right) | (left > right)].min(initial=np.inf))
+                    within[n] = max(within[n], high[left == right].max(initial=-np.inf))
+        found = {"between": [np.sqrt(x) if np.isfinite(x) else None for x in between], "within": [np.sqrt(x) if np.isfinite(x) else None for x in within]}
         return pd.DataFrame({"clusters": ks} | found)
 
     parts = blocked_pairs(base, F.col("id"), of_blocks, "clusters int, between double, within double", None, block_rows)
-    return parts.groupBy("clusters").agg(F.min("between").alias("separation"), F.max("within").alias("diameter")).withColumn(
-        "dunn", F.try_divide("separation", "diameter")
-    )
+    parts = parts.groupBy("clusters").agg(F.min("between").alias("separation"), F.max("within").alias("diameter"))
+    return parts.withColumn("dunn", F.try_divide("separation", "diameter"))
 
 
 def _index(found: DataFrame) -> DataFrame:
@@ -215,7 +233,7 @@ def _index(found: DataFrame) -> DataFrame:
 
 def dunn(df: DataFrame, row_id: str, vec: str, cluster: str, block_rows: int = BLOCK_ROWS, compared: bool = False) -> DataFrame:
     """Smallest distance between clusters over the largest within one. Blocks of rows whose bounds cannot win are not compared (see
-    ``extremes``); ``compared`` adds the share of pairs of rows that were. With very many clusters all blocks are compared."""
+    ``extremes``); ``compared`` adds the share of pairs of rows that were. With very many clusters, or where bounds spare little, all blocks are compared."""
     pruned = extremes(df, row_id, vec, cluster)
     if pruned is None:
         out, share = _extremes(df, row_id, vec, {0: cluster}, block_rows).drop("clusters"), 1.0
@@ -231,7 +249,11 @@ def validity_sweep(df: DataFrame, row_id: str, cols, ks, max_iter: int = 25) ->
     centres = _lloyd(rows, row_id, "_vec", list(ks), max_iter)
     labels = {f"_k{k}": _nearest("_vec", _centre_table(c))["id"] for k, c in centres.items()}
     rows = checkpoint_table(rows.withColumns(labels))
-    found = [dunn(rows, row_id, "_vec", f"_k{k}").select(F.lit(k).alias("clusters"), "dunn") for k in ks]
+    pruned = {k: extremes(rows, row_id, "_vec", f"_k{k}") for k in ks}
+    found = [_index(p[0]).select(F.lit(k).alias("clusters"), "dunn") for k, p in pruned.items() if p is not None]
+    rest = {k: f"_k{k}" for k, p in pruned.items() if p is None}
+    if rest:
+        found.append(_extremes(rows, row_id, "_vec", rest).select("clusters", "dunn"))
     return reduce(DataFrame.unionByName, found)
 
 

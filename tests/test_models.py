@@ -492,6 +492,32 @@ def test_dunn_without_comparing_all_rows(spark, dims, part):
     assert regions.dunn(df, "id", "v", "k", compared=True).first().compared == pytest.approx(compared)
 
 
+def test_extremes_of_rows_that_prune_nothing(spark, monkeypatch):
+    """Labels without any place: plain blocks are compared, which send each row a few times only; one pass serves several clusterings."""
+    rng = np.random.default_rng(8)
+    vec, label = rng.normal(size=(2500, 12)), rng.integers(0, 6, 2500)
+    rows = [(i, [float(x) for x in v], int(k)) for i, (v, k) in enumerate(zip(vec, label, strict=True))]
+    df = spark.createDataFrame([*rows, (3000, [0.0] * 12, None), (3001, None, 1)], "id long, v array<double>, k int")
+    assert extremes.extremes(df, "id", "v", "k", few=0) is None and extremes.extremes(df, "id", "v", "k") is not None
+    d = np.sqrt(((vec[:, None] - vec) ** 2).sum(-1))
+    same = label[:, None] == label
+    pruned = regions.dunn(df, "id", "v", "k").first()
+    monkeypatch.setattr(extremes, "FEW", 0)
+    got = regions.dunn(df, "id", "v", "k", compared=True).first()
+    assert got.compared == 1 and (got.separation, got.diameter) == pytest.approx((d[~same].min(), d[same].max()))
+    assert got[:3] == pytest.approx(pruned[:3])
+    both = regions._extremes(df.withColumn("one", F.lit(1)), "id", "v", {3: "k", 7: "one"}).collect()
+    both = {r.clusters: r for r in both}
+    assert both[3].separation == pytest.approx(got.separation) and both[3].diameter == pytest.approx(got.diameter)
+    assert both[7].separation is None and both[7].diameter >= d.max()
+    cols = [F.col("v")[i].alias(f"c{i}") for i in range(12)]
+    wide = df.where("k is not null and v is not null").select("id", *cols)
+    names = [f"c{i}" for i in range(12)]
+    plain = {r.clusters: r.dunn for r in regions.validity_sweep(wide, "id", names, [2, 3], 2).collect()}
+    monkeypatch.undo()
+    assert plain == pytest.approx({r.clusters: r.dunn for r in regions.validity_sweep(wide, "id", names, [2, 3], 2).collect()}) and set(plain) == {2, 3}
+
+
 def test_pairs_within(cloud):
     pdf, df = cloud
     some = df.filter("id < 60")
