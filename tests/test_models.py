@@ -180,6 +180,28 @@ def test_variogram(cloud, cutoff):
         assert got.gamma[b] == pytest.approx(q / 2 / n / pdf.z.var())
 
 
+@pytest.mark.parametrize("cutoff", [0.05, 0.4, 2.0])
+def test_variogram_sums_by_leaves(cutoff, monkeypatch):
+    """Many places against all pairs one by one, whole and cut bins alike; few pairs get a bin of their own."""
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=1500)
+    rows = np.c_[np.r_[rng.uniform(size=(1200, 2)), np.round(rng.uniform(size=(300, 2)), 1) + 1e-4 * np.arange(300)[:, None]] + 1000, rng.integers(1, 4, 1500), z, z * z + 1]
+    d = np.hypot(*(rows[:, [c]] - rows[:, c] for c in (0, 1)))
+    count = rows[:, [2]] * rows[:, 2]
+    square = rows[:, 2] * rows[:, [4]] + rows[:, [2]] * rows[:, 4] - 2 * rows[:, [3]] * rows[:, 3]
+    single = []
+    plain = spatial.distances
+    monkeypatch.setattr(spatial, "distances", lambda a, b: single.append(len(a) * len(b)) or plain(a, b))
+    upper, early = np.triu(np.ones(d.shape, bool), 1), np.arange(1500) < 700
+    for of, got in ((upper, spatial._binned(rows, None, cutoff, 10)), (early[:, None] & ~early, spatial._binned(rows[:700], rows[700:], cutoff, 10))):
+        use = of & (d > 0) & (d <= cutoff)
+        k = np.ceil(d[use] / (cutoff / 10)).astype(int) - 1
+        for have, w in zip(got, (count, count * d, square), strict=True):
+            assert have == pytest.approx(np.bincount(k, weights=w[use], minlength=10), rel=1e-9, abs=1e-9)
+    assert cutoff < 1 or sum(single) < 0.9 * 1500 * 1499 / 2 + 700 * 800 * 0.9
+    monkeypatch.undo()
+
+
 def test_variogram_fit_recovers_a_model(spark):
     h = np.linspace(0.5, 10, 15)
     rows = [(i + 1, 100, float(x), float(0.2 + 0.8 * (1 - np.exp(-x / 3.0))), 10.0) for i, x in enumerate(h)]
