@@ -550,6 +550,22 @@ def test_pairs_within(cloud):
     assert got == want
 
 
+def test_pairs_within_crowded_tiles(cloud, monkeypatch):
+    """Tiles cut into slices, negative tiles, repeated and missing ids; the work is dealt over all shuffle partitions."""
+    pdf, df = cloud
+    spark = df.sparkSession
+    monkeypatch.setattr(pairs, "TILE_ROWS", 7)
+    rows = [(i, float(a) - 0.5, float(b) - 0.5) for i, a, b in zip(pdf.id, pdf.x, pdf.y, strict=True)] + [(3, 0.0, 0.0), (None, 0.0, 0.0), (900, None, 0.0)]
+    some = spark.createDataFrame(rows, "id long, x double, y double")
+    found = pairs.pairs_within(some, "id", "x", "y", 0.4)
+    got = sorted((r.id_a, r.id_b, round(r.distance, 9)) for r in found.collect())
+    whole = [r for r in rows if None not in r]
+    want = [(min(a[0], b[0]), max(a[0], b[0]), round(float(np.hypot(a[1] - b[1], a[2] - b[2])), 9)) for a, b in itertools.combinations(whole, 2) if a[0] != b[0] and (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 <= 0.4 * 0.4]
+    assert got == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_release_deletes_the_written_stages(spark, monkeypatch):
     monkeypatch.setattr(session, "_stages", [])
     checkpoint_table(spark.range(3)).count()
