@@ -375,6 +375,20 @@ def test_cells_are_cut_by_polygons(spark, size):
     assert spatial.intersection(table, polys.where("identifier = 'empty'"), size).count() == 0
 
 
+def test_squares_beside_a_piece_are_not_cut(spark):
+    """Squares of the same large cell whose box misses the polygon, or only touches it, never leave the join."""
+    ring = [(0.25, 0.25), (0.75, 0.25), (0.75, 0.75), (0.25, 0.75)]
+    polys = spark.createDataFrame([("p", ring)], "identifier string, ring array<struct<lon:double,lat:double>>")
+    at = [0.0, 0.1, 0.5, 0.9, 1.0, 3.0]
+    cells = spark.createDataFrame([(6 * i + j, x, y) for i, x in enumerate(at) for j, y in enumerate(at)], "cell_id long, lon double, lat double")
+    cut = spatial.intersection(cells, polys, 0.5)
+    near = {0.1: 0.1, 0.5: 0.5, 0.9: 0.1}
+    got = {r.cell_id: r.area for r in cut.collect()}
+    assert got == pytest.approx({6 * i + j: near[x] * near[y] for i, x in enumerate(at) for j, y in enumerate(at) if x in near and y in near})
+    join = next(line for line in cut._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line)
+    assert all(name in join for name in ("_lon0", "_lon1", "_lat0", "_lat1"))
+
+
 def test_zonal_mean_keeps_polygons_without_a_cell(spark):
     ring = lambda x: [(x, 0.0), (x + 0.1, 0.0), (x + 0.1, 0.1), (x, 0.1)]
     polys = spark.createDataFrame([("a", ring(0.0)), ("b", ring(5.0))], "identifier string, ring array<struct<lon:double,lat:double>>")
