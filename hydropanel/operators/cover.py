@@ -95,8 +95,11 @@ class _Edges:
         return rows[~apart]
 
 
-def cells_of(rings: list[np.ndarray], unit: float, most: int = EDGES, deepest: int = DEEPEST) -> Iterator[tuple]:
-    """(level, cx, cy, inner, base, edges) of one polygon, edges as (ax, ay, bx, by, start)."""
+def cells_of(rings: list[np.ndarray], unit: float, most: int = EDGES, deepest: int = DEEPEST, margin: float = 0.0) -> Iterator[tuple]:
+    """(level, cx, cy, inner, base, edges) of one polygon, edges as (ax, ay, bx, by, start).
+
+    With ``margin`` each cell tells about the points in it and up to so far around it: ``inner``, ``base`` and edges are those of the widened cell.
+    """
     rings = [r for r in rings if len(r)]
     if not rings:
         return
@@ -107,16 +110,16 @@ def cells_of(rings: list[np.ndarray], unit: float, most: int = EDGES, deepest: i
     while (high - low).max() > SPLIT * size_of(level, unit):
         level += 1
     size = size_of(level, unit)
-    x, y = np.floor(low / size).astype(int), np.floor(high / size).astype(int)
+    x, y = np.floor((low - margin) / size).astype(int), np.floor((high + margin) / size).astype(int)
     waiting = []
     for cy in range(x[1], y[1] + 1):
         for cx in range(x[0], y[0] + 1):
-            some = whole.take(whole.touching(cx * size, cy * size, size))
-            waiting.append((level, cx, cy, whole.even_odd((cx + 1) * size, cy * size), some))
+            some = whole.take(whole.touching(cx * size - margin, cy * size - margin, size + 2 * margin))
+            waiting.append((level, cx, cy, whole.even_odd((cx + 1) * size + margin, cy * size - margin), some))
     while waiting:
         level, cx, cy, base, some = waiting.pop()
         size = size_of(level, unit)
-        right, bottom = (cx + 1) * size, cy * size
+        right, bottom = (cx + 1) * size + margin, cy * size - margin
         if not len(some.ax):
             if base:
                 yield level, cx, cy, True, True, []
@@ -128,8 +131,8 @@ def cells_of(rings: list[np.ndarray], unit: float, most: int = EDGES, deepest: i
             small = size_of(level - 1, unit)
             for ny in range(cy * SPLIT, (cy + 1) * SPLIT):
                 for nx in range(cx * SPLIT, (cx + 1) * SPLIT):
-                    own = some.take(some.touching(nx * small, ny * small, small))
-                    waiting.append((level - 1, nx, ny, some.inside((nx + 1) * small, ny * small, right, base, bottom), own))
+                    own = some.take(some.touching(nx * small - margin, ny * small - margin, small + 2 * margin))
+                    waiting.append((level - 1, nx, ny, some.inside((nx + 1) * small + margin, ny * small - margin, right, base, bottom), own))
 
 
 def _area(ring: np.ndarray) -> float:
@@ -233,11 +236,11 @@ def _per_polygon(polys: DataFrame, ring: str, schema: str, rows_of) -> DataFrame
     return narrow.mapInPandas(run, fields + schema)
 
 
-def cover(polys: DataFrame, ring: str = "ring", unit: float = 1.0, most: int = EDGES) -> DataFrame:
-    """One row per cell of each polygon: its columns without ``ring``, then level, cx, cy, inner, base, edges."""
+def cover(polys: DataFrame, ring: str = "ring", unit: float = 1.0, most: int = EDGES, deepest: int = DEEPEST, margin: float = 0.0) -> DataFrame:
+    """One row per cell of each polygon: its columns without ``ring``, then level, cx, cy, inner, base, edges (see ``cells_of``)."""
 
     def rows_of(rings: list[np.ndarray]) -> Iterator[tuple]:
-        for *cell, edges in cells_of(rings, unit, most):
+        for *cell, edges in cells_of(rings, unit, most, deepest, margin):
             yield *cell, [dict(zip(("ax", "ay", "bx", "by", "start"), e, strict=True)) for e in edges]
 
     return _per_polygon(polys, ring, _CELL, rows_of)

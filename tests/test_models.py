@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hydropanel import session
 from hydropanel.functions import dist, geo
-from hydropanel.operators import aggregates, apply, cover, extremes, factors, kriging, pairs, ranges, regions, spatial, state, transfer, windows
+from hydropanel.operators import aggregates, apply, cover, extremes, factors, kriging, pairs, ranges, regions, spatial, state, transfer, windows, zones
 from hydropanel.operators import regression as reg
 from hydropanel.sources import checkpoint_table
 
@@ -397,6 +397,50 @@ def test_zonal_mean_keeps_polygons_without_a_cell(spark):
     assert got == {"a": ("t", 3.0, 1), "b": (None, None, 0)}
 
 
+def _zones(spark, rng):
+    """Crowded cells and polygons: rings with holes, one identifier with two shapes, polygons and cells listed twice, a cell at two places, odd values."""
+
+    def ragged(x, y, r, n):
+        turn = np.sort(rng.uniform(0, 2 * np.pi, n))
+        return [(float(x + r * np.cos(t)), float(y + r * np.sin(t))) for t in turn]
+
+    at = rng.uniform(-4, 4, (60, 2))
+    shapes = [(f"p{k}", [ragged(x, y, rng.uniform(0.1, 3), 9), ragged(x, y, 0.5, 40)]) for k, (x, y) in enumerate(at)]
+    shapes += [("p0", [ragged(3, 0, 20, 30)]), shapes[1], shapes[1], (None, shapes[2][1]), ("none", None), ("far", [ragged(99, 0, 1, 5)])]
+    polys = spark.createDataFrame(shapes, "identifier string, ring array<array<struct<lon:double,lat:double>>>")
+    cells = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(-5, 5, (300, 2)))]
+    cells += [cells[3], (4, 2.0, 2.0), (None, 0.0, 0.0), (900, None, 0.0), (901, float("nan"), 0.0)]
+    centres = spark.createDataFrame(cells, "cell_id long, lon double, lat double")
+    odd = {(7, 0): None, (8, 1): float("inf"), (9, 2): float("nan")}
+    values = [(k, f"t{t}" if t else None, odd.get((k, t), float(v))) for k in range(300) for t, v in enumerate(rng.normal(5, 1, 70)) if (k + t) % 3]
+    return centres, polys, spark.createDataFrame([*values, values[0], (None, "t1", 1.0)], "cell_id long, time string, value double").withColumn("w", F.when(F.col("cell_id") != 11, 1 + F.col("cell_id") % 2))
+
+
+def _same_means(got, want):
+    got, want = ({(r.identifier, r.time): (r["mean"], r.n_cells) for r in rows.collect()} for rows in (got, want))
+    assert got.keys() == want.keys() and len(got) > 3000
+    for k, (mean, n) in want.items():
+        assert got[k][1] == n and (got[k][0] is mean if mean is None else got[k][0] == pytest.approx(mean, rel=1e-9, nan_ok=True)), k
+
+
+def test_shares_are_summed_where_they_are_found(spark, monkeypatch, weight="w"):
+    """The means by pairs of cells and polygons, from rows that grow with the polygons only, in slices of any size."""
+    centres, polys, values = _zones(spark, np.random.default_rng(3))
+    pairs = spatial.coverage(centres, polys, 0.5, sub=2)
+    want = spatial.zonal_mean(values, polys, weight=weight, cover=pairs)
+    for rows, sums in ((zones.ROWS, zones.SUMS), (500, 300)):
+        monkeypatch.setattr(zones, "ROWS", rows)
+        monkeypatch.setattr(zones, "SUMS", sums)
+        cover = spatial.coverage(centres, polys, 0.5, sub=2, values=values, weight=weight)
+        _same_means(spatial.zonal_mean(values, polys, weight=weight, cover=cover), want)
+    few = centres.where("cell_id BETWEEN 10 AND 299")
+    copies = few.crossJoin(spark.range(20)).select((F.col("cell_id") * 20 + F.col("id")).alias("cell_id"), "lon", "lat")
+    once = polys.where("identifier LIKE 'p_'").dropDuplicates(["identifier"])
+    monkeypatch.undo()
+    n = [spatial.coverage(c, once, 0.5, sub=2, values=c.select("cell_id", F.lit(1).alias("time"), F.lit(2.0).alias("value"))).count() for c in (few, copies)]
+    assert n[0] == n[1] <= 60 and spatial.coverage(copies, once, 0.5, sub=2).count() > 20 * n[1]
+
+
 def test_nearly_collinear_predictors_keep_their_coefficients(spark):
     """Condition 1e7 of the predictors, far from zero: as a QR of the whole table, in any partitioning."""
     rng = np.random.default_rng(8)
