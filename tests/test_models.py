@@ -464,6 +464,18 @@ def test_nearly_collinear_predictors_keep_their_coefficients(spark):
         assert got[g or None, "c"].vif == pytest.approx(vifs[0], rel=1e-6) and got[g or None, "b"].vif > 1e12
 
 
+def test_ranges_are_found_by_halves(spark):
+    """A row is not compared with every bound of its series, which would cost rows times ranges; bounds belong to the range before them."""
+    t = np.random.default_rng(1).permutation(6000).astype(float)
+    df = spark.createDataFrame([("a", float(x) if x else None) for x in t[:4000]] + [(None, float(x)) for x in t[4000:]], "site string, t double")
+    placed = ranges.split(df, ["site"], "t", 7)
+    assert "filter(_bounds" not in placed._jdf.queryExecution().analyzed().toString()
+    got = placed.toPandas().sort_values("t", na_position="first")
+    for _, part in got.groupby("site", dropna=False):
+        assert part["_range"].iloc[0] == 0 and part["_range"].is_monotonic_increasing
+        assert part["_range"].nunique() > 250 and part["_range"].value_counts().max() <= 14
+
+
 def test_triangles_of_any_parts_agree(spark, monkeypatch):
     rng = np.random.default_rng(2)
     frame = pd.DataFrame({"g": rng.integers(0, 40, 500), "h": rng.choice(["p", "q"], 500), "a": rng.normal(size=500), "b": rng.normal(size=500) + 9})
