@@ -441,6 +441,17 @@ def test_shares_are_summed_where_they_are_found(spark, monkeypatch, weight="w"):
     assert n[0] == n[1] <= 60 and spatial.coverage(copies, once, 0.5, sub=2).count() > 20 * n[1]
 
 
+def test_zonal_mean_without_rows_for_pairs(spark, monkeypatch):
+    """The means by a join of all cells and polygons, from tasks that hold a slice of a crowded place."""
+    centres, polys, values = _zones(spark, np.random.default_rng(5))
+    inside = spatial.points_in_polygons(centres, polys).select("cell_id", "identifier", F.lit(1.0).alias("share"))
+    monkeypatch.setattr(zones, "ROWS", 3000)
+    monkeypatch.setattr(zones, "SUMS", 1500)
+    got = spatial.zonal_mean(values, polys, centres=centres)
+    assert "CoGroup" in got._jdf.queryExecution().optimizedPlan().toString()
+    _same_means(got, spatial.zonal_mean(values, polys, cover=inside))
+
+
 def test_nearly_collinear_predictors_keep_their_coefficients(spark):
     """Condition 1e7 of the predictors, far from zero: as a QR of the whole table, in any partitioning."""
     rng = np.random.default_rng(8)
