@@ -1,5 +1,6 @@
 """Regressions, regions and spatial operators against brute force."""
 
+import collections
 import hashlib
 import itertools
 import os
@@ -647,6 +648,30 @@ def test_pairs_within_crowded_tiles(cloud, monkeypatch):
     assert "REPARTITION_BY_NUM" in plan and found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_pairs_without_a_radius(cloud, monkeypatch):
+    """All pairs, however far apart, also of rows without a place; the blocks are dealt over all shuffle partitions."""
+    pdf, df = cloud
+    spark = df.sparkSession
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 13)
+    rows = [(i, float(a), float(b)) for i, a, b in zip(pdf.id[:80], pdf.x[:80], pdf.y[:80], strict=True)] + [(3, 9e6, 0.0), (None, 0.0, 0.0), (900, None, 0.0)]
+    found = pairs.pairs_within(spark.createDataFrame(rows, "id long, x double, y double"), "id", "x", "y")
+    got = collections.Counter((r.id_a, r.id_b, None if r.distance is None else round(r.distance, 6)) for r in found.collect())
+    some = [r for r in rows if r[0] is not None]
+    assert got == collections.Counter(
+        (min(a[0], b[0]), max(a[0], b[0]), None if None in (*a, *b) else round(float(np.hypot(a[1] - b[1], a[2] - b[2])), 6)) for a, b in itertools.combinations(some, 2) if a[0] != b[0]
+    )
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_jn_pairwise_lists_every_pair(spark, tmp_path):
+    """Points on both coasts are a pair as well."""
+    from hydropanel.plans import catalog
+
+    spark.createDataFrame([(k, 1.0 * k) for k in (1, 2, 3, 4000, 700)], "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = catalog.QUERIES["jn_pairwise"](spark, str(tmp_path)).collect()
+    assert sorted((r.id_a, r.id_b) for r in got) == sorted(itertools.combinations((1, 2, 3, 700, 4000), 2)) and max(r.km for r in got) > 1000
+
+
 def test_release_deletes_the_written_stages(spark, monkeypatch):
     monkeypatch.setattr(session, "_stages", [])
     checkpoint_table(spark.range(3)).count()
