@@ -6,7 +6,7 @@ and is left out); a cell with few edges carries these edges and nothing else of
 
 The test is the even-odd rule of ``geo.in_polygon``, to the last bit. Along the ray to the right of a point only crossings up to the cell's right side are
 counted; whether the point on that side is inside follows from the side's lower end (``base``) and from where touching
-edges cross the side in between, see :func:`inside_cell`.
+edges cross the side in between, see ``_Edges.inside`` and ``zones.inside``.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ class _Edges:
         return np.where(self.low <= bottom, self.at(bottom) > right, first > right), self.high > bottom
 
     def inside(self, lon: float, lat: float, right: float, base: bool, bottom: float) -> bool:
-        """The same as ``inside_cell`` for one point."""
+        """Whether a point of a cell is in the polygon. ``right`` is the cell's right side, ``base`` whether that side's lower end (``bottom``) is inside."""
         spans, at = (self.low <= lat) & (self.high > lat), self.at(lat)
         start, matters = self.start(right, bottom)
         beyond = np.where(spans, at > right, np.where(self.by >= self.ay, self.bx, self.ax) > right)
@@ -140,23 +140,6 @@ def _area(ring: np.ndarray) -> float:
     return float((np.roll(x, 1) * y - x * np.roll(y, 1)).sum() / 2)
 
 
-def _clip(ring: np.ndarray, axis: int, bound: float, below: bool) -> np.ndarray:
-    """The part of a ring on one side of a line."""
-    if not len(ring):
-        return ring
-    before = np.roll(ring, 1, axis=0)
-    is_ = ring[:, axis] <= bound if below else ring[:, axis] >= bound
-    was = np.roll(is_, 1)
-    if is_.all():
-        return ring
-    out = np.empty((len(ring), 2, 2))
-    out[:, 1] = ring
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cut = before[:, 1 - axis] + (bound - before[:, axis]) * (ring[:, 1 - axis] - before[:, 1 - axis]) / (ring[:, axis] - before[:, axis])
-    out[:, 0, axis], out[:, 0, 1 - axis] = bound, cut
-    return out.reshape(-1, 2)[np.stack([was != is_, is_], axis=1).ravel()]
-
-
 def _turned(rings: list[np.ndarray]) -> list[np.ndarray]:
     """Parts counterclockwise and holes clockwise: a ring within an odd number of others is a hole."""
     boxes = np.array([[*r.min(axis=0), *r.max(axis=0)] for r in rings])
@@ -172,8 +155,11 @@ def _turned(rings: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def pieces_of(rings: list[np.ndarray], unit: float, most: int = EDGES) -> Iterator[tuple[int, int, int, list[np.ndarray]]]:
-    """(level, cx, cy, rings) of one polygon: its rings clipped to cells of at least ``unit``, no smaller than needed for few edges."""
+def pieces_of(rings: list[np.ndarray], unit: float, most: int = EDGES, deepest: int = 0, margin: float = 0.0) -> Iterator[tuple[int, int, int, list[np.ndarray]]]:
+    """(level, cx, cy, rings) of one polygon: its rings clipped to cells no smaller than needed for few edges.
+
+    With ``margin`` the rings are clipped to cells widened by so much, so that they hold all of the polygon around any point of the cell.
+    """
     rings = [r for r in rings if len(r) > 2]
     if not rings:
         return
@@ -184,27 +170,105 @@ def pieces_of(rings: list[np.ndarray], unit: float, most: int = EDGES) -> Iterat
         level += 1
 
     def within(some: list[np.ndarray], n: int, x: range, y: range) -> Iterator[tuple[int, int, int, list[np.ndarray]]]:
-        size = size_of(n, unit)
-        for cy in y:
-            row = [_clip(_clip(r, 1, cy * size, False), 1, (cy + 1) * size, True) for r in some]
-            for cx in x:
-                own = [_clip(_clip(r, 0, cx * size, False), 0, (cx + 1) * size, True) for r in row]
-                own = [r for r in own if len(r) > 2 and _area(r)]
-                if own:
-                    yield n, cx, cy, own
+        """All cells at once: copies of the rings for every row of cells, then for every column."""
+        size, flat = size_of(n, unit), np.concatenate(some)
+        u, v, start = flat[:, 0], flat[:, 1], np.concatenate([[0], np.cumsum([len(r) for r in some])])
+        for at in (y, x):  # the second axis first
+            at, rings = np.asarray(at, float), len(start) - 1
+            start = np.concatenate([[0], np.cumsum(np.tile(np.diff(start), len(at)))])
+            v, u = np.tile(v, len(at)), np.tile(u, len(at))
+            v, u, start = _cut_side(v, u, start, np.repeat(at * size - margin, rings), False)
+            u, v, start = _cut_side(v, u, start, np.repeat((at + 1) * size + margin, rings), True)
+        # both axes have changed places twice
+        v, u = u, v
+        use = (np.diff(start) > 2) & (_areas(v, u, start) != 0)
+        for k, cell in enumerate(use.reshape(-1, len(some))):
+            if cell.any():
+                own = [np.stack([v[start[r] : start[r + 1]], u[start[r] : start[r + 1]]], axis=1) for r in k * len(some) + np.flatnonzero(cell)]
+                yield n, x[k // len(y)], y[k % len(y)], own
 
     size = size_of(level, unit)
-    a, b = np.floor(low / size).astype(int), np.floor(high / size).astype(int)
+    a, b = np.floor((low - margin) / size).astype(int), np.floor((high + margin) / size).astype(int)
     waiting = list(within(_turned(rings), level, range(a[0], b[0] + 1), range(a[1], b[1] + 1)))
     while waiting:
         n, cx, cy, own = waiting.pop()
-        if n == 0 or sum(map(len, own)) <= most:
+        if n <= deepest or sum(map(len, own)) <= most:
             yield n, cx, cy, own
         else:
             waiting += within(own, n - 1, range(cx * SPLIT, (cx + 1) * SPLIT), range(cy * SPLIT, (cy + 1) * SPLIT))
 
 
-_PIECES = "level int, cx long, cy long, pieces array<array<struct<lon:double,lat:double>>>"
+def _cut_side(u: np.ndarray, v: np.ndarray, start: np.ndarray, bound: np.ndarray, below: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of rings on one side of a line each: ring k has the vertices from ``start[k]`` on, of which ``u`` is to be at most or at least ``bound[k]``."""
+    sizes = np.diff(start)
+    b = np.repeat(bound, sizes)
+    is_ = u <= b if below else u >= b
+    before = np.arange(len(u)) - 1
+    some = sizes > 0
+    before[start[:-1][some]] = start[1:][some] - 1
+    crossed = is_[before] != is_
+    end = np.cumsum(crossed.astype(np.int64) + is_)
+    out_u, out_v = np.empty((2, int(end[-1]) if len(end) else 0))
+    at = end[is_] - 1
+    out_u[at], out_v[at] = u[is_], v[is_]
+    at, i = (end - is_)[crossed] - 1, np.flatnonzero(crossed)
+    j = before[i]
+    out_u[at], out_v[at] = b[i], v[j] + (b[i] - u[j]) * (v[i] - v[j]) / (u[i] - u[j])
+    return out_u, out_v, np.concatenate([[0], end])[start]
+
+
+def _areas(x: np.ndarray, y: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """``_area`` of many rings."""
+    sizes = np.diff(start)
+    some = sizes > 0
+    first, before = np.repeat(start[:-1], sizes), np.arange(len(x)) - 1
+    before[start[:-1][some]] = start[1:][some] - 1
+    dx, dy = x - x[first], y - y[first]
+    area = np.zeros(len(sizes))
+    if len(x):
+        area[some] = np.add.reduceat((dx[before] * dy - dx * dy[before]) / 2, start[:-1][some])
+    return area
+
+
+def cut_by_squares(x: np.ndarray, y: np.ndarray, start: np.ndarray, lon: np.ndarray, lat: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rings (ring k from ``start[k]`` on) cut by the squares around ``lon[k]``, ``lat[k]``: the same, and their areas, positive if counterclockwise."""
+    for bound, below in ((lon - half, False), (lon + half, True)):
+        x, y, start = _cut_side(x, y, start, bound, below)
+    for bound, below in ((lat - half, False), (lat + half, True)):
+        y, x, start = _cut_side(y, x, start, bound, below)
+    return x, y, start, _areas(x, y, start)
+
+
+def areas_in_squares(lon: np.ndarray, lat: np.ndarray, half: float, xy: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The area of rings (``xy`` flat, ``sizes`` vertices each) within each of the squares around places in the order of ``lat``.
+
+    The sum over the edges of the integral, along latitude, of the distance to the square's left side.
+    """
+    out, wide = np.zeros(len(lon)), 2 * half
+    after = np.reshape(xy, (-1, 2))
+    end = np.cumsum(sizes)
+    before = np.roll(after, 1, axis=0)
+    before[end - sizes] = after[end - 1]
+    low, high = np.minimum(before[:, 1], after[:, 1]), np.maximum(before[:, 1], after[:, 1])
+    rows = np.searchsorted(lat, low - half, "right"), np.searchsorted(lat, high + half, "left")
+    left, bottom, top = lon - half, lat - half, lat + half
+    for (ax, ay), (bx, by), lo, hi, i, j in zip(before.tolist(), after.tolist(), low.tolist(), high.tolist(), rows[0].tolist(), rows[1].tolist(), strict=True):
+        if hi <= lo or j <= i:
+            continue
+        from_, to = np.maximum(bottom[i:j], lo), np.minimum(top[i:j], hi)
+        slope = (bx - ax) / (by - ay)
+        u, v = ax + (from_ - ay) * slope - left[i:j], ax + (to - ay) * slope - left[i:j]
+        p, q = np.minimum(u, v), np.maximum(u, v)
+        inner_p, inner_q = np.clip(p, 0.0, wide), np.clip(q, 0.0, wide)
+        run = q - p
+        # where the edge is upright, its own distance
+        mean = ((inner_q - inner_p) * (inner_q + inner_p) / 2 + wide * (np.maximum(q, wide) - np.maximum(p, wide))) / np.where(run > 0, run, 1.0)
+        part = np.maximum(to - from_, 0.0) * np.where(run > 0, mean, inner_p)
+        out[i:j] += part if by > ay else -part
+    return out
+
+
+_PIECES = "level int, cx long, cy long, lon0 double, lon1 double, lat0 double, lat1 double, xy array<double>, sizes array<int>"
 
 
 def _per_polygon(polys: DataFrame, ring: str, schema: str, rows_of) -> DataFrame:
@@ -246,11 +310,14 @@ def cover(polys: DataFrame, ring: str = "ring", unit: float = 1.0, most: int = E
     return _per_polygon(polys, ring, _CELL, rows_of)
 
 
-def clipped(polys: DataFrame, ring: str = "ring", unit: float = 1.0, most: int = EDGES) -> DataFrame:
-    """One row per cell that a polygon fills at least partly: its columns without ``ring``, then level, cx, cy, pieces (rings, holes clockwise)."""
+def clipped(polys: DataFrame, ring: str = "ring", unit: float = 1.0, most: int = EDGES, deepest: int = 0, margin: float = 0.0) -> DataFrame:
+    """One row per cell that a polygon fills at least partly: its columns without ``ring``, then level, cx, cy, the box of its rings in the cell
+    and the rings, holes clockwise: vertices in ``xy`` one after the other, ``sizes`` of them in each ring (see ``pieces_of``)."""
 
     def rows_of(rings: list[np.ndarray]) -> Iterator[tuple]:
-        for *cell, own in pieces_of(rings, unit, most):
-            yield *cell, [[{"lon": x, "lat": y} for x, y in r.tolist()] for r in own]
+        for *cell, own in pieces_of(rings, unit, most, deepest, margin):
+            xy = np.concatenate(own)
+            (lon0, lat0), (lon1, lat1) = xy.min(axis=0).tolist(), xy.max(axis=0).tolist()
+            yield *cell, lon0, lon1, lat0, lat1, xy.ravel(), [len(r) for r in own]
 
     return _per_polygon(polys, ring, _PIECES, rows_of)

@@ -13,29 +13,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydropanel.operators.cover import DEEPEST, cover, size_of, unit_size
+from hydropanel.operators.cover import DEEPEST, areas_in_squares, clipped, cover, size_of, unit_size
 from hydropanel.operators.pairs import cogroup_spread
 from hydropanel.sources import checkpoint_table
 
 # Rows of values, edges and sums of a task at most, about; polygons and keys that are summed at once.
 ROWS, EDGE_ROWS, SUMS = 200_000, 500_000, 1_000_000
 POLYS, KEYS = 256, 64
+# Vertices of a polygon in a cell, about, where shares are areas.
+VERTICES = 64
 
 
-def zone_sums(rows: DataFrame, polys: DataFrame, keys, tile: float = 1.0, steps=(0.0,)) -> DataFrame:
+def zone_sums(rows: DataFrame, polys: DataFrame, keys, tile: float = 1.0, steps=(0.0,), square: float | None = None, least: float = 0.0) -> DataFrame:
     """``identifier``, ``keys``, ``_vw``, ``_w`` and ``_n``: partial sums of ``rows`` (lon, lat, keys, _vw, _w, _n) over ``polys`` (identifier, ring, _times).
 
-    A row counts for a polygon by the share of its points (lon and lat plus each of ``steps``) inside, times ``_times``; ``_n`` by one if any is inside,
-    or with a single point ``_times`` as well.
+    A row counts for a polygon by the share of its points (lon and lat plus each of ``steps``) inside, or of the ``square`` around it, times ``_times``; ``_n`` by one if any is inside,
+    or with a single point ``_times`` as well. A row may say how often it is ``_listed``, which its sums hold already; shares, times both numbers, count above ``least``.
     """
     keys = list(keys)
-    margin = max(map(abs, steps))
+    margin = max(map(abs, steps)) if square is None else square / 2
     unit = unit_size(2 * tile)
     while unit < 4 * margin:
         unit *= 2
     finite = F.col("lon").between(-1e300, 1e300) & F.col("lat").between(-1e300, 1e300)
     rows = checkpoint_table(rows.where(finite))  # read for their numbers and for the sums
-    parts = checkpoint_table(cover(polys, unit=unit, margin=margin, deepest=0 if margin else DEEPEST))
+    if square is None:
+        parts = cover(polys, unit=unit, margin=margin, deepest=0 if margin else DEEPEST)
+    else:
+        parts = clipped(polys, unit=unit, margin=margin, deepest=-1, most=VERTICES).withColumnRenamed("xy", "edges")
+    parts = checkpoint_table(parts)
     levels = sorted(r[0] for r in parts.select("level").distinct().collect())  # a handful
     spot = ["level", "cx", "cy"]
     at = [F.struct(F.lit(n).alias("level"), F.floor(F.col("lon") / s).alias("cx"), F.floor(F.col("lat") / s).alias("cy")) for n in levels for s in [size_of(n, unit)]]
@@ -53,11 +59,12 @@ def zone_sums(rows: DataFrame, polys: DataFrame, keys, tile: float = 1.0, steps=
     some, every = (lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     left = placed.join(sizes, spot).withColumn("_i", some("_a", "lon", "lat", *keys)).withColumn("_j", every("_b")).drop("_a", "_b")
     flat = F.flatten(F.transform("edges", lambda e: F.array(e["ax"], e["ay"], e["bx"], e["by"], F.coalesce(e["start"].cast("double"), F.lit(-1.0)))))
+    flat = flat if square is None else F.col("edges")
     right = parts.join(sizes, spot).withColumn("edges", flat).withColumn("_j", some("_b", "identifier")).withColumn("_i", every("_a")).drop("_a", "_b")
 
     def solve(key, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         side = (int(key[1]) + 1) * size_of(int(key[0]), unit) + margin
-        return _sums(lpdf, rpdf, keys, side, steps)
+        return _sums(lpdf, rpdf, keys, side, steps, square, least)
 
     types = {f.name: f.dataType.simpleString() for f in (*rows.schema, *parts.schema)}
     schema = ", ".join(f"`{c}` {types[c]}" for c in ("identifier", *keys)) + ", _vw double, _w double, _n double"
@@ -66,10 +73,13 @@ def zone_sums(rows: DataFrame, polys: DataFrame, keys, tile: float = 1.0, steps=
     return found.withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in ("_vw", "_w", "_n")})
 
 
-def _sums(rows: pd.DataFrame, polys: pd.DataFrame, keys: list[str], right: float, steps) -> pd.DataFrame:
+def _sums(rows: pd.DataFrame, polys: pd.DataFrame, keys: list[str], right: float, steps, square: float | None, least: float) -> pd.DataFrame:
     out = []
     if len(rows) and len(polys):
-        places, place = np.unique(rows[["lon", "lat"]].to_numpy(float), axis=0, return_inverse=True)
+        by = ["lon", "lat", *(["_listed"] if "_listed" in rows else [])]
+        places, place = np.unique(rows[by].to_numpy(float), axis=0, return_inverse=True)
+        listed = places[:, 2] if len(by) > 2 else np.ones(len(places))
+        alone = len(steps) == 1 and square is None
         place = place.ravel()
         code = rows.groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(rows), int)
         kinds = rows[keys].iloc[np.unique(code, return_index=True)[1]]
@@ -88,18 +98,23 @@ def _sums(rows: pd.DataFrame, polys: pd.DataFrame, keys: list[str], right: float
         for start in range(0, len(polys), POLYS):
             few = polys.iloc[start : start + POLYS]
             share = np.empty((len(few), len(places)))
-            for row, (inner, base, edges) in enumerate(zip(few["inner"], few["base"], few["edges"], strict=True)):
-                share[row] = 1.0 if inner else _inside(x, y, right, base, np.reshape(edges, (-1, 5)))[back].reshape(-1, len(places)).mean(axis=0)
+            if square is not None:
+                for row, (edges, sizes) in enumerate(zip(few["edges"], few["sizes"], strict=True)):
+                    share[row] = areas_in_squares(x, y, square / 2, edges, sizes)[back] / (square * square)
+            else:
+                for row, (inner, base, edges) in enumerate(zip(few["inner"], few["base"], few["edges"], strict=True)):
+                    share[row] = 1.0 if inner else _inside(x, y, right, base, np.reshape(edges, (-1, 5)))[back].reshape(-1, len(places)).mean(axis=0)
             times = few["_times"].to_numpy(float)[:, None]
-            once = (share > 0).astype(float) * (times if len(steps) == 1 else 1.0)
             share *= times
+            share[share * listed <= max(least, 1e-12 if square else 0.0)] = 0.0  # what is left of rounding
+            once = (share > 0).astype(float) * (times if alone else 1.0)
             for lo, own, (vw, w, n, any_) in chunks:
                 present = once[:, own] @ any_
                 q, t = np.nonzero(present)
                 if not len(q):
                     continue
                 counted = present if np.array_equal(n, any_) else _product(once[:, own], n)
-                by_share = counted if len(steps) == 1 and np.array_equal(w, n) else _product(share[:, own], w)
+                by_share = counted if alone and np.array_equal(w, n) else _product(share[:, own], w)
                 total = _product(share[:, own], vw)
                 part = pd.DataFrame({"identifier": few["identifier"].to_numpy()[q]})
                 for c in keys:

@@ -390,6 +390,52 @@ def test_squares_beside_a_piece_are_not_cut(spark):
     assert all(name in join for name in ("_lon0", "_lon1", "_lat0", "_lat1"))
 
 
+def test_tiles_hold_all_of_a_polygon_around_their_squares():
+    """Rings clipped to tiles wider by half a square give the whole cut of every square with its centre in the tile, to rounding."""
+    rng = np.random.default_rng(6)
+    rings = [np.array(_star(0, 0, 8, 120, 1)), np.array(_star(14, 1, 3, 20, 2))[::-1]]
+    half = 0.25
+    parts = list(cover.pieces_of(rings, 2.0, 64, -1, half))
+    lon, lat = rng.uniform(-9, 18, 400), np.sort(rng.uniform(-9, 9, 400))
+    want = np.array([sum(_area_in_square(list(map(tuple, r)), x - half, x + half, y - half, y + half) for r in rings) for x, y in zip(lon, lat, strict=True)])
+    got, cut, met = np.zeros(400), np.zeros(400), np.zeros(400, int)
+    for level, cx, cy, own in parts:
+        size = cover.size_of(level, 2.0)
+        mine = np.flatnonzero((np.floor(lon / size) == cx) & (np.floor(lat / size) == cy))
+        met[mine] += 1
+        got[mine] += cover.areas_in_squares(lon[mine], lat[mine], half, np.concatenate(own).ravel(), np.array([len(r) for r in own]))
+        for r in own:
+            n = len(mine)
+            *_, area = cover.cut_by_squares(np.tile(r[:, 0], n), np.tile(r[:, 1], n), np.arange(n + 1) * len(r), lon[mine], lat[mine], half)
+            cut[mine] += area
+    assert met.max() == 1 and (want > 0.01).sum() > 100
+    assert np.abs(got - want).max() < 1e-12 and np.abs(cut - want).max() < 1e-12
+
+
+def test_cuts_are_not_put_together_in_a_shuffle(spark, monkeypatch):
+    """A square meets all of a polygon in one row, whatever the slices, so nothing is grouped behind the cut; repeated rows add up."""
+    rings = {"p": [_star(0, 0, 8, 40, 1)], "q": [_star(1, 1, 6, 90, 2)]}
+    kind = "identifier string, ring array<array<struct<lon:double,lat:double>>>"
+    polys = spark.createDataFrame([*rings.items(), ("q", rings["q"])], kind)
+    rng = np.random.default_rng(7)
+    at = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-9, 9, (150, 2)))]
+    cells = spark.createDataFrame([*at, at[0]], "cell_id long, lon double, lat double")
+    monkeypatch.setattr(spatial, "PAIRS", 20)
+    cut = spatial.intersection(cells, polys, 0.7)
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan
+    h = 0.35
+    one = {(i, k): _area_in_square(r[0], x - h, x + h, y - h, y + h) * (2 if k == "q" else 1) * (2 if i == 0 else 1) for i, x, y in at for k, r in rings.items()}
+    got = {(r.cell_id, r.identifier): (r.area, r.whole) for r in cut.withColumn("whole", F.aggregate("pieces", F.lit(0.0), lambda t, piece: t + geo.ring_area(piece))).collect()}
+    for pair, area in one.items():
+        assert got.pop(pair, (0.0, 0.0)) == pytest.approx((area, area), abs=1e-9)
+    assert not got
+    # an identifier with several shapes is one polygon
+    both = spark.createDataFrame([("s", rings["p"]), ("s", rings["q"])], kind)
+    found = {r.cell_id: r.area for r in spatial.intersection(cells, both, 0.7).collect()}
+    assert found == pytest.approx({i: a for i, *_ in at if (a := one[i, "p"] + one[i, "q"] / 2) > 1e-9})
+
+
 def test_zonal_mean_keeps_polygons_without_a_cell(spark):
     ring = lambda x: [(x, 0.0), (x + 0.1, 0.0), (x + 0.1, 0.1), (x, 0.1)]
     polys = spark.createDataFrame([("a", ring(0.0)), ("b", ring(5.0))], "identifier string, ring array<struct<lon:double,lat:double>>")
