@@ -88,7 +88,7 @@ def sp_clip_share(p):
 def sp_zonal_area(p):
     """Half-degree cells counted by the area of their cut with the polygons."""
     centres = p.points.select(F.col("point_id").alias("cell_id"), "lon", "lat")
-    cover = spatial.coverage(centres, p.basins, size=0.5).where("share > 1e-9")
+    cover = spatial.coverage(centres, p.basins, size=0.5, values=p.values, least=1e-9)
     return spatial.zonal_mean(p.values, p.basins, cover=cover)
 
 

@@ -488,6 +488,19 @@ def test_shares_are_summed_where_they_are_found(spark, monkeypatch, weight="w"):
     assert n[0] == n[1] <= 60 and spatial.coverage(copies, once, 0.5, sub=2).count() > 20 * n[1]
 
 
+def test_areas_are_summed_where_they_are_found(spark, monkeypatch):
+    """The means by pairs with their areas, from tasks that hold a slice of a crowded place; small shares do not count."""
+    centres, polys, values = _zones(spark, np.random.default_rng(4))
+    pairs = spatial.coverage(centres, polys, 0.5, least=0.2)
+    assert 0 < pairs.count() < spatial.coverage(centres, polys, 0.5).count() and pairs.agg(F.min("share")).first()[0] > 0.2
+    want = spatial.zonal_mean(values, polys, weight="w", cover=pairs)
+    monkeypatch.setattr(zones, "ROWS", 500)
+    monkeypatch.setattr(zones, "SUMS", 300)
+    cover = spatial.coverage(centres, polys, 0.5, values=values, weight="w", least=0.2)
+    assert "CoGroup" in cover._jdf.queryExecution().optimizedPlan().toString() and "cell_id" not in cover.columns
+    _same_means(spatial.zonal_mean(values, polys, weight="w", cover=cover), want)
+
+
 def test_zonal_mean_without_rows_for_pairs(spark, monkeypatch):
     """The means by a join of all cells and polygons, from tasks that hold a slice of a crowded place."""
     centres, polys, values = _zones(spark, np.random.default_rng(5))
