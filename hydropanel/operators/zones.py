@@ -103,7 +103,7 @@ def _sums(rows: pd.DataFrame, polys: pd.DataFrame, keys: list[str], right: float
                     share[row] = areas_in_squares(x, y, square / 2, edges, sizes)[back] / (square * square)
             else:
                 for row, (inner, base, edges) in enumerate(zip(few["inner"], few["base"], few["edges"], strict=True)):
-                    share[row] = 1.0 if inner else _inside(x, y, right, base, np.reshape(edges, (-1, 5)))[back].reshape(-1, len(places)).mean(axis=0)
+                    share[row] = 1.0 if inner else inside(x, y, right, base, np.reshape(edges, (-1, 5)))[back].reshape(-1, len(places)).mean(axis=0)
             times = few["_times"].to_numpy(float)[:, None]
             share *= times
             share[share * listed <= max(least, 1e-12 if square else 0.0)] = 0.0  # what is left of rounding
@@ -135,8 +135,11 @@ def _product(share: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
-def _inside(x: np.ndarray, y: np.ndarray, right: float, base: bool, edges: np.ndarray) -> np.ndarray:
-    """``cover.inside_cell`` for points in the order of y and edges (ax, ay, bx, by, start or -1)."""
+def inside(x: np.ndarray, y: np.ndarray, right: float, base: bool, edges: np.ndarray) -> np.ndarray:
+    """Whether points of a cell, in the order of y, are in the polygon: ``_Edges.inside`` of ``cover`` for edges (ax, ay, bx, by, start).
+
+    An edge's ``start`` says whether it is beyond the right side at the cell's lower end or at its own lower end, -1 if it ends below.
+    """
     odd = np.full(len(x), bool(base))
     ends = np.searchsorted(y, [np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])])
     for (ax, ay, bx, by, start), i, j in zip(edges.tolist(), *ends.tolist(), strict=True):

@@ -323,6 +323,20 @@ def test_points_meet_one_large_among_many_small_polygons(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_points_are_tested_in_slices_of_a_crowded_cell(spark, monkeypatch):
+    """Points and polygons of one cell meet in batches of any size, with repeated rows and columns of the same name on both sides."""
+    monkeypatch.setattr(spatial, "POINTS", 40)
+    monkeypatch.setattr(spatial, "TESTS", 200)
+    polys = spark.createDataFrame([(f"s{k % 20}", k, [_star(0.1 * k, 0.05 * k, 1.5, 12, k % 20)]) for k in (*range(20), 3)], "id string, n int, ring array<array<struct<lon:double,lat:double>>>")
+    xy = np.random.default_rng(1).uniform(-2, 4, (300, 2))
+    points = spark.createDataFrame([(i % 290, None if i % 7 else f"name {i}", float(a), float(b)) for i, (a, b) in enumerate(xy)] + [(-1, "x", None, 0.0)], "id long, name string, lon double, lat double")
+    found = spatial.points_in_polygons(points, polys)
+    assert found.columns == ["id", "name", "lon", "lat", "id", "n"] and "CoGroup" in found._jdf.queryExecution().optimizedPlan().toString()
+    plain = points.crossJoin(polys.withColumnRenamed("id", "other")).where(geo.in_polygon(F.col("lon"), F.col("lat"), F.col("ring"))).drop("ring")
+    want = collections.Counter(tuple(r) for r in plain.collect())
+    assert collections.Counter(tuple(r) for r in found.collect()) == want and len(want) > 300
+
+
 def test_cover_follows_the_border():
     """No more cells than edges, whatever the area; no cell on the border has many edges."""
     def cells(r):
